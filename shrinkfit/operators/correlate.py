@@ -1,9 +1,19 @@
 """Pearson correlation matrix in long form and threshold pairs.
 
-One aggregate computes every variance and covariance with Spark's
-numerically stable central-moment aggregates (partial + final, no sort).
-R semantics: a constant column or any NULL gives NA (T4) — here NULL,
-using ``try_divide`` so ANSI mode does not raise.
+Two passes, both plain partial/final aggregates (no sort, no shuffle of
+rows): (1) count, mean, min, max per column; (2) sums of products of the
+*centred* columns for every pair. Centring on the exact means keeps the
+products small (no catastrophic cancellation for ids or epoch seconds), and
+plain ``sum`` aggregates stay cheap for a wide set (k(k+1)/2 sums) where
+hundreds of ``covar_pop`` buffers would not.
+
+For wide sets (more than ``WIDE`` columns) the second pass is MLlib's
+``Correlation`` instead: the same mean-centred Gramian, accumulated as one
+packed array per partition with ``treeAggregate``, so the plan does not
+grow with k².
+
+R semantics: a constant column (min = max) or any NULL gives NA (T4) — here
+NULL; nothing divides by zero under ANSI mode.
 """
 
 from __future__ import annotations
@@ -12,26 +22,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+WIDE = 8
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """(col_a, col_b, r) for every ordered pair, diagonal included."""
-    n = F.count(F.lit(1))
-    complete = {c: F.count(c) == n for c in cols}
-    aggs = []
+    x = {c: F.col(c).cast("double") for c in cols}
+    first = df.agg(F.count(F.lit(1)).alias("n"),
+                   *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
+                   *[F.avg(x[c]).alias(f"m_{i}") for i, c in enumerate(cols)],
+                   *[(F.min(x[c]) == F.max(x[c])).alias(f"k_{i}") for i, c in enumerate(cols)]).first()
+    n = first["n"]
+    usable = [n > 0 and first[f"n_{i}"] == n and not first[f"k_{i}"] for i in range(len(cols))]
+    if len(cols) > WIDE:
+        return _wide_matrix(df, cols, usable)
+    centred = {c: x[c] - F.lit(first[f"m_{i}"]) for i, c in enumerate(cols) if usable[i]}
+    sums = []
     for i, a in enumerate(cols):
-        xa = F.col(a).cast("double")
-        aggs.append(F.when(complete[a] & (F.stddev_pop(xa) > 0), F.lit(1.0)).alias(f"r_{i}_{i}"))
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
-            xb = F.col(b).cast("double")
-            r = F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
-            aggs.append(F.when(complete[a] & complete[b], r).alias(f"r_{i}_{j}"))
-    wide = df.agg(*aggs)
+        for j in range(i, len(cols)):
+            if usable[i] and usable[j]:
+                sums.append(F.sum(centred[a] * centred[cols[j]]).alias(f"s_{i}_{j}"))
+    wide = df.agg(*sums) if sums else df.agg(F.count(F.lit(1)).alias("_n"))
     entries = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            src = f"r_{min(i, j)}_{max(i, j)}"
-            entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                    F.col(src).alias("r")))
+            lo, hi = min(i, j), max(i, j)
+            if not (usable[i] and usable[j]):
+                r = F.lit(None).cast("double")
+            elif i == j:
+                r = F.lit(1.0)
+            else:
+                r = F.col(f"s_{lo}_{hi}") / F.sqrt(F.col(f"s_{lo}_{lo}") * F.col(f"s_{hi}_{hi}"))
+            entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
     return wide.select(F.inline(F.array(*entries)))
 
 
@@ -41,3 +63,30 @@ def correlated_pairs(df: DataFrame, cols: list[str], threshold: float = 0.3) ->
     pos = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(order[c]))])
     m = correlation_matrix(df, cols)
     return m.where((pos[F.col("col_a")] < pos[F.col("col_b")]) & (F.abs("r") > threshold))
+
+
+def _wide_matrix(df: DataFrame, cols: list[str], usable: list[bool]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    keep = [c for c, u in zip(cols, usable) if u]
+    values: dict[tuple[str, str], float | None] = {}
+    if len(keep) > 1:
+        vec = VectorAssembler(inputCols=keep, outputCol="_v", handleInvalid="keep").transform(
+            df.select(*[F.col(c).cast("double").alias(c) for c in keep]))
+        mat = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+        for i, a in enumerate(keep):
+            for j, b in enumerate(keep):
+                v = float(mat[i][j])
+                values[(a, b)] = None if v != v else v
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if not (usable[i] and usable[j]):
+                r = None
+            elif i == j:
+                r = 1.0
+            else:
+                r = values.get((a, b))
+            rows.append((a, b, r))
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")

@@ -157,10 +157,17 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
     held: list[DataFrame] = []
     for spec in chain:
         eff = fit_effect(cur, spec, lams, shared, name)
+        # ``cur`` is now cached (the aggregate filled it): its parents can go.
+        for df in held[:-1]:
+            df.unpersist()
+        held = held[-1:]
         model.effects.append(eff)
         cur = _subtract(cur, eff, lams, shared)
         shared = False
-        if not can_broadcast(eff.table, eff.rows):
+        # Persist after a shuffle join (user/item tables past the broadcast
+        # bound) and, for a λ grid, after every step so that no stage replays
+        # the whole chain of wide joins.
+        if len(lams) > 1 or not can_broadcast(eff.table, eff.rows):
             cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
             held.append(cur)
     if shared:  # empty chain: widen the single residual to every λ

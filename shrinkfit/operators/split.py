@@ -24,27 +24,75 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark import StorageLevel
+
+from ..session import materialize
 from .joins import lookup_join
 
 DEFAULT_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
+def value_histogram(df: DataFrame, col: str = "rating", limit: int = 100_000) -> list[tuple] | None:
+    """Sorted ``(value, count)`` of ``col`` if it has at most ``limit`` distinct values.
+
+    A ratings scale has a handful of levels, so this is a tiny, partially
+    aggregated result; ``None`` means "too many values, stay distributed".
+    """
+    rows = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+            .limit(limit + 1).collect())
+    if len(rows) > limit:
+        return None
+    return sorted((float(r[0]), int(r[1])) for r in rows)
+
+
+def percentiles_from_histogram(hist: list[tuple], probs: tuple[float, ...]) -> list[float]:
+    """Type-7 quantiles from a value histogram (same arithmetic as Spark's ``percentile``)."""
+    total = sum(c for _, c in hist)
+    if total == 0:
+        raise ValueError("no non-NULL values to cut into strata")
+    cum, acc = [], 0
+    for _, c in hist:
+        acc += c
+        cum.append(acc)
+
+    def at(k: int) -> float:
+        for (v, _), cu in zip(hist, cum):
+            if cu > k:
+                return v
+        return hist[-1][0]
+
+    out = []
+    for p in probs:
+        pos = (total - 1) * p
+        lo, hi = math.floor(pos), math.ceil(pos)
+        a, b = at(lo), at(hi)
+        out.append(a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b)
+    return out
+
+
 def quantile_breaks(df: DataFrame, col: str = "rating",
                     probs: tuple[float, ...] = DEFAULT_PROBS) -> list[float]:
     """Type-7 quantiles (linear interpolation) of ``col``.
 
-    Values are counted first (partial aggregation: a ratings scale has few
-    distinct values), and the exact percentile runs over the
-    ``(value, count)`` histogram with counts as frequencies.
+    From the value histogram when the scale is small; otherwise Spark's exact
+    ``percentile`` over the ``(value, count)`` histogram, counts as frequencies.
     """
-    hist = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    row = hist.agg(F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]),
-                                F.col("_n")).alias("q")).first()
+    hist = value_histogram(df, col)
+    if hist is not None:
+        return percentiles_from_histogram(hist, probs)
+    counted = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    row = counted.agg(F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]),
+                                   F.col("_n")).alias("q")).first()
     if row is None or row["q"] is None:
         raise ValueError(f"no non-NULL values in {col!r} to cut into strata")
     return [float(x) for x in row["q"]]
 
 
+def _interior(breaks: list[float]) -> list[float]:
+    lo, hi = breaks[0], breaks[-1]
+    return sorted({b for b in breaks[1:-1] if lo < b < hi})
+
+
 def stratum_expr(y: Column | str, breaks: list[float]) -> Column:
     """Bin number of ``y`` for ``cut(y, unique(breaks), include.lowest=TRUE)``.
 
@@ -53,10 +101,8 @@ def stratum_expr(y: Column | str, breaks: list[float]) -> Column:
     maximum are dropped, as ``unique`` would merge them.
     """
     y = F.col(y) if isinstance(y, str) else y
-    lo, hi = breaks[0], breaks[-1]
-    interior = sorted({b for b in breaks[1:-1] if lo < b < hi})
     expr = F.lit(1)
-    for b in interior:
+    for b in _interior(breaks):
         expr = expr + F.when(y > F.lit(b), 1).otherwise(0)
     return expr.cast("int")
 
@@ -78,11 +124,20 @@ def stratified_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "r
     """Add boolean ``label``: exactly ``ceil(p·n_s)`` rows per stratum are True."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
-    breaks = quantile_breaks(df, y)
+    hist = value_histogram(df, y)
+    if hist is not None:   # breaks and stratum sizes from one small histogram
+        breaks = percentiles_from_histogram(hist, DEFAULT_PROBS)
+        inner = _interior(breaks)
+        sizes: dict[int, int] = {}
+        for v, c in hist:
+            s_ = 1 + sum(1 for b in inner if v > b)
+            sizes[s_] = sizes.get(s_, 0) + c
+    else:
+        breaks = quantile_breaks(df, y)
     base = df.withColumns({"_stratum": stratum_expr(y, breaks), "_h": seeded_hash(key, seed)})
-
-    sizes = {r["_stratum"]: r["n"] for r in
-             base.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if hist is None:
+        sizes = {r["_stratum"]: r["n"] for r in
+                 base.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
     take = {s: (math.ceil(n * p) if n > 1 else (1 if p > 0 else 0)) for s, n in sizes.items()}
     nhex = _hex_digits(max(sizes.values()) if sizes else 0, bucket_rows)
     base = base.withColumn("_b", F.substring("_h", 1, nhex))
@@ -126,15 +181,17 @@ def seen_key_guard(df: DataFrame, label: str = "is_test",
     """Keep a test row only if every key also occurs on the train side (M2).
 
     All keys are tested against the *initial* train side (T11); test rows
-    that fail go to train (U1), marked in ``moved``. One small aggregate per
-    key (partially aggregated, so a hot key is pre-combined map-side) and a
-    size-checked lookup join back.
+    that fail go to train (U1), marked in ``moved``. Per key: one aggregate
+    (partial aggregation pre-combines a hot key map-side) written once as a
+    small table, then a lookup join back that is broadcast only if the
+    counted table is under the size bound.
     """
     out = df
     ok = F.lit(True)
     for k in keys:
-        seen = df.groupBy(k).agg((F.count_if(~F.col(label)) > 0).alias(f"_seen_{k}"))
-        out = lookup_join(out, seen, [k], "left")
+        seen = materialize(df.groupBy(k).agg((F.count_if(~F.col(label)) > 0).alias(f"_seen_{k}")),
+                           f"seen-{k}")
+        out = lookup_join(out, seen, [k], "left", small_rows=seen.count())
         ok = ok & F.coalesce(F.col(f"_seen_{k}"), F.lit(False))
     cols = {label: F.col(label) & ok}
     if moved:
@@ -149,9 +206,17 @@ def train_test(df: DataFrame, label: str = "is_test") -> tuple[DataFrame, DataFr
 
 def guarded_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "rk",
                   y: str = "rating", label: str = "is_test",
-                  keys: tuple[str, ...] = ("movieId", "userId")) -> DataFrame:
-    """Stratified split followed by the seen-key guard."""
-    return seen_key_guard(stratified_split(df, p, seed, key, y, label), label, keys)
+                  keys: tuple[str, ...] = ("movieId", "userId"), name: str = "split") -> DataFrame:
+    """Stratified split + seen-key guard, written once under the checkpoint folder.
+
+    The flagged split is persisted while the guard reads it three times
+    (two key aggregates and the join back), then released.
+    """
+    split = stratified_split(df, p, seed, key, y, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return materialize(seen_key_guard(split, label, keys), name)
+    finally:
+        split.unpersist()
 
 
 def split_share(df: DataFrame, label: str = "is_test") -> DataFrame:

@@ -68,7 +68,7 @@ class Experiment:
 
     @cached_property
     def holdout_split(self) -> DataFrame:
-        return materialize(guarded_split(self.features, self.holdout_p, self.seed), "split-holdout")
+        return guarded_split(self.features, self.holdout_p, self.seed, name="split-holdout")
 
     @cached_property
     def edx(self) -> DataFrame:
@@ -80,7 +80,7 @@ class Experiment:
 
     @cached_property
     def edx_split(self) -> DataFrame:
-        return materialize(guarded_split(self.edx, self.test_p, self.seed), "split-edx")
+        return guarded_split(self.edx, self.test_p, self.seed, name="split-edx")
 
     @cached_property
     def edx_train(self) -> DataFrame:
