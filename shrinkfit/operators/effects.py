@@ -14,6 +14,14 @@ when the counted table is under the byte bound; user/item tables beyond it
 go through AQE's shuffle join with skew splitting. After every such shuffle
 join the carried table is persisted so later effects do not replay it.
 
+Cells: after the first ``row_steps`` effects (the high-cardinality user and
+item keys) every remaining key is low-cardinality, so the residual is
+pre-aggregated once into a cell table ``(remaining keys, genres) → (n, Σr)``
+and the rest of the chain and the genre effects are fitted on it exactly
+(a group sum over rows equals the sum of its cells' sums). Rows and cells
+share one layout — weight ``_n`` and residual sums ``_s{j}``; a row is a cell
+with ``_n = 1`` — so both paths run the same code.
+
 Several λ are fitted in the same pass as *wide* columns ``b0 … b{L-1}``:
 no row multiplication, one aggregate per effect, codegen-friendly
 arithmetic. The genre effects are aggregated per distinct genre *string*
@@ -105,28 +113,48 @@ def global_mean(df: DataFrame, col: str = "rating") -> float:
     return float(row["mu"])
 
 
+def _keep(df: DataFrame, name: str, durable: bool) -> tuple[DataFrame, int]:
+    """Written under the checkpoint folder (long lineage) or persisted (short lineage)."""
+    if durable:
+        df = materialize(df, name)
+    else:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df, df.count()
+
+
 def fit_effect(cur: DataFrame, spec: EffectSpec, lambdas: list[float], shared: bool,
-               name: str = "effect") -> FittedEffect:
-    """One grouped shrunk mean of the carried residual (A2/A3)."""
+               name: str = "effect", durable: bool = True) -> FittedEffect:
+    """One grouped shrunk mean of the carried residual (A2/A3).
+
+    ``durable=False`` is for effects fitted on an already written cell table:
+    their lineage is one aggregate over it, so a persisted copy suffices.
+    """
     L = len(lambdas)
     if shared:   # residual is still λ-independent: one sum serves every λ
-        aggs = [F.sum("_r0").alias("s")]
+        aggs = [F.sum("_s0").alias("s")]
         vals = [_shrink("s", "n", lam).alias(f"b{j}") for j, lam in enumerate(lambdas)]
     else:
-        aggs = [F.sum(f"_r{j}").alias(f"s{j}") for j in range(L)]
+        aggs = [F.sum(f"_s{j}").alias(f"s{j}") for j in range(L)]
         vals = [_shrink(f"s{j}", "n", lam).alias(f"b{j}") for j, lam in enumerate(lambdas)]
-    grouped = cur.groupBy(spec.key).agg(F.count(F.lit(1)).alias("n"), *aggs)
-    table = materialize(grouped.select(spec.key, "n", *vals), f"{name}-{spec.name}")
-    return FittedEffect(spec, table, table.count())
+    grouped = cur.groupBy(spec.key).agg(F.sum("_n").alias("n"), *aggs)
+    table, rows = _keep(grouped.select(spec.key, "n", *vals), f"{name}-{spec.name}", durable)
+    return FittedEffect(spec, table, rows)
+
+
+def to_cells(cur: DataFrame, keys: list[str], width: int, name: str = "effect") -> DataFrame:
+    """Pre-aggregate rows (or cells) by ``keys``: exact for any later group sum."""
+    cells = cur.groupBy(*keys).agg(F.sum("_n").alias("_n"),
+                                   *[F.sum(f"_s{j}").alias(f"_s{j}") for j in range(width)])
+    return materialize(cells, f"{name}-cells")
 
 
 def fit_genres(cur: DataFrame, vocabulary: list[str], lambdas: list[float], genres_col: str,
-               name: str = "effect") -> tuple[DataFrame, int]:
+               name: str = "effect", durable: bool = True) -> tuple[DataFrame, int]:
     """All genre effects on one common residual in one aggregate."""
     L = len(lambdas)
     spark = cur.sparkSession
-    combos = cur.groupBy(genres_col).agg(F.count(F.lit(1)).alias("n"),
-                                         *[F.sum(f"_r{j}").alias(f"s{j}") for j in range(L)])
+    combos = cur.groupBy(genres_col).agg(F.sum("_n").alias("n"),
+                                         *[F.sum(f"_s{j}").alias(f"s{j}") for j in range(L)])
     tokens = genre_tokens(genres_col)
     members = (combos.select("*", F.explode(F.array_distinct(tokens)).alias("genre"))
                .where(F.size(F.filter(tokens, lambda t: t == F.col("genre"))) == 1))
@@ -136,27 +164,34 @@ def fit_genres(cur: DataFrame, vocabulary: list[str], lambdas: list[float], genr
     joined = vocab.join(per_genre, "genre", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     table = joined.select("genre", F.col("n").cast("long").alias("n"),
                           *[_shrink(f"s{j}", "n", lam).alias(f"g{j}") for j, lam in enumerate(lambdas)])
-    table = materialize(table, f"{name}-genres")
-    return table, table.count()
+    return _keep(table, f"{name}-genres", durable)
 
 
 def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
                 chain: tuple[EffectSpec, ...] = DEFAULT_CHAIN, genres: bool = True,
                 vocabulary: list[str] | None = None, exclude_genres: tuple[str, ...] = (),
                 genres_col: str = "genres", rating_col: str = "rating",
-                name: str = "model") -> BiasModel:
-    """Fit ``mu``, the effect chain and the genre effects for every λ."""
+                name: str = "model", row_steps: int = 2) -> BiasModel:
+    """Fit ``mu``, the effect chain and the genre effects for every λ.
+
+    The first ``row_steps`` effects run over rows; the rest over cells.
+    """
     from .features import genre_vocabulary
 
     lams = [float(lambdas)] if isinstance(lambdas, (int, float)) else [float(x) for x in lambdas]
+    L = len(lams)
     mu = global_mean(train, rating_col)
     model = BiasModel(mu, lams, genres_col=genres_col, rating_col=rating_col)
     needed = [rating_col] + [s.key for s in chain] + ([genres_col] if genres else [])
-    cur = train.select(*dict.fromkeys(needed)).withColumn("_r0", F.col(rating_col) - F.lit(mu))
+    cur = train.select(*dict.fromkeys(needed)).withColumns(
+        {"_n": F.lit(1).cast("long"), "_s0": F.col(rating_col) - F.lit(mu)})
+    cell_keys = list(dict.fromkeys([s.key for s in chain[row_steps:]] + ([genres_col] if genres else [])))
     shared = True
     held: list[DataFrame] = []
-    for spec in chain:
-        eff = fit_effect(cur, spec, lams, shared, name)
+    for i, spec in enumerate(chain):
+        if i == row_steps and cell_keys:
+            cur = to_cells(cur, cell_keys, 1 if shared else L, name)
+        eff = fit_effect(cur, spec, lams, shared, name, durable=i < row_steps)
         # ``cur`` is now cached (the aggregate filled it): its parents can go.
         for df in held[:-1]:
             df.unpersist()
@@ -164,30 +199,32 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
         model.effects.append(eff)
         cur = _subtract(cur, eff, lams, shared)
         shared = False
-        # Persist after a shuffle join (user/item tables past the broadcast
-        # bound) and, for a λ grid, after every step so that no stage replays
-        # the whole chain of wide joins.
-        if len(lams) > 1 or not can_broadcast(eff.table, eff.rows):
+        # Row level: persist after a shuffle join (user/item tables past the
+        # broadcast bound) and, for a λ grid, after every step so no stage
+        # replays the chain of wide joins. Cells are small and re-read.
+        if i < row_steps and (L > 1 or not can_broadcast(eff.table, eff.rows)):
             cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
             held.append(cur)
     if shared:  # empty chain: widen the single residual to every λ
-        cur = cur.withColumns({f"_r{j}": F.col("_r0") for j in range(1, len(lams))})
+        cur = cur.withColumns({f"_s{j}": F.col("_s0") for j in range(1, L)})
     if genres:
         vocab = vocabulary if vocabulary is not None else genre_vocabulary(train, genres_col)
         vocab = [g for g in vocab if g not in set(exclude_genres) and g not in (NO_GENRE, "")]
-        model.genres, model.genre_rows = fit_genres(cur, vocab, lams, genres_col, name)
+        model.genres, model.genre_rows = fit_genres(cur, vocab, lams, genres_col, name,
+                                                    durable=len(chain) <= row_steps)
     for df in held:
         df.unpersist()
     return model
 
 
 def _subtract(cur: DataFrame, eff: FittedEffect, lambdas: list[float], shared: bool) -> DataFrame:
+    """Carry the residual past one effect: ``_s{j} -= _n · b{j}[key]``."""
     L = len(lambdas)
     key = eff.spec.key
     side = eff.table.select(key, *[F.col(f"b{j}").alias(f"_b{j}") for j in range(L)])
     out = lookup_join(cur, side, [key], "left", small_rows=eff.rows)
-    src = (lambda j: "_r0") if shared else (lambda j: f"_r{j}")
-    out = out.withColumns({f"_r{j}": F.col(src(j)) - F.col(f"_b{j}") for j in range(L)})
+    src = (lambda j: "_s0") if shared else (lambda j: f"_s{j}")
+    out = out.withColumns({f"_s{j}": F.col(src(j)) - F.col("_n") * F.col(f"_b{j}") for j in range(L)})
     return out.drop(*[f"_b{j}" for j in range(L)])
 
 
@@ -246,8 +283,8 @@ def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
 
 
 def residuals(model: BiasModel, df: DataFrame, intercept: float | None = None) -> DataFrame:
-    """``df`` with ``_r0`` = rating − model prediction (single λ)."""
+    """``df`` with ``_s0`` = rating − model prediction and weight ``_n`` = 1 (single λ)."""
     if model.width != 1:
         raise ValueError("residuals are for a single λ")
-    return predict(model, df, intercept).withColumn(
-        "_r0", F.col(model.rating_col) - F.col("pred")).drop("pred")
+    return predict(model, df, intercept).withColumns(
+        {"_n": F.lit(1).cast("long"), "_s0": F.col(model.rating_col) - F.col("pred")}).drop("pred")

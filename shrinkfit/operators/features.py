@@ -81,6 +81,15 @@ def regroup_first_sum(df: DataFrame, id_col: str, vocabulary: list[str],
     return exploded.groupBy(id_col).agg(*aggs)
 
 
+def with_row_id(df: DataFrame, name: str = "rowID") -> DataFrame:
+    """Surrogate row id (P9): unique per row, no shuffle, no single-task window.
+
+    Not consecutive like ``seq(1, nrow)`` — only uniqueness is needed to
+    regroup exploded rows. Deterministic for a deterministic input order.
+    """
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def select_prefix(df: DataFrame, prefix: str, also: list[str] | None = None) -> DataFrame:
     """``select(also…, starts_with(prefix))``."""
     cols = list(also or []) + [c for c in df.columns if c.startswith(prefix)]

@@ -109,8 +109,9 @@ def model_ctes(m: str, train: str, vocab_src: str = "edx") -> list[str]:
     cols = "t.rk, t.movieId, t.userId, t.release_year, t.rating_year, t.rating_week_of_year, t.genres, t.rating"
     ctes = [
         f"{m}_mu AS (SELECT avg(rating) AS mu FROM {train})",
-        f"{m}_t0 AS (SELECT {cols}, l.lam, t.rating - u.mu AS r "
-        f"FROM {train} t CROSS JOIN {m}_mu u CROSS JOIN {m}_lam l)",
+        f"{m}_n0 AS (SELECT *, row_number() OVER () AS rid FROM {train})",
+        f"{m}_t0 AS (SELECT t.rid, {cols}, l.lam, t.rating - u.mu AS r "
+        f"FROM {m}_n0 t CROSS JOIN {m}_mu u CROSS JOIN {m}_lam l)",
     ]
     for k, (_, key) in enumerate(CHAIN, start=1):
         ctes.append(f"{m}_e{k} AS (SELECT lam, {key}, count(*) AS n, sum(r) / (count(*) + lam) AS b "
@@ -121,9 +122,9 @@ def model_ctes(m: str, train: str, vocab_src: str = "edx") -> list[str]:
     ctes += [
         f"{m}_vocab AS (SELECT DISTINCT tok AS genre FROM (SELECT unnest({TOKENS.format(g='genres')}) AS tok "
         f"FROM {vocab_src}) WHERE tok <> '' AND tok <> '{NO_GENRE}')",
-        f"{m}_tok AS (SELECT lam, rk, r, unnest({TOKENS.format(g='genres')}) AS genre FROM {m}_t{last})",
-        f"{m}_mem AS (SELECT lam, rk, genre, any_value(r) AS r, count(*) AS c FROM {m}_tok "
-        f"GROUP BY lam, rk, genre)",
+        f"{m}_tok AS (SELECT lam, rid, r, unnest({TOKENS.format(g='genres')}) AS genre FROM {m}_t{last})",
+        f"{m}_mem AS (SELECT lam, rid, genre, any_value(r) AS r, count(*) AS c FROM {m}_tok "
+        f"GROUP BY lam, rid, genre)",
         f"{m}_gs AS (SELECT lam, genre, count(*) AS n, sum(r) AS s FROM {m}_mem WHERE c = 1 "
         f"GROUP BY lam, genre)",
         f"{m}_ge AS (SELECT l.lam, v.genre, coalesce(g.n, 0) AS n, "
@@ -151,12 +152,13 @@ def predict_ctes(m: str, test: str, out: str, intercept: str | None = None,
             parts.append(f"{acc} AS pred_m{k + 1}")
         extra = ", " + ", ".join(parts)
     return [
-        f"{out}_G AS (SELECT x.rk, ge.lam, sum(ge.b) AS G FROM "
-        f"(SELECT rk, unnest({TOKENS.format(g='genres')}) AS genre FROM {test}) x "
-        f"JOIN {m}_ge ge ON ge.genre = x.genre GROUP BY x.rk, ge.lam)",
+        f"{out}_n AS (SELECT *, row_number() OVER () AS rid FROM {test})",
+        f"{out}_G AS (SELECT x.rid, ge.lam, sum(ge.b) AS G FROM "
+        f"(SELECT rid, unnest({TOKENS.format(g='genres')}) AS genre FROM {out}_n) x "
+        f"JOIN {m}_ge ge ON ge.genre = x.genre GROUP BY x.rid, ge.lam)",
         f"{out} AS (SELECT s.rk, s.userId, s.movieId, s.rating, l.lam, {full} AS pred{extra} "
-        f"FROM {test} s CROSS JOIN {m}_lam l CROSS JOIN {m}_mu u {joins} "
-        f"LEFT JOIN {out}_G G ON G.rk = s.rk AND G.lam = l.lam)",
+        f"FROM {out}_n s CROSS JOIN {m}_lam l CROSS JOIN {m}_mu u {joins} "
+        f"LEFT JOIN {out}_G G ON G.rid = s.rid AND G.lam = l.lam)",
     ]
 
 
@@ -187,14 +189,18 @@ def with_(ctes: list[str], select: str) -> str:
 # ---- the queries -----------------------------------------------------------------------
 
 def _genre_cells(src: str, keep: str) -> str:
-    """One row per (row, vocabulary genre) with its token count; pivoted by the final SELECT."""
-    return (f"cells AS (SELECT {keep}, 'genres_' || regexp_replace(v.genre, '[^A-Za-z0-9]', '_', 'g') AS col, "
+    """One row per (row, vocabulary genre) with its token count; pivoted by the final SELECT.
+
+    ``rid`` numbers the input rows so equal keys on two rows stay two rows.
+    """
+    return (f"numbered AS (SELECT *, row_number() OVER () AS rid FROM {src}), "
+            f"cells AS (SELECT s.rid, {keep}, 'genres_' || regexp_replace(v.genre, '[^A-Za-z0-9]', '_', 'g') AS col, "
             f"CAST(len(list_filter({TOKENS.format(g='s.genres')}, lambda x: x = v.genre)) AS INTEGER) AS cnt "
-            f"FROM {src} s CROSS JOIN vocab v)")
+            f"FROM numbered s CROSS JOIN vocab v)")
 
 
 def _pivot(group_by: str) -> str:
-    return f"SELECT * FROM (PIVOT cells ON col USING first(cnt) GROUP BY {group_by})"
+    return f"SELECT * EXCLUDE (rid) FROM (PIVOT cells ON col USING first(cnt) GROUP BY rid, {group_by})"
 
 
 def _vocab(src: str) -> str:
@@ -223,13 +229,14 @@ def _corr_long(src: str, cols: list[str]) -> str:
 # rating + one indicator per edx vocabulary genre, unpivoted, paired on the row key.
 GENRE_CORR = (
     "gpos AS (SELECT genre, CAST(row_number() OVER (ORDER BY genre) AS INTEGER) AS pos FROM vocab), "
-    "gv AS (SELECT rk, 'rating' AS col, 0 AS pos, CAST(rating AS DOUBLE) AS x FROM edx_train UNION ALL "
-    "SELECT t.rk, 'genres_' || regexp_replace(v.genre, '[^A-Za-z0-9]', '_', 'g') AS col, v.pos, "
+    "gtr AS (SELECT *, row_number() OVER () AS rid FROM edx_train), "
+    "gv AS (SELECT rid, 'rating' AS col, 0 AS pos, CAST(rating AS DOUBLE) AS x FROM gtr UNION ALL "
+    "SELECT t.rid, 'genres_' || regexp_replace(v.genre, '[^A-Za-z0-9]', '_', 'g') AS col, v.pos, "
     f"CAST(len(list_filter({TOKENS.format(g='t.genres')}, lambda x: x = v.genre)) AS DOUBLE) AS x "
-    "FROM edx_train t CROSS JOIN gpos v), "
+    "FROM gtr t CROSS JOIN gpos v), "
     "gsd AS (SELECT col, stddev_pop(x) AS sd FROM gv GROUP BY col), "
     "gpair AS (SELECT a.col AS col_a, b.col AS col_b, a.pos AS ia, b.pos AS ib, covar_pop(a.x, b.x) AS cv "
-    "FROM gv a JOIN gv b ON a.rk = b.rk GROUP BY a.col, b.col, a.pos, b.pos), "
+    "FROM gv a JOIN gv b ON a.rid = b.rid GROUP BY a.col, b.col, a.pos, b.pos), "
     "gcm AS (SELECT p.col_a, p.col_b, p.ia, p.ib, CASE WHEN p.col_a = p.col_b THEN "
     "(CASE WHEN sa.sd > 0 THEN 1.0 END) WHEN sa.sd * sb.sd = 0 THEN NULL ELSE p.cv / (sa.sd * sb.sd) END AS r "
     "FROM gpair p JOIN gsd sa ON sa.col = p.col_a JOIN gsd sb ON sb.col = p.col_b)"

@@ -21,7 +21,7 @@ from ..operators.correlate import correlated_pairs, correlation_matrix
 from ..operators.effects import fit_effects, predict
 from ..operators.evaluate import (ablation, best_lambda, model_sequence, rmse, with_drop_pct)
 from ..operators.features import (explode_genres, genre_indicators, genre_vocabulary,
-                                  genre_vocabulary_df, head, regroup_first_sum)
+                                  genre_vocabulary_df, head, regroup_first_sum, with_row_id)
 from ..operators.joins import natural_anti_join
 from ..operators.split import seen_key_guard, split_share, stratified_split
 from ..session import checkpoint_dir, configure
@@ -78,8 +78,10 @@ def q_genre_indicators(spark, sf_dir):
 
 
 def q_regroup_first_sum(spark, sf_dir):
+    """The reference's explode/regroup recipe keyed by a surrogate row id."""
     ml = movielens(spark, sf_dir).select("rk", "userId", "movieId", "rating", "genres")
-    return rounded(regroup_first_sum(ml, "rk", genre_vocabulary(ml)))
+    out = regroup_first_sum(with_row_id(ml, "_row"), "_row", genre_vocabulary(ml))
+    return rounded(out.drop("_row"))
 
 
 def q_delimited_roundtrip(spark, sf_dir):
