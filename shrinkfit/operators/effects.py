@@ -240,14 +240,41 @@ def _genre_terms(model: BiasModel, df: DataFrame) -> DataFrame:
     return terms
 
 
+# Bound on genre-effect rows inlined as a literal map for per-row lookup.
+MAX_INLINE_GENRES = 10_000
+
+
+def _genre_map_terms(model: BiasModel) -> list:
+    """Per-row Σ_g u_g·count_g by folding the row's tokens over a literal map.
+
+    Needs no pass over the input (usable on a stream); the map is the genre
+    effect table, bounded by the vocabulary and checked here.
+    """
+    if model.genre_rows > MAX_INLINE_GENRES:
+        raise ValueError("genre effect table too large to inline")
+    rows = model.genres.collect()
+    out = []
+    for j in range(model.width):
+        m = F.create_map(*[x for r in rows for x in (F.lit(r["genre"]), F.lit(float(r[f"g{j}"])))]) \
+            if rows else F.create_map().cast("map<string,double>")
+        out.append(F.aggregate(genre_tokens(model.genres_col), F.lit(0.0), _adder(m)))
+    return out
+
+
+def _adder(m):
+    return lambda acc, t: acc + F.coalesce(F.element_at(m, t), F.lit(0.0))
+
+
 def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
-            cumulative: bool = False) -> DataFrame:
+            cumulative: bool = False, genre_terms: str = "join") -> DataFrame:
     """Add ``pred`` (one λ) or ``pred0…`` (several) to ``df``.
 
     A row whose key has no fitted effect gets a NULL prediction (strict,
     like the reference). ``intercept`` replaces ``mu`` (T12). With
     ``cumulative`` the columns ``pred_m1 … pred_m{k}`` hold the prediction
     of every prefix of the chain (``pred_g`` adds genres), all from one pass.
+    ``genre_terms="join"`` joins a per-genre-string table built from the
+    input's distinct lists; ``"map"`` looks tokens up per row (streams).
     """
     L = model.width
     mu = model.mu if intercept is None else float(intercept)
@@ -255,7 +282,9 @@ def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
     for e in model.effects:
         side = e.table.select(e.spec.key, *[F.col(f"b{j}").alias(f"_{e.spec.name}{j}") for j in range(L)])
         out = lookup_join(out, side, [e.spec.key], "left", small_rows=e.rows)
-    if model.genres is not None:
+    if model.genres is not None and genre_terms == "map":
+        out = out.withColumns({f"_G{j}": t for j, t in enumerate(_genre_map_terms(model))})
+    elif model.genres is not None:
         terms = _genre_terms(model, df)
         out = lookup_join(out, terms, [model.genres_col], "left")
         out = out.withColumns({f"_G{j}": F.coalesce(F.col(f"_G{j}"), F.lit(0.0)) for j in range(L)})
