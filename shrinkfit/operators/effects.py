@@ -317,3 +317,34 @@ def residuals(model: BiasModel, df: DataFrame, intercept: float | None = None) -
         raise ValueError("residuals are for a single λ")
     return predict(model, df, intercept).withColumns(
         {"_n": F.lit(1).cast("long"), "_s0": F.col(model.rating_col) - F.col("pred")}).drop("pred")
+
+
+def save_model(model: BiasModel, path: str) -> None:
+    """Persist a model as a directory of Parquet tables plus one JSON metadata row."""
+    import json
+
+    spark = (model.effects[0].table if model.effects else model.genres).sparkSession
+    meta = {"mu": model.mu, "lambdas": model.lambdas, "genres_col": model.genres_col,
+            "rating_col": model.rating_col, "chain": [[e.spec.name, e.spec.key] for e in model.effects],
+            "has_genres": model.genres is not None}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{path}/meta")
+    for i, e in enumerate(model.effects):
+        e.table.write.mode("overwrite").parquet(f"{path}/effect-{i}-{e.spec.name}")
+    if model.genres is not None:
+        model.genres.write.mode("overwrite").parquet(f"{path}/genres")
+
+
+def load_model(spark, path: str) -> BiasModel:
+    """Inverse of ``save_model``; table sizes are re-counted for the broadcast checks."""
+    import json
+
+    meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    model = BiasModel(meta["mu"], meta["lambdas"], genres_col=meta["genres_col"], rating_col=meta["rating_col"])
+    for i, (name, key) in enumerate(meta["chain"]):
+        t = spark.read.parquet(f"{path}/effect-{i}-{name}")
+        model.effects.append(FittedEffect(EffectSpec(name, key), t, t.count()))
+    if meta["has_genres"]:
+        model.genres = spark.read.parquet(f"{path}/genres")
+        model.genre_rows = model.genres.count()
+    return model

@@ -209,12 +209,14 @@ def guarded_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "rk",
                   keys: tuple[str, ...] = ("movieId", "userId"), name: str = "split") -> DataFrame:
     """Stratified split + seen-key guard, written once under the checkpoint folder.
 
+    Written partitioned by ``label`` so reading either side prunes to its files.
+
     The flagged split is persisted while the guard reads it three times
     (two key aggregates and the join back), then released.
     """
     split = stratified_split(df, p, seed, key, y, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return materialize(seen_key_guard(split, label, keys), name)
+        return materialize(seen_key_guard(split, label, keys), name, partition_by=[label])
     finally:
         split.unpersist()
 

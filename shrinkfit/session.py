@@ -43,18 +43,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     Cuts lineage (executor loss no longer replays the chain that built it),
     and the re-read relation has exact file sizes, column pruning and
-    filter pushdown.
+    filter pushdown. ``partition_by`` turns a later filter on those columns
+    into partition pruning (whole directories skipped).
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark)
     path = os.path.join(base, "shrinkfit", f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    out = spark.read.parquet(path)
+    if not partition_by:
+        return out
+    # Partition values come back as inferred types (a boolean as string): restore.
+    from pyspark.sql import functions as F
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,

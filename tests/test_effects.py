@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shrinkfit.operators import (DEFAULT_CHAIN, EffectSpec, best_lambda, fit_effects, lambda_grid,
-                                 model_sequence, predict, rmse)
+                                 load_model, model_sequence, predict, rmse, save_model)
 
 
 def _train(spark, n=3000, seed=5):
@@ -137,3 +137,14 @@ def test_null_rating_rejected(spark):
 def test_rmse_value(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0)], "pred double, rating double")
     assert rmse(df).first()["rmse"] == pytest.approx(math.sqrt(0.5))
+
+
+def test_save_load_roundtrip(spark, tmp_path):
+    tr = _train(spark, 800)
+    m = fit_effects(tr, [0.0, 3.0], name="sv")
+    save_model(m, str(tmp_path / "model"))
+    back = load_model(spark, str(tmp_path / "model"))
+    assert back.mu == m.mu and back.lambdas == m.lambdas
+    a = sorted(tuple(r) for r in predict(m, tr).select("rk", "pred0", "pred1").collect())
+    b = sorted(tuple(r) for r in predict(back, tr).select("rk", "pred0", "pred1").collect())
+    assert a == b
