@@ -64,22 +64,27 @@ def q_feature_table(spark, sf_dir):
     return rounded(experiment(spark, sf_dir).features)
 
 
+def _movielens(spark, sf_dir):
+    """The enriched ratings as already written by the session's experiment."""
+    return experiment(spark, sf_dir).features
+
+
 def q_genre_explode(spark, sf_dir):
-    return explode_genres(movielens(spark, sf_dir).select("rk", "movieId", "genres"))
+    return explode_genres(_movielens(spark, sf_dir).select("rk", "movieId", "genres"))
 
 
 def q_genre_vocabulary(spark, sf_dir):
-    return genre_vocabulary_df(movielens(spark, sf_dir))
+    return genre_vocabulary_df(_movielens(spark, sf_dir))
 
 
 def q_genre_indicators(spark, sf_dir):
-    ml = movielens(spark, sf_dir).select("rk", "genres")
+    ml = _movielens(spark, sf_dir).select("rk", "genres")
     return genre_indicators(ml, genre_vocabulary(ml))
 
 
 def q_regroup_first_sum(spark, sf_dir):
     """The reference's explode/regroup recipe keyed by a surrogate row id."""
-    ml = movielens(spark, sf_dir).select("rk", "userId", "movieId", "rating", "genres")
+    ml = _movielens(spark, sf_dir).select("rk", "userId", "movieId", "rating", "genres")
     out = regroup_first_sum(with_row_id(ml, "_row"), "_row", genre_vocabulary(ml))
     return rounded(out.drop("_row"))
 
