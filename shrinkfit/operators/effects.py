@@ -191,6 +191,9 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
     for i, spec in enumerate(chain):
         if i == row_steps and cell_keys:
             cur = to_cells(cur, cell_keys, 1 if shared else L, name)
+            for df in held:     # the written cells replace the row-level residual
+                df.unpersist()
+            held = []
         eff = fit_effect(cur, spec, lams, shared, name, durable=i < row_steps)
         # ``cur`` is now cached (the aggregate filled it): its parents can go.
         for df in held[:-1]:
@@ -265,8 +268,12 @@ def _adder(m):
     return lambda acc, t: acc + F.coalesce(F.element_at(m, t), F.lit(0.0))
 
 
+# Up to this many λ, the genre term is a per-row map lookup (no extra pass).
+MAP_TERMS_MAX_WIDTH = 4
+
+
 def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
-            cumulative: bool = False, genre_terms: str = "join") -> DataFrame:
+            cumulative: bool = False, genre_terms: str = "auto") -> DataFrame:
     """Add ``pred`` (one λ) or ``pred0…`` (several) to ``df``.
 
     A row whose key has no fitted effect gets a NULL prediction (strict,
@@ -274,9 +281,14 @@ def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
     ``cumulative`` the columns ``pred_m1 … pred_m{k}`` hold the prediction
     of every prefix of the chain (``pred_g`` adds genres), all from one pass.
     ``genre_terms="join"`` joins a per-genre-string table built from the
-    input's distinct lists; ``"map"`` looks tokens up per row (streams).
+    input's distinct lists (one extra pass, cheap per row for many λ);
+    ``"map"`` looks tokens up per row in the bounded genre-effect map (no
+    extra pass; streams); ``"auto"`` picks ``map`` for up to
+    ``MAP_TERMS_MAX_WIDTH`` λ values.
     """
     L = model.width
+    if genre_terms == "auto":
+        genre_terms = "map" if L <= MAP_TERMS_MAX_WIDTH and model.genre_rows <= MAX_INLINE_GENRES else "join"
     mu = model.mu if intercept is None else float(intercept)
     out = df
     for e in model.effects:

@@ -25,5 +25,5 @@ def test_map_and_join_genre_terms_agree(spark):
     tr = _train(spark, 800)
     model = fit_effects(tr, 0.0, name="gm")
     a = {r["rk"]: r["pred"] for r in predict(model, tr, genre_terms="map").collect()}
-    b = {r["rk"]: r["pred"] for r in predict(model, tr).collect()}
+    b = {r["rk"]: r["pred"] for r in predict(model, tr, genre_terms="join").collect()}
     assert a == pytest.approx(b, abs=1e-12)
