@@ -224,8 +224,8 @@ def _subtract(cur: DataFrame, eff: FittedEffect, lambdas: list[float], shared: b
     """Carry the residual past one effect: ``_s{j} -= _n · b{j}[key]``."""
     L = len(lambdas)
     key = eff.spec.key
-    side = eff.table.select(key, *[F.col(f"b{j}").alias(f"_b{j}") for j in range(L)])
-    out = lookup_join(cur, side, [key], "left", small_rows=eff.rows)
+    side = eff.table.select(key, "n", *[F.col(f"b{j}").alias(f"_b{j}") for j in range(L)])
+    out = lookup_join(cur, side, [key], "left", small_rows=eff.rows, weight_col="n").drop("n")
     src = (lambda j: "_s0") if shared else (lambda j: f"_s{j}")
     out = out.withColumns({f"_s{j}": F.col(src(j)) - F.col("_n") * F.col(f"_b{j}") for j in range(L)})
     return out.drop(*[f"_b{j}" for j in range(L)])
@@ -292,8 +292,9 @@ def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
     mu = model.mu if intercept is None else float(intercept)
     out = df
     for e in model.effects:
-        side = e.table.select(e.spec.key, *[F.col(f"b{j}").alias(f"_{e.spec.name}{j}") for j in range(L)])
-        out = lookup_join(out, side, [e.spec.key], "left", small_rows=e.rows)
+        side = e.table.select(e.spec.key, F.col("n").alias("_lk_n"),
+                              *[F.col(f"b{j}").alias(f"_{e.spec.name}{j}") for j in range(L)])
+        out = lookup_join(out, side, [e.spec.key], "left", small_rows=e.rows, weight_col="_lk_n").drop("_lk_n")
     if model.genres is not None and genre_terms == "map":
         out = out.withColumns({f"_G{j}": t for j, t in enumerate(_genre_map_terms(model))})
     elif model.genres is not None:

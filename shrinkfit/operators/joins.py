@@ -35,18 +35,43 @@ def can_broadcast(df: DataFrame, n_rows: int) -> bool:
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
-                small_rows: int | None = None, null_safe: bool = True) -> DataFrame:
+                small_rows: int | None = None, null_safe: bool = True,
+                weight_col: str | None = None) -> DataFrame:
     """``big ⋈ small`` on ``keys`` (null-safe by default, T1).
 
-    ``small`` is broadcast only if its counted size is under the bound; the
-    null-safe keys still plan as a hash join (Catalyst rewrites ``<=>``).
+    ``small`` is broadcast only if its counted size is under the bound. Past
+    it, if ``weight_col`` gives the number of ``big`` rows per key (effect
+    tables carry ``n``), keys holding more than a share of one shuffle
+    partition are *hot*: their rows join a broadcast of just the hot lookup
+    rows (at most total/threshold of them, counted) and only the remaining
+    rows go through the shuffle join, so no single task receives a hot key.
     """
     if small_rows is None:
         small_rows = small.count()
+    if can_broadcast(small, small_rows) or weight_col is None or how != "left":
+        return _join(big, small, keys, how, null_safe, F.broadcast if can_broadcast(small, small_rows) else None)
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    total = small.agg(F.sum(weight_col)).first()[0] or 0
+    threshold = max(1, total // max(1, 4 * parts))
+    hot = small.where(F.col(weight_col) > threshold)
+    hot_rows = hot.count()
+    if hot_rows == 0 or not can_broadcast(hot, hot_rows):
+        return _join(big, small, keys, how, null_safe, None)
+    marker = "_lk_hot"
+    values = [c for c in small.columns if c not in keys]
+    # One map-side pass attaches the hot keys' values (and a tag) to their rows.
+    tagged = _join(big, hot.withColumn(marker, F.lit(True)), keys, "left", null_safe, F.broadcast)
+    hot_part = tagged.where(F.col(marker)).drop(marker)
+    cold_part = _join(tagged.where(F.col(marker).isNull()).drop(marker, *values),
+                      small.where(F.col(weight_col) <= threshold), keys, "left", null_safe, None)
+    return hot_part.unionByName(cold_part)
+
+
+def _join(big: DataFrame, small: DataFrame, keys: list[str], how: str, null_safe: bool, hint) -> DataFrame:
     renamed = small
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"_lk_{k}")
-    side = F.broadcast(renamed) if can_broadcast(small, small_rows) else renamed
+    side = hint(renamed) if hint else renamed
     conds = [(big[k].eqNullSafe(side[f"_lk_{k}"]) if null_safe else big[k] == side[f"_lk_{k}"])
              for k in keys]
     cond = conds[0]

@@ -183,15 +183,16 @@ def seen_key_guard(df: DataFrame, label: str = "is_test",
     All keys are tested against the *initial* train side (T11); test rows
     that fail go to train (U1), marked in ``moved``. Per key: one aggregate
     (partial aggregation pre-combines a hot key map-side) written once as a
-    small table, then a lookup join back that is broadcast only if the
-    counted table is under the size bound.
+    small table with the row count per key, then a lookup join back: a
+    broadcast if the counted table is under the size bound, else a shuffle
+    join whose hot keys are split off to a broadcast (``lookup_join``).
     """
     out = df
     ok = F.lit(True)
     for k in keys:
-        seen = materialize(df.groupBy(k).agg((F.count_if(~F.col(label)) > 0).alias(f"_seen_{k}")),
-                           f"seen-{k}")
-        out = lookup_join(out, seen, [k], "left", small_rows=seen.count())
+        seen = materialize(df.groupBy(k).agg((F.count_if(~F.col(label)) > 0).alias(f"_seen_{k}"),
+                                             F.count(F.lit(1)).alias("_seen_w")), f"seen-{k}")
+        out = lookup_join(out, seen, [k], "left", small_rows=seen.count(), weight_col="_seen_w").drop("_seen_w")
         ok = ok & F.coalesce(F.col(f"_seen_{k}"), F.lit(False))
     cols = {label: F.col(label) & ok}
     if moved:
