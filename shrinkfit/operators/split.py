@@ -181,18 +181,30 @@ def seen_key_guard(df: DataFrame, label: str = "is_test",
     """Keep a test row only if every key also occurs on the train side (M2).
 
     All keys are tested against the *initial* train side (T11); test rows
-    that fail go to train (U1), marked in ``moved``. Per key: one aggregate
-    (partial aggregation pre-combines a hot key map-side) written once as a
-    small table with the row count per key, then a lookup join back: a
-    broadcast if the counted table is under the size bound, else a shuffle
-    join whose hot keys are split off to a broadcast (``lookup_join``).
+    that fail go to train (U1), marked in ``moved``. One aggregate over
+    ``GROUPING SETS ((key1), (key2), …)`` computes, per key value, whether it
+    has a train row and how many rows it has (partial aggregation
+    pre-combines a hot key map-side); it is written once, counted per key in
+    one job, and joined back per key: a broadcast if that key's table is
+    under the size bound, else a shuffle join whose hot keys are split off
+    to a broadcast (``lookup_join``).
     """
+    flags = [F.grouping(k).alias(f"_g_{k}") for k in keys]
+    seen_all = df.groupingSets([[k] for k in keys], *keys).agg(
+        (F.count_if(~F.col(label)) > 0).alias("_seen"), F.count(F.lit(1)).alias("_seen_w"), *flags)
+    seen_all = materialize(seen_all, "seen-keys")
+    sizes = {tuple(r[f"_g_{k}"] for k in keys): r["count"]
+             for r in seen_all.groupBy(*[f"_g_{k}" for k in keys]).count().collect()}
     out = df
     ok = F.lit(True)
     for k in keys:
-        seen = materialize(df.groupBy(k).agg((F.count_if(~F.col(label)) > 0).alias(f"_seen_{k}"),
-                                             F.count(F.lit(1)).alias("_seen_w")), f"seen-{k}")
-        out = lookup_join(out, seen, [k], "left", small_rows=seen.count(), weight_col="_seen_w").drop("_seen_w")
+        mask = tuple(0 if x == k else 1 for x in keys)
+        sel = F.lit(True)
+        for x, m in zip(keys, mask):
+            sel = sel & (F.col(f"_g_{x}") == m)
+        seen = seen_all.where(sel).select(k, F.col("_seen").alias(f"_seen_{k}"), "_seen_w")
+        out = lookup_join(out, seen, [k], "left", small_rows=sizes.get(mask, 0),
+                          weight_col="_seen_w").drop("_seen_w")
         ok = ok & F.coalesce(F.col(f"_seen_{k}"), F.lit(False))
     cols = {label: F.col(label) & ok}
     if moved:
