@@ -47,6 +47,12 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns(rating_date_parts("ts")).select(*FEATURE_COLS)
 
 
+def features_of(movielens_df: DataFrame) -> DataFrame:
+    """Feature table of any ``movielens``-shaped frame (e.g. read from ``::`` files)."""
+    return movielens_df.withColumn("release_year", release_year("title")) \
+        .withColumns(rating_date_parts("ts")).select(*FEATURE_COLS)
+
+
 @dataclass
 class Experiment:
     spark: SparkSession
@@ -57,6 +63,7 @@ class Experiment:
     lambdas: list[float] = field(default_factory=lambda_values)
     exclude_genres: tuple[str, ...] = ()
     grid_chunk: int = 41
+    source: DataFrame | None = None   # a movielens-shaped frame instead of ``sf_dir``
 
     def __post_init__(self):
         configure(self.spark)
@@ -64,7 +71,8 @@ class Experiment:
     # ---- data -------------------------------------------------------
     @cached_property
     def features(self) -> DataFrame:
-        return materialize(feature_table(self.spark, self.sf_dir), "features")
+        df = features_of(self.source) if self.source is not None else feature_table(self.spark, self.sf_dir)
+        return materialize(df, "features")
 
     @cached_property
     def holdout_split(self) -> DataFrame:
@@ -134,6 +142,12 @@ class Experiment:
 _CACHE: dict[tuple, Experiment] = {}
 
 
+def experiment_from_files(spark: SparkSession, ratings_path: str, movies_path: str, **params) -> Experiment:
+    """The workflow over the reference's ``::`` inputs."""
+    from ..sources.tables import movielens_from_files
+    return Experiment(spark, ratings_path, source=movielens_from_files(spark, ratings_path, movies_path), **params)
+
+
 def experiment(spark: SparkSession, sf_dir: str, **params) -> Experiment:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(sorted(params.items())))
     exp = _CACHE.get(key)

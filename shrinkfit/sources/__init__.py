@@ -1,9 +1,9 @@
 from .readers import (MOVIES_SCHEMA, RATINGS_SCHEMA, count_malformed, read_csv, read_delimited,
                       read_parquet, write_delimited, write_parquet)
-from .tables import NO_GENRE, enrich, movielens, movies_view, ratings_view
+from .tables import NO_GENRE, enrich, movielens, movielens_from_files, movies_view, ratings_view
 
 __all__ = [
     "MOVIES_SCHEMA", "RATINGS_SCHEMA", "NO_GENRE", "count_malformed", "enrich", "movielens",
-    "movies_view", "ratings_view", "read_csv", "read_delimited", "read_parquet", "write_delimited",
+    "movielens_from_files", "movies_view", "ratings_view", "read_csv", "read_delimited", "read_parquet", "write_delimited",
     "write_parquet",
 ]

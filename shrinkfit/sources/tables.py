@@ -83,3 +83,21 @@ def enrich(ratings: DataFrame, movies: DataFrame, key: str = "movieId") -> DataF
     otherwise a shuffle join with skew splitting.
     """
     return ratings.join(movies, on=key, how="left")
+
+
+def movielens_from_files(spark: SparkSession, ratings_path: str, movies_path: str,
+                         sep: str = "::") -> DataFrame:
+    """The reference's own inputs: ``ratings.dat`` ⋈ ``movies.dat``.
+
+    Same columns as ``movielens``: ``rk`` is ``userId-movieId-timestamp`` (one
+    rating per user, item and second), ``ts`` the epoch seconds.
+    """
+    from .readers import MOVIES_SCHEMA, RATINGS_SCHEMA, read_delimited
+
+    configure(spark)
+    ratings = spread(read_delimited(spark, ratings_path, RATINGS_SCHEMA, sep))
+    ratings = ratings.select(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("userId", "movieId", "timestamp")]).alias("rk"),
+        "userId", "movieId", "rating", F.col("timestamp").alias("ts"))
+    movies = read_delimited(spark, movies_path, MOVIES_SCHEMA, sep)
+    return enrich(ratings, movies)
