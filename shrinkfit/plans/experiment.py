@@ -62,7 +62,8 @@ class Experiment:
     test_p: float = 0.2
     lambdas: list[float] = field(default_factory=lambda_values)
     exclude_genres: tuple[str, ...] = ()
-    grid_chunk: int = 41
+    grid_chunk: int = 21          # 41 λ → two passes of ≤ 21 wide columns …
+    grid_parallel: int = 2        # … fitted concurrently
     source: DataFrame | None = None   # a movielens-shaped frame instead of ``sf_dir``
 
     def __post_init__(self):
@@ -120,7 +121,8 @@ class Experiment:
     @cached_property
     def grid(self) -> DataFrame:
         g = lambda_grid(self.edx_train, self.edx_test, self.lambdas, chunk=self.grid_chunk,
-                        vocabulary=self.vocabulary, exclude_genres=self.exclude_genres)
+                        parallel=self.grid_parallel, vocabulary=self.vocabulary,
+                        exclude_genres=self.exclude_genres)
         return materialize(g, "lambda-grid")
 
     @cached_property

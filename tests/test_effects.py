@@ -52,7 +52,7 @@ def test_grid_equals_single_fits(spark):
     te = _train(spark, 600, seed=9).join(tr.select("movieId").distinct(), "movieId", "left_semi") \
         .join(tr.select("userId").distinct(), "userId", "left_semi")
     lams = [0.0, 2.5, 7.75]
-    grid = {r["lambda"]: r["rmse"] for r in lambda_grid(tr, te, lams, chunk=2).collect()}
+    grid = {r["lambda"]: r["rmse"] for r in lambda_grid(tr, te, lams, chunk=2, parallel=2).collect()}
     for lam in lams:
         single = rmse(predict(fit_effects(tr, lam, name="s"), te)).first()["rmse"]
         assert grid[lam] == pytest.approx(single, abs=1e-12)
