@@ -354,8 +354,3 @@ def oracle_queries() -> dict[str, str]:
     q["correlated_pairs"] = with_(gc, f"SELECT col_a, col_b, {r6('r')} AS r FROM gcm "
                                       f"WHERE ia < ib AND abs(r) > {PAIR_THRESHOLD}")
     return q
-
-
-def _sanitize(g: str) -> str:
-    import re
-    return re.sub(r"[^A-Za-z0-9]", "_", g)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import release_year
 from ..operators.correlate import correlated_pairs, correlation_matrix
-from ..operators.effects import fit_effects, predict
+from ..operators.effects import predict
 from ..operators.evaluate import (ablation, best_lambda, model_sequence, rmse, with_drop_pct)
 from ..operators.features import (explode_genres, genre_indicators, genre_vocabulary,
                                   genre_vocabulary_df, head, regroup_first_sum, with_row_id)
