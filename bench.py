@@ -2,7 +2,7 @@
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
-Queries run in pipeline order in one session (later steps reuse the
+Queries run in workflow order in one session (later steps reuse the
 materialised splits, as a user session would); each timing covers its own
 work only and ends with a full action (the ``noop`` sink: every row is
 computed, none is shipped to Python).
@@ -46,7 +46,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - t0, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
-        "metric": "headline_pipeline_total",
+        "metric": "headline_total",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
