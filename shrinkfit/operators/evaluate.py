@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .effects import BiasModel, EffectSpec, fit_effect, fit_effects, predict, residuals
+from .effects import BiasModel, EffectSpec, fit_effects, predict, residuals
 from .joins import lookup_join
 
 
@@ -68,13 +68,33 @@ def ablation(model: BiasModel, train: DataFrame, test: DataFrame, candidates: li
              base_steps: int = 3, name: str = "ablation") -> DataFrame:
     """Add each candidate effect *alone* on top of the first ``base_steps`` (M7).
 
-    The base residual on train is computed once; each candidate is one
-    grouped aggregate over it; the test side is scored for the base and
-    every candidate in a single pass.
+    All candidate effects come from ONE pass over the base residual on train:
+    a ``GROUPING SETS ((key1), (key2), …)`` aggregate (partial aggregation,
+    tiny output). The test side is then scored for the base and every
+    candidate in a single pass.
     """
+    from pyspark import StorageLevel
+
+    from .effects import FittedEffect, _shrink
+
     base = model.prefix(base_steps)
     resid = residuals(base, train)
-    fitted = [fit_effect(resid, c, [0.0], shared=True, name=name) for c in candidates]
+    keys = [c.key for c in candidates]
+    if len(set(keys)) != len(keys):
+        raise ValueError("candidate keys must be distinct")
+    sets = resid.groupingSets([[k] for k in keys], *keys).agg(
+        F.sum("_n").alias("n"), F.sum("_s0").alias("s"), *[F.grouping(k).alias(f"_g_{k}") for k in keys])
+    sets = sets.persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = {tuple(r[f"_g_{k}"] for k in keys): r["count"]
+             for r in sets.groupBy(*[f"_g_{k}" for k in keys]).count().collect()}
+    fitted = []
+    for c in candidates:
+        mask = tuple(0 if k == c.key else 1 for k in keys)
+        sel = F.lit(True)
+        for k, m in zip(keys, mask):
+            sel = sel & (F.col(f"_g_{k}") == m)
+        table = sets.where(sel).select(c.key, "n", _shrink("s", "n", 0.0).alias("b0"))
+        fitted.append(FittedEffect(c, table, sizes.get(mask, 0)))
     scored = predict(base, test)
     for f in fitted:
         side = f.table.select(f.spec.key, F.col("b0").alias(f"_c_{f.spec.name}"))
