@@ -265,9 +265,7 @@ def oracle_queries() -> dict[str, str]:
                                   f"ORDER BY rk LIMIT {HEAD_ROWS}")
 
     q["stratified_split"] = with_(base + [FEAT] + split_ctes("sp", "feat", 0.1),
-                                  "SELECT rk, rating, stratum, is_test0 AS is_test FROM sp_f")
-    q["stratified_split"] = q["stratified_split"].replace(
-        "SELECT rk, rating,", f"SELECT rk, {r6('rating')} AS rating,")
+                                  f"SELECT rk, {r6('rating')} AS rating, stratum, is_test0 AS is_test FROM sp_f")
     guard = base + [FEAT] + split_ctes("sg", "feat", GUARD_P)
     q["guarded_train_test"] = with_(guard, "SELECT rk, is_test, moved_to_train FROM sg_g")
     q["seen_key_semi"] = with_(guard, f"SELECT rk, userId, movieId, {r6('rating')} AS rating FROM sg_g WHERE is_test")
