@@ -148,3 +148,21 @@ def test_save_load_roundtrip(spark, tmp_path):
     a = sorted(tuple(r) for r in predict(m, tr).select("rk", "pred0", "pred1").collect())
     b = sorted(tuple(r) for r in predict(back, tr).select("rk", "pred0", "pred1").collect())
     assert a == b
+
+
+def test_ablation_equals_separate_candidate_fits(spark):
+    from shrinkfit.operators import ablation, residuals
+    from shrinkfit.operators.effects import fit_effect
+    tr = _train(spark, 1500).withColumn("rating_month", (F.col("rating_week_of_year") % 12) + 1)
+    te = tr.limit(400)
+    m = fit_effects(tr, 0.0, name="ab")
+    cands = [EffectSpec("b_rat_y", "rating_year"), EffectSpec("b_rat_m", "rating_month")]
+    got = {r["candidate"]: r["rmse"] for r in ablation(m, tr, te, cands).collect()}
+    resid = residuals(m.prefix(3), tr)
+    base = predict(m.prefix(3), te)
+    for c in cands:
+        f = fit_effect(resid, c, [0.0], shared=True, name="ab-one")
+        side = f.table.select(c.key, F.col("b0").alias("_c"))
+        want = base.join(side, c.key, "left").select(
+            F.sqrt(F.avg(F.pow(F.col("pred") + F.col("_c") - F.col("rating"), 2)))).first()[0]
+        assert got[c.key] == pytest.approx(want, abs=1e-12)

@@ -91,3 +91,10 @@ def test_split_share(spark):
     df = spark.createDataFrame([(True,), (False,), (False,), (False,)], "is_test boolean")
     r = split_share(df).first()
     assert (r["n_total"], r["n_test"], r["n_train"], r["test_pct"]) == (4, 1, 3, 25.0)
+
+
+def test_guard_single_key(spark):
+    df = spark.createDataFrame([("a", 1, 10, True), ("b", 2, 10, False), ("c", 3, 20, True)],
+                               "rk string, userId long, movieId long, is_test boolean")
+    out = {r["rk"]: r["is_test"] for r in seen_key_guard(df, keys=("movieId",)).collect()}
+    assert out == {"a": True, "b": False, "c": False}
