@@ -52,6 +52,10 @@ def main() -> None:
     facts("Reading one side of a written, guarded split", e.edx_train.select("rk", "userId", "rating"))
     facts("Exact stratified split (histogram-located boundary bucket)",
           stratified_split(e.features.select("rk", "rating"), 0.1, 1))
+    flagged = e.edx_split
+    facts("Seen-key guard: one GROUPING SETS aggregate for both keys",
+          flagged.groupingSets([["movieId"], ["userId"]], "movieId", "userId").agg(
+              (F.count_if(~F.col("is_test")) > 0).alias("_seen"), F.count(F.lit(1)).alias("_seen_w")))
     cur = e.edx_train.select("movieId", "userId", "rating").withColumns(
         {"_n": F.lit(1).cast("long"), "_s0": F.col("rating") - F.lit(3.0)})
     eff = fit_effect(cur, e.model0.effects[0].spec, [0.0], True, "plans")
