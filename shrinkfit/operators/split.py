@@ -23,6 +23,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pyspark import StorageLevel
 
@@ -167,7 +168,12 @@ def stratified_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "r
     flagged = base.withColumn(label, decided)
     settled = flagged.where(F.col(label).isNotNull())
     edge = flagged.where(F.col(label).isNull())
-    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_h", key))
+    # Ties on (hash, key) only arise if the key is not unique: break them on the
+    # remaining atomic columns so the result is the same on every run.
+    atomic = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    extra = [f.name for f in df.schema.fields
+             if f.name not in (key, label) and isinstance(f.dataType, atomic)]
+    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_h", key, *extra))
     edge = edge.withColumn(label, rank <= need_col)
     out = settled.unionByName(edge)
     drop = ["_h", "_b"] + ([] if keep_stratum else ["_stratum"])
