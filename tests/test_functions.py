@@ -91,3 +91,11 @@ def test_genre_count_expression(spark):
 def test_lambda_values():
     lams = lambda_values()
     assert len(lams) == 41 and lams[0] == 0.0 and lams[-1] == 10.0 and lams[1] == 0.25
+
+
+def test_select_prefix_and_row_ids(spark):
+    from shrinkfit.operators.features import select_prefix, with_row_id
+    df = spark.createDataFrame([(5.0, 1, 0, "x")] * 3, "rating double, genres_a int, genres_b int, title string")
+    assert select_prefix(df, "genres_", also=["rating"]).columns == ["rating", "genres_a", "genres_b"]
+    ids = [r["rowID"] for r in with_row_id(df.repartition(2)).collect()]
+    assert len(set(ids)) == 3     # identical rows still get distinct ids
