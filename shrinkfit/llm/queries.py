@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship, table
+from .chat import chat_query
 from .exact import EXACT_SQL, exact_query
+from .langid import language_query
 from .mix import MIX_SQL, mix_query
 from .pack import pack
 from .tokenfile import token_files_query
+from .topk import TOP_K_SQL, top_k_query
 from .warc import warc_query
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +30,9 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_top_k": over("embeddings", top_k_query),
+    "op2_language_id": over("documents", language_query),
+    "op3_chat_format": over("conversations", chat_query),
     "op6_token_files": over("documents", token_files_query),
     "op7_exact_dedup": over("documents", exact_query),
     "op8_source_mix": over("documents", mix_query),
@@ -35,6 +41,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_top_k": TOP_K_SQL,
     "op7_exact_dedup": EXACT_SQL,
     "op8_source_mix": MIX_SQL,
 }
