@@ -83,6 +83,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         start = stop
 
 
+def fresh(texts: pa.Array) -> pa.Array:
+    """The texts as large strings in buffers of their own, null as empty; Arrow's casts and kernels go wrong on some slices."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
+
+
 def byte_lengths(array: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, offsets_of
+from .common import byte_lengths, fresh, offsets_of
 
 FEATURES = 4096
 UNKNOWN = "und"
@@ -55,7 +55,7 @@ def pieces(texts: pa.Array):
 
 def counts(texts: pa.Array) -> np.ndarray:
     """[rows, FEATURES] counts of hashed byte 3-grams."""
-    texts = pa.concat_arrays([pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))])
+    texts = pc.utf8_lower(fresh(texts))
     offs = offsets_of(texts)
     n = len(texts)
     if offs[-1] - offs[0] < 3:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ship, table
 from .chat import chat_query
 from .exact import EXACT_SQL, exact_query
+from .forest import near_query
 from .langid import language_query
 from .mix import MIX_SQL, mix_query
 from .pack import pack
+from .suffix import passages_query
 from .tokenfile import token_files_query
 from .topk import TOP_K_SQL, top_k_query
 from .warc import warc_query
@@ -33,6 +35,8 @@ QUERIES: dict[str, Query] = {
     "op1_top_k": over("embeddings", top_k_query),
     "op2_language_id": over("documents", language_query),
     "op3_chat_format": over("conversations", chat_query),
+    "op4_repeated_passages": over("documents", passages_query),
+    "op5_near_dedup": over("documents", near_query),
     "op6_token_files": over("documents", token_files_query),
     "op7_exact_dedup": over("documents", exact_query),
     "op8_source_mix": over("documents", mix_query),

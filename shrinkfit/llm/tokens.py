@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import fresh, offsets_of
+
 #: The word pattern of byte-level BPE, and the byte ranges that it shows as they are.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHOWN = [(33, 126), (161, 172), (174, 255)]
@@ -70,7 +72,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): ids[offsets[i]:offsets[i + 1]] are row i's, with ``end`` after them if given. Null is empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = fresh(texts)
         if not self.plain:
             found = [np.asarray(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             lens = np.array([len(x) for x in found], dtype=np.int64)
@@ -92,7 +94,7 @@ class Encoder:
         odd = pc.match_substring_regex(texts, f" {_WHITE}|{_WHITE} ").to_numpy(zero_copy_only=False).astype(bool)
         plain = np.flatnonzero(~odd)
         split = pc.split_pattern(texts.take(pa.array(plain)), " ")
-        offs = offsets_list(split)
+        offs = offsets_of(split)
         values = split.values.slice(offs[0], offs[-1] - offs[0])
         offs = offs - offs[0]
         coded = values.dictionary_encode()
@@ -151,9 +153,3 @@ class Encoder:
                 self.known, self.flat, self.at = known, flat, at
         index = found.to_numpy(zero_copy_only=False).astype(np.int32)
         return flat, at[:-1][index], np.diff(at)[index]
-
-
-def offsets_list(split: pa.Array) -> np.ndarray:
-    from .common import offsets_of
-
-    return offsets_of(split)
