@@ -55,7 +55,8 @@ def pieces(texts: pa.Array):
 
 def counts(texts: pa.Array) -> np.ndarray:
     """[rows, FEATURES] counts of hashed byte 3-grams."""
-    texts = pc.utf8_lower(fresh(texts))
+    edge = pa.scalar(" ", pa.large_string())
+    texts = pc.binary_join_element_wise(edge, pc.utf8_lower(fresh(texts)), edge, pa.scalar("", pa.large_string()))
     offs = offsets_of(texts)
     n = len(texts)
     if offs[-1] - offs[0] < 3:
@@ -105,7 +106,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+def cluster(x: np.ndarray, k: int, rounds: int = 10, least_share: float = 0.05) -> np.ndarray:
     """Spherical k-means; starts from the first row and the rows farthest from what is chosen."""
     chosen = [0]
     near = x @ x[0]
@@ -122,10 +123,12 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
         np.add.at(sums, own, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
-    return c
+    # Clusters of a few rows are mislabelled or odd texts; farthest-first starts find those first.
+    share = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c)) / len(x)
+    return c[(share >= least_share) | (share == share.max())]
 
 
-def fit(train: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", clusters: int = 4, per_language: int = 1500, slack: float = 0.5) -> Model:
+def fit(train: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", clusters: int = 4, per_language: int = 1500, slack: float = 0.4) -> Model:
     """``train``: labelled rows; those with a null label, or without a letter, are left out."""
     spark = train.sparkSession
     rows = train.select(F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
