@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import gc
 import json
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ def encoder(path: str) -> "Encoder":
 
 
 class Encoder:
-    def __init__(self, path: str, cached: int = 1_500_000):
+    def __init__(self, path: str, cached: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,7 +64,7 @@ class Encoder:
         self.table[_GAP[0]] = ord(_GAP_CHAR)
         #: At most ``cached`` pieces are kept, first come (the frequent ones): texts, and where their ids stand.
         self.cached = cached
-        self.known = pa.array([], pa.large_string())
+        self.known: dict[str, int] = {}
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int32)
 
     def vocab_size(self) -> int:
@@ -128,9 +128,11 @@ class Encoder:
 
     def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, and for each chunk where its own begin and how many they are."""
-        found = pc.index_in(chunks, value_set=self.known)
-        new = chunks.filter(pc.is_null(found)).unique()
-        findall, texts = self.words.findall, new.to_pylist()
+        names = chunks.to_pylist()
+        index = np.fromiter(map(self.known.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        # New ones, each once: the same text may be a text's first piece and a piece of one cut as a whole.
+        texts = list(dict.fromkeys(names[i] for i in np.flatnonzero(index < 0).tolist()))
+        findall = self.words.findall
         cut = [(x,) if x.isalpha() or x[1:].isalpha() and x[0] == " " else findall(x) for x in texts]
         words = list({w for x in cut for w in x})
         flat, at = self.flat, self.at
@@ -146,10 +148,10 @@ class Encoder:
             flat = np.concatenate([flat, np.fromiter(chain.from_iterable(got), dtype=np.uint32)])
             lens = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
             at = np.concatenate([at, (at[-1] + np.cumsum(lens)).astype(np.int32)])
-        known = pa.concat_arrays([self.known, new])
-        if texts:
-            found = pc.index_in(chunks, value_set=known)
-            if len(known) <= self.cached:
-                self.known, self.flat, self.at = known, flat, at
-        index = found.to_numpy(zero_copy_only=False).astype(np.int32)
+            new = dict(zip(texts, range(len(self.at) - 1, len(at) - 1)))
+            for i in np.flatnonzero(index < 0).tolist():
+                index[i] = new[names[i]]
+            if len(self.known) + len(new) <= self.cached:
+                self.known.update(new)
+                self.flat, self.at = flat, at
         return flat, at[:-1][index], np.diff(at)[index]
