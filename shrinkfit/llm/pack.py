@@ -79,6 +79,8 @@ def ranked(pieces: DataFrame, parts: int) -> tuple[DataFrame, dict[int, int]]:
             length, seen = lens[-1], local[-1] + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lens), part), pa.int64()), pa.array(local, pa.int64())], [*batch.schema.names, "part", "local"])
 
+    # Written first: the range sort reads its input twice, once for a sample of the keys.
+    pieces = materialize(pieces, "pack-pieces")
     local = materialize(pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(number, f"{PIECES}, part long, local long"), "pack-ranked")
     # A row per partition, and one more for each length that begins inside one.
     counts = sorted(local.groupBy("part", "length").agg(F.count("*").alias("n")).collect(), key=lambda r: (r.length, r.part))
