@@ -1,92 +1,59 @@
 """Pearson correlation matrix in long form and threshold pairs.
 
-Two passes, both plain partial/final aggregates (no sort, no shuffle of
-rows): (1) count, mean, min, max per column; (2) sums of products of the
-*centred* columns for every pair. Centring on the exact means keeps the
-products small (no catastrophic cancellation for ids or epoch seconds), and
-plain ``sum`` aggregates stay cheap for a wide set (k(k+1)/2 sums) where
-hundreds of ``covar_pop`` buffers would not.
-
-For wide sets (more than ``WIDE`` columns) the second pass is MLlib's
-``Correlation`` instead: the same mean-centred Gramian, accumulated as one
-packed array per partition with ``treeAggregate``, so the plan does not
-grow with k².
-
-R semantics: a constant column (min = max) or any NULL gives NA (T4) — here
-NULL; nothing divides by zero under ANSI mode.
+Two passes, no sort and no shuffle of rows: (1) count, mean, min, max per
+column; (2) MLlib's Gramian of the *centred* columns, one packed k×k array per
+partition added up by ``treeAggregate``, so the plan doesn't grow with k².
+Centring on the exact means keeps the products small (no catastrophic
+cancellation for ids or epoch seconds). There is one path for any number of
+columns; the k×k result is what reaches the driver.
+
+Equal rows may come once with a ``weight`` (their number): columns that
+follow from a few keys are aggregated to those keys first, and the k² sums
+run over the small table of cells.
+
+R semantics: a constant column (min = max), any NULL or any NaN gives NA
+(T4) — here NULL, on the diagonal too; nothing divides by zero under ANSI mode.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-WIDE = 8
-
-
-def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: list[str], weight: str | None = None) -> DataFrame:
     """(col_a, col_b, r) for every ordered pair, diagonal included."""
     x = {c: F.col(c).cast("double") for c in cols}
-    first = df.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
-                   *[F.avg(x[c]).alias(f"m_{i}") for i, c in enumerate(cols)],
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    first = df.agg(F.sum(w).alias("n"),
+                   *[F.count_if(x[c].isNull() | F.isnan(x[c])).alias(f"u_{i}") for i, c in enumerate(cols)],
+                   *[F.sum(x[c] * w).alias(f"m_{i}") for i, c in enumerate(cols)],
                    *[(F.min(x[c]) == F.max(x[c])).alias(f"k_{i}") for i, c in enumerate(cols)]).first()
-    n = first["n"]
-    usable = [n > 0 and first[f"n_{i}"] == n and not first[f"k_{i}"] for i in range(len(cols))]
-    if len(cols) > WIDE:
-        return _wide_matrix(df, cols, usable)
-    centred = {c: x[c] - F.lit(first[f"m_{i}"]) for i, c in enumerate(cols) if usable[i]}
-    sums = []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            if usable[i] and usable[j]:
-                sums.append(F.sum(centred[a] * centred[cols[j]]).alias(f"s_{i}_{j}"))
-    wide = df.agg(*sums) if sums else df.agg(F.count(F.lit(1)).alias("_n"))
-    entries = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            if not (usable[i] and usable[j]):
-                r = F.lit(None).cast("double")
-            elif i == j:
-                r = F.lit(1.0)
-            else:
-                r = F.col(f"s_{lo}_{hi}") / F.sqrt(F.col(f"s_{lo}_{lo}") * F.col(f"s_{hi}_{hi}"))
-            entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
-    return wide.select(F.inline(F.array(*entries)))
+    n = first["n"] or 0
+    usable = [n > 0 and not first[f"u_{i}"] and not first[f"k_{i}"] for i in range(len(cols))]
+    keep = [i for i in range(len(cols)) if usable[i]]
+    r: dict[tuple[int, int], float] = {}
+    if len(keep) > 1:
+        share = F.sqrt(w)
+        centred = df.select(*[((x[cols[i]] - F.lit(first[f"m_{i}"] / n)) * share).alias(f"c{i}") for i in keep])
+        vectors = VectorAssembler(inputCols=centred.columns, outputCol="v").transform(centred).select("v")
+        gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
+        for p, i in enumerate(keep):
+            for q, j in enumerate(keep):
+                # Two roots: the product of two tiny sums would underflow.
+                r[i, j] = 1.0 if i == j else float(gram[p, q] / (gram[p, p] ** 0.5 * gram[q, q] ** 0.5))
+    elif keep:
+        r[keep[0], keep[0]] = 1.0
+    rows = [(a, b, r.get((i, j))) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")
 
 
-def correlated_pairs(df: DataFrame, cols: list[str], threshold: float = 0.3) -> DataFrame:
+def correlated_pairs(df: DataFrame, cols: list[str], threshold: float = 0.3, weight: str | None = None) -> DataFrame:
     """Unordered pairs (in ``cols`` order) with ``|r| > threshold``."""
     order = {c: i for i, c in enumerate(cols)}
     pos = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(order[c]))])
-    m = correlation_matrix(df, cols)
+    m = correlation_matrix(df, cols, weight)
     return m.where((pos[F.col("col_a")] < pos[F.col("col_b")]) & (F.abs("r") > threshold))
-
-
-def _wide_matrix(df: DataFrame, cols: list[str], usable: list[bool]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    keep = [c for c, u in zip(cols, usable) if u]
-    values: dict[tuple[str, str], float | None] = {}
-    if len(keep) > 1:
-        vec = VectorAssembler(inputCols=keep, outputCol="_v", handleInvalid="keep").transform(
-            df.select(*[F.col(c).cast("double").alias(c) for c in keep]))
-        mat = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-        for i, a in enumerate(keep):
-            for j, b in enumerate(keep):
-                v = float(mat[i][j])
-                values[(a, b)] = None if v != v else v
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if not (usable[i] and usable[j]):
-                r = None
-            elif i == j:
-                r = 1.0
-            else:
-                r = values.get((a, b))
-            rows.append((a, b, r))
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")

@@ -121,6 +121,8 @@ def lambda_grid(train: DataFrame, test: DataFrame, lambdas: list[float], chunk:
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    from pyspark import inheritable_thread_target
+
     def one(start: int) -> DataFrame:
         lams = lambdas[start:start + chunk]
         model = fit_effects(train, lams, name=f"{name}{start}", **fit_kw)
@@ -135,7 +137,8 @@ def lambda_grid(train: DataFrame, test: DataFrame, lambdas: list[float], chunk:
     starts = list(range(0, len(lambdas), chunk))
     if parallel > 1 and len(starts) > 1:
         with ThreadPoolExecutor(min(parallel, len(starts))) as pool:
-            parts = list(pool.map(one, starts))
+            # Job groups and local properties of this thread hold in the pool's threads too.
+            parts = list(pool.map(inheritable_thread_target(train.sparkSession)(one), starts))
     else:
         parts = [one(s) for s in starts]
     out = parts[0]

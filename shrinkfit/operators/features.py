@@ -9,16 +9,14 @@ explode-and-regroup form for parity checks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (genre_count, genre_tokens, indicator_columns, rating_date_parts,
                                  release_year)
+from ..session import materialize
 from ..sources.tables import NO_GENRE
 
-# Bound on the vocabulary we accept before making one column per genre.
-MAX_VOCABULARY = 10_000
-
 
 def add_features(df: DataFrame, title_col: str = "title", ts_col: str = "ts") -> DataFrame:
     """Append release_year and the four date parts (P3/P4); narrow, no shuffle."""
@@ -46,12 +44,8 @@ def genre_vocabulary_df(df: DataFrame, genres_col: str = "genres") -> DataFrame:
 
 
 def genre_vocabulary(df: DataFrame, genres_col: str = "genres") -> list[str]:
-    """Sorted vocabulary on the driver (bounded by MAX_VOCABULARY, checked)."""
-    rows = (genre_vocabulary_df(df, genres_col).select("genre").orderBy("genre")
-            .limit(MAX_VOCABULARY + 1).collect())
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"genre vocabulary exceeds {MAX_VOCABULARY} tokens")
-    vocab = [r["genre"] for r in rows]
+    """Sorted vocabulary on the driver: one column will be made for each token."""
+    vocab = [r["genre"] for r in genre_vocabulary_df(df, genres_col).select("genre").orderBy("genre").collect()]
     indicator_columns(vocab)  # fails early on column-name collisions (T9)
     return vocab
 
@@ -90,6 +84,24 @@ def with_row_id(df: DataFrame, name: str = "rowID") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def dense_row_id(df: DataFrame, order_by: list[str], name: str = "rowID") -> DataFrame:
+    """Row numbers 1..n in a given order (P9), without a window over all rows.
+
+    A range sort deals the rows; each partition numbers its own, and the
+    partitions' counts (a row each) give where it starts.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(parts, *order_by).withColumn("_part", F.spark_partition_id()), "row-id")
+    counts = dealt.groupBy("_part").count().collect()
+    starts, before = [], 0
+    for r in sorted(counts, key=lambda r: r["_part"]):
+        starts.append((r["_part"], before))
+        before += r["count"]
+    base = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part int, _before long")
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by))
+    return dealt.withColumn("_local", local).join(F.broadcast(base), "_part").withColumn(name, F.col("_before") + F.col("_local")).select(*df.columns, name)
+
+
 def select_prefix(df: DataFrame, prefix: str, also: list[str] | None = None) -> DataFrame:
     """``select(also…, starts_with(prefix))``."""
     cols = list(also or []) + [c for c in df.columns if c.startswith(prefix)]

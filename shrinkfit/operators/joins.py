@@ -99,3 +99,16 @@ def natural_anti_join(left: DataFrame, right: DataFrame) -> DataFrame:
     for c in common[1:]:
         cond = cond & left[c].eqNullSafe(r[f"_na_{c}"])
     return left.join(r, cond, "left_anti")
+
+
+def semi_join_keys(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose value of every key occurs in ``seen`` (J3); NULL matches NULL, as in the reference.
+
+    Each key's values are counted once (partial sums), so the lookup joins know
+    their size and, past the broadcast bound, their hot values.
+    """
+    out = df
+    for k in keys:
+        values = seen.groupBy(k).agg(F.count(F.lit(1)).alias("_w")).withColumn("_hit", F.lit(True))
+        out = lookup_join(out, values, [k], "left", weight_col="_w").where("_hit").drop("_hit", "_w")
+    return out

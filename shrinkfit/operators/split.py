@@ -33,60 +33,43 @@ from .joins import lookup_join
 DEFAULT_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-def value_histogram(df: DataFrame, col: str = "rating", limit: int = 100_000) -> list[tuple] | None:
-    """Sorted ``(value, count)`` of ``col`` if it has at most ``limit`` distinct values.
-
-    A ratings scale has a handful of levels, so this is a tiny, partially
-    aggregated result; ``None`` means "too many values, stay distributed".
-    """
-    rows = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-            .limit(limit + 1).collect())
-    if len(rows) > limit:
-        return None
-    return sorted((float(r[0]), int(r[1])) for r in rows)
-
-
-def percentiles_from_histogram(hist: list[tuple], probs: tuple[float, ...]) -> list[float]:
-    """Type-7 quantiles from a value histogram (same arithmetic as Spark's ``percentile``)."""
-    total = sum(c for _, c in hist)
-    if total == 0:
-        raise ValueError("no non-NULL values to cut into strata")
-    cum, acc = [], 0
-    for _, c in hist:
-        acc += c
-        cum.append(acc)
-
-    def at(k: int) -> float:
-        for (v, _), cu in zip(hist, cum):
-            if cu > k:
-                return v
-        return hist[-1][0]
-
-    out = []
-    for p in probs:
-        pos = (total - 1) * p
-        lo, hi = math.floor(pos), math.ceil(pos)
-        a, b = at(lo), at(hi)
-        out.append(a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b)
-    return out
-
-
 def quantile_breaks(df: DataFrame, col: str = "rating",
                     probs: tuple[float, ...] = DEFAULT_PROBS) -> list[float]:
-    """Type-7 quantiles (linear interpolation) of ``col``.
+    """Type-7 quantiles (linear interpolation) of ``col`` (A13), exact for any number of values.
 
-    From the value histogram when the scale is small; otherwise Spark's exact
-    ``percentile`` over the ``(value, count)`` histogram, counts as frequencies.
+    The value histogram is range-sorted and written; its partitions' row
+    counts (one number each) say where an order statistic lies, and a running
+    count inside that partition finds it. NULLs raise, as R's ``quantile`` does.
     """
-    hist = value_histogram(df, col)
-    if hist is not None:
-        return percentiles_from_histogram(hist, probs)
-    counted = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    row = counted.agg(F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]),
-                                   F.col("_n")).alias("q")).first()
-    if row is None or row["q"] is None:
-        raise ValueError(f"no non-NULL values in {col!r} to cut into strata")
-    return [float(x) for x in row["q"]]
+    rows, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col(col).isNull())).first()
+    if nulls:
+        raise ValueError(f"{nulls} NULL values in {col!r}")
+    if not rows:
+        raise ValueError(f"no values in {col!r} to cut into strata")
+    hist = df.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hist = materialize(hist.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "value-histogram")
+    before, starts = 0, {}
+    for r in sorted(hist.groupBy("part").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["part"]):
+        starts[r["part"]] = (before, before + r["n"])
+        before += r["n"]
+    at = [(rows - 1) * p for p in probs]
+    wanted = {k for x in at for k in (math.floor(x), math.ceil(x))}
+    picks = [(part, k, k - lo) for k in wanted for part, (lo, hi) in starts.items() if lo <= k < hi]
+    running = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = hist.where(F.col("part").isin([part for part, _, _ in picks])).withColumn("upto", F.sum("n").over(running))
+    hit = F.lit(False)
+    for part, _, local in picks:
+        hit = hit | ((F.col("part") == part) & (F.col("upto") > local) & (F.col("upto") - F.col("n") <= local))
+    found = cum.where(hit).collect()   # at most two values for each probability
+    value = {k: next(r["v"] for r in found if r["part"] == part and r["upto"] - r["n"] <= local < r["upto"])
+             for part, k, local in picks}
+    out = []
+    for x in at:
+        lo, hi = math.floor(x), math.ceil(x)
+        a, b = value[lo], value[hi]
+        out.append(a if lo == hi or a == b else (hi - x) * a + (x - lo) * b)
+    return out
 
 
 def _interior(breaks: list[float]) -> list[float]:
@@ -110,13 +93,14 @@ def stratum_expr(y: Column | str, breaks: list[float]) -> Column:
 
 def seeded_hash(key: Column | str, seed: int | str) -> Column:
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    # A NULL key hashes like an empty one: no row is left without a place in the order.
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def _hex_digits(max_stratum_rows: int, bucket_rows: int) -> int:
     if max_stratum_rows <= bucket_rows:
         return 1
-    return max(1, min(8, math.ceil(math.log(max_stratum_rows / bucket_rows, 16))))
+    return min(32, math.ceil(math.log(max_stratum_rows / bucket_rows, 16)))  # md5 has 32
 
 
 def stratified_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "rk",
@@ -125,20 +109,13 @@ def stratified_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "r
     """Add boolean ``label``: exactly ``ceil(p·n_s)`` rows per stratum are True."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
-    hist = value_histogram(df, y)
-    if hist is not None:   # breaks and stratum sizes from one small histogram
-        breaks = percentiles_from_histogram(hist, DEFAULT_PROBS)
-        inner = _interior(breaks)
-        sizes: dict[int, int] = {}
-        for v, c in hist:
-            s_ = 1 + sum(1 for b in inner if v > b)
-            sizes[s_] = sizes.get(s_, 0) + c
-    else:
-        breaks = quantile_breaks(df, y)
+    if df.isEmpty():
+        empty = df.withColumns({label: F.lit(False), "stratum": F.lit(1)})
+        return empty if keep_stratum else empty.drop("stratum")
+    breaks = quantile_breaks(df, y)
     base = df.withColumns({"_stratum": stratum_expr(y, breaks), "_h": seeded_hash(key, seed)})
-    if hist is None:
-        sizes = {r["_stratum"]: r["n"] for r in
-                 base.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["_stratum"]: r["n"] for r in
+             base.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
     take = {s: (math.ceil(n * p) if n > 1 else (1 if p > 0 else 0)) for s, n in sizes.items()}
     nhex = _hex_digits(max(sizes.values()) if sizes else 0, bucket_rows)
     base = base.withColumn("_b", F.substring("_h", 1, nhex))

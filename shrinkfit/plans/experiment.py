@@ -14,7 +14,7 @@ parameters) so a session that runs many queries pays for each step once.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +64,7 @@ class Experiment:
     exclude_genres: tuple[str, ...] = ()
     grid_chunk: int = 21          # 41 λ → two passes of ≤ 21 wide columns …
     grid_parallel: int = 2        # … fitted concurrently
+    _excluding: dict = field(default_factory=dict, init=False, repr=False)
     source: DataFrame | None = None   # a movielens-shaped frame instead of ``sf_dir``
 
     def __post_init__(self):
@@ -114,6 +115,15 @@ class Experiment:
         """Unregularised Model 6 on edx_train: its prefixes are Models 2-5."""
         return self.fit(self.edx_train, 0.0, "model0")
 
+    def excluding(self, genres: tuple[str, ...]) -> "Experiment":
+        """The same splits, models without these genres."""
+        if genres not in self._excluding:
+            other = replace(self, exclude_genres=tuple(genres))
+            for name in ("features", "holdout_split", "edx_split", "vocabulary"):
+                other.__dict__[name] = getattr(self, name)
+            self._excluding[genres] = other
+        return self._excluding[genres]
+
     @cached_property
     def mu_train(self) -> float:
         return global_mean(self.edx_train)
@@ -151,7 +161,8 @@ def experiment_from_files(spark: SparkSession, ratings_path: str, movies_path: s
 
 
 def experiment(spark: SparkSession, sf_dir: str, **params) -> Experiment:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(sorted(params.items())))
+    frozen = {k: tuple(v) if isinstance(v, (list, tuple)) else v for k, v in params.items()}
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(sorted(frozen.items())))
     exp = _CACHE.get(key)
     if exp is None:
         exp = Experiment(spark, sf_dir.rstrip("/"), **params)

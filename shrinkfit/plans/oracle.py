@@ -8,8 +8,10 @@ helpers below; every double is rounded like ``queries.rounded``.
 
 from __future__ import annotations
 
+import re
+
 from ..functions.columns import lambda_values
-from .queries import (DATE_COLS, FIXED_LAMBDA, GUARD_P, HEAD_ROWS, ID_COLS, PAIR_THRESHOLD)
+from .queries import (DATE_COLS, EXCLUDED, FIXED_LAMBDA, GUARD_P, HEAD_ROWS, ID_COLS, PAIR_THRESHOLD)
 
 NO_GENRE = "(no genres listed)"
 CHAIN = (("b_i", "movieId"), ("b_u", "userId"), ("b_ry", "release_year"),
@@ -104,7 +106,7 @@ def lam_cte(m: str, values: list[float] | None = None, from_sql: str | None = No
     return f"{m}_lam AS (SELECT unnest([{lits}]::DOUBLE[]) AS lam)"
 
 
-def model_ctes(m: str, train: str, vocab_src: str = "edx") -> list[str]:
+def model_ctes(m: str, train: str, vocab_src: str = "edx", exclude: tuple[str, ...] = ()) -> list[str]:
     """Sequential shrunk means for each λ in ``{m}_lam``, then genre effects."""
     cols = "t.rk, t.movieId, t.userId, t.release_year, t.rating_year, t.rating_week_of_year, t.genres, t.rating"
     ctes = [
@@ -121,7 +123,8 @@ def model_ctes(m: str, train: str, vocab_src: str = "edx") -> list[str]:
     last = len(CHAIN)
     ctes += [
         f"{m}_vocab AS (SELECT DISTINCT tok AS genre FROM (SELECT unnest({TOKENS.format(g='genres')}) AS tok "
-        f"FROM {vocab_src}) WHERE tok <> '' AND tok <> '{NO_GENRE}')",
+        f"FROM {vocab_src}) WHERE tok <> '' AND tok <> '{NO_GENRE}'"
+        + (f" AND tok NOT IN ({', '.join(repr(g) for g in exclude)})" if exclude else "") + ")",
         f"{m}_tok AS (SELECT lam, rid, r, unnest({TOKENS.format(g='genres')}) AS genre FROM {m}_t{last})",
         f"{m}_mem AS (SELECT lam, rid, genre, any_value(r) AS r, count(*) AS c FROM {m}_tok "
         f"GROUP BY lam, rid, genre)",
@@ -199,8 +202,15 @@ def _genre_cells(src: str, keep: str) -> str:
             f"FROM numbered s CROSS JOIN vocab v)")
 
 
+#: The fixture's genre tokens (part types, first and second word of part names).
+FIXTURE_GENRES = ("T-ECONOMY", "T-LARGE", "T-MEDIUM", "T-PROMO", "T-SMALL", "T-STANDARD", "anvil", "blue", "bolt", "cold", "gear",
+                  "gizmo", "hot", "large", "new", "old", "plate", "red", "ring", "rod", "small", "widget")
+
+
 def _pivot(group_by: str) -> str:
-    return f"SELECT * EXCLUDE (rid) FROM (PIVOT cells ON col USING first(cnt) GROUP BY rid, {group_by})"
+    """A column for each fixture genre; a list of values, so that the statement can be a view."""
+    names = ", ".join("'genres_" + re.sub("[^A-Za-z0-9]", "_", g) + "'" for g in FIXTURE_GENRES)
+    return f"SELECT * EXCLUDE (rid) FROM (PIVOT cells ON col IN ({names}) USING first(cnt) GROUP BY rid, {group_by})"
 
 
 def _vocab(src: str) -> str:
@@ -296,6 +306,20 @@ def oracle_queries() -> dict[str, str]:
         for i in range(6))
     q["model_sequence"] = with_(seq + [f"ms AS ({seq_sel})"], f"SELECT seq, method, {r6('rmse')} AS rmse FROM ms")
 
+    # The same without some genres, and at a fixed lambda; the splits don't change.
+    mx = pre + [lam_cte("mx", [0.0])] + model_ctes("mx", "edx_train", exclude=EXCLUDED)
+    q["genre_effects_excluded"] = with_(mx, f"SELECT genre, {r6('b')} AS b_g, CAST(n AS BIGINT) AS n FROM mx_ge")
+    mx_sel = " UNION ALL ".join(
+        f"SELECT {i + 1} AS seq, '{labels[i]}' AS method, {strict_rmse(preds[i])} AS rmse FROM mx_p"
+        for i in range(6))
+    q["model_sequence_excluded"] = with_(mx + predict_ctes("mx", "edx_test", "mx_p", cumulative=True) + [f"ms AS ({mx_sel})"],
+                                         f"SELECT seq, method, {r6('rmse')} AS rmse FROM ms")
+    fe = pre + [lam_cte("fe", [FIXED_LAMBDA])] + model_ctes("fe", "edx_train", exclude=EXCLUDED) \
+        + predict_ctes("fe", "edx_test", "fe_p") + [rmse_cte("fe_rmse", "fe_p")]
+    q["model7_excluded"] = with_(fe, f"SELECT {r6('lam')} AS {LAM_OUT}, {r6('rmse')} AS rmse, n, n_unscored FROM fe_rmse")
+    q["dense_row_id"] = with_(base, "SELECT rk, row_number() OVER (ORDER BY rk) AS row_id FROM ml")
+    q["prefix_columns"] = with_(base + [FEAT], "SELECT rk, rating_year, rating_month, rating_day_of_week, rating_week_of_year FROM feat")
+
     # Ablation: each candidate alone on top of the Model 4 residual.
     abl = list(m0)
     cands = ["rating_year", "rating_month", "rating_week_of_year", "rating_day_of_week"]

@@ -21,10 +21,11 @@ from ..operators.correlate import correlated_pairs, correlation_matrix
 from ..operators.effects import predict
 from ..operators.evaluate import (ablation, best_lambda, model_sequence, rmse, with_drop_pct)
 from ..operators.features import (explode_genres, genre_indicators, genre_vocabulary,
-                                  genre_vocabulary_df, head, regroup_first_sum, with_row_id)
-from ..operators.joins import natural_anti_join
+                                  dense_row_id, genre_vocabulary_df, head, regroup_first_sum,
+                                  select_prefix, with_row_id)
+from ..operators.joins import natural_anti_join, semi_join_keys
 from ..operators.split import seen_key_guard, split_share, stratified_split
-from ..session import checkpoint_dir, configure
+from ..session import checkpoint_dir, configure, materialize
 from ..sources.readers import read_delimited, write_delimited
 from ..sources.tables import movielens, movies_view, ratings_view
 from .experiment import DATE_CANDIDATES, experiment
@@ -123,8 +124,7 @@ def q_seen_key_semi(spark, sf_dir):
     s = stratified_split(e.features.select("rk", "userId", "movieId", "rating"), GUARD_P, 1)
     temp = s.where("is_test")
     train = s.where("NOT is_test")
-    kept = (temp.join(train.select("movieId").distinct(), "movieId", "left_semi")
-            .join(train.select("userId").distinct(), "userId", "left_semi"))
+    kept = semi_join_keys(temp, train, ["movieId", "userId"])
     return rounded(kept.select("rk", "userId", "movieId", "rating"))
 
 
@@ -133,8 +133,7 @@ def q_seen_key_removed(spark, sf_dir):
     s = stratified_split(e.features.select("rk", "userId", "movieId", "rating"), GUARD_P, 1)
     temp = s.where("is_test").drop("is_test")
     train = s.where("NOT is_test")
-    kept = (temp.join(train.select("movieId").distinct(), "movieId", "left_semi")
-            .join(train.select("userId").distinct(), "userId", "left_semi"))
+    kept = semi_join_keys(temp, train, ["movieId", "userId"])
     return rounded(natural_anti_join(temp, kept).select("rk", "userId", "movieId", "rating"))
 
 
@@ -233,18 +232,53 @@ def q_corr_date_parts(spark, sf_dir):
 
 
 def _genre_frame(e):
-    ind = genre_indicators(e.edx_train.select("rating", "genres"), e.vocabulary)
+    """(rating, genre string) cells with their number, one indicator per genre."""
+    cells = e.edx_train.groupBy("rating", "genres").agg(F.count(F.lit(1)).alias("_n"))
+    ind = materialize(genre_indicators(cells, e.vocabulary), "genre-cells")
     return ind, ["rating"] + [c for c in ind.columns if c.startswith("genres_")]
 
 
 def q_corr_genres(spark, sf_dir):
     ind, cols = _genre_frame(experiment(spark, sf_dir))
-    return rounded(correlation_matrix(ind, cols))
+    return rounded(correlation_matrix(ind, cols, weight="_n"))
 
 
 def q_correlated_pairs(spark, sf_dir):
     ind, cols = _genre_frame(experiment(spark, sf_dir))
-    return rounded(correlated_pairs(ind, cols, PAIR_THRESHOLD))
+    return rounded(correlated_pairs(ind, cols, PAIR_THRESHOLD, weight="_n"))
+
+
+# ---- genre exclusion (M9, M15), effects at a given lambda (M10), candidates, small operators -----
+
+#: The first genre of each of the two pairs with the highest |r| on the fixture, and two more.
+EXCLUDED = ("T-ECONOMY", "T-PROMO", "anvil", "red")
+
+
+def _excluding(spark, sf_dir):
+    return experiment(spark, sf_dir).excluding(EXCLUDED)
+
+
+def q_genre_effects_excluded(spark, sf_dir):
+    return rounded(_excluding(spark, sf_dir).model0.genre_effects())
+
+
+def q_model_sequence_excluded(spark, sf_dir):
+    e = _excluding(spark, sf_dir)
+    return rounded(model_sequence(e.model0, e.edx_test))
+
+
+def q_model7_excluded(spark, sf_dir):
+    e = _excluding(spark, sf_dir)
+    model = e.fit(e.edx_train, FIXED_LAMBDA, "model-excluded")
+    return rounded(rmse(predict(model, e.edx_test)).select(F.lit(FIXED_LAMBDA).alias("lambda"), "rmse", "n", "n_unscored"))
+
+
+def q_dense_row_id(spark, sf_dir):
+    return dense_row_id(experiment(spark, sf_dir).features.select("rk"), ["rk"], "row_id")
+
+
+def q_prefix_columns(spark, sf_dir):
+    return select_prefix(experiment(spark, sf_dir).features, "rating_", also=["rk"])
 
 
 QUERIES: dict[str, Query] = {
@@ -283,4 +317,9 @@ QUERIES: dict[str, Query] = {
     "corr_date_parts": q_corr_date_parts,
     "corr_genres": q_corr_genres,
     "correlated_pairs": q_correlated_pairs,
+    "genre_effects_excluded": q_genre_effects_excluded,
+    "model_sequence_excluded": q_model_sequence_excluded,
+    "model7_excluded": q_model7_excluded,
+    "dense_row_id": q_dense_row_id,
+    "prefix_columns": q_prefix_columns,
 }

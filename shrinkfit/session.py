@@ -37,7 +37,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get(_CHECKPOINT_CONF, None) or sc.getConf().get(_CHECKPOINT_CONF, None)
     if not conf:
-        # Unset: local mode / tests only.
+        # Unset: local mode / tests only; executors elsewhere would each write their own disk.
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"{_CHECKPOINT_CONF} must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="shrinkfit-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

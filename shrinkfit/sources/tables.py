@@ -28,11 +28,8 @@ def spread(df: DataFrame) -> DataFrame:
     every operator fused with the scan runs there too. Large inputs come as
     many files/row groups and are returned unchanged (no extra shuffle).
     """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
-        return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    current = df.rdd.getNumPartitions()
     return df.repartition(target) if current < target else df
 
 
@@ -76,13 +73,17 @@ def movielens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enrich(ratings: DataFrame, movies: DataFrame, key: str = "movieId") -> DataFrame:
-    """Dimension left join.
+    """Dimension left join (J1), null-safe; a repeated item key raises.
 
-    No broadcast hint: the item table grows with the catalogue, so AQE picks a
-    broadcast only when the materialised side is under its threshold and
-    otherwise a shuffle join with skew splitting.
+    One aggregate checks the item side and counts it; the ratings' items are counted too
+    (partial sums), so past the broadcast bound hot items are joined apart (``lookup_join``).
     """
-    return ratings.join(movies, on=key, how="left")
+    from ..operators.joins import lookup_join
+
+    items = movies.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("keys"), F.max("n").alias("most")).first()
+    if (items["most"] or 0) > 1:
+        raise ValueError(f"item key {key!r} is not unique")
+    return lookup_join(ratings, movies, [key], "left", small_rows=items["keys"])
 
 
 def movielens_from_files(spark: SparkSession, ratings_path: str, movies_path: str,

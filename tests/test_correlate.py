@@ -1,5 +1,6 @@
 """Correlation matrix (A9, M15, T4): narrow and wide paths, NA rules."""
 
+import numpy as np
 import pytest
 
 from shrinkfit.operators import correlated_pairs, correlation_matrix
@@ -52,3 +53,24 @@ def test_pairs_threshold(spark):
     df = _frame(spark)
     pairs = {(r["col_a"], r["col_b"]) for r in correlated_pairs(df, ["a", "b", "c"], 0.3).collect()}
     assert pairs == {("a", "c")}
+
+
+@pytest.mark.parametrize("extra", [2, 8])
+def test_one_rule_for_any_number_of_columns(spark, extra):
+    cols = ["a", "tiny", "nan"] + [f"x{i}" for i in range(extra)]
+    rows = [(float(i), 1e-7 * ((i * 7) % 11), float("nan") if i == 3 else float(i), *[float((i * (k + 3)) % 13) for k in range(extra)]) for i in range(40)]
+    got = {(r.col_a, r.col_b): r.r for r in correlation_matrix(spark.createDataFrame(rows, cols), cols).collect()}
+    want = np.corrcoef(np.array(rows, dtype=float).T)
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if "nan" in (a, b):
+                assert got[a, b] is None
+            else:
+                assert got[a, b] == pytest.approx(want[i, j], abs=1e-9)
+
+
+def test_weighted_rows_equal_repeated_rows(spark):
+    cells = spark.createDataFrame([(1.0, 2.0, 3), (2.0, 1.0, 1), (4.0, 5.0, 2)], "a double, b double, n int")
+    rows = spark.createDataFrame([(1.0, 2.0)] * 3 + [(2.0, 1.0)] + [(4.0, 5.0)] * 2, "a double, b double")
+    r = lambda df, **k: {(x.col_a, x.col_b): x.r for x in correlation_matrix(df, ["a", "b"], **k).collect()}
+    assert r(cells, weight="n") == pytest.approx(r(rows))

@@ -11,7 +11,7 @@ from shrinkfit.operators import explode_genres, genre_indicators, genre_vocabula
 
 
 @pytest.mark.parametrize("title,year", [
-    ("Star Wars: Episode IV - A New Hope (a.k.a. Star Wars) (1977)", 1977),
+    ("The Long Crossing (also: Crossing) (1977)", 1977),
     ("No year", None),
     ("X (foo)", None),
     ("A (b (c)) (1999)", 1999),

@@ -1,5 +1,6 @@
 """Readers/sinks (S1-S4) and the ratings view over the driver's tables."""
 
+import pytest
 from pyspark.sql import types as T
 
 from shrinkfit.sources import (MOVIES_SCHEMA, RATINGS_SCHEMA, count_malformed, movielens, movies_view,
@@ -61,3 +62,29 @@ def test_scan_prunes_columns(spark, small_dir):
 def test_schema_constants():
     assert [f.name for f in RATINGS_SCHEMA.fields] == ["userId", "movieId", "rating", "timestamp"]
     assert isinstance(MOVIES_SCHEMA["title"].dataType, T.StringType)
+
+
+def test_enrich_rejects_repeated_items_and_matches_null(spark):
+    from shrinkfit.sources.tables import enrich
+
+    ratings = spark.createDataFrame([("a", 1), ("b", None)], "rk string, movieId long")
+    once = spark.createDataFrame([(1, "x"), (None, "n")], "movieId long, title string")
+    assert {r.rk: r.title for r in enrich(ratings, once).collect()} == {"a": "x", "b": "n"}
+    with pytest.raises(ValueError):
+        enrich(ratings, once.unionByName(once))
+
+
+def test_semi_join_keys_matches_null(spark):
+    from shrinkfit.operators.joins import semi_join_keys
+
+    df = spark.createDataFrame([(1, None), (2, 5), (3, None)], "a long, b long")
+    seen = spark.createDataFrame([(1, None), (2, 6)], "a long, b long")
+    assert [tuple(r) for r in semi_join_keys(df, seen, ["a", "b"]).collect()] == [(1, None)]
+
+
+def test_dense_row_id(spark):
+    from shrinkfit.operators.features import dense_row_id
+
+    df = spark.createDataFrame([(f"k{i:03d}",) for i in range(57)], "k string").repartition(5)
+    got = sorted((r.k, r.rowID) for r in dense_row_id(df, ["k"]).collect())
+    assert got == [(f"k{i:03d}", i + 1) for i in range(57)]

@@ -2,11 +2,11 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from shrinkfit.operators import (natural_anti_join, quantile_breaks, seen_key_guard, split_share,
                                  stratified_split, stratum_expr)
-from shrinkfit.operators.split import percentiles_from_histogram
 
 
 def _ratings(spark, n=2000):
@@ -17,8 +17,6 @@ def _ratings(spark, n=2000):
 def test_percentiles_match_spark(spark):
     df = _ratings(spark)
     exact = df.selectExpr("percentile(rating, array(0.0, 0.25, 0.5, 0.75, 1.0)) q").first()["q"]
-    hist = sorted((r["rating"], r["n"]) for r in df.groupBy("rating").agg(F.count("*").alias("n")).collect())
-    assert percentiles_from_histogram(hist, (0.0, 0.25, 0.5, 0.75, 1.0)) == [float(x) for x in exact]
     assert quantile_breaks(df) == [float(x) for x in exact]
 
 
@@ -98,3 +96,22 @@ def test_guard_single_key(spark):
                                "rk string, userId long, movieId long, is_test boolean")
     out = {r["rk"]: r["is_test"] for r in seen_key_guard(df, keys=("movieId",)).collect()}
     assert out == {"a": True, "b": False, "c": False}
+
+
+def test_null_key_rows_take_part(spark):
+    rows = [(None if i % 2 else f"k{i}", float(i % 10)) for i in range(400)]
+    df = spark.createDataFrame(rows, "rk string, rating double")
+    out = stratified_split(df, 0.2, 1, keep_stratum=True).groupBy("stratum").agg(
+        F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()
+    assert out and all(r["t"] == math.ceil(r["n"] * 0.2) for r in out)
+
+
+def test_null_rating_raises(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None)], "rk string, rating double")
+    with pytest.raises(ValueError):
+        stratified_split(df, 0.2)
+
+
+def test_breaks_of_many_values(spark):
+    df = spark.range(150_001).select((F.col("id") / 7).alias("rating"))
+    assert quantile_breaks(df) == pytest.approx([0.0, 37500 / 7, 75000 / 7, 112500 / 7, 150000 / 7])
