@@ -70,7 +70,7 @@ def offsets_of(array: pa.Array) -> np.ndarray:
     return np.frombuffer(array.buffers()[1], dtype=kind)[array.offset : array.offset + len(array) + 1].astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """The batch in runs of about ``most`` bytes of a string column (one row at least), to bound a task's memory."""
     if batch.num_rows == 0:
         return

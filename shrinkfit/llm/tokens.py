@@ -44,7 +44,7 @@ def encoder(path: str) -> "Encoder":
 
 
 class Encoder:
-    def __init__(self, path: str, cached: int = 1_000_000):
+    def __init__(self, path: str, cached: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
