@@ -1,16 +1,18 @@
 """Passages that repeat across documents, by sparse suffix arrays.
 
-1. Of each document's suffixes (by word) only those at minimisers are retained: a position whose hash of
+1. Texts whose words are all equal are one representative from here on, whatever their number: each copy is a passage as a whole.
+2. Of each representative's suffixes (by word) only those at minimisers are retained: a position whose hash of
    the next ANCHOR words is the least in some window of ``words - ANCHOR + 1`` positions. What a position's window holds
    alone decides, so two documents that share ``words`` words in a row retain a common suffix there.
-2. Suffixes whose first ANCHOR words occur once are dropped (one aggregate by hash). The others are given their next ``words`` words
+3. Suffixes whose first ANCHOR words occur once are dropped (one aggregate by hash). The others are given their next ``words`` words
    and the ANCHOR ones before them, as 16-bit hashes.
-3. Suffixes are range-sorted by their words - all columns are sort keys, so equal ones may be dealt over many tasks - and each is
+4. Suffixes are range-sorted by their words - all columns are sort keys, so equal ones may be dealt over many tasks - and each is
    compared with its neighbours and the nearest one of another document; the rows at a task's ends are compared again with those of the next task.
    A match is extended to both sides; it counts from ``words`` words on.
-4. A suffix that found no match but has more neighbours with the same beginning than were compared is resolved exactly: each ``words``-word
-   run across its position is looked up by hash.
-5. Each document's matches are joined to maximal passages: longer ones have a retained suffix every few words.
+5. A suffix that found no match but has more neighbours with the same beginning than were compared is resolved exactly, with the others of
+   that beginning. Sorted neighbours tell how many words any other document shares to the right, a second sort by the words before how many
+   to the left; only the ``words``-word runs across the position that both bounds allow are looked up by hash.
+6. Each document's matches are joined to maximal passages: longer ones have a retained suffix every few words.
 
 Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. Null, empty and shorter texts have no passage; a null doc_id takes no part. Very long texts
 are used whole. Repeats inside one doc_id don't count, so repeated rows don't either. Ties need no rule: every occurrence is reported. Empty table: no rows. Further columns are not read.
@@ -18,6 +20,8 @@ are used whole. Repeats inside one doc_id don't count, so repeated rows don't ei
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,17 +29,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import shuffle_partitions
+from .common import hot_split_join, keep_rows, shuffle_partitions
 from .forest import mix, text_slices, word_hashes
 
 #: Words of a suffix that are hashed to select and group it, and neighbours compared on each side.
 ANCHOR, NEIGHBOURS = 25, 8
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE_2 = 0xC2B2AE3D27D4EB4F
 
 _FOUND = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("other", pa.int64()), ("after", pa.binary()), ("before", pa.binary())])
 _FOUND_DDL = "kind byte, h long, doc_id long, pos long, start long, end long, other long, after binary, before binary"
-MATCH, OPEN, EDGE = 0, 1, 2
+MATCH, OPEN, EDGE, CROWD = 0, 1, 2, 3
 
 
 def runs(words: np.ndarray, length: int) -> np.ndarray:
@@ -72,48 +77,49 @@ def minimisers(h: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(sliding(padded, window, np.maximum) == h)
 
 
-def retained(docs: DataFrame, words: int) -> DataFrame:
-    """h, d, pos: hash of the suffix's first words, its row, its first word's number."""
-    schema = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("pos", pa.int32())])
+def scanned(docs: DataFrame, words: int) -> DataFrame:
+    """A row for each text of ``words`` words or more: doc_id, d, digest (of its words), n_words, h and pos (hash of the first words and number
+    of the first word of each retained suffix), short (its words as 16-bit hashes)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("h", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())), ("short", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            keys = batch.column("d").to_numpy()
+            ids, keys = batch.column("doc_id").to_numpy(), batch.column("d").to_numpy()
             for start, part in text_slices(batch.column("text")):
                 offs, hashes = word_hashes(part)
-                out = []
-                for k in np.flatnonzero(np.diff(offs) >= words).tolist():
-                    h = runs(hashes[offs[k] : offs[k + 1]], ANCHOR)
-                    at = minimisers(h, words - ANCHOR + 1)
-                    out.append((h[at].view(np.int64), np.full(len(at), keys[start + k]), at))
-                if out:
-                    h, d, at = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.array(at.astype(np.int32))], schema=schema)
-
-    return docs.select("d", "text").mapInArrow(run, "h long, d long, pos int")
-
-
-def with_words(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
+                long = np.flatnonzero(np.diff(offs) >= words)
+                digests, hs, at, short = [], [], [], []
+                for k in long.tolist():
+                    w = hashes[offs[k] : offs[k + 1]]
+                    h = runs(w, ANCHOR)
+                    places = minimisers(h, words - ANCHOR + 1)
+                    digests.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest())
+                    hs.append(h[places].view(np.int64))
+                    at.append(places.astype(np.int32))
+                    short.append((w >> np.uint64(17)).astype(">u2").tobytes())
+                if not hs:
+                    continue
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (hs, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[start + long]), pa.array(keys[start + long]), pa.array(digests, pa.binary()), pa.array(np.diff(offs)[long]), *lists, pa.array(short, pa.binary())], schema=schema)
+
+    return docs.select("doc_id", "d", "text").mapInArrow(run, "doc_id long, d long, digest binary, n_words long, h array<long>, pos array<int>, short binary")
+
+
+def with_words(rows: DataFrame, places: DataFrame, words: int) -> DataFrame:
     """h, doc_id, pos, after, before for each retained place; ``places``: d, places (array of struct<pos, h>)."""
     schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("after", pa.binary()), ("before", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            lists, ids = batch.column("places"), batch.column("doc_id").to_pylist()
-            for start, part in text_slices(batch.column("text")):
-                offs, hashes = word_hashes(part)
-                short = (hashes >> np.uint64(17)).astype(np.uint16)
-                for k in range(len(part)):
-                    w = short[offs[k] : offs[k + 1]]
-                    at = lists[start + k].as_py()
-                    after, before = [], []
-                    for p in at:
-                        after.append(w[p["pos"] : p["pos"] + words].astype(">u2").tobytes())
-                        before.append(w[max(0, p["pos"] - ANCHOR) : p["pos"]][::-1].astype(">u2").tobytes())
-                    if at:
-                        yield pa.RecordBatch.from_arrays([pa.array([p["h"] for p in at], pa.int64()), pa.array([ids[start + k]] * len(at), pa.int64()), pa.array([p["pos"] for p in at], pa.int64()), pa.array(after, pa.binary()), pa.array(before, pa.binary())], schema=schema)
+            for doc_id, short, at in zip(batch.column("doc_id").to_pylist(), batch.column("short").to_pylist(), batch.column("places")):
+                h, pos = (at.values.field(c).cast(pa.int64()) for c in ("h", "pos"))
+                w, back = np.frombuffer(short, ">u2"), np.frombuffer(short, ">u2")[::-1].tobytes()
+                after = [short[2 * p : 2 * (p + words)] for p in pos.to_pylist()]
+                before = [back[2 * (len(w) - p) : 2 * (len(w) - max(0, p - ANCHOR))] for p in pos.to_pylist()]
+                yield pa.RecordBatch.from_arrays([h, pa.array(np.full(len(pos), doc_id)), pos, pa.array(after, pa.binary()), pa.array(before, pa.binary())], schema=schema)
 
-    return docs.join(places, "d").select("doc_id", "text", "places").mapInArrow(run, "h long, doc_id long, pos long, after binary, before binary")
+    return rows.select("d", "doc_id", "short").join(places, "d").select("doc_id", "short", "places").mapInArrow(run, "h long, doc_id long, pos long, after binary, before binary")
 
 
 def as_words(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,15 +136,25 @@ def common(words: np.ndarray, lens: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return np.minimum(n, np.minimum(lens[i], lens[j]))
 
 
-def compare(rows: pa.Table, words: int, edges: bool) -> pa.RecordBatch:
-    """Matches, open rows and (where ``edges``) first and last rows of a run of sorted suffixes."""
+def nearest(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the last row before and the first one after its run of equal h and doc; -1 and n at the ends."""
+    n = len(h)
+    turn = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])
+    starts, run = np.flatnonzero(turn), np.cumsum(turn) - 1
+    return starts[run] - 1, np.append(starts[1:], n)[run]
+
+
+def compare(rows: pa.Table, words: int, first: bool, last: bool) -> pa.RecordBatch:
+    """Matches, open rows, crowded ones with the words that any other document shares to the right, and (``first``, ``last``) the
+    rows at the ends of a run of sorted suffixes."""
     n = rows.num_rows
     col = lambda c: rows.column(c).combine_chunks()
     h, doc, pos = (col(c).to_numpy() for c in ("h", "doc_id", "pos"))
     after, n_after = as_words(col("after"), words)
     before, n_before = as_words(col("before"), ANCHOR)
-    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    left, right, reach = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     other = np.full(n, -1)
+    hit = np.zeros(n, bool)
     best = np.full(n, words - 1)
 
     def look(i: np.ndarray, j: np.ndarray) -> None:
@@ -147,98 +163,136 @@ def compare(rows: pa.Table, words: int, edges: bool) -> pa.RecordBatch:
         if not len(i):
             return
         r, b = common(after, n_after, i, j), common(before, n_before, i, j)
-        ok = (r >= ANCHOR) & (r + b >= words)
-        for x, y in ((i[ok], j[ok]), (j[ok], i[ok])):
+        for x, y in ((i, j), (j, i)):
+            np.maximum.at(reach, x, r)
             # In a look each row stands once on a side where the lag is fixed; for runs of one document the last one counts.
-            better = (r + b)[ok] > best[x]
+            better = (r >= ANCHOR) & (r + b > best[x])
             x, y = x[better], y[better]
-            best[x], left[x], right[x], other[x] = (r + b)[ok][better], b[ok][better], r[ok][better], doc[y]
+            best[x], left[x], right[x], other[x], hit[x] = (r + b)[better], b[better], r[better], doc[y], True
 
     at = np.arange(n)
     for lag in range(1, NEIGHBOURS + 1):
         look(at[:-lag], at[lag:])
-    # The nearest row of another document, after a run of one document's rows.
-    turn = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if n else np.zeros(0, bool)
-    begin = np.maximum.accumulate(np.where(turn, at, 0))
-    starts = np.flatnonzero(turn)
-    nxt = np.append(starts[1:], n)[np.cumsum(turn) - 1] if n else at
-    for i, j in ((at[nxt < n], nxt[nxt < n]), (at[begin > 0], begin[begin > 0] - 1)):
+    # The nearest rows of another document share most words to the right.
+    low, high = nearest(h, doc)
+    for i, j in ((at[high < n], high[high < n]), (at[low >= 0], low[low >= 0])):
         look(i, j)
+    reach[(low < 0) | (high == n)] = words  # not known here
     crowded = np.zeros(n, bool)
     if n > NEIGHBOURS:
         crowded[:-NEIGHBOURS] |= h[:-NEIGHBOURS] == h[NEIGHBOURS:]
         crowded[NEIGHBOURS:] |= h[NEIGHBOURS:] == h[:-NEIGHBOURS]
-    hit, unresolved = other != -1, crowded & (other == -1)
+    unresolved = crowded & ~hit
+    # Rows of a beginning that may go on past the ends belong to a crowd that isn't seen as a whole.
+    crowded |= (h == h[0]) | (h == h[-1])
     edge = np.zeros(n, bool)
-    if edges:
-        edge[:NEIGHBOURS], edge[-NEIGHBOURS:] = True, True
-    take = np.concatenate([np.flatnonzero(hit), np.flatnonzero(unresolved), np.flatnonzero(edge)])
-    kind = np.repeat([MATCH, OPEN, EDGE], [hit.sum(), unresolved.sum(), edge.sum()]).astype(np.int8)
-    whole = pa.array(kind != EDGE)
-    ctx = [pc.if_else(whole, pa.scalar(None, pa.binary()), col(c).take(pa.array(take))) for c in ("after", "before")]
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h[take]), pa.array(doc[take]), pa.array(pos[take]), pa.array((pos - left)[take]), pa.array((pos + right)[take]), pa.array(other[take]), *ctx], schema=_FOUND)
+    edge[: NEIGHBOURS * first] = True
+    edge[n - min(n, NEIGHBOURS * last) :] = True
+    take = np.concatenate([np.flatnonzero(x) for x in (hit, unresolved, edge, crowded)])
+    kind = np.repeat([MATCH, OPEN, EDGE, CROWD], [x.sum() for x in (hit, unresolved, edge, crowded)]).astype(np.int8)
+    start, end = np.where(kind == CROWD, pos[take], (pos - left)[take]), (pos + right)[take]
+    end = np.where(kind == CROWD, (pos + reach)[take], end)
+    narrow = pa.array((kind == MATCH) | (kind == OPEN))
+    ctx = [pc.if_else(narrow, pa.scalar(None, pa.binary()), col(c).take(pa.array(take))) for c in ("after", "before")]
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h[take]), pa.array(doc[take]), pa.array(pos[take]), pa.array(start), pa.array(end), pa.array(other[take]), *ctx], schema=_FOUND)
+
+
+def in_runs(batches, rows: int, again: int):
+    """(rows, first, last): the sorted rows of a task in tables of about ``rows``, the last ``again`` of each one repeated in the next."""
+    held, first = None, True
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        held = part if held is None else pa.concat_tables([held, part])
+        if held.num_rows >= rows:
+            # What follows is not known yet; a table that turns out to be the last one is given as such by its repeated rows.
+            yield held, first, False
+            held, first = held.slice(held.num_rows - again), False
+    if held is not None and held.num_rows:
+        yield held, first, True
 
 
 def sorted_matches(suffixes: DataFrame, words: int, parts: int) -> DataFrame:
     order = ["h", "after", "before", "doc_id", "pos"]
 
     def run(batches, edges=True):
-        held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            held = rows if held is None else pa.concat_tables([held, rows])
-            if held.num_rows >= 20_000:
-                yield compare(held, words, edges)
-                held = held.slice(held.num_rows - 2 * NEIGHBOURS)  # the last ones again, with those that follow
-        if held is not None and held.num_rows:
-            yield compare(held, words, edges)
+        for rows, first, last in in_runs(batches, 20_000, 2 * NEIGHBOURS):
+            yield compare(rows, words, first and edges, last and edges)
 
     found = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _FOUND_DDL)
     found = materialize(found, "suffix-matches")
-    # The rows at the ends of tasks and of runs, a few for each: one sorted list.
+    # The rows at the ends of tasks, a few for each task whatever its size: one sorted list.
     ends = found.filter(F.col("kind") == EDGE).select("h", "doc_id", "pos", "after", "before").distinct().coalesce(1).sortWithinPartitions(*order)
-    again = ends.mapInArrow(lambda batches: run(batches, edges=False), _FOUND_DDL)
-    return materialize(found.filter(F.col("kind") != EDGE).unionByName(again.filter(F.col("kind") == MATCH)), "suffix-found")
+    again = ends.mapInArrow(lambda batches: run(batches, edges=False), _FOUND_DDL).filter(F.col("kind").isin(MATCH, OPEN))
+    return found.filter(F.col("kind") != EDGE).unionByName(materialize(again, "suffix-ends"))
 
 
-def resolved(suffixes: DataFrame, still_open: DataFrame, words: int) -> DataFrame:
-    """doc_id, start, end, other for suffixes of the hashes in ``still_open``, by every run of ``words`` words across their position."""
-    rows = suffixes.join(still_open, "h", "left_semi")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("run", pa.binary())])
+def across(before: np.ndarray, after: np.ndarray, words: int, base: int) -> np.ndarray:
+    """[rows, ANCHOR + 1] hashes of the ``words``-word runs that take k words of ``before`` (k from 0)."""
+    window = mix(np.concatenate([before[:, ::-1], after], axis=1).astype(np.uint64) + np.uint64(base))
+    power = np.array([pow(base, i, 1 << 64) for i in range(window.shape[1])], np.uint64)
+    total = np.concatenate([np.zeros((len(window), 1), np.uint64), np.cumsum(window * power, axis=1, dtype=np.uint64)], axis=1)
+    at = ANCHOR - np.arange(ANCHOR + 1)
+    back = np.array([pow(pow(base, -1, 1 << 64), int(i), 1 << 64) for i in at], np.uint64)
+    return mix((total[:, at + words] - total[:, at]) * back)
 
-    def run(batches):
-        import hashlib
 
-        for batch in batches:
-            out = []
-            for h, doc_id, pos, after, before in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "pos", "after", "before"))):
-                for k in range(len(before) // 2 + 1):  # words taken from before
-                    if k + len(after) // 2 >= words:
-                        out.append((doc_id, pos - k, hashlib.blake2b(before[: 2 * k] + b"|" + after[: 2 * (words - k)], key=h.to_bytes(8, "little", signed=True), digest_size=16).digest()))
-            cols = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
+def resolved(crowd: DataFrame, words: int, parts: int) -> DataFrame:
+    """doc_id, start, end, other for the rows of ``crowd`` by the ``words``-word runs across their position that may have a partner."""
+    order = ["h", "before", "after", "doc_id", "pos"]
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("run", pa.int64()), ("check", pa.int64())])
 
-    spans = materialize(rows.mapInArrow(run, "doc_id long, start long, run binary"), "suffix-runs")
-    both = spans.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
-    return spans.join(both, "run").select("doc_id", "start", (F.col("start") + words).alias("end"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
+    def run(batches):
+        for rows, _, _ in in_runs(batches, 20_000, 1):
+            col = lambda c: rows.column(c).combine_chunks()
+            h, doc, pos, end = (col(c).to_numpy() for c in ("h", "doc_id", "pos", "end"))
+            after, n_after = as_words(col("after"), words)
+            before, n_before = as_words(col("before"), ANCHOR)
+            low, high = nearest(h, doc)
+            share = np.zeros(len(h), np.int64)
+            for j, ok in ((low, low >= 0), (high, high < len(h))):
+                i = np.flatnonzero(ok)
+                i = i[h[i] == h[j[i]]]
+                share[i] = np.maximum(share[i], common(before, n_before, i, j[i]))
+            share[(low < 0) | (high == len(h))] = ANCHOR  # not known here
+            k = np.arange(ANCHOR + 1)
+            most, least = np.minimum(share, n_before), words - np.minimum(end - pos, n_after)
+            row, k = np.nonzero((k <= most[:, None]) & (k >= least[:, None]))
+            # With the whole hash of the beginning and its place in the run: 16-bit hashes alone would mix up runs of one repeated word.
+            own = h[row].view(np.uint64) * np.uint64(_INVERSE) + k.astype(np.uint64)
+            keys = [mix(across(before, after, words, base)[row, k] + own).view(np.int64) for base in (_BASE, _BASE_2)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(pos[row] - k), *map(pa.array, keys)], schema=schema)
+
+    rows = crowd.select("end", *order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    spans = materialize(rows.mapInArrow(run, "doc_id long, start long, run long, check long"), "suffix-runs")
+    both = spans.groupBy("run", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
+    return spans.join(both, ["run", "check"]).select("doc_id", "start", (F.col("start") + words).alias("end"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
 
 
 def repeated_passages(docs: DataFrame, words: int = 50, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, end (word numbers, end excluded), n_words, other (a document that has a part of it) of passages that repeat across documents."""
     if words <= ANCHOR:
         raise ValueError(f"words must be over {ANCHOR}")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = rows.withColumn("d", F.xxhash64("doc_id", "text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     parts = shuffle_partitions(docs.sparkSession)
-    places = materialize(retained(rows, words), "suffix-places")
+    rows = materialize(scanned(texts.withColumn("d", F.xxhash64("doc_id", "text")), words), "suffix-rows")
+    # An id that stands for different texts keeps a row for each of them: what one of them shares with the other doesn't count.
+    several = rows.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several")).filter("several").select("doc_id")
+    single = rows.select("doc_id", "d", "digest", "n_words").join(several, "doc_id", "left_anti")
+    copies = materialize(single.groupBy("digest").agg(F.count("*").alias("n"), F.min_by("d", "doc_id").alias("d"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("n > 1"), "suffix-copies")
+    whole = hot_split_join(rows.select("doc_id", "d", "digest", "n_words"), copies.withColumnRenamed("d", "kept_d"), "digest", "n", rows.count())
+    whole = materialize(whole.filter("kept_d IS NOT NULL").join(several, "doc_id", "left_anti"), "suffix-whole")
+    gone = materialize(whole.filter("d <> kept_d").select("d").distinct(), "suffix-gone")
+    reps = keep_rows(rows.select("d", "h", "pos"), gone, ["d"])
+    places = materialize(reps.select("d", F.explode(F.arrays_zip("h", "pos")).alias("at")).select("d", "at.h", "at.pos"), "suffix-places")
     again = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     by_row = places.join(again, "h", "left_semi").groupBy("d").agg(F.collect_set(F.struct("pos", "h")).alias("places"))
     suffixes = materialize(with_words(rows, by_row, words), "suffixes")
     found = sorted_matches(suffixes, words, parts)
     spans = found.filter(F.col("kind") == MATCH).select("doc_id", "start", "end", "other")
+    spans = spans.unionByName(whole.filter("low <> high").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other")))
     still_open = materialize(found.filter(F.col("kind") == OPEN).select("h").distinct(), "suffix-open")
     if not still_open.isEmpty():
-        spans = spans.unionByName(resolved(suffixes, still_open, words))
+        spans = spans.unionByName(resolved(found.filter(F.col("kind") == CROWD).join(still_open, "h", "left_semi"), words, parts))
     # Matches that overlap or touch are one passage; a document's matches are bounded by its length.
     so_far = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     up_to = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
