@@ -284,8 +284,9 @@ def repeated_passages(docs: DataFrame, words: int = 50, *, doc_id: str = "doc_id
     gone = materialize(whole.filter("d <> kept_d").select("d").distinct(), "suffix-gone")
     reps = keep_rows(rows.select("d", "h", "pos"), gone, ["d"])
     places = materialize(reps.select("d", F.explode(F.arrays_zip("h", "pos")).alias("at")).select("d", "at.h", "at.pos"), "suffix-places")
-    again = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    by_row = places.join(again, "h", "left_semi").groupBy("d").agg(F.collect_set(F.struct("pos", "h")).alias("places"))
+    again = materialize(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-again")
+    # A common beginning may hold a large share of the places.
+    by_row = hot_split_join(places, again, "h", "n", places.count()).filter("n IS NOT NULL").groupBy("d").agg(F.collect_set(F.struct("pos", "h")).alias("places"))
     suffixes = materialize(with_words(rows, by_row, words), "suffixes")
     found = sorted_matches(suffixes, words, parts)
     spans = found.filter(F.col("kind") == MATCH).select("doc_id", "start", "end", "other")
