@@ -202,10 +202,10 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
         model.effects.append(eff)
         cur = _subtract(cur, eff, lams, shared)
         shared = False
-        # Row level: persist after a shuffle join (user/item tables past the
-        # broadcast bound) and, for a λ grid, after every step so no stage
-        # replays the chain of wide joins. Cells are small and re-read.
-        if i < row_steps and (L > 1 or not can_broadcast(eff.table, eff.rows)):
+        # Row level: persist only what the next effect reads twice (its sums and the
+        # join past it), and only after a shuffle join or for a λ grid. What the
+        # cell aggregate alone reads is not held. Cells are small and re-read.
+        if i + 1 < min(row_steps, len(chain)) and (L > 1 or not can_broadcast(eff.table, eff.rows)):
             cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
             held.append(cur)
     if shared:  # empty chain: widen the single residual to every λ
@@ -232,29 +232,25 @@ def _subtract(cur: DataFrame, eff: FittedEffect, lambdas: list[float], shared: b
 
 
 def _genre_terms(model: BiasModel, df: DataFrame) -> DataFrame:
-    """Σ_g u_g·count_g per distinct genre string of ``df`` (small table)."""
+    """Σ_g u_g·count_g and the rows (``_w``) of each distinct genre string of ``df``; written, since it is counted and joined."""
     L = model.width
     gc = model.genres_col
-    combos = df.select(gc).distinct()
-    exploded = combos.select(gc, F.explode(genre_tokens(gc)).alias("genre"))
+    combos = df.groupBy(gc).agg(F.count(F.lit(1)).alias("_w"))
+    exploded = combos.select(gc, "_w", F.explode(genre_tokens(gc)).alias("genre"))
     eff = F.broadcast(model.genres) if can_broadcast(model.genres, model.genre_rows) else model.genres
     terms = (exploded.join(eff, "genre", "inner").groupBy(gc)
-             .agg(*[F.sum(f"g{j}").alias(f"_G{j}") for j in range(L)]))
-    return terms
-
-
-# Bound on genre-effect rows inlined as a literal map for per-row lookup.
-MAX_INLINE_GENRES = 10_000
+             .agg(F.max("_w").alias("_w"), *[F.sum(f"g{j}").alias(f"_G{j}") for j in range(L)]))
+    return materialize(terms, "genre-terms")
 
 
 def _genre_map_terms(model: BiasModel) -> list:
     """Per-row Σ_g u_g·count_g by folding the row's tokens over a literal map.
 
-    Needs no pass over the input (usable on a stream); the map is the genre
-    effect table, bounded by the vocabulary and checked here.
+    Needs no pass over the input, so that a stream can be scored; the map is the
+    genre effect table, held to the same byte bound as a broadcast.
     """
-    if model.genre_rows > MAX_INLINE_GENRES:
-        raise ValueError("genre effect table too large to inline")
+    if not can_broadcast(model.genres, model.genre_rows):
+        raise ValueError("genre effects past the broadcast bound: score the stream in foreachBatch with genre_terms='join'")
     rows = model.genres.collect()
     out = []
     for j in range(model.width):
@@ -268,12 +264,8 @@ def _adder(m):
     return lambda acc, t: acc + F.coalesce(F.element_at(m, t), F.lit(0.0))
 
 
-# Up to this many λ, the genre term is a per-row map lookup (no extra pass).
-MAP_TERMS_MAX_WIDTH = 4
-
-
 def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
-            cumulative: bool = False, genre_terms: str = "auto") -> DataFrame:
+            cumulative: bool = False, genre_terms: str = "join") -> DataFrame:
     """Add ``pred`` (one λ) or ``pred0…`` (several) to ``df``.
 
     A row whose key has no fitted effect gets a NULL prediction (strict,
@@ -281,14 +273,10 @@ def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
     ``cumulative`` the columns ``pred_m1 … pred_m{k}`` hold the prediction
     of every prefix of the chain (``pred_g`` adds genres), all from one pass.
     ``genre_terms="join"`` joins a per-genre-string table built from the
-    input's distinct lists (one extra pass, cheap per row for many λ);
-    ``"map"`` looks tokens up per row in the bounded genre-effect map (no
-    extra pass; streams); ``"auto"`` picks ``map`` for up to
-    ``MAP_TERMS_MAX_WIDTH`` λ values.
+    input's distinct lists; ``"map"``, for streams alone, looks tokens up per
+    row in the genre-effect map.
     """
     L = model.width
-    if genre_terms == "auto":
-        genre_terms = "map" if L <= MAP_TERMS_MAX_WIDTH and model.genre_rows <= MAX_INLINE_GENRES else "join"
     mu = model.mu if intercept is None else float(intercept)
     out = df
     for e in model.effects:
@@ -299,7 +287,7 @@ def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
         out = out.withColumns({f"_G{j}": t for j, t in enumerate(_genre_map_terms(model))})
     elif model.genres is not None:
         terms = _genre_terms(model, df)
-        out = lookup_join(out, terms, [model.genres_col], "left")
+        out = lookup_join(out, terms, [model.genres_col], "left", weight_col="_w").drop("_w")
         out = out.withColumns({f"_G{j}": F.coalesce(F.col(f"_G{j}"), F.lit(0.0)) for j in range(L)})
     tmp = [f"_{e.spec.name}{j}" for e in model.effects for j in range(L)]
     tmp += [f"_G{j}" for j in range(L)] if model.genres is not None else []

@@ -64,27 +64,22 @@ def with_drop_pct(board: DataFrame) -> DataFrame:
     return board.withColumn("drop_pct", (prev - F.col("rmse")) / prev * 100)
 
 
-def ablation(model: BiasModel, train: DataFrame, test: DataFrame, candidates: list[EffectSpec],
-             base_steps: int = 3, name: str = "ablation") -> DataFrame:
-    """Add each candidate effect *alone* on top of the first ``base_steps`` (M7).
+def fit_candidates(model: BiasModel, train: DataFrame, candidates: list[EffectSpec],
+                   base_steps: int = 3, name: str = "ablation") -> list:
+    """Each candidate's effect table (key, n, b0) on the residual of the first ``base_steps``.
 
-    All candidate effects come from ONE pass over the base residual on train:
-    a ``GROUPING SETS ((key1), (key2), …)`` aggregate (partial aggregation,
-    tiny output). The test side is then scored for the base and every
-    candidate in a single pass.
+    All come from ONE pass over the residual: a ``GROUPING SETS ((key1), (key2), …)``
+    aggregate (partial aggregation, tiny output), written once.
     """
-    from pyspark import StorageLevel
-
+    from ..session import materialize
     from .effects import FittedEffect, _shrink
 
-    base = model.prefix(base_steps)
-    resid = residuals(base, train)
+    resid = residuals(model.prefix(base_steps), train)
     keys = [c.key for c in candidates]
     if len(set(keys)) != len(keys):
         raise ValueError("candidate keys must be distinct")
-    sets = resid.groupingSets([[k] for k in keys], *keys).agg(
-        F.sum("_n").alias("n"), F.sum("_s0").alias("s"), *[F.grouping(k).alias(f"_g_{k}") for k in keys])
-    sets = sets.persist(StorageLevel.MEMORY_AND_DISK)
+    sets = materialize(resid.groupingSets([[k] for k in keys], *keys).agg(
+        F.sum("_n").alias("n"), F.sum("_s0").alias("s"), *[F.grouping(k).alias(f"_g_{k}") for k in keys]), name)
     sizes = {tuple(r[f"_g_{k}"] for k in keys): r["count"]
              for r in sets.groupBy(*[f"_g_{k}" for k in keys]).count().collect()}
     fitted = []
@@ -95,10 +90,21 @@ def ablation(model: BiasModel, train: DataFrame, test: DataFrame, candidates: li
             sel = sel & (F.col(f"_g_{k}") == m)
         table = sets.where(sel).select(c.key, "n", _shrink("s", "n", 0.0).alias("b0"))
         fitted.append(FittedEffect(c, table, sizes.get(mask, 0)))
+    return fitted
+
+
+def ablation(model: BiasModel, train: DataFrame, test: DataFrame, candidates: list[EffectSpec],
+             base_steps: int = 3, name: str = "ablation") -> DataFrame:
+    """Add each candidate effect *alone* on top of the first ``base_steps`` (M7).
+
+    The test side is scored for the base and every candidate in a single pass.
+    """
+    base = model.prefix(base_steps)
+    fitted = fit_candidates(model, train, candidates, base_steps, name)
     scored = predict(base, test)
     for f in fitted:
-        side = f.table.select(f.spec.key, F.col("b0").alias(f"_c_{f.spec.name}"))
-        scored = lookup_join(scored, side, [f.spec.key], "left", small_rows=f.rows)
+        side = f.table.select(f.spec.key, F.col("n").alias("_lk_n"), F.col("b0").alias(f"_c_{f.spec.name}"))
+        scored = lookup_join(scored, side, [f.spec.key], "left", small_rows=f.rows, weight_col="_lk_n").drop("_lk_n")
     obs = model.rating_col
     base_rmse = rmse_expr("pred", obs)
     rows = [F.struct(F.lit(f.spec.key).alias("candidate"),

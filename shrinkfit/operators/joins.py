@@ -18,7 +18,7 @@ def broadcast_max_bytes(df: DataFrame) -> int:
 
 
 def row_bytes(schema: T.StructType) -> int:
-    """Rough in-memory width of one row (fixed 8 bytes per numeric, 32 per string)."""
+    """Rough in-memory width of one row (fixed 8 bytes per numeric, 32 per string besides its measured bytes)."""
     width = 16
     for f in schema.fields:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
@@ -31,7 +31,13 @@ def row_bytes(schema: T.StructType) -> int:
 
 
 def can_broadcast(df: DataFrame, n_rows: int) -> bool:
-    return n_rows * row_bytes(df.schema) <= broadcast_max_bytes(df)
+    """Counted rows and, for string columns, their measured bytes, against the bound."""
+    fixed, most = n_rows * row_bytes(df.schema), broadcast_max_bytes(df)
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if fixed > most or not strings:
+        return fixed <= most
+    held = df.agg(sum(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in strings).alias("b")).first()["b"]
+    return fixed + held <= most
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
@@ -42,14 +48,16 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     ``small`` is broadcast only if its counted size is under the bound. Past
     it, if ``weight_col`` gives the number of ``big`` rows per key (effect
     tables carry ``n``), keys holding more than a share of one shuffle
-    partition are *hot*: their rows join a broadcast of just the hot lookup
-    rows (at most total/threshold of them, counted) and only the remaining
-    rows go through the shuffle join, so no single task receives a hot key.
+    partition are *hot*: their rows take their values from a broadcast of just
+    the hot lookup rows (at most total/threshold of them, counted) and go through
+    the shuffle join under a salt that spreads them and matches nothing there.
+    ``big`` is read once, however many such joins follow each other.
     """
     if small_rows is None:
         small_rows = small.count()
-    if can_broadcast(small, small_rows) or weight_col is None or how != "left":
-        return _join(big, small, keys, how, null_safe, F.broadcast if can_broadcast(small, small_rows) else None)
+    fits = can_broadcast(small, small_rows)
+    if fits or weight_col is None or how != "left":
+        return _join(big, small, keys, how, null_safe, F.broadcast if fits else None)
     parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     total = small.agg(F.sum(weight_col)).first()[0] or 0
     threshold = max(1, total // max(1, 4 * parts))
@@ -57,14 +65,14 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     hot_rows = hot.count()
     if hot_rows == 0 or not can_broadcast(hot, hot_rows):
         return _join(big, small, keys, how, null_safe, None)
-    marker = "_lk_hot"
     values = [c for c in small.columns if c not in keys]
-    # One map-side pass attaches the hot keys' values (and a tag) to their rows.
-    tagged = _join(big, hot.withColumn(marker, F.lit(True)), keys, "left", null_safe, F.broadcast)
-    hot_part = tagged.where(F.col(marker)).drop(marker)
-    cold_part = _join(tagged.where(F.col(marker).isNull()).drop(marker, *values),
-                      small.where(F.col(weight_col) <= threshold), keys, "left", null_safe, None)
-    return hot_part.unionByName(cold_part)
+    side = hot.select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
+    tagged = _join(big, side, keys, "left", null_safe, F.broadcast)
+    row = [F.col(f.name) for f in big.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    salt = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*row), F.lit(4 * parts))).otherwise(F.lit(0)).cast("long")
+    cold = small.where(F.col(weight_col) <= threshold).withColumn("_salt", F.lit(0).cast("long"))
+    out = _join(tagged.withColumn("_salt", salt), cold, [*keys, "_salt"], "left", null_safe, None)
+    return out.select(*big.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
 
 
 def _join(big: DataFrame, small: DataFrame, keys: list[str], how: str, null_safe: bool, hint) -> DataFrame:

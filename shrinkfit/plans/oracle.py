@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 from ..functions.columns import lambda_values
-from .queries import (DATE_COLS, EXCLUDED, FIXED_LAMBDA, GUARD_P, HEAD_ROWS, ID_COLS, PAIR_THRESHOLD)
+from .queries import (DATE_COLS, EXCLUDED, FIXED_LAMBDA, GUARD_P, HEAD_ROWS, ID_COLS, MALFORMED_ABOVE, PAIR_THRESHOLD)
 
 NO_GENRE = "(no genres listed)"
 CHAIN = (("b_i", "movieId"), ("b_u", "userId"), ("b_ry", "release_year"),
@@ -271,6 +271,10 @@ def oracle_queries() -> dict[str, str]:
         base + [_vocab("ml"), _genre_cells("ml", f"s.rk, s.userId, s.movieId, {r6('s.rating')} AS rating")],
         _pivot("rk, userId, movieId, rating"))
     q["delimited_roundtrip"] = with_([RATINGS], f"SELECT userId, movieId, {r6('rating')} AS rating, ts AS timestamp FROM ratings")
+    q["movies_roundtrip"] = with_([MOVIES], "SELECT movieId, title, genres FROM movies")
+    q["malformed_lines"] = with_([RATINGS], f"SELECT count(*) AS n_rows, count_if(rating > {MALFORMED_ABOVE}) AS n_malformed FROM ratings")
+    q["csv_roundtrip"] = with_(base + [_vocab("ml"), _genre_cells("ml", f"s.rk, s.movieId, {r6('s.rating')} AS rating")],
+                               _pivot("rk, movieId, rating"))
     q["head_sample"] = with_(pre, f"SELECT rk, userId, movieId, {r6('rating')} AS rating, title, genres FROM edx "
                                   f"ORDER BY rk LIMIT {HEAD_ROWS}")
 
@@ -340,6 +344,10 @@ def oracle_queries() -> dict[str, str]:
         sel.append(f"SELECT '{c}' AS candidate, {strict_rmse('pc')} AS rmse, {strict_rmse('pred')} AS base_rmse "
                    f"FROM ab_s_{c}")
     abl.append(f"ab AS ({' UNION ALL '.join(sel)})")
+    names = {"rating_year": "b_rat_y", "rating_month": "b_rat_m", "rating_week_of_year": "b_rat_wy", "rating_day_of_week": "b_rat_dw"}
+    q["candidate_effects"] = with_(m0 + [c for c in abl if c.startswith("ab_r AS")], " UNION ALL ".join(
+        f"SELECT '{names[c]}' AS effect, CAST({c} AS VARCHAR) AS key, {r6('sum(r) / count(*)')} AS b, count(*) AS n "
+        f"FROM ab_r GROUP BY {c}" for c in cands))
     q["ablation_rating_date"] = with_(abl, f"SELECT candidate, {r6('rmse')} AS rmse, {r6('base_rmse')} AS base_rmse, "
                                            f"{r6('rmse - base_rmse')} AS delta_vs_base, rmse - base_rmse < 0 AS improves FROM ab")
 
@@ -347,6 +355,11 @@ def oracle_queries() -> dict[str, str]:
     fx.append(rmse_cte("fx_rmse", "fx_p"))
     q["model7_fixed_lambda"] = with_(fx, f"SELECT {r6('lam')} AS {LAM_OUT}, {r6('rmse')} AS rmse, n, n_unscored FROM fx_rmse")
 
+    parts = [f"SELECT '{name}' AS effect, CAST({key} AS VARCHAR) AS key, {r6('b')} AS b, n FROM fx_e{k}"
+             for k, (name, key) in enumerate(CHAIN, start=1)]
+    parts.append(f"SELECT 'b_g' AS effect, genre AS key, {r6('b')} AS b, CAST(n AS BIGINT) AS n FROM fx_ge")
+    q["regularised_effects"] = with_(pre + [lam_cte("fx", [FIXED_LAMBDA])] + model_ctes("fx", "edx_train"), " UNION ALL ".join(parts))
+
     grid = pre + grid_ctes()
     q["lambda_grid"] = with_(grid, f"SELECT {r6('lam')} AS {LAM_OUT}, {r6('rmse')} AS rmse, n_unscored FROM gr_rmse")
     q["best_lambda"] = with_(grid, f"SELECT {r6('lam')} AS {LAM_OUT}, {r6('rmse')} AS rmse FROM best")

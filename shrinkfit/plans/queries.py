@@ -19,14 +19,14 @@ from pyspark.sql import types as T
 from ..functions.columns import release_year
 from ..operators.correlate import correlated_pairs, correlation_matrix
 from ..operators.effects import predict
-from ..operators.evaluate import (ablation, best_lambda, model_sequence, rmse, with_drop_pct)
+from ..operators.evaluate import (ablation, best_lambda, fit_candidates, model_sequence, rmse, with_drop_pct)
 from ..operators.features import (explode_genres, genre_indicators, genre_vocabulary,
                                   dense_row_id, genre_vocabulary_df, head, regroup_first_sum,
                                   select_prefix, with_row_id)
 from ..operators.joins import natural_anti_join, semi_join_keys
 from ..operators.split import seen_key_guard, split_share, stratified_split
 from ..session import checkpoint_dir, configure, materialize
-from ..sources.readers import read_delimited, write_delimited
+from ..sources.readers import MOVIES_SCHEMA, count_malformed, read_csv, read_delimited, write_csv, write_delimited
 from ..sources.tables import movielens, movies_view, ratings_view
 from .experiment import DATE_CANDIDATES, experiment
 
@@ -34,6 +34,7 @@ DIGITS = 6
 FIXED_LAMBDA = 2.5        # Model 7 at a fixed, given λ
 GUARD_P = 0.9             # split share where the seen-key guard really fires
 PAIR_THRESHOLD = 0.1      # |r| cut for correlated genre pairs on the fixture
+MALFORMED_ABOVE = 4.5     # ratings written as malformed lines
 HEAD_ROWS = 100           # the reference keeps the first 100 rows as a sample
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +101,38 @@ def q_delimited_roundtrip(spark, sf_dir):
     return rounded(read_delimited(spark, path, schema))
 
 
+def _file(spark, name: str) -> str:
+    configure(spark)
+    return os.path.join(checkpoint_dir(spark), "shrinkfit", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def q_movies_roundtrip(spark, sf_dir):
+    """The items as ``::`` text, read back typed."""
+    path = _file(spark, "movies-dat")
+    write_delimited(movies_view(spark, sf_dir), path)
+    out = read_delimited(spark, path, MOVIES_SCHEMA)
+    return out.withColumn("movieId", F.col("movieId").cast("long"))
+
+
+def q_malformed_lines(spark, sf_dir):
+    """Ratings as ``::`` text, those above ``MALFORMED_ABOVE`` with a user that is no number: rows and malformed ones."""
+    path = _file(spark, "ratings-bad")
+    user = F.when(F.col("rating") > MALFORMED_ABOVE, F.lit("?")).otherwise(F.col("userId").cast("string"))
+    write_delimited(ratings_view(spark, sf_dir).select(user.alias("userId"), "movieId", "rating", "ts"), path)
+    schema = T.StructType([T.StructField("userId", T.LongType()), T.StructField("movieId", T.LongType()),
+                           T.StructField("rating", T.DoubleType()), T.StructField("timestamp", T.LongType())])
+    return count_malformed(read_delimited(spark, path, schema, keep_corrupt=True))
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """The wide indicator table as header CSV, read back with an inferred schema (S3)."""
+    ml = _movielens(spark, sf_dir).select("rk", "movieId", "rating", "genres")
+    path = _file(spark, "indicators-csv")
+    write_csv(genre_indicators(ml, genre_vocabulary(ml)), path)
+    out = read_csv(spark, path)
+    return rounded(out.withColumn("movieId", F.col("movieId").cast("long")))
+
+
 def q_head_sample(spark, sf_dir):
     e = experiment(spark, sf_dir)
     return rounded(head(e.edx.select("rk", "userId", "movieId", "rating", "title", "genres"),
@@ -267,6 +300,30 @@ def q_model_sequence_excluded(spark, sf_dir):
     return rounded(model_sequence(e.model0, e.edx_test))
 
 
+def q_regularised_effects(spark, sf_dir):
+    """Every effect table of the model at the fixed λ, in long form."""
+    e = experiment(spark, sf_dir)
+    model = e.fit(e.edx_train, FIXED_LAMBDA, "model-tables")
+    tables = [(f.spec.name, f.spec.key, f.table.withColumnRenamed("b0", "b")) for f in model.effects]
+    tables.append(("b_g", "genre", model.genre_effects().withColumnRenamed("b_g", "b")))
+    return rounded(_long_effects(tables))
+
+
+def _long_effects(tables) -> DataFrame:
+    out = None
+    for name, key, table in tables:
+        part = table.select(F.lit(name).alias("effect"), F.col(key).cast("string").alias("key"), "b", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_candidate_effects(spark, sf_dir):
+    """The candidate effect tables (year, month, week, weekday) on the Model 4 residual, in long form."""
+    e = experiment(spark, sf_dir)
+    fitted = fit_candidates(e.model0, e.edx_train, list(DATE_CANDIDATES), name="candidates")
+    return rounded(_long_effects([(f.spec.name, f.spec.key, f.table.withColumnRenamed("b0", "b")) for f in fitted]))
+
+
 def q_model7_excluded(spark, sf_dir):
     e = _excluding(spark, sf_dir)
     model = e.fit(e.edx_train, FIXED_LAMBDA, "model-excluded")
@@ -322,4 +379,9 @@ QUERIES: dict[str, Query] = {
     "model7_excluded": q_model7_excluded,
     "dense_row_id": q_dense_row_id,
     "prefix_columns": q_prefix_columns,
+    "movies_roundtrip": q_movies_roundtrip,
+    "malformed_lines": q_malformed_lines,
+    "csv_roundtrip": q_csv_roundtrip,
+    "regularised_effects": q_regularised_effects,
+    "candidate_effects": q_candidate_effects,
 }

@@ -48,8 +48,9 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def count_malformed(df: DataFrame) -> DataFrame:
-    """One row: total rows and rows the parser could not type (by column NULLs)."""
-    fields = [c for c in df.columns if c != CORRUPT_COL]
+    """One row: total rows and rows the parser could not type: a typed field that is missing or does not parse and, in a
+    frame read with ``keep_corrupt``, a wrong number of fields. An empty text field is a value."""
+    fields = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.StringType)]
     bad = F.lit(False)
     for c in fields:
         bad = bad | F.col(c).isNull()
@@ -67,6 +68,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return reader.schema(schema).csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Header CSV sink (S3), one part per task."""
+    df.write.mode("overwrite").option("header", "true").csv(path)
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = "::") -> None:
     """Sink for ``::`` text (the reference's input format), one part per task."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]

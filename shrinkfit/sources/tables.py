@@ -78,12 +78,16 @@ def enrich(ratings: DataFrame, movies: DataFrame, key: str = "movieId") -> DataF
     One aggregate checks the item side and counts it; the ratings' items are counted too
     (partial sums), so past the broadcast bound hot items are joined apart (``lookup_join``).
     """
-    from ..operators.joins import lookup_join
+    from ..operators.joins import can_broadcast, lookup_join
 
     items = movies.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("keys"), F.max("n").alias("most")).first()
     if (items["most"] or 0) > 1:
         raise ValueError(f"item key {key!r} is not unique")
-    return lookup_join(ratings, movies, [key], "left", small_rows=items["keys"])
+    if can_broadcast(movies, items["keys"]):
+        return lookup_join(ratings, movies, [key], "left", small_rows=items["keys"])
+    weights = ratings.groupBy(key).agg(F.count(F.lit(1)).alias("_w")).withColumnRenamed(key, "_wk")
+    movies = movies.join(weights, movies[key].eqNullSafe(weights["_wk"]), "left").drop("_wk").withColumn("_w", F.coalesce("_w", F.lit(0)))
+    return lookup_join(ratings, movies, [key], "left", small_rows=items["keys"], weight_col="_w").drop("_w")
 
 
 def movielens_from_files(spark: SparkSession, ratings_path: str, movies_path: str,

@@ -30,7 +30,27 @@ def test_lookup_join_hot_split_matches_plain(spark):
     finally:
         spark.conf.unset("shrinkfit.broadcastMaxBytes")
     assert got == plain
-    assert "Union" in plan and "BroadcastHashJoin" in plan
+    assert "Union" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_two_effects_past_the_bound_read_the_rows_once(spark, tmp_path):
+    _skewed(spark).write.parquet(str(tmp_path / "rows"))
+    big = spark.read.parquet(str(tmp_path / "rows"))
+    sides = [big.groupBy(k).count().withColumnRenamed("count", f"n_{k}") for k in ("userId", "movieId")]
+    for i, side in enumerate(sides):
+        side.write.parquet(str(tmp_path / f"side{i}"))
+    spark.conf.set("shrinkfit.broadcastMaxBytes", "400")
+    try:
+        out = big
+        for i, k in enumerate(("userId", "movieId")):
+            out = lookup_join(out, spark.read.parquet(str(tmp_path / f"side{i}")), [k], weight_col=f"n_{k}")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        rows = out.count()
+    finally:
+        spark.conf.unset("shrinkfit.broadcastMaxBytes")
+    # rk is in one scanned relation only.
+    assert sum("Relation" in line and "rk#" in line for line in plan.splitlines()) == 1
+    assert rows == big.count()
 
 
 def test_fit_and_predict_without_broadcast_equal_default(spark):
