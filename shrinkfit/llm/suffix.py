@@ -15,7 +15,8 @@
 6. Each document's matches are joined to maximal passages: longer ones have a retained suffix every few words.
 
 Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. Null, empty and shorter texts have no passage; a null doc_id takes no part. Very long texts
-are used whole. Repeats inside one doc_id don't count, so repeated rows don't either. Ties need no rule: every occurrence is reported. Empty table: no rows. Further columns are not read.
+are used whole. Repeats inside one doc_id don't count, so repeated rows don't either; the passages of an id's
+several texts are given together, by word number. Words are compared by hash: 64 bits of the first ANCHOR words, 16 of each further one. Ties need no rule: every occurrence is reported. Empty table: no rows. Further columns are not read.
 """
 
 from __future__ import annotations

@@ -145,6 +145,40 @@ def test_passages(docs, corpus, nothing):
     assert suffix.passages_query(nothing).count() == 0
 
 
+def test_passages_of_copies_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    copy, shared, own = prose(60), prose(55), prose(70)
+    rows = [(i, copy) for i in (3, 4, 5, 5)]  # copies, one of them twice
+    rows += [(7, shared + " " + prose(20)), (7, prose(30) + " " + shared)]  # one id, two texts: doesn't count
+    rows += [(8, own), (8, own), (9, prose(49)), (10, None), (None, copy)]
+    rows += [(11, prose(10) + " " + copy + " " + prose(10))]
+    got = {(r.doc_id, r.start, r.end) for r in suffix.passages_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 0, 60), (4, 0, 60), (5, 0, 60), (11, 10, 70)}
+    rows += [(12, shared)]
+    got = suffix.passages_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end) for r in got if r.doc_id in (7, 12)} == {(7, 0, 85), (12, 0, 55)}  # word numbers of both texts of 7
+    assert all(r.other != r.doc_id for r in got)
+
+
+def test_crowded_beginnings_are_resolved(spark):
+    """A beginning of 30 words that 60 documents share; the passage across it is shared by pairs that don't sort beside each other."""
+    rng = np.random.default_rng(10)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    line = prose(30)
+    left = [prose(22) for _ in range(12)]
+    rows = [(i, prose(40) + " " + left[i % 12] + " " + line + " " + prose(40)) for i in range(24)]
+    rows += [(100 + i, prose(40) + " " + line + " " + prose(40)) for i in range(36)]
+    got = {(r.doc_id, r.start, r.end) for r in suffix.passages_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 40, 92) for i in range(24)}
+
+
+def test_runs_of_one_word_differ(spark):
+    """Runs of one word each: 16-bit hashes of words alone would make some of them equal."""
+    rows = [(i, " ".join([f"w{i}"] * 52)) for i in range(700)]
+    assert suffix.passages_query(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
 def test_minimisers_are_shared():
     rng = np.random.default_rng(4)
     shared = rng.integers(0, 2**63, 50).astype(np.uint64)
