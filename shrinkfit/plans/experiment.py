@@ -25,7 +25,7 @@ from ..operators.effects import DEFAULT_CHAIN, BiasModel, EffectSpec, fit_effect
 from ..operators.evaluate import best_lambda, lambda_grid
 from ..operators.features import genre_vocabulary
 from ..operators.split import guarded_split
-from ..session import configure, materialize
+from ..session import configure, delete_written, materialize
 from ..sources.tables import enrich, movies_view, ratings_view
 
 FEATURE_COLS = ["rk", "userId", "movieId", "rating", "ts", "title", "genres", "release_year",
@@ -168,3 +168,11 @@ def experiment(spark: SparkSession, sf_dir: str, **params) -> Experiment:
         exp = Experiment(spark, sf_dir.rstrip("/"), **params)
         _CACHE[key] = exp
     return exp
+
+
+def close_experiments(spark: SparkSession) -> None:
+    """Forget this application's memoised experiments and delete every intermediate folder that it wrote."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _CACHE if k[0] == app]:
+        del _CACHE[key]
+    delete_written(spark)

@@ -45,6 +45,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+#: Folders that ``materialize`` wrote, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def written(spark: SparkSession) -> list[str]:
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def delete_written(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete folders that this application's ``materialize`` wrote (all of them by default), on whatever file system they
+    are. Frames that read them can't be used afterwards."""
+    own = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in own if paths is None or p in paths]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        own.remove(path)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
@@ -56,6 +74,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     spark = df.sparkSession
     base = checkpoint_dir(spark)
     path = os.path.join(base, "shrinkfit", f"{name}-{uuid.uuid4().hex[:12]}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -88,3 +88,15 @@ def test_dense_row_id(spark):
     df = spark.createDataFrame([(f"k{i:03d}",) for i in range(57)], "k string").repartition(5)
     got = sorted((r.k, r.rowID) for r in dense_row_id(df, ["k"]).collect())
     assert got == [(f"k{i:03d}", i + 1) for i in range(57)]
+
+
+def test_delete_written_takes_only_what_this_application_wrote(spark):
+    import os
+
+    from shrinkfit.session import checkpoint_dir, delete_written, materialize, written
+    kept, gone = (materialize(spark.range(5), name) for name in ("kept", "gone"))
+    path = written(spark)[-1]
+    delete_written(spark, [path, os.path.join(checkpoint_dir(spark), "shrinkfit")])
+    assert path not in written(spark) and kept.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
