@@ -10,9 +10,12 @@
 3. Of a region's candidates, a spanning forest (most alike first) is confirmed on the full shingle sets; a second round confirms all other
    candidates that lie between different classes. So no pair of the candidates is lost, and a group of n near copies
    costs about n confirmations for each tree, not n squared.
-4. Classes are the connected components of the confirmed links.
+4. The rows of regions that were cut (by ``LEAF``, or at the ends of a task's run) are joined exactly with each other: two sets of the threshold
+   share one of their rarest shingles, at a place that leaves enough others behind it in both. The pairs between different classes are confirmed.
+   A shingle of many rows is dealt over blocks; it costs pairs only for rows that have it among their rarest, by which they could reach the threshold.
+5. Classes are the connected components of the confirmed links.
 
-A link at the threshold 0.85 is a candidate in one tree with probability 0.85 ** 2 where regions are not cut, in ten with 1 - 3e-6.
+A link at the threshold 0.85 is a candidate in one tree with probability 0.85 ** 2, in ten with 1 - 3e-6; of two rows of one cut region no link is lost.
 
 Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. Fewer words than a shingle has: the whole sequence is one. Null, empty and
 wordless texts have no shingles and link with nothing. Very long texts are used whole. A null doc_id links with nothing and is its own class (null). Rows that
@@ -36,6 +39,8 @@ from .graph import components
 
 TREES, DEPTH, BASE, LEAF = 10, 6, 2, 48
 HASHES = TREES * DEPTH
+#: Rows of one shingle that are compared in one block, and shingles that are counted at most for the order by rarity.
+BLOCK, COUNTED = 4096, 32_000_000
 #: Standard errors of the signature's estimate by which a pair may miss the threshold and still be confirmed.
 DOUBT = 3.5
 
@@ -145,6 +150,12 @@ def leaves(prefix: np.ndarray, tree: np.ndarray) -> np.ndarray:
     return np.cumsum(cut) - 1
 
 
+def cut_rows(prefix: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """The rows whose region (equal tree and first ``BASE`` values) is cut, or may go on past the ends of this run."""
+    region = np.cumsum(np.concatenate([[True], (tree[1:] != tree[:-1]) | (prefix[1:, :BASE] != prefix[:-1, :BASE]).any(axis=1)])) - 1
+    return np.flatnonzero((np.bincount(region)[region] > LEAF) | (region == 0) | (region == region[-1]))
+
+
 def candidates(tree: np.ndarray, prefix: np.ndarray, rid: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float, least: float):
     """(a, b, first) of a run of sorted rows; first: it belongs to the region's spanning forest."""
     leaf = leaves(prefix, tree)
@@ -188,7 +199,7 @@ def candidates(tree: np.ndarray, prefix: np.ndarray, rid: np.ndarray, size: np.n
 
 
 def forest_pairs(reps: DataFrame, threshold: float) -> DataFrame:
-    """Written: a, b, first; each pair once. ``reps``: rid, n_shingles, signature."""
+    """Written: a, b, first; each pair once, and a row with a null b for each a of a cut region. ``reps``: rid, n_shingles, signature."""
     spark = reps.sparkSession
     width = 2 * DEPTH
     trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.expr(f"substring(signature, {t * width + 1}, {width})").alias("prefix")) for t in range(TREES)])
@@ -202,8 +213,11 @@ def forest_pairs(reps: DataFrame, threshold: float) -> DataFrame:
         def look(rows: pa.Table):
             col = lambda c: rows.column(c).combine_chunks()
             raw = lambda c, w: np.frombuffer(b"".join(col(c).to_pylist()), "<u2").reshape(-1, w)
-            a, b, first = candidates(col("tree").to_numpy(), raw("prefix", DEPTH), col("rid").to_numpy(), col("n_shingles").to_numpy(), raw("signature", HASHES).astype(np.uint8), threshold, least)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(first)], ["a", "b", "first"])
+            tree, prefix, rid = col("tree").to_numpy(), raw("prefix", DEPTH), col("rid").to_numpy()
+            a, b, first = candidates(tree, prefix, rid, col("n_shingles").to_numpy(), raw("signature", HASHES).astype(np.uint8), threshold, least)
+            marked = np.unique(rid[cut_rows(prefix, tree)])
+            b = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(marked), pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, marked]), pa.int64()), b, pa.array(np.concatenate([first, np.zeros(len(marked), bool)]))], ["a", "b", "first"])
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -227,11 +241,13 @@ def forest_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) with share[1] * intersection >= share[0] * union of the whole sets. ``texts``: doc_id, text, ids unique.
 
-    Each pair carries one text; the other one is sent once for each a. An a has a bounded number of pairs, its regions being bounded.
+    Each pair carries one text; the other one is sent once for each slot of a, of about 256 pairs.
     """
     spark = pairs.sparkSession
-    theirs = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "text")
-    heads = texts.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("slots"))
+    pairs = pairs.join(slots, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slots")).alias("slot"))
+    theirs = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "slot", "b", "text")
+    heads = texts.withColumnRenamed("doc_id", "a").join(pairs.select("a", "slot").distinct(), "a").select("a", "slot", F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches):
         a, own = None, None
@@ -249,10 +265,111 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int,
                     right.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    rows = theirs.unionByName(heads).repartition(shuffle_partitions(spark), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    rows = theirs.unionByName(heads).repartition(shuffle_partitions(spark), "a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
     return rows.mapInArrow(run, "a long, b long")
 
 
+def rarest(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """Written: shingle, rid, class, n (size of the set), upto (of the largest partner that this place leaves room for), for each set's rarest
+    shingles, as many as a partner may not all miss. ``marked``: rid, class, n_shingles, text."""
+    spark = marked.sparkSession
+    total = marked.agg(F.sum("n_shingles")).first()[0] or 0
+    every = max(1, -(-total // COUNTED))
+
+    def count(batches):
+        for batch in batches:
+            for _, part in text_slices(batch.column("text")):
+                found = sets(part, width)
+                h, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+    # Any order that all sets share is right; a sample's counts only make it a good one.
+    some = marked.filter(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("text")
+    most = max(8, total // every // 1_000_000)
+    often = some.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > most).toArrow()
+    key = often.column("shingle").to_numpy().view(np.uint64)
+    by_key = np.argsort(key)
+    known = spark.sparkContext.broadcast((key[by_key], often.column("n").to_numpy()[by_key]))
+    part_of, whole = share
+
+    def run(batches):
+        keys, times = known.value
+        for batch in batches:
+            rid, group = batch.column("rid").to_numpy(), batch.column("class").to_numpy()
+            for start, part in text_slices(batch.column("text")):
+                found = sets(part, width)
+                lens = np.array([len(x) for x in found], dtype=np.int64)
+                h = np.concatenate([*found, np.zeros(0, np.uint64)])
+                row = np.repeat(np.arange(len(found)), lens)
+                times_of = np.zeros(len(h), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    times_of = np.where(keys[at] == h, times[at], 0)
+                order = np.lexsort((h, times_of, row))
+                place = np.arange(len(h)) - np.repeat(np.cumsum(lens) - lens, lens)
+                n = lens[row]
+                upto = (n - place) * (part_of + whole) // part_of - n
+                take = np.flatnonzero(upto * whole >= n * part_of)
+                of = start + row[take]
+                yield pa.RecordBatch.from_arrays([pa.array(h[order][take].view(np.int64)), pa.array(rid[of]), pa.array(group[of]), pa.array(n[take]), pa.array(upto[take])], ["shingle", "rid", "class", "n", "upto"])
+
+    return materialize(marked.select("rid", "class", "text").mapInArrow(run, "shingle long, rid long, class long, n long, upto long"), "near-rarest")
+
+
+def meeting(group: np.ndarray, rid: np.ndarray, kind: np.ndarray, n: np.ndarray, upto: np.ndarray, home: np.ndarray, most: int = 2_000_000):
+    """(a, b) of rows of equal ``group`` and different ``kind`` that leave room for each other; sorted by group and n, ``home``: may be the larger."""
+    tail = group.astype(np.int64) << np.int64(40)
+    x = np.flatnonzero(upto >= n)
+    end = np.searchsorted(tail + n, tail[x] + upto[x], side="right")
+    x, number = x[end > x + 1], (end - x - 1)[end > x + 1]
+    done = np.cumsum(number)
+    start = 0
+    while start < len(x):
+        before = done[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(done, before + most, side="right")))
+        i = np.repeat(x[start:stop], number[start:stop])
+        j = i + 1 + np.arange(len(i)) - np.repeat(done[start:stop] - number[start:stop] - before, number[start:stop])
+        ok = home[j] & (kind[i] != kind[j]) & (upto[j] >= n[i]) & (rid[i] != rid[j])
+        yield np.minimum(rid[i[ok]], rid[j[ok]]), np.maximum(rid[i[ok]], rid[j[ok]])
+        start = stop
+
+
+def crowd_pairs(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """Written: a, b; every pair of different classes that may reach the threshold, each once. ``marked`` as in ``rarest``."""
+    spark = marked.sparkSession
+    rows = rarest(marked, width, share)
+    keys = rows.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.col("upto") >= F.col("n")).alias("least"))
+    keys = materialize(keys.filter("low <> high AND least").select("shingle", "rows"), "near-meeting")
+    met = hot_split_join(rows, keys, "shingle", "rows", rows.count()).filter("rows IS NOT NULL")
+    # Rows that may be the smaller of a pair go to all blocks of their shingle, each row's own block is one of them.
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
+    met = met.withColumn("block", F.explode(F.when(F.col("upto") >= F.col("n"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))).withColumn("home", F.col("block") == own)
+
+    def run(batches):
+        def look(t: pa.Table):
+            col = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+            shingle, block = col("shingle"), col("block")
+            group = np.cumsum(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (block[1:] != block[:-1])])) - 1
+            for a, b in meeting(group, col("rid"), col("class"), col("n"), col("upto"), col("home").astype(bool)):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            shingle, block = (held.column(c).to_numpy() for c in ("shingle", "block"))
+            last = np.flatnonzero((shingle != shingle[-1]) | (block != block[-1])) if held.num_rows >= 20_000 else []
+            if len(last):
+                yield from look(held.slice(0, int(last[-1]) + 1))
+                held = held.slice(int(last[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield from look(held)
+
+    met = met.select("shingle", "block", "n", "rid", "class", "upto", "home").repartition(shuffle_partitions(spark), "shingle", "block").sortWithinPartitions("shingle", "block", "n")
+    return materialize(met.mapInArrow(run, "a long, b long").distinct(), "near-crowd-pairs")
+
+
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; texts link where share[1] * intersection >= share[0] * union."""
     rows = signature_rows(docs, doc_id, text, width)
@@ -261,14 +378,15 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     reps = linkable.select("doc_id", "digest", "n_shingles", "signature").join(groups.select("rid", F.col("digest").alias("d")), (F.col("doc_id") == F.col("rid")) & (F.col("digest") == F.col("d")), "left_semi")
     reps = reps.withColumnRenamed("doc_id", "rid").dropDuplicates(["rid", "digest"])
     pairs = forest_pairs(reps.select("rid", "n_shingles", "signature"), share[0] / share[1])
-    involved = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-involved")
+    crowd = pairs.filter("b IS NULL").select(F.col("a").alias("rid"))
+    involved = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.filter("b IS NOT NULL").select(F.col("b").alias("doc_id"))).distinct(), "near-involved")
     n = involved.count()
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts = materialize(texts.join(F.broadcast(involved) if n <= BROADCAST_ROWS else involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
     first = materialize(confirmed(pairs.filter("first").select("a", "b"), texts, width, share), "near-links")
     known = components(first)
     known = materialize(known, "near-classes")
-    ends = pairs.filter("not first").select("a", "b")
+    ends = pairs.filter("not first AND b IS NOT NULL").select("a", "b")
     for c in ("a", "b"):
         at = known.select(F.col("node").alias(c), F.col("component").alias(f"class_{c}"))
         ends = ends.join(at, c, "left").withColumn(f"class_{c}", F.coalesce(f"class_{c}", c))
@@ -276,6 +394,12 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     more = materialize(confirmed(rest, texts, width, share), "near-more")
     if not more.isEmpty():
         known = materialize(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-classes")
+    marked = crowd.join(known.select(F.col("node").alias("rid"), F.col("component").alias("class")), "rid", "left").withColumn("class", F.coalesce("class", "rid"))
+    marked = marked.join(reps.select("rid", "n_shingles"), "rid").join(texts.withColumnRenamed("doc_id", "rid"), "rid")
+    met = crowd_pairs(materialize(marked, "near-crowd"), width, share)
+    if not met.isEmpty():
+        more = materialize(confirmed(met, texts, width, share), "near-crowd-links")
+        known = materialize(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-classes")
     named = groups.join(known.select(F.col("node").alias("rid"), "component"), "rid", "left").select("digest", "n", F.coalesce("component", "rid").alias("component_id"))
     out = hot_split_join(linkable, materialize(named, "near-named"), "digest", "n", rows.count()).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

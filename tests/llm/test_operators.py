@@ -211,6 +211,26 @@ def test_near_stage(docs, nothing):
     assert forest.near_query(nothing).count() == 0 and forest.drop_near_copies(nothing).count() == 0
 
 
+def test_near_links_in_a_crowd(spark):
+    """A template that 1,300 documents share crowds the regions; the links between documents of one filling, far apart by id, are all found."""
+    ship(spark)
+    rng = np.random.default_rng(21)
+    template = [f"t{x}" for x in range(150)]
+    filling = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows = []
+    for i in range(1000):
+        own = filling(24)
+        rows.append((i, " ".join(template + own)))
+        if i < 300:
+            rows.append((9000 - i, " ".join(template + own[:11] + filling(13))))
+    sets = {i: {tuple(t.split(" ")[k : k + 3]) for k in range(172)} for i, t in rows}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert all(linked(i, 9000 - i) for i in range(300)) and not any(linked(i, i + 1) for i in range(999))
+    got = forest.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=3, share=(85, 100)).collect()
+    recall = sum(r.component_id == 9000 - r.doc_id for r in got if r.doc_id > 8000) / 300
+    assert recall == 1 and all(r.component_id == r.doc_id for r in got if r.doc_id < 8000), recall
+
+
 def test_leaves_get_deeper():
     tree = np.zeros(400, np.int64)
     prefix = np.zeros((400, forest.DEPTH), np.uint16)
