@@ -4,13 +4,15 @@ The library spends most of its time on splitting a text into words, again and ag
 same words. Here Arrow splits a batch at its spaces, every distinct piece is cut into words
 once, and the library's BPE model gives each distinct word's ids; numpy then puts the ids of all
 documents together. A text in which a space has another white space beside it isn't split at
-its spaces but cut as a whole. Any other kind of tokenizer goes through ``encode_batch``.
+its spaces but cut as a whole. A text that holds the string of one of the file's added tokens
+goes through the library. Any other kind of tokenizer goes through ``encode_batch``.
 """
 
 from __future__ import annotations
 
 import gc
 import json
+import re
 from itertools import chain, repeat
 
 import numpy as np
@@ -52,11 +54,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.plain = (spec["model"]["type"] == "BPE" and spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
                       and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not spec["model"].get("dropout"))
+        #: A text with one of these is split by the library.
+        self.added = "|".join(re.escape(x["content"]) for x in spec.get("added_tokens") or [] if x["content"])
         self.words = regex.compile(WORDS)
         shown = {b for a, z in SHOWN for b in range(a, z + 1)}
         hidden = iter(range(256, 512))
@@ -78,7 +81,7 @@ class Encoder:
             lens = np.array([len(x) for x in found], dtype=np.int64)
             ids = np.concatenate([*found, np.zeros(0, np.uint32)])
         else:
-            lens, ids = self._fast(texts)
+            lens, ids = self._mixed(texts)
         offsets = np.concatenate([[0], np.cumsum(lens)])
         if end is None:
             return offsets, ids
@@ -89,6 +92,18 @@ class Encoder:
         out[mask], out[ends] = ids, end
         return np.concatenate([[0], ends + 1]), out
 
+    def _mixed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        held = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False).astype(bool) if self.added else np.zeros(len(texts), bool)
+        if not held.any():
+            return self._fast(texts)
+        lens = np.zeros(len(texts), dtype=np.int64)
+        lens[~held], rest = self._fast(texts.take(pa.array(np.flatnonzero(~held))))
+        found = [np.asarray(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, dtype=np.uint32) for i in np.flatnonzero(held)]
+        lens[held] = [len(x) for x in found]
+        ids, is_held = np.empty(lens.sum(), dtype=np.uint32), np.repeat(held, lens)
+        ids[is_held], ids[~is_held] = np.concatenate(found), rest
+        return lens, ids
+
     def _fast(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
         odd = pc.match_substring_regex(texts, f" {_WHITE}|{_WHITE} ").to_numpy(zero_copy_only=False).astype(bool)

@@ -60,6 +60,19 @@ def test_encoder_equals_library(corpus):
         assert ids[offsets[k] : offsets[k + 1]].tolist() == ids_of(t).tolist()
 
 
+def test_encoder_equals_fresh_library():
+    """Texts with an added token's string, beside others and alone, against a tokenizer as its file gives it."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    for texts in (["a <|endoftext|> b", "plain  text", "<|endoftext|>", None, "x<|endoftext|><|endoftext|> \n y", "<|endoftext |>"], ["<|endoftext|> only"]):
+        want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for end in (None, 0):
+            offsets, ids = encoder(tokenizer_path()).encode(pa.array(texts), end)
+            assert [ids[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:])] == [x + ([] if end is None else [end]) for x in want]
+    assert 50256 in want[0]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(200)]
