@@ -18,8 +18,8 @@
 A link at the threshold 0.85 is a candidate in one tree with probability 0.85 ** 2, in ten with 1 - 3e-6; of two rows of one cut region no link is lost.
 
 Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. Fewer words than a shingle has: the whole sequence is one. Null, empty and
-wordless texts have no shingles and link with nothing. Very long texts are used whole. A null doc_id links with nothing and is its own class (null). Rows that
-share a doc_id share its class. Empty table: no rows. Further columns are not read.
+wordless texts have no shingles and link with nothing. Very long texts are used whole. A null doc_id links with nothing and is its own class (null). A doc_id that
+stands for texts of different sets has a class for each of them. Empty table: no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -113,9 +113,14 @@ def signatures(ends: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, raw, text."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("raw"), F.col(text).cast("string").alias("text"))
+
+
 def signature_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """Written: doc_id, n_shingles, digest (null without shingles), signature."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
+    """Written: doc_id, raw (a hash of the text as it is), n_shingles, digest (null without shingles), signature."""
+    schema = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -123,10 +128,9 @@ def signature_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> DataF
                 ends, h = shingle_hashes(part, width)
                 distinct = [np.unique(h[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 sig = signatures(ends, h).astype("<u2")
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(part)), pa.array([len(x) for x in distinct], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in distinct], pa.binary()), pa.array([row.tobytes() for row in sig], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(start, len(part)) for c in ("doc_id", "raw")], pa.array([len(x) for x in distinct], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in distinct], pa.binary()), pa.array([row.tobytes() for row in sig], pa.binary())], schema=schema)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary"), "signatures")
+    return materialize(keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, raw long, n_shingles long, digest binary, signature binary"), "signatures")
 
 
 def leaves(prefix: np.ndarray, tree: np.ndarray) -> np.ndarray:
@@ -370,19 +374,21 @@ def crowd_pairs(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFr
     return materialize(met.mapInArrow(run, "a long, b long").distinct(), "near-crowd-pairs")
 
 
-def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; texts link where share[1] * intersection >= share[0] * union."""
+def near_rows(docs: DataFrame, doc_id: str, text: str, width: int, share: tuple[int, int]) -> DataFrame:
+    """doc_id, raw, n_shingles, component_id, kept for every row; kept: its set and doc_id stand for the class."""
     rows = signature_rows(docs, doc_id, text, width)
     linkable = rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    groups = materialize(linkable.groupBy("digest").agg(F.min("doc_id").alias("rid"), F.count("*").alias("n")), "near-groups")
-    reps = linkable.select("doc_id", "digest", "n_shingles", "signature").join(groups.select("rid", F.col("digest").alias("d")), (F.col("doc_id") == F.col("rid")) & (F.col("digest") == F.col("d")), "left_semi")
-    reps = reps.withColumnRenamed("doc_id", "rid").dropDuplicates(["rid", "digest"])
+    # One row of each set stands for it, under a key of its own: a doc_id may stand for several sets.
+    groups = linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "raw")).alias("head"), F.count("*").alias("n"))
+    groups = materialize(groups.select("digest", F.xxhash64("digest").alias("rid"), "head.doc_id", "head.raw", "n"), "near-groups")
+    reps = linkable.join(groups.select("digest", "rid", "doc_id", "raw"), ["digest", "doc_id", "raw"]).dropDuplicates(["rid"])
     pairs = forest_pairs(reps.select("rid", "n_shingles", "signature"), share[0] / share[1])
     crowd = pairs.filter("b IS NULL").select(F.col("a").alias("rid"))
-    involved = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.filter("b IS NOT NULL").select(F.col("b").alias("doc_id"))).distinct(), "near-involved")
+    involved = pairs.select(F.col("a").alias("rid")).unionByName(pairs.filter("b IS NOT NULL").select(F.col("b").alias("rid"))).distinct()
+    involved = materialize(involved.join(groups, "rid").select("rid", "doc_id", "raw"), "near-involved")
     n = involved.count()
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = materialize(texts.join(F.broadcast(involved) if n <= BROADCAST_ROWS else involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    texts = keyed(docs, doc_id, text).join(F.broadcast(involved) if n <= BROADCAST_ROWS else involved, ["doc_id", "raw"])
+    texts = materialize(texts.select(F.col("rid").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "near-texts")
     first = materialize(confirmed(pairs.filter("first").select("a", "b"), texts, width, share), "near-links")
     known = components(first)
     known = materialize(known, "near-classes")
@@ -400,10 +406,18 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     if not met.isEmpty():
         more = materialize(confirmed(met, texts, width, share), "near-crowd-links")
         known = materialize(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-classes")
-    named = groups.join(known.select(F.col("node").alias("rid"), "component"), "rid", "left").select("digest", "n", F.coalesce("component", "rid").alias("component_id"))
-    out = hot_split_join(linkable, materialize(named, "near-named"), "digest", "n", rows.count()).select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = groups.join(known.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    named = materialize(named.select("component", "digest", "n", "doc_id"), "near-classed")
+    heads = named.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("head"))
+    named = named.join(heads, "component").select("digest", "n", F.col("head.doc_id").alias("component_id"), (F.col("digest") == F.col("head.digest")).alias("stands"))
+    out = hot_split_join(linkable, materialize(named, "near-named"), "digest", "n", rows.count()).select("doc_id", "raw", "n_shingles", "component_id", (F.col("stands") & (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+    alone = rows.filter(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", "raw", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
+
+
+def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; texts link where share[1] * intersection >= share[0] * union."""
+    return near_rows(docs, doc_id, text, width, share).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def near_query(docs: DataFrame) -> DataFrame:
@@ -413,7 +427,7 @@ def near_query(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, with all its columns."""
-    groups = near_groups(docs, doc_id=doc_id, text=text, width=width, share=share)
-    gone = materialize(groups.filter("not kept").select("doc_id").distinct(), "near-gone")
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
-    return keep_rows(rows, gone, ["doc_id"]).select("row.*")
+    groups = near_rows(docs, doc_id, text, width, share)
+    gone = materialize(groups.filter("not kept").select("doc_id", "raw").distinct(), "near-gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("raw"))
+    return keep_rows(rows, gone, ["doc_id", "raw"]).select("row.*")

@@ -244,6 +244,17 @@ def test_near_links_in_a_crowd(spark):
     assert recall == 1 and all(r.component_id == r.doc_id for r in got if r.doc_id < 8000), recall
 
 
+def test_near_stage_of_an_id_with_different_texts(spark):
+    ship(spark)
+    rng = np.random.default_rng(22)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 10**9, 80)) for _ in range(3))
+    near = c + " more"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (6, b + " more"), (7, c), (7, near), (8, near), (9, None), (9, c + " more again")], "doc_id long, text string")
+    kept = sorted((tuple(r) for r in forest.drop_near_copies(df).collect()), key=str)
+    of_c = [r for r in kept if r[0] == 7]
+    assert [r for r in kept if r[0] != 7] == [(3, a), (5, b), (9, None)] and of_c in ([(7, c)], [(7, near)])
+
+
 def test_leaves_get_deeper():
     tree = np.zeros(400, np.int64)
     prefix = np.zeros((400, forest.DEPTH), np.uint16)
