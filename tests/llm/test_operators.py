@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import math
 import re
 import zlib
 
@@ -255,6 +256,13 @@ def test_near_stage_of_an_id_with_different_texts(spark):
     assert [r for r in kept if r[0] != 7] == [(3, a), (5, b), (9, None)] and of_c in ([(7, c)], [(7, near)])
 
 
+@pytest.mark.parametrize("threshold", [0.85, 0.8])
+def test_estimate_loses_fewer_links_than_the_trees(threshold):
+    n, least = forest.HASHES, threshold - forest.DOUBT * (threshold * (1 - threshold) / forest.HASHES) ** 0.5
+    lost = sum(math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(n) if k / n < least)
+    assert lost < min(2e-7, (1 - threshold**forest.BASE) ** forest.TREES), lost
+
+
 def test_leaves_get_deeper():
     tree = np.zeros(400, np.int64)
     prefix = np.zeros((400, forest.DEPTH), np.uint16)
