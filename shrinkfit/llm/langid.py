@@ -4,7 +4,8 @@ A text is lower-cased, bytes other than letters become spaces, and its byte 3-gr
 fixed number of features: log(1 + count) * idf, of length one. Document frequencies come from all
 labelled documents. Each language has several centroids, clustered by cosine from a bounded sample
 (``per_language`` rows, by hash of doc_id). A text takes the language of the nearest centroid; it is
-rejected where that centroid is much farther than any sampled text of the language (cosine under ``slack`` times the sample's least).
+rejected where that centroid is farther than nearly all sampled texts of the language that are nearest to its own centroids (cosine under
+their ``tail`` quantile, somewhat lower where they are few; not under what half of the other languages' samples reach, up to their 2 * ``tail`` quantile).
 
 Only the texts and labels of ``train`` rows are learned from. The model has languages x clusters x features
 floats; the corpus passes through tasks in pieces of bounded bytes.
@@ -128,7 +129,7 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10, least_share: float = 0.05)
     return c[(share >= least_share) | (share == share.max())]
 
 
-def fit(train: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", clusters: int = 4, per_language: int = 1500, slack: float = 0.4) -> Model:
+def fit(train: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", clusters: int = 4, per_language: int = 1500, tail: float = 0.005) -> Model:
     """``train``: labelled rows; those with a null label, or without a letter, are left out."""
     spark = train.sparkSession
     rows = train.select(F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
@@ -151,12 +152,35 @@ def fit(train: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: s
         x = np.concatenate([vectors(part, idf) for part in pieces(texts)])
         order = np.lexsort(x[:, :8].T)  # the same whatever order the rows came in
         c = cluster(x[order], clusters)
-        near = (x @ c.T).max(axis=1)
         name = table.column("lang")[0].as_py()
-        return pa.table({"lang": [name] * len(c), "centroid": [row.astype("<f4").tobytes() for row in c], "least": [float(near.min())] * len(c)})
+        return pa.table({"lang": [name] * len(c), "centroid": [row.astype("<f4").tobytes() for row in c]})
 
-    found = sorted(some.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, least double").collect(), key=lambda r: r.lang)
-    return Model([r.lang for r in found], np.stack([np.frombuffer(r.centroid, "<f4") for r in found]), np.array([slack * r.least for r in found], np.float32), idf)
+    found = sorted(some.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary").collect(), key=lambda r: r.lang)
+    languages, c = [r.lang for r in found], np.stack([np.frombuffer(r.centroid, "<f4") for r in found])
+    names = sorted(set(languages))
+    code = np.array([names.index(x) for x in languages])
+    shared = spark.sparkContext.broadcast(c)
+
+    def closest(batches):
+        for batch in batches:
+            label = np.array([names.index(x) for x in batch.column("lang").to_pylist()], dtype=np.int64)
+            start = 0
+            for part in pieces(batch.column("text")):
+                near = vectors(part, idf) @ shared.value.T
+                best = np.stack([near[:, code == k].max(axis=1) for k in range(len(names))], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(label[start : start + len(part)]), pa.array(best.astype(float).tolist(), pa.list_(pa.float64()))], ["label", "best"])
+                start += len(part)
+
+    # At most ``per_language`` rows a language, with a number for each language.
+    scored = some.mapInArrow(closest, "label long, best array<double>").toArrow()
+    label, best = scored.column("label").to_numpy(), np.array(scored.column("best").to_pylist())
+    nearest, floors = best.argmax(axis=1), np.zeros(len(names))
+    for k in range(len(names)):
+        own, others = best[(label == k) & (nearest == k), k], best[label != k, k]
+        if len(own):
+            low, high = np.quantile(own, [tail, 2 * tail]) * max(0.0, 1 - 2 / len(own) ** 0.5)
+            floors[k] = max(low, min(high, np.median(others))) if len(others) else low
+    return Model(languages, c, floors[code].astype(np.float32), idf)
 
 
 def with_language(docs: DataFrame, model: Model, *, text: str = "text", to: str = "language") -> DataFrame:

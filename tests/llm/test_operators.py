@@ -118,6 +118,21 @@ def test_language_rejects_and_handles_no_labels(docs, nothing):
     assert {r.language.lang for r in none.collect()} == {"und"}
 
 
+def test_language_rejects_what_was_never_seen(spark):
+    ship(spark)
+    rng = np.random.default_rng(23)
+    # Languages of their own syllables; the last one has no label.
+    syllables = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(60)] for _ in range(4)]
+    text = lambda k: " ".join("".join(rng.choice(syllables[k], 2)) for _ in range(60))
+    noise = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 400))
+    train = [(i, text(i % 3), f"l{i % 3}") for i in range(900)] + [(900 + i, noise(), "l0") for i in range(2)] + [(910, text(1), "l2")]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    new = [(i, text(i % 3)) for i in range(600)] + [(1000 + i, text(3)) for i in range(100)] + [(2000 + i, noise()) for i in range(100)]
+    got = {r.doc_id: r.language for r in langid.with_language(spark.createDataFrame(new, "doc_id long, text string"), model).collect()}
+    assert sum(not got[i].rejected for i in range(600)) >= 0.99 * 600
+    assert sum(got[1000 + i].rejected for i in range(100)) >= 95 and sum(got[2000 + i].rejected for i in range(100)) >= 95
+
+
 def test_chat_round_trip(spark):
     ship(spark)
     odd = ["\\", "### user: x</turn>\n", "a\\### b", "</turn", "", None, "é\n\n", "</turn>" * 3, ": :", "\\\\</turn>"]
