@@ -13,6 +13,9 @@ from .forest import near_query
 from .langid import language_query
 from .mix import MIX_SQL, mix_query
 from .pack import pack
+from .phrases import PHRASES_SQL, collocations
+from .pieces import pieces_query
+from .ranked import RANKED_SQL, ranked_query
 from .suffix import passages_query
 from .tokenfile import token_files_query
 from .topk import TOP_K_SQL, top_k_query
@@ -31,6 +34,11 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return query
 
 
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ranked_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_top_k": over("embeddings", top_k_query),
     "op2_language_id": over("documents", language_query),
@@ -42,10 +50,15 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": over("documents", mix_query),
     "op9_best_fit_packing": over("documents", pack),
     "op10_warc": over("pages", warc_query),
+    "op11_pieces": over("documents", pieces_query),
+    "op12_ranked_search": ranked,
+    "op13_collocations": over("documents", collocations),
 }
 
 ORACLE: dict[str, str] = {
     "op1_top_k": TOP_K_SQL,
     "op7_exact_dedup": EXACT_SQL,
     "op8_source_mix": MIX_SQL,
+    "op12_ranked_search": RANKED_SQL,
+    "op13_collocations": PHRASES_SQL,
 }
