@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cache import tidy
 from .common import shuffle_partitions
 
 Turn = tuple[str, str]
@@ -126,7 +127,7 @@ def format_conversations(rows: DataFrame, template: Template = plain_template) -
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role"), empty("text"))
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, _DDL)
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(tidy(run), _DDL)
 
 
 def digests(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:

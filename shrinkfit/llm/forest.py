@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .cache import tidy
 from .common import BROADCAST_ROWS, byte_lengths, fresh, hot_split_join, keep_rows, offsets_of, shuffle_partitions
 from .graph import components
 
@@ -131,7 +132,7 @@ def signature_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> DataF
                 sig = signatures(ends, h).astype("<u2")
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(start, len(part)) for c in ("doc_id", "raw")], pa.array([len(x) for x in distinct], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in distinct], pa.binary()), pa.array([row.tobytes() for row in sig], pa.binary())], schema=schema)
 
-    return materialize(keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, raw long, n_shingles long, digest binary, signature binary"), "signatures")
+    return materialize(keyed(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, raw long, n_shingles long, digest binary, signature binary"), "signatures")
 
 
 def leaves(prefix: np.ndarray, tree: np.ndarray) -> np.ndarray:
@@ -243,7 +244,7 @@ def forest_pairs(reps: DataFrame, threshold: float) -> DataFrame:
             yield look(held)
 
     order = ["tree", "prefix", "rid"]
-    pairs = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, first boolean")
+    pairs = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(tidy(run), "a long, b long, first boolean")
     return materialize(pairs.groupBy("a", "b").agg(F.max("first").alias("first")), "forest-pairs")
 
 
@@ -275,7 +276,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int,
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     rows = theirs.unionByName(heads).repartition(shuffle_partitions(spark), "a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def rarest(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
@@ -295,7 +296,7 @@ def rarest(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     # Any order that all sets share is right; a sample's counts only make it a good one.
     some = marked.filter(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("text")
     most = max(8, total // every // 1_000_000)
-    often = some.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > most).toArrow()
+    often = some.mapInArrow(tidy(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > most).toArrow()
     key = often.column("shingle").to_numpy().view(np.uint64)
     by_key = np.argsort(key)
     known = spark.sparkContext.broadcast((key[by_key], often.column("n").to_numpy()[by_key]))
@@ -322,7 +323,7 @@ def rarest(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
                 of = start + row[take]
                 yield pa.RecordBatch.from_arrays([pa.array(h[order][take].view(np.int64)), pa.array(rid[of]), pa.array(group[of]), pa.array(n[take]), pa.array(upto[take])], ["shingle", "rid", "class", "n", "upto"])
 
-    return materialize(marked.select("rid", "class", "text").mapInArrow(run, "shingle long, rid long, class long, n long, upto long"), "near-rarest")
+    return materialize(marked.select("rid", "class", "text").mapInArrow(tidy(run), "shingle long, rid long, class long, n long, upto long"), "near-rarest")
 
 
 def meeting(group: np.ndarray, rid: np.ndarray, kind: np.ndarray, n: np.ndarray, upto: np.ndarray, home: np.ndarray, most: int = 2_000_000):
@@ -376,7 +377,7 @@ def crowd_pairs(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFr
             yield from look(held)
 
     met = met.select("shingle", "block", "n", "rid", "class", "upto", "home").repartition(shuffle_partitions(spark), "shingle", "block").sortWithinPartitions("shingle", "block", "n")
-    return materialize(met.mapInArrow(run, "a long, b long").distinct(), "near-crowd-pairs")
+    return materialize(met.mapInArrow(tidy(run), "a long, b long").distinct(), "near-crowd-pairs")
 
 
 def near_rows(docs: DataFrame, doc_id: str, text: str, width: int, share: tuple[int, int]) -> DataFrame:

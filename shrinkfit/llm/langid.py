@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cache import tidy
 from .common import byte_lengths, fresh, offsets_of
 
 FEATURES = 4096
@@ -100,7 +101,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
                 total[1:] += (counts(part) > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 + FEATURES)), pa.array(total)], ["feature", "n"])
 
-    rows = texts.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(tidy(count), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 + FEATURES, dtype=np.int64)
     for r in rows:
         out[r.feature] = r.n
@@ -172,7 +173,7 @@ def fit(train: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: s
                 start += len(part)
 
     # At most ``per_language`` rows a language, with a number for each language.
-    scored = some.mapInArrow(closest, "label long, best array<double>").toArrow()
+    scored = some.mapInArrow(tidy(closest), "label long, best array<double>").toArrow()
     label, best = scored.column("label").to_numpy(), np.array(scored.column("best").to_pylist())
     nearest, floors = best.argmax(axis=1), np.zeros(len(names))
     for k in range(len(names)):

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .cache import tidy
 from .common import shuffle_partitions, slices
 from .tokens import encoder, tokenizer_path
 
@@ -55,7 +56,7 @@ def cut_pieces(docs: DataFrame, capacity: int, *, doc_id: str = "doc_id", text:
                 crc = [zlib.crc32(data[a:z]) for a, z in zip(at.tolist(), (at + 4 * length).tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(cut), PIECES)
 
 
 def ranked(pieces: DataFrame, parts: int) -> tuple[DataFrame, dict[int, int]]:
@@ -81,7 +82,7 @@ def ranked(pieces: DataFrame, parts: int) -> tuple[DataFrame, dict[int, int]]:
 
     # Written first: the range sort reads its input twice, once for a sample of the keys.
     pieces = materialize(pieces, "pack-pieces")
-    local = materialize(pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(number, f"{PIECES}, part long, local long"), "pack-ranked")
+    local = materialize(pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidy(number), f"{PIECES}, part long, local long"), "pack-ranked")
     # A row per partition, and one more for each length that begins inside one.
     counts = sorted(local.groupBy("part", "length").agg(F.count("*").alias("n")).collect(), key=lambda r: (r.length, r.part))
     sizes: dict[int, int] = defaultdict(int)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .cache import tidy
 from .common import hot_split_join, keep_rows, shuffle_partitions
 from .forest import mix, text_slices, word_hashes
 
@@ -104,7 +105,7 @@ def scanned(docs: DataFrame, words: int) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (hs, at)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[start + long]), pa.array(keys[start + long]), pa.array(digests, pa.binary()), pa.array(np.diff(offs)[long]), *lists, pa.array(short, pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "d", "text").mapInArrow(run, "doc_id long, d long, digest binary, n_words long, h array<long>, pos array<int>, short binary")
+    return docs.select("doc_id", "d", "text").mapInArrow(tidy(run), "doc_id long, d long, digest binary, n_words long, h array<long>, pos array<int>, short binary")
 
 
 def with_words(rows: DataFrame, places: DataFrame, words: int) -> DataFrame:
@@ -120,7 +121,7 @@ def with_words(rows: DataFrame, places: DataFrame, words: int) -> DataFrame:
                 before = [back[2 * (len(w) - p) : 2 * (len(w) - max(0, p - ANCHOR))] for p in pos.to_pylist()]
                 yield pa.RecordBatch.from_arrays([h, pa.array(np.full(len(pos), doc_id)), pos, pa.array(after, pa.binary()), pa.array(before, pa.binary())], schema=schema)
 
-    return rows.select("d", "doc_id", "short").join(places, "d").select("doc_id", "short", "places").mapInArrow(run, "h long, doc_id long, pos long, after binary, before binary")
+    return rows.select("d", "doc_id", "short").join(places, "d").select("doc_id", "short", "places").mapInArrow(tidy(run), "h long, doc_id long, pos long, after binary, before binary")
 
 
 def as_words(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +220,7 @@ def sorted_matches(suffixes: DataFrame, words: int, parts: int) -> DataFrame:
         for rows, first, last in in_runs(batches, 20_000, 2 * NEIGHBOURS):
             yield compare(rows, words, first and edges, last and edges)
 
-    found = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _FOUND_DDL)
+    found = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidy(run), _FOUND_DDL)
     found = materialize(found, "suffix-matches")
     # The rows at the ends of tasks, a few for each task whatever its size: one sorted list.
     ends = found.filter(F.col("kind") == EDGE).select("h", "doc_id", "pos", "after", "before").distinct().coalesce(1).sortWithinPartitions(*order)
@@ -264,7 +265,7 @@ def resolved(crowd: DataFrame, words: int, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(pos[row] - k), *map(pa.array, keys)], schema=schema)
 
     rows = crowd.select("end", *order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    spans = materialize(rows.mapInArrow(run, "doc_id long, start long, run long, check long"), "suffix-runs")
+    spans = materialize(rows.mapInArrow(tidy(run), "doc_id long, start long, run long, check long"), "suffix-runs")
     both = spans.groupBy("run", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
     return spans.join(both, ["run", "check"]).select("doc_id", "start", (F.col("start") + words).alias("end"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
 

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cache import tidy
 from .common import file_system, scratch, shuffle_partitions, slices
 from .tokens import encoder, tokenizer_path
 
@@ -129,7 +130,7 @@ def write_tokens(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_pylist([{"file": posixpath.join(data_dir, name), "part": order, "first": first, "n_docs": docs_n, "n_tokens": tokens_n}], schema=pa.schema([("file", pa.string()), ("part", pa.int64()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     ordered = narrow.repartitionByRange(files or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(write, "file string, part long, first long, n_docs long, n_tokens long").write.parquet(manifest)
+    ordered.mapInArrow(tidy(write), "file string, part long, first long, n_docs long, n_tokens long").write.parquet(manifest)
     return spark.read.parquet(manifest)
 
 
@@ -158,7 +159,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     at += int(ends[-1]) if len(ends) else 0
 
     listing = spark.createDataFrame(plan, "file string, base long").repartition(len(plan))
-    return listing.mapInArrow(read, schema)
+    return listing.mapInArrow(tidy(read), schema)
 
 
 def token_files_query(docs: DataFrame) -> DataFrame:

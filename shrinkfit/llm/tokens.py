@@ -2,23 +2,23 @@
 
 The library spends most of its time on splitting a text into words, again and again for the
 same words. Here Arrow splits a batch at its spaces, every distinct piece is cut into words
-once, and the library's BPE model gives each distinct word's ids; numpy then puts the ids of all
-documents together. A text in which a space has another white space beside it isn't split at
+once, and the new words' merges are made together (``bulkbpe``); numpy then puts the ids of all
+documents together. Pieces are remembered in a cache that is bounded in bytes and keeps those that come again. A text in which a space has another white space beside it isn't split at
 its spaces but cut as a whole. A text that holds the string of one of the file's added tokens
 goes through the library. Any other kind of tokenizer goes through ``encode_batch``.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import re
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .bulkbpe import PairTable, merge_words
+from .cache import Pieces
 from .common import fresh, offsets_of
 
 #: The word pattern of byte-level BPE, and the byte ranges that it shows as they are.
@@ -26,8 +26,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SHOWN = [(33, 126), (161, 172), (174, 255)]
 
 _WHITE = r"[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]"
-#: A byte that no UTF-8 text holds, between words, and what it becomes.
-_GAP, _GAP_CHAR = b"\xff", "\0"
+#: Words of more bytes go through the library one by one.
+LONG = 64
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -46,7 +46,7 @@ def encoder(path: str) -> "Encoder":
 
 
 class Encoder:
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 48 << 20):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,11 +64,14 @@ class Encoder:
         shown = {b for a, z in SHOWN for b in range(a, z + 1)}
         hidden = iter(range(256, 512))
         self.table = {b: b if b in shown else next(hidden) for b in range(256)}
-        self.table[_GAP[0]] = ord(_GAP_CHAR)
-        #: At most ``cached`` pieces are kept, first come (the frequent ones): texts, and where their ids stand.
-        self.cached = cached
-        self.known: dict[str, int] = {}
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int32)
+        model = spec["model"]
+        self.plain = self.plain and not any(model.get(x) for x in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "unk_token", "byte_fallback"))
+        self.plain = self.plain and all(chr(c) in model["vocab"] for c in self.table.values())
+        if self.plain:
+            vocab, merges = model["vocab"], [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+            self.first = np.array([vocab[chr(self.table[b])] for b in range(256)], dtype=np.int32)
+            self.pairs = PairTable(*(np.array([vocab[f(x)] for x in merges], dtype=np.int64) for f in (lambda x: x[0], lambda x: x[1], "".join)))
+        self.cache = Pieces(cached)
 
     def vocab_size(self) -> int:
         return self.tokenizer.get_vocab_size()
@@ -136,37 +139,37 @@ class Encoder:
         starts = np.concatenate([[0], np.cumsum(counts)])
         flat, at, lens = self._chunks(pa.concat_arrays(chunks))
         out_lens = lens[seq]
-        ends = np.concatenate([[0], np.cumsum(out_lens, dtype=np.int64)])
+        ends = np.concatenate([[0], np.cumsum(out_lens)])
         places = np.repeat(at[seq] - ends[:-1], out_lens)
         places += np.arange(ends[-1])
         return np.diff(ends[starts]), flat[places]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids (little-endian 32-bit) of each word."""
+        raw = [w.encode() for w in words]
+        short = [k for k, x in enumerate(raw) if len(x) <= LONG]
+        lens = np.fromiter((len(raw[k]) for k in short), dtype=np.int64, count=len(short))
+        data = b"".join([raw[k] for k in short])
+        ids, sizes = merge_words(self.first[np.frombuffer(data, np.uint8)], lens, self.pairs)
+        out, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(sizes)
+        found = {words[k]: out[a:z] for k, a, z in zip(short, (ends - 4 * sizes).tolist(), ends.tolist())}
+        for w, x in zip(words, raw):
+            if len(x) > LONG:
+                found[w] = np.array([t.id for t in self.tokenizer.model.tokenize(x.decode("latin-1").translate(self.table))], "<u4").tobytes()
+        return found
+
     def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, and for each chunk where its own begin and how many they are."""
         names = chunks.to_pylist()
-        index = np.fromiter(map(self.known.get, names, repeat(-1)), dtype=np.int64, count=len(names))
-        # New ones, each once: the same text may be a text's first piece and a piece of one cut as a whole.
-        texts = list(dict.fromkeys(names[i] for i in np.flatnonzero(index < 0).tolist()))
-        findall = self.words.findall
-        cut = [(x,) if x.isalpha() or x[1:].isalpha() and x[0] == " " else findall(x) for x in texts]
-        words = list({w for x in cut for w in x})
-        flat, at = self.flat, self.at
-        if texts:
-            ids: dict[str, list[int]] = {}
-            gc.disable()  # millions of small lists, none of them in a cycle
-            if words:
-                shown = _GAP.join(w.encode() for w in words).decode("latin-1").translate(self.table).split(_GAP_CHAR)
-                tokenize = self.tokenizer.model.tokenize
-                ids = {w: [t.id for t in tokenize(s)] for w, s in zip(words, shown)}
-            got = [ids[x[0]] if len(x) == 1 else [t for w in x for t in ids[w]] for x in cut]
-            gc.enable()
-            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(got), dtype=np.uint32)])
-            lens = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            at = np.concatenate([at, (at[-1] + np.cumsum(lens)).astype(np.int32)])
-            new = dict(zip(texts, range(len(self.at) - 1, len(at) - 1)))
-            for i in np.flatnonzero(index < 0).tolist():
-                index[i] = new[names[i]]
-            if len(self.known) + len(new) <= self.cached:
-                self.known.update(new)
-                self.flat, self.at = flat, at
-        return flat, at[:-1][index], np.diff(at)[index]
+        found, missing = self.cache.find(names)
+        if missing:
+            # The same text may be a text's first piece and a piece of one cut as a whole.
+            findall = self.words.findall
+            cut = {x: (x,) if x.isalpha() or x[1:].isalpha() and x[0] == " " else findall(x) for x in {names[i] for i in missing}}
+            ids = self._words(list({w for x in cut.values() for w in x}))
+            for i in missing:
+                x = cut[names[i]]
+                found[i] = ids[x[0]] if len(x) == 1 else b"".join([ids[w] for w in x])
+                self.cache.put(names[i], found[i])
+        lens = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(lens) - lens, lens

@@ -39,7 +39,8 @@ def quantised(rows: DataFrame, vec_id: str, vector: str, scale: int) -> DataFram
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    from .common import offsets_of
+    from .cache import tidy
+from .common import offsets_of
 
     offs = offsets_of(column)
     flat = column.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]]
@@ -184,7 +185,7 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataF
         if rows is not None and rows.num_rows:
             yield block(rows)
 
-    blocks = vectors.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id").mapInArrow(build, schema)
+    blocks = vectors.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id").mapInArrow(tidy(build), schema)
     return materialize(blocks, "bit-slices"), dims, width
 
 
@@ -204,7 +205,7 @@ def search(index: DataFrame, dims: int, width: int, queries: DataFrame, k: int =
                 part = batch.slice(a, block_queries)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([part.column("row").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([matrix(part.column("v"), dims).astype("<i8").tobytes()], pa.binary())], ["query_ids", "rows", "weights"])
 
-    grouped = queries.repartition(max(1, -(-queries.count() // (4 * block_queries)))).mapInArrow(gather, "query_ids binary, rows binary, weights binary")
+    grouped = queries.repartition(max(1, -(-queries.count() // (4 * block_queries)))).mapInArrow(tidy(gather), "query_ids binary, rows binary, weights binary")
     spread = grouped.withColumn("block", F.explode(F.lit(blocks).cast("array<bigint>")))
     pairs = spread.join(index, "block").repartition(F.col("block"), F.col("query_ids"))
 
@@ -219,7 +220,7 @@ def search(index: DataFrame, dims: int, width: int, queries: DataFrame, k: int =
                 n = [len(i) for i, _ in out]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.repeat(rows, n)), pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([s for _, s in out]))], ["query_id", "row", "vec_id", "score"])
 
-    found = pairs.mapInArrow(look, "query_id long, row long, vec_id long, score long")
+    found = pairs.mapInArrow(tidy(look), "query_id long, row long, vec_id long, score long")
     best = Window.partitionBy("query_id", "row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .cache import tidy
 from .common import file_system, scratch, shuffle_partitions
 
 VERSION = "WARC/1.1"
@@ -126,7 +127,7 @@ def write_warc(pages: DataFrame, folder: str, *, least: int = 1000, roll: int =
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("part", pa.int64()), ("first", pa.int64()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
 
-    sorted_rows.mapInArrow(write, "file string, part long, first long, n_records long, n_bytes long").write.parquet(manifest)
+    sorted_rows.mapInArrow(tidy(write), "file string, part long, first long, n_records long, n_bytes long").write.parquet(manifest)
     return spark.read.parquet(manifest)
 
 
@@ -182,7 +183,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 
     spark = manifest.sparkSession
     n = max(1, manifest.count())
-    return manifest.select("file").repartition(min(n, 4 * shuffle_partitions(spark))).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.select("file").repartition(min(n, 4 * shuffle_partitions(spark))).mapInArrow(tidy(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _hex(label: str) -> str:
