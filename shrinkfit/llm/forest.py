@@ -6,13 +6,16 @@
    the last key, so a region that a third of them share is dealt over many tasks). Neighbours with a common
    prefix of ``BASE`` values are candidates; a region of more than ``LEAF`` rows is cut at the next value, and so on:
    the depth adapts to each region. The pieces of a cut region stay linked by their neighbouring rows.
-   Pairs whose signatures make the similarity unlikely (``DOUBT`` standard errors) go at once.
+   Pairs whose signatures make the similarity unlikely (``DOUBT`` standard errors) go at once, and so do pairs whose parity sketches prove
+   it too low: a set's sketch has a bit for each hash value modulo ``BITS``, set if an odd number of its shingles fall there, so two sketches differ in no
+   more bits than the sets differ in shingles. That loses nothing.
 3. Of a region's candidates, a spanning forest (most alike first) is confirmed on the full shingle sets; a second round confirms all other
    candidates that lie between different classes. So no pair of the candidates is lost, and a group of n near copies
    costs about n confirmations for each tree, not n squared.
 4. The rows of regions that were cut (by ``LEAF``, or at the ends of a task's run) are joined exactly with each other: two sets of the threshold
    share one of their rarest shingles, at a place that leaves enough others behind it in both. The pairs between different classes are confirmed.
-   A shingle of many rows is dealt over blocks; it costs pairs only for rows that have it among their rarest, by which they could reach the threshold.
+   A shingle of many rows is dealt over blocks; it costs pairs only for rows that have it among their rarest, by which they could reach the threshold,
+   and whose sketches leave it open: a crowd of near copies that don't link costs comparisons of 64 bytes inside tasks, but no pairs.
 5. Classes are the connected components of the confirmed links.
 
 A link at the threshold 0.85 is a candidate in one tree with probability 0.85 ** 2, in ten with 1 - 3e-6. The signature's estimate, the same in all
@@ -45,6 +48,8 @@ HASHES = TREES * DEPTH
 BLOCK, COUNTED = 4096, 32_000_000
 #: Standard errors of the signature's estimate by which a pair may miss the threshold and still be confirmed.
 DOUBT = 6
+#: Bits of a set's parity sketch.
+BITS = 512
 
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _MASKS = np.random.default_rng(6).integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -115,13 +120,26 @@ def signatures(ends: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """[rows, BITS / 8] bytes: the parity sketches of sets of distinct hashes."""
+    place = row * BITS + (mix(h) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=rows * BITS)[: rows * BITS] & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, BITS), axis=1)
+
+
+def in_reach(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """May sets of these sketches (rows of 64-bit words) and sizes (both together) reach the share? They differ in so many shingles at least."""
+    differ = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    return differ * (share[0] + share[1]) <= sizes * (share[1] - share[0])
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, raw, text."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("raw"), F.col(text).cast("string").alias("text"))
 
 
 def signature_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """Written: doc_id, raw (a hash of the text as it is), n_shingles, digest (null without shingles), signature."""
+    """Written: doc_id, raw (a hash of the text as it is), n_shingles, digest (null without shingles), signature (the MinHash values, then the sketch)."""
     schema = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 
     def run(batches):
@@ -129,7 +147,9 @@ def signature_rows(docs: DataFrame, doc_id: str, text: str, width: int) -> DataF
             for start, part in text_slices(batch.column("text")):
                 ends, h = shingle_hashes(part, width)
                 distinct = [np.unique(h[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                sig = signatures(ends, h).astype("<u2")
+                row = np.repeat(np.arange(len(distinct)), [len(x) for x in distinct])
+                sketch = parities(row, np.concatenate([*distinct, np.zeros(0, np.uint64)]), len(distinct))
+                sig = np.concatenate([signatures(ends, h).astype("<u2").view(np.uint8), sketch], axis=1)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(start, len(part)) for c in ("doc_id", "raw")], pa.array([len(x) for x in distinct], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in distinct], pa.binary()), pa.array([row.tobytes() for row in sig], pa.binary())], schema=schema)
 
     return materialize(keyed(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, raw long, n_shingles long, digest binary, signature binary"), "signatures")
@@ -162,17 +182,18 @@ def cut_rows(prefix: np.ndarray, tree: np.ndarray) -> np.ndarray:
     return np.flatnonzero((np.bincount(region)[region] > LEAF) | (region == 0) | (region == region[-1]))
 
 
-def candidates(tree: np.ndarray, prefix: np.ndarray, rid: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float, least: float):
+def candidates(tree: np.ndarray, prefix: np.ndarray, rid: np.ndarray, size: np.ndarray, sketch: np.ndarray, parity: np.ndarray, share: tuple[int, int], least: float):
     """(a, b, first) of a run of sorted rows; first: it belongs to the region's spanning forest."""
     leaf = leaves(prefix, tree)
     lefts, rights, alike = [], [], []
 
     def look(i: np.ndarray, j: np.ndarray) -> None:
-        ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
+        ok = share[1] * np.minimum(size[i], size[j]) >= share[0] * np.maximum(size[i], size[j])
         ok &= rid[i] != rid[j]
         i, j = i[ok], j[ok]
         same = (sketch[i] == sketch[j]).mean(axis=1)
         ok = same >= least
+        ok[ok] = in_reach(parity[i[ok]], parity[j[ok]], size[i[ok]] + size[j[ok]], share)
         lefts.append(i[ok])
         rights.append(j[ok])
         alike.append(same[ok])
@@ -209,13 +230,13 @@ def least_alike(threshold: float) -> float:
     return threshold - DOUBT * (threshold * (1 - threshold) / HASHES) ** 0.5
 
 
-def forest_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+def forest_pairs(reps: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Written: a, b, first; each pair once, and a row with a null b for each a of a cut region. ``reps``: rid, n_shingles, signature."""
     spark = reps.sparkSession
     width = 2 * DEPTH
     trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.expr(f"substring(signature, {t * width + 1}, {width})").alias("prefix")) for t in range(TREES)])
     rows = reps.select("rid", "n_shingles", "signature", F.explode(trees).alias("t")).select("t.tree", "t.prefix", "rid", "n_shingles", "signature")
-    least = least_alike(threshold)
+    least = least_alike(share[0] / share[1])
 
     def run(batches):
         held = None
@@ -224,7 +245,10 @@ def forest_pairs(reps: DataFrame, threshold: float) -> DataFrame:
             col = lambda c: rows.column(c).combine_chunks()
             raw = lambda c, w: np.frombuffer(b"".join(col(c).to_pylist()), "<u2").reshape(-1, w)
             tree, prefix, rid = col("tree").to_numpy(), raw("prefix", DEPTH), col("rid").to_numpy()
-            a, b, first = candidates(tree, prefix, rid, col("n_shingles").to_numpy(), raw("signature", HASHES).astype(np.uint8), threshold, least)
+            signature = np.frombuffer(b"".join(col("signature").to_pylist()), np.uint8).reshape(len(tree), -1)
+            sketch = np.ascontiguousarray(signature[:, : 2 * HASHES : 2])  # the low bytes
+            parity = np.ascontiguousarray(signature[:, 2 * HASHES :]).view("<u8")
+            a, b, first = candidates(tree, prefix, rid, col("n_shingles").to_numpy(), sketch, parity, share, least)
             marked = np.unique(rid[cut_rows(prefix, tree)])
             b = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(marked), pa.int64())])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, marked]), pa.int64()), b, pa.array(np.concatenate([first, np.zeros(len(marked), bool)]))], ["a", "b", "first"])
@@ -280,7 +304,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int,
 
 
 def rarest(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """Written: shingle, rid, class, n (size of the set), upto (of the largest partner that this place leaves room for), for each set's rarest
+    """Written: shingle, rid, class, n (size of the set), upto (of the largest partner that this place leaves room for), sketch, for each set's rarest
     shingles, as many as a partner may not all miss. ``marked``: rid, class, n_shingles, text."""
     spark = marked.sparkSession
     total = marked.agg(F.sum("n_shingles")).first()[0] or 0
@@ -321,13 +345,15 @@ def rarest(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
                 upto = (n - place) * (part_of + whole) // part_of - n
                 take = np.flatnonzero(upto * whole >= n * part_of)
                 of = start + row[take]
-                yield pa.RecordBatch.from_arrays([pa.array(h[order][take].view(np.int64)), pa.array(rid[of]), pa.array(group[of]), pa.array(n[take]), pa.array(upto[take])], ["shingle", "rid", "class", "n", "upto"])
+                sketch = pa.array([x.tobytes() for x in parities(row, h, len(found))], pa.binary()).take(pa.array(row[take]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[order][take].view(np.int64)), pa.array(rid[of]), pa.array(group[of]), pa.array(n[take]), pa.array(upto[take]), sketch], ["shingle", "rid", "class", "n", "upto", "sketch"])
 
-    return materialize(marked.select("rid", "class", "text").mapInArrow(tidy(run), "shingle long, rid long, class long, n long, upto long"), "near-rarest")
+    return materialize(marked.select("rid", "class", "text").mapInArrow(tidy(run), "shingle long, rid long, class long, n long, upto long, sketch binary"), "near-rarest")
 
 
-def meeting(group: np.ndarray, rid: np.ndarray, kind: np.ndarray, n: np.ndarray, upto: np.ndarray, home: np.ndarray, most: int = 2_000_000):
-    """(a, b) of rows of equal ``group`` and different ``kind`` that leave room for each other; sorted by group and n, ``home``: may be the larger."""
+def meeting(group: np.ndarray, rid: np.ndarray, kind: np.ndarray, n: np.ndarray, upto: np.ndarray, home: np.ndarray, parity: np.ndarray, share: tuple[int, int], most: int = 500_000):
+    """(a, b) of rows of equal ``group`` and different ``kind`` that leave room for each other, also by their sketches; sorted by group and n,
+    ``home``: may be the larger."""
     tail = group.astype(np.int64) << np.int64(40)
     x = np.flatnonzero(upto >= n)
     end = np.searchsorted(tail + n, tail[x] + upto[x], side="right")
@@ -340,6 +366,8 @@ def meeting(group: np.ndarray, rid: np.ndarray, kind: np.ndarray, n: np.ndarray,
         i = np.repeat(x[start:stop], number[start:stop])
         j = i + 1 + np.arange(len(i)) - np.repeat(done[start:stop] - number[start:stop] - before, number[start:stop])
         ok = home[j] & (kind[i] != kind[j]) & (upto[j] >= n[i]) & (rid[i] != rid[j])
+        i, j = i[ok], j[ok]
+        ok = in_reach(parity[i], parity[j], n[i] + n[j], share)
         yield np.minimum(rid[i[ok]], rid[j[ok]]), np.maximum(rid[i[ok]], rid[j[ok]])
         start = stop
 
@@ -361,7 +389,8 @@ def crowd_pairs(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFr
             col = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
             shingle, block = col("shingle"), col("block")
             group = np.cumsum(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (block[1:] != block[:-1])])) - 1
-            for a, b in meeting(group, col("rid"), col("class"), col("n"), col("upto"), col("home").astype(bool)):
+            parity = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(t.num_rows, -1)
+            for a, b in meeting(group, col("rid"), col("class"), col("n"), col("upto"), col("home").astype(bool), parity, share):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         held = None
@@ -376,7 +405,7 @@ def crowd_pairs(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFr
         if held is not None and held.num_rows:
             yield from look(held)
 
-    met = met.select("shingle", "block", "n", "rid", "class", "upto", "home").repartition(shuffle_partitions(spark), "shingle", "block").sortWithinPartitions("shingle", "block", "n")
+    met = met.select("shingle", "block", "n", "rid", "class", "upto", "home", "sketch").repartition(shuffle_partitions(spark), "shingle", "block").sortWithinPartitions("shingle", "block", "n")
     return materialize(met.mapInArrow(tidy(run), "a long, b long").distinct(), "near-crowd-pairs")
 
 
@@ -386,9 +415,9 @@ def near_rows(docs: DataFrame, doc_id: str, text: str, width: int, share: tuple[
     linkable = rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     # One row of each set stands for it, under a key of its own: a doc_id may stand for several sets.
     groups = linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "raw")).alias("head"), F.count("*").alias("n"))
-    groups = materialize(groups.select("digest", F.xxhash64("digest").alias("rid"), "head.doc_id", "head.raw", "n"), "near-groups")
+    groups = materialize(groups.select("digest", F.monotonically_increasing_id().alias("rid"), "head.doc_id", "head.raw", "n"), "near-groups")
     reps = linkable.join(groups.select("digest", "rid", "doc_id", "raw"), ["digest", "doc_id", "raw"]).dropDuplicates(["rid"])
-    pairs = forest_pairs(reps.select("rid", "n_shingles", "signature"), share[0] / share[1])
+    pairs = forest_pairs(reps.select("rid", "n_shingles", "signature"), share)
     crowd = pairs.filter("b IS NULL").select(F.col("a").alias("rid"))
     involved = pairs.select(F.col("a").alias("rid")).unionByName(pairs.filter("b IS NOT NULL").select(F.col("b").alias("rid"))).distinct()
     involved = materialize(involved.join(groups, "rid").select("rid", "doc_id", "raw"), "near-involved")
