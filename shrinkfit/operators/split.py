@@ -6,15 +6,19 @@ generator cannot be reproduced, so rows are ordered by a seeded MD5 of a row
 key instead (T18); the smallest ``ceil(p * n_s)`` hashes form the test side.
 
 At scale a window over a stratum would put a quarter of the table into one
-task. Instead:
-
-1. count rows per ``(stratum, hash bucket)`` — a small, partially aggregated
-   histogram;
-2. a running count over the histogram finds, per stratum, the one bucket
-   where the cut falls;
-3. rows in earlier buckets are test, later buckets train, and only the
-   rows of the boundary bucket are ranked.  The bucket width is chosen from
-   the largest stratum so a boundary bucket holds about ``bucket_rows`` rows.
+task. Instead the split is a cut value per stratum:
+
+1. the value histogram (read for the strata anyway) gives each stratum's size, so
+   the hash at which its share ends is known up to a few standard errors;
+2. one narrow pass (key and value only) counts the rows below that bracket and
+   writes those inside it, about the root of the table's rows;
+3. radix refinement of the written rows, four hex digits at a time, finds the one
+   hash ``T`` at which the count is met; a bracket that misses (repeated keys)
+   is replaced by a refinement of all hashes;
+4. the label is a projection: ``hash <= T``. No union, no window, no cached copy.
+
+Rows that share the hash at the cut (repeated or NULL keys) are cut again, by a hash of
+all their columns, and rows equal in every column by their position in a written copy; neither puts them into one task.
 """
 
 from __future__ import annotations
@@ -23,10 +27,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import Observation
 from pyspark.sql import types as T
 
-from pyspark import StorageLevel
-
 from ..session import materialize
 from .joins import lookup_join
 
@@ -41,18 +44,28 @@ def quantile_breaks(df: DataFrame, col: str = "rating",
     counts (one number each) say where an order statistic lies, and a running
     count inside that partition finds it. NULLs raise, as R's ``quantile`` does.
     """
-    rows, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col(col).isNull())).first()
-    if nulls:
+    return _breaks(*value_histogram(df, col), probs)
+
+
+def value_histogram(df: DataFrame, col: str = "rating") -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """Written: v, n, part in ranges of v; and each part's first and last rank. NULLs raise."""
+    counts = df.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hist = materialize(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "value-histogram")
+    found = hist.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("nulls")).collect()
+    if nulls := sum(r["nulls"] or 0 for r in found):
         raise ValueError(f"{nulls} NULL values in {col!r}")
-    if not rows:
+    if not found:
         raise ValueError(f"no values in {col!r} to cut into strata")
-    hist = df.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hist = materialize(hist.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "value-histogram")
     before, starts = 0, {}
-    for r in sorted(hist.groupBy("part").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["part"]):
+    for r in sorted(found, key=lambda r: r["part"]):
         starts[r["part"]] = (before, before + r["n"])
         before += r["n"]
+    return hist, starts
+
+
+def _breaks(hist: DataFrame, starts: dict[int, tuple[int, int]], probs: tuple[float, ...]) -> list[float]:
+    rows = max(hi for _, hi in starts.values())
     at = [(rows - 1) * p for p in probs]
     wanted = {k for x in at for k in (math.floor(x), math.ceil(x))}
     picks = [(part, k, k - lo) for k in wanted for part, (lo, hi) in starts.items() if lo <= k < hi]
@@ -97,65 +110,136 @@ def seeded_hash(key: Column | str, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
-def _hex_digits(max_stratum_rows: int, bucket_rows: int) -> int:
-    if max_stratum_rows <= bucket_rows:
-        return 1
-    return min(32, math.ceil(math.log(max_stratum_rows / bucket_rows, 16)))  # md5 has 32
+#: Digits that one refinement step looks at, and standard errors of a bracket.
+_STEP, _ERRORS = 4, 6
+
+
+def cut_values(rows: DataFrame, need: dict[int, int], limit: int) -> dict[int, tuple[str, int, int]]:
+    """Per stratum, the ``need``-th smallest hex string of ``rows`` (stratum, o): (string, how many of the rows equal to it count, all of these).
+
+    Each step keeps the one bucket of the next digits in which the count is met; a few rows, or equal ones, end it.
+    """
+    found: dict[int, tuple[str, int, int]] = {}
+    digits = 0
+    while need:
+        digits += _STEP
+        bucket = F.substring("o", 1, digits).alias("b")
+        hist = rows.groupBy("stratum", bucket).agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("low"), F.max("o").alias("high"))
+        met = {}
+        # At most 16 ** 4 rows for each stratum: those before have the same digits up to here.
+        for r in sorted(hist.collect(), key=lambda r: (r["stratum"], r["b"])):
+            s = r["stratum"]
+            if s in need and s not in met:
+                if need[s] <= r["n"]:
+                    met[s] = r
+                else:
+                    need[s] -= r["n"]
+        small = {s: r for s, r in met.items() if r["low"] != r["high"] and r["n"] <= limit}
+        found |= {s: (r["low"], need[s], r["n"]) for s, r in met.items() if r["low"] == r["high"]}
+        if small:
+            inside = _any([(F.col("stratum") == s) & (F.substring("o", 1, digits) == r["b"]) for s, r in small.items()])
+            few: dict[int, list[str]] = {s: [] for s in small}
+            for r in rows.where(inside).collect():
+                few[r["stratum"]].append(r["o"])
+            for s, values in few.items():
+                values.sort()
+                at = values[need[s] - 1]
+                found[s] = (at, need[s] - sum(v < at for v in values), values.count(at))
+        need = {s: n for s, n in need.items() if s in met and s not in found}
+        if need:
+            inside = _any([(F.col("stratum") == s) & (F.substring("o", 1, digits) == met[s]["b"]) for s in need])
+            rows = materialize(rows.where(inside), "split-refined")
+    return found
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def _bracket(n: int, take: int) -> tuple[str, str]:
+    """Hex bounds between which the ``take``-th smallest of n uniform hashes lies, but for ``_ERRORS`` standard errors."""
+    slack = _ERRORS * math.sqrt(take * (n - take) / n) + _ERRORS
+    lo, hi = (take - slack) / n, (take + slack) / n
+    return (f"{int(lo * 16 ** 12):012x}" if lo > 0 else "", f"{int(hi * 16 ** 12):012x}" if hi < 1 else "g")
 
 
 def stratified_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "rk",
                      y: str = "rating", label: str = "is_test",
-                     bucket_rows: int = 1 << 20, keep_stratum: bool = False) -> DataFrame:
-    """Add boolean ``label``: exactly ``ceil(p·n_s)`` rows per stratum are True."""
+                     bucket_rows: int = 50_000, keep_stratum: bool = False) -> DataFrame:
+    """Add boolean ``label``: exactly ``ceil(p·n_s)`` rows per stratum are True.
+
+    ``bucket_rows`` hashes of a stratum at most are compared on the driver at the end.
+    """
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
     if df.isEmpty():
         empty = df.withColumns({label: F.lit(False), "stratum": F.lit(1)})
         return empty if keep_stratum else empty.drop("stratum")
-    breaks = quantile_breaks(df, y)
-    base = df.withColumns({"_stratum": stratum_expr(y, breaks), "_h": seeded_hash(key, seed)})
-    sizes = {r["_stratum"]: r["n"] for r in
-             base.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hist, starts = value_histogram(df, y)
+    stratum = stratum_expr(y, breaks := _breaks(hist, starts, DEFAULT_PROBS))
+    sizes = {r["stratum"]: r["n"] for r in hist.groupBy(stratum_expr("v", breaks).alias("stratum")).agg(F.sum("n").alias("n")).collect()}
     take = {s: (math.ceil(n * p) if n > 1 else (1 if p > 0 else 0)) for s, n in sizes.items()}
-    nhex = _hex_digits(max(sizes.values()) if sizes else 0, bucket_rows)
-    base = base.withColumn("_b", F.substring("_h", 1, nhex))
-
-    take_col = F.lit(0)
+    cut = {s: k for s, k in take.items() if 0 < k < sizes[s]}
+    o = seeded_hash(key, seed)
+    values = _cut_hashes(df.select(stratum.alias("stratum"), o.alias("o")), cut, sizes, bucket_rows)
+    # Rows of one hash of which some count: cut by all their columns; rows equal in all of them by their place.
+    shared = {s: v for s, v in values.items() if v[1] < v[2]}
+    equal = {}
+    if shared:
+        df = materialize(df, "split-shared-keys")
+        tie = F.lpad(F.hex(F.xxhash64(*[F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])), 16, "0")
+        held = df.where(_any([(stratum == s) & (o == v[0]) for s, v in shared.items()]))
+        equal = cut_values(held.select(stratum.alias("stratum"), tie.alias("o")), {s: v[1] for s, v in shared.items()}, bucket_rows)
+    place = F.monotonically_increasing_id()
+    picked = F.lit(False)
     for s, k in take.items():
-        take_col = F.when(F.col("_stratum") == s, F.lit(k)).otherwise(take_col)
-    hist = base.groupBy("_stratum", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy("_stratum").orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    cum = hist.withColumn("_cum", F.sum("_n").over(running)).withColumn("_take", take_col)
-    cuts = (cum.where((F.col("_take") > 0) & (F.col("_cum") >= F.col("_take")))
-            .groupBy("_stratum")
-            .agg(F.min_by(F.struct("_b", (F.col("_take") - F.col("_cum") + F.col("_n")).alias("need")),
-                          F.col("_b")).alias("cut"))
-            .collect())
-    boundary = {r["_stratum"]: (r["cut"]["_b"], r["cut"]["need"]) for r in cuts}
-
-    # Decided rows: bucket before / after the boundary bucket of their stratum.
-    decided = F.lit(False)  # strata with take = 0 are all train
-    need_col = F.lit(None).cast("long")
-    for s, (b, need) in boundary.items():
-        in_s = F.col("_stratum") == s
-        decided = F.when(in_s & (F.col("_b") < b), F.lit(True)).when(
-            in_s & (F.col("_b") > b), F.lit(False)).when(in_s, F.lit(None).cast("boolean")).otherwise(decided)
-        need_col = F.when(in_s, F.lit(need)).otherwise(need_col)
-    flagged = base.withColumn(label, decided)
-    settled = flagged.where(F.col(label).isNotNull())
-    edge = flagged.where(F.col(label).isNull())
-    # Ties on (hash, key) only arise if the key is not unique: break them on the
-    # remaining atomic columns so the result is the same on every run.
-    atomic = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    extra = [f.name for f in df.schema.fields
-             if f.name not in (key, label) and isinstance(f.dataType, atomic)]
-    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_h", key, *extra))
-    edge = edge.withColumn(label, rank <= need_col)
-    out = settled.unionByName(edge)
-    drop = ["_h", "_b"] + ([] if keep_stratum else ["_stratum"])
-    out = out.drop(*drop)
-    return out.withColumnRenamed("_stratum", "stratum") if keep_stratum else out
+        if s not in values:
+            chosen = F.lit(k > 0)
+        elif s not in shared:
+            chosen = o <= F.lit(values[s][0])
+        else:
+            at, some, every = equal[s]
+            among = tie <= F.lit(at)
+            if some < every:
+                last = _place_of(df.select(place.alias("place"), F.spark_partition_id().alias("part"), ((stratum == s) & (o == values[s][0]) & (tie == at)).alias("hit")), some)
+                among = (tie < F.lit(at)) | ((tie == at) & (F.col("_place") <= last))
+            chosen = (o < F.lit(values[s][0])) | ((o == F.lit(values[s][0])) & among)
+        picked = F.when(F.col("_stratum") == s, chosen).otherwise(picked)
+    placed = any(some < every for _, some, every in equal.values())
+    out = df.withColumns({"_stratum": stratum, **({"_place": place} if placed else {})})
+    out = out.withColumn(label, picked).drop("_place")
+    return out.withColumnRenamed("_stratum", "stratum") if keep_stratum else out.drop("_stratum")
+
+
+def _cut_hashes(narrow: DataFrame, cut: dict[int, int], sizes: dict[int, int], limit: int) -> dict[int, tuple[str, int, int]]:
+    """The cut value of each stratum, from one pass over ``narrow`` (stratum, o) if the brackets hold it."""
+    if not cut:
+        return {}
+    bounds = {s: _bracket(sizes[s], k) for s, k in cut.items()}
+    below = Observation()
+    seen = narrow.observe(below, *[F.count_if((F.col("stratum") == s) & (F.col("o") < lo)).alias(f"below_{s}") for s, (lo, _) in bounds.items()])
+    inside = materialize(seen.where(_any([(F.col("stratum") == s) & (F.col("o") >= lo) & (F.col("o") < hi) for s, (lo, hi) in bounds.items()])), "split-bracket")
+    counted = below.get
+    held = {r["stratum"]: r["n"] for r in inside.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    left = {s: k - counted[f"below_{s}"] for s, k in cut.items()}
+    hit = {s: n for s, n in left.items() if 0 < n <= held.get(s, 0)}
+    found = cut_values(inside, dict(hit), limit)
+    missed = {s: k for s, k in cut.items() if s not in hit}
+    return found | (cut_values(narrow, missed, limit) if missed else {})
+
+
+def _place_of(rows: DataFrame, n: int) -> int:
+    """The place of the n-th hit; ``rows``: place, part, hit."""
+    before = 0
+    for r in sorted(rows.where("hit").groupBy("part").count().collect(), key=lambda r: r["part"]):
+        if before + r["count"] >= n:
+            own = rows.where((F.col("part") == r["part"]) & F.col("hit")).select("place")
+            return own.orderBy("place").limit(n - before).agg(F.max("place")).first()[0]
+        before += r["count"]
+    raise ValueError("fewer rows than counted before")
 
 
 def seen_key_guard(df: DataFrame, label: str = "is_test",
@@ -206,15 +290,14 @@ def guarded_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "rk",
     """Stratified split + seen-key guard, written once under the checkpoint folder.
 
     Written partitioned by ``label`` so reading either side prunes to its files.
-
-    The flagged split is persisted while the guard reads it three times
-    (two key aggregates and the join back), then released.
     """
-    split = stratified_split(df, p, seed, key, y, label).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return materialize(seen_key_guard(split, label, keys), name, partition_by=[label])
-    finally:
-        split.unpersist()
+    return materialize(flagged_split(df, p, seed, key, y, label, keys), name, partition_by=[label])
+
+
+def flagged_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "rk", y: str = "rating", label: str = "is_test",
+                  keys: tuple[str, ...] = ("movieId", "userId")) -> DataFrame:
+    """Stratified split + seen-key guard. The guard's key aggregates repeat the labelling projection over a pruned scan; nothing is cached."""
+    return seen_key_guard(stratified_split(df, p, seed, key, y, label), label, keys)
 
 
 def split_share(df: DataFrame, label: str = "is_test") -> DataFrame:

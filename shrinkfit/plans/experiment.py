@@ -8,7 +8,9 @@
 Big intermediate tables (features, both flagged splits) are written once as
 Parquet under ``spark.checkpoint.dir`` and re-read, so every later step
 starts from a pruned, pushdown-capable scan with no lineage to replay after
-an executor loss. Everything is cached per (application, data folder,
+an executor loss. With ``store`` they are keyed checkpoints in that folder
+instead, which a later application with the same inputs and parameters reads
+without a job over the inputs. Everything is cached per (application, data folder,
 parameters) so a session that runs many queries pays for each step once.
 """
 
@@ -24,9 +26,10 @@ from ..functions.columns import lambda_values, rating_date_parts, release_year
 from ..operators.effects import DEFAULT_CHAIN, BiasModel, EffectSpec, fit_effects, global_mean
 from ..operators.evaluate import best_lambda, lambda_grid
 from ..operators.features import genre_vocabulary
-from ..operators.split import guarded_split
+from ..operators.split import flagged_split, guarded_split
 from ..session import configure, delete_written, materialize
-from ..sources.tables import enrich, movies_view, ratings_view
+from ..sources.tables import INPUT_TABLES, enrich, movies_view, ratings_view
+from ..store import Checkpoint, CheckpointStore
 
 FEATURE_COLS = ["rk", "userId", "movieId", "rating", "ts", "title", "genres", "release_year",
                 "rating_year", "rating_month", "rating_day_of_week", "rating_week_of_year"]
@@ -66,19 +69,41 @@ class Experiment:
     grid_parallel: int = 2        # … fitted concurrently
     _excluding: dict = field(default_factory=dict, init=False, repr=False)
     source: DataFrame | None = None   # a movielens-shaped frame instead of ``sf_dir``
+    source_files: tuple[str, ...] = ()  # the files that ``source`` reads
+    store: str | None = None          # root of a ``CheckpointStore``
+    checkpoints: dict[str, Checkpoint] = field(default_factory=dict, init=False, repr=False)
 
     def __post_init__(self):
         configure(self.spark)
+        if self.store and self.source is not None and not self.source_files:
+            raise ValueError("a stored experiment over a frame needs source_files, the files that it reads")
 
     # ---- data -------------------------------------------------------
+    def _stored(self, step: str, build, params: dict, upstream: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+        """The step's checkpoint: reloaded if an application has stored it for these inputs, parameters and earlier steps."""
+        inputs = [] if upstream else [*self.source_files] or [f"{self.sf_dir}/{t}.parquet" for t in INPUT_TABLES]
+        keep = CheckpointStore(self.spark, self.store)
+        self.checkpoints[step] = keep.step(step, build, inputs=inputs, params=params, partition_by=partition_by,
+                                           upstream=[self.checkpoints[upstream].key] if upstream else [])
+        return self.checkpoints[step].df
+
+    def _features(self) -> DataFrame:
+        return features_of(self.source) if self.source is not None else feature_table(self.spark, self.sf_dir)
+
     @cached_property
     def features(self) -> DataFrame:
-        df = features_of(self.source) if self.source is not None else feature_table(self.spark, self.sf_dir)
-        return materialize(df, "features")
+        if self.store:
+            return self._stored("features", self._features, {"columns": FEATURE_COLS})
+        return materialize(self._features(), "features")
+
+    def _split(self, step: str, upstream: str, df: DataFrame, p: float) -> DataFrame:
+        if self.store:
+            return self._stored(step, lambda: flagged_split(df, p, self.seed), {"p": p, "seed": self.seed}, upstream, ["is_test"])
+        return guarded_split(df, p, self.seed, name=step)
 
     @cached_property
     def holdout_split(self) -> DataFrame:
-        return guarded_split(self.features, self.holdout_p, self.seed, name="split-holdout")
+        return self._split("split-holdout", "features", self.features, self.holdout_p)
 
     @cached_property
     def edx(self) -> DataFrame:
@@ -90,7 +115,7 @@ class Experiment:
 
     @cached_property
     def edx_split(self) -> DataFrame:
-        return guarded_split(self.edx, self.test_p, self.seed, name="split-edx")
+        return self._split("split-edx", "split-holdout", self.edx, self.test_p)
 
     @cached_property
     def edx_train(self) -> DataFrame:

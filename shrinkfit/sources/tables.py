@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 
+#: The tables that ratings and items come from.
+INPUT_TABLES = ("lineitem", "orders", "part")
+
 # Fixed value: the reference's marker for an item without genres.
 NO_GENRE = "(no genres listed)"
 

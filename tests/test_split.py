@@ -115,3 +115,25 @@ def test_null_rating_raises(spark):
 def test_breaks_of_many_values(spark):
     df = spark.range(150_001).select((F.col("id") / 7).alias("rating"))
     assert quantile_breaks(df) == pytest.approx([0.0, 37500 / 7, 75000 / 7, 112500 / 7, 150000 / 7])
+
+
+def test_rows_of_one_key_are_cut_without_a_window(spark):
+    """A third of the rows have a null key, and rows equal in every column are cut by their place: exact counts, one projection, no window."""
+    rows = [(None if i % 3 == 0 else f"k{i}", float(i % 4), i % 7 if i % 2 else 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "rk string, rating double, other int").repartition(5)
+    for p in (0.05, 0.31):
+        out = stratified_split(df, p, 1, keep_stratum=True, bucket_rows=50)
+        for r in out.groupBy("stratum").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect():
+            assert r["t"] == math.ceil(r["n"] * p)
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.drop("is_test", "stratum").exceptAll(df).isEmpty() and out.count() == 6000
+        # The same rows are picked again, up to rows that are equal in every column.
+        again = stratified_split(df.repartition(3), p, 1, keep_stratum=True, bucket_rows=50)
+        assert again.exceptAll(out).isEmpty()
+
+
+def test_split_is_one_projection_over_its_input(spark, tmp_path):
+    _ratings(spark).write.parquet(str(tmp_path / "r"))
+    out = stratified_split(spark.read.parquet(str(tmp_path / "r")), 0.2, 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and not any(x in plan for x in ("Union", "Window", "Exchange", "InMemoryTableScan"))
