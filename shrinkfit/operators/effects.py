@@ -24,7 +24,12 @@ with ``_n = 1`` — so both paths run the same code.
 
 Several λ are fitted in the same pass as *wide* columns ``b0 … b{L-1}``:
 no row multiplication, one aggregate per effect, codegen-friendly
-arithmetic. The genre effects are aggregated per distinct genre *string*
+arithmetic. Their first two effects come from λ-free statistics: a first-effect value
+is Σ/(n+λ) of its key's two numbers, so what it takes from a second key's residual is Σ over the
+counts m among its rows of (Σ of those keys' sums)/(m+λ). That table, (second key, m), has a row per key and *different* count,
+it is made once for all λ, and no row ever carries a value per λ but on its way into the cells.
+It is smaller than the rows where keys repeat counts; where a key's rows all have different counts it has as many rows, two numbers each.
+The genre effects are aggregated per distinct genre *string*
 (tiny), exploded there, and never per rating.
 """
 
@@ -63,6 +68,7 @@ class FittedEffect:
     spec: EffectSpec
     table: DataFrame   # key, n, b0..b{L-1}
     rows: int
+    sums: DataFrame | None = None   # key, n, s: the values follow from these two numbers for every λ
 
 
 @dataclass
@@ -141,6 +147,51 @@ def fit_effect(cur: DataFrame, spec: EffectSpec, lambdas: list[float], shared: b
     return FittedEffect(spec, table, rows)
 
 
+@dataclass
+class GridStatistics:
+    """What the first two effects of a chain need, whatever the λ."""
+
+    mu: float
+    first: DataFrame    # first key, n, s: rows and Σ (rating − mu)
+    first_rows: int
+    pairs: DataFrame    # second key, m, n, s0, s1: its rows whose first key has m rows; Σ (rating − mu), Σ s of those keys
+
+
+def grid_statistics(train: DataFrame, chain: tuple[EffectSpec, ...] = DEFAULT_CHAIN, rating_col: str = "rating", name: str = "grid") -> GridStatistics:
+    """One pass for the mean, one for the first key's sums, one for the pairs; both tables are written."""
+    mu = global_mean(train, rating_col)
+    one, two = chain[0].key, chain[1].key
+    rows = train.select(one, two, (F.col(rating_col) - F.lit(mu)).alias("s0"))
+    first = materialize(rows.groupBy(one).agg(F.count(F.lit(1)).alias("n"), F.sum("s0").alias("s")), f"{name}-{chain[0].name}-sums")
+    n = first.count()
+    side = first.select(one, F.col("n").alias("m"), F.col("s").alias("s1"))
+    joined = lookup_join(rows, side, [one], "left", small_rows=n, weight_col="m")
+    pairs = joined.groupBy(two, "m").agg(F.count(F.lit(1)).alias("n"), F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+    return GridStatistics(mu, first, n, materialize(pairs, f"{name}-{chain[1].name}-pairs"))
+
+
+def effects_of(stats: GridStatistics, chain: tuple[EffectSpec, ...], lams: list[float], name: str) -> list[FittedEffect]:
+    """The first two effects at every λ."""
+    values = [_shrink("s", "n", lam).alias(f"b{j}") for j, lam in enumerate(lams)]
+    one = FittedEffect(chain[0], stats.first.select(chain[0].key, "n", *values), stats.first_rows, stats.first)
+    left = [F.sum(F.col("s0") - F.col("s1") / (F.col("m") + F.lit(lam))).alias(f"s{j}") for j, lam in enumerate(lams)]
+    sums = stats.pairs.groupBy(chain[1].key).agg(F.sum("n").alias("n"), *left)
+    table = sums.select(chain[1].key, "n", *[_shrink(f"s{j}", "n", lam).alias(f"b{j}") for j, lam in enumerate(lams)])
+    table, rows = _keep(table, f"{name}-{chain[1].name}", True)
+    return [one, FittedEffect(chain[1], table, rows)]
+
+
+def _cells_past(cur: DataFrame, effects: list[FittedEffect], lams: list[float], keys: list[str], name: str) -> DataFrame:
+    """The cells of the residual past both effects, straight from the rows."""
+    one, two = effects
+    side = one.sums.select(one.spec.key, F.col("n").alias("_m"), F.col("s").alias("_s"))
+    cur = lookup_join(cur, side, [one.spec.key], "left", small_rows=one.rows, weight_col="_m")
+    side = two.table.select(two.spec.key, F.col("n").alias("_w"), *[F.col(f"b{j}").alias(f"_b{j}") for j in range(len(lams))])
+    cur = lookup_join(cur, side, [two.spec.key], "left", small_rows=two.rows, weight_col="_w")
+    sums = [F.sum(F.col("_s0") - F.col("_s") / (F.col("_m") + F.lit(lam)) - F.col(f"_b{j}")).alias(f"_s{j}") for j, lam in enumerate(lams)]
+    return materialize(cur.groupBy(*keys).agg(F.sum("_n").alias("_n"), *sums), f"{name}-cells")
+
+
 def to_cells(cur: DataFrame, keys: list[str], width: int, name: str = "effect") -> DataFrame:
     """Pre-aggregate rows (or cells) by ``keys``: exact for any later group sum."""
     cells = cur.groupBy(*keys).agg(F.sum("_n").alias("_n"),
@@ -171,25 +222,33 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
                 chain: tuple[EffectSpec, ...] = DEFAULT_CHAIN, genres: bool = True,
                 vocabulary: list[str] | None = None, exclude_genres: tuple[str, ...] = (),
                 genres_col: str = "genres", rating_col: str = "rating",
-                name: str = "model", row_steps: int = 2) -> BiasModel:
+                name: str = "model", row_steps: int = 2, statistics: GridStatistics | None = None) -> BiasModel:
     """Fit ``mu``, the effect chain and the genre effects for every λ.
 
-    The first ``row_steps`` effects run over rows; the rest over cells.
+    The first ``row_steps`` effects run over rows; the rest over cells. Several λ take the first two
+    from ``statistics`` (made here if they aren't given), if cells follow.
     """
     from .features import genre_vocabulary
 
     lams = [float(lambdas)] if isinstance(lambdas, (int, float)) else [float(x) for x in lambdas]
     L = len(lams)
-    mu = global_mean(train, rating_col)
+    cell_keys = list(dict.fromkeys([s.key for s in chain[row_steps:]] + ([genres_col] if genres else [])))
+    if statistics is None and L > 1 and row_steps == 2 and len(chain) >= 2 and cell_keys:
+        statistics = grid_statistics(train, chain, rating_col, name)
+    mu = statistics.mu if statistics else global_mean(train, rating_col)
     model = BiasModel(mu, lams, genres_col=genres_col, rating_col=rating_col)
     needed = [rating_col] + [s.key for s in chain] + ([genres_col] if genres else [])
     cur = train.select(*dict.fromkeys(needed)).withColumns(
         {"_n": F.lit(1).cast("long"), "_s0": F.col(rating_col) - F.lit(mu)})
-    cell_keys = list(dict.fromkeys([s.key for s in chain[row_steps:]] + ([genres_col] if genres else [])))
     shared = True
     held: list[DataFrame] = []
+    if statistics:
+        model.effects = effects_of(statistics, chain, lams, name)
+        cur, shared = _cells_past(cur, model.effects, lams, cell_keys, name), False
     for i, spec in enumerate(chain):
-        if i == row_steps and cell_keys:
+        if i < len(model.effects):
+            continue
+        if i == row_steps and cell_keys and not statistics:
             cur = to_cells(cur, cell_keys, 1 if shared else L, name)
             for df in held:     # the written cells replace the row-level residual
                 df.unpersist()
@@ -280,6 +339,12 @@ def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
     mu = model.mu if intercept is None else float(intercept)
     out = df
     for e in model.effects:
+        if e.sums is not None:   # two numbers travel, not one for each λ
+            side = e.sums.select(e.spec.key, F.col("n").alias("_lk_n"), F.col("s").alias("_lk_s"))
+            out = lookup_join(out, side, [e.spec.key], "left", small_rows=e.rows, weight_col="_lk_n")
+            out = out.withColumns({f"_{e.spec.name}{j}": F.when(F.col("_lk_n").isNotNull(), _shrink("_lk_s", "_lk_n", lam))
+                                   for j, lam in enumerate(model.lambdas)}).drop("_lk_n", "_lk_s")
+            continue
         side = e.table.select(e.spec.key, F.col("n").alias("_lk_n"),
                               *[F.col(f"b{j}").alias(f"_{e.spec.name}{j}") for j in range(L)])
         out = lookup_join(out, side, [e.spec.key], "left", small_rows=e.rows, weight_col="_lk_n").drop("_lk_n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .effects import BiasModel, EffectSpec, fit_effects, predict, residuals
+from .effects import DEFAULT_CHAIN, BiasModel, EffectSpec, fit_effects, grid_statistics, predict, residuals
 from .joins import lookup_join
 
 
@@ -120,7 +120,8 @@ def lambda_grid(train: DataFrame, test: DataFrame, lambdas: list[float], chunk:
     """(lambda, rmse, n_unscored) for every λ.
 
     λ values are wide columns of the same fit, ``chunk`` of them per pass
-    (bounded row width); the reference refits 41 times. With ``parallel`` > 1
+    (bounded row width); the reference refits 41 times. What the first two effects need is
+    read from the rows once, for all passes (``grid_statistics``). With ``parallel`` > 1
     the chunks are fitted from that many driver threads at once: Spark runs
     their jobs concurrently, so the small dependent jobs of one chain overlap
     with another's instead of leaving task slots idle.
@@ -129,9 +130,15 @@ def lambda_grid(train: DataFrame, test: DataFrame, lambdas: list[float], chunk:
 
     from pyspark import inheritable_thread_target
 
+    chain = fit_kw.get("chain", DEFAULT_CHAIN)
+    cells = len(chain) > 2 or len(chain) == 2 and fit_kw.get("genres", True)
+    stats = None
+    if len(lambdas) > 1 and cells and fit_kw.get("row_steps", 2) == 2:
+        stats = grid_statistics(train, chain, fit_kw.get("rating_col", "rating"), name)
+
     def one(start: int) -> DataFrame:
         lams = lambdas[start:start + chunk]
-        model = fit_effects(train, lams, name=f"{name}{start}", **fit_kw)
+        model = fit_effects(train, lams, name=f"{name}{start}", statistics=stats, **fit_kw)
         scored = predict(model, test)
         obs = model.rating_col
         cols = ["pred"] if len(lams) == 1 else [f"pred{j}" for j in range(len(lams))]

@@ -182,7 +182,8 @@ _CACHE: dict[tuple, Experiment] = {}
 def experiment_from_files(spark: SparkSession, ratings_path: str, movies_path: str, **params) -> Experiment:
     """The workflow over the reference's ``::`` inputs."""
     from ..sources.tables import movielens_from_files
-    return Experiment(spark, ratings_path, source=movielens_from_files(spark, ratings_path, movies_path), **params)
+    return Experiment(spark, ratings_path, source=movielens_from_files(spark, ratings_path, movies_path),
+                      source_files=(ratings_path, movies_path), **params)
 
 
 def experiment(spark: SparkSession, sf_dir: str, **params) -> Experiment:

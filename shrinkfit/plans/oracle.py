@@ -284,6 +284,7 @@ def oracle_queries() -> dict[str, str]:
     q["guarded_train_test"] = with_(guard, "SELECT rk, is_test, moved_to_train FROM sg_g")
     q["seen_key_semi"] = with_(guard, f"SELECT rk, userId, movieId, {r6('rating')} AS rating FROM sg_g WHERE is_test")
     q["seen_key_removed"] = with_(guard, f"SELECT rk, userId, movieId, {r6('rating')} AS rating FROM sg_g WHERE moved_to_train")
+    q["reloaded_split"] = with_(pre, "SELECT rk, is_test, moved_to_train FROM s1_g")
     share = ("SELECT count(*) AS n_total, count_if(is_test) AS n_test, count(*) - count_if(is_test) AS n_train, "
              "{t} AS test_pct, {r} AS train_pct, '{name}' AS split FROM {src}")
     pct_t = r6("count_if(is_test) / count(*) * 100")

@@ -28,7 +28,7 @@ from ..operators.split import seen_key_guard, split_share, stratified_split
 from ..session import checkpoint_dir, configure, materialize
 from ..sources.readers import MOVIES_SCHEMA, count_malformed, read_csv, read_delimited, write_csv, write_delimited
 from ..sources.tables import movielens, movies_view, ratings_view
-from .experiment import DATE_CANDIDATES, experiment
+from .experiment import DATE_CANDIDATES, Experiment, experiment
 
 DIGITS = 6
 FIXED_LAMBDA = 2.5        # Model 7 at a fixed, given λ
@@ -170,6 +170,17 @@ def q_seen_key_removed(spark, sf_dir):
     return rounded(natural_anti_join(temp, kept).select("rk", "userId", "movieId", "rating"))
 
 
+def q_reloaded_split(spark, sf_dir):
+    """The holdout split as a later run finds it: stored by one experiment, reloaded by another one that computes nothing."""
+    root = os.path.join(checkpoint_dir(configure(spark)), "shrinkfit", "store")
+    Experiment(spark, sf_dir, store=root).holdout_split
+    later = Experiment(spark, sf_dir, store=root)
+    split = later.holdout_split
+    if not all(c.reloaded for c in later.checkpoints.values()):
+        raise RuntimeError("a stored step was computed again")
+    return split.select("rk", "is_test", "moved_to_train")
+
+
 def q_split_share(spark, sf_dir):
     e = experiment(spark, sf_dir)
     a = split_share(e.holdout_split).withColumn("split", F.lit("holdout"))
@@ -353,6 +364,7 @@ QUERIES: dict[str, Query] = {
     "guarded_train_test": q_guarded_train_test,
     "seen_key_semi": q_seen_key_semi,
     "seen_key_removed": q_seen_key_removed,
+    "reloaded_split": q_reloaded_split,
     "split_share": q_split_share,
     "edx_train_test": q_edx_train_test,
     "movie_effect": _effect("b_i"),
