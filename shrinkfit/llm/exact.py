@@ -4,7 +4,7 @@ The index is a table bucketed and sorted by digest, in the shared folder. New do
 batches: a batch is reduced to one row per digest (a partial aggregate, so a text that a third of
 the rows hold is one row per task before the shuffle), the digests that the index already holds go by a
 sort-merge anti join - the index side is read by its buckets and not shuffled - and the rest is
-appended. What came first stays; the query deals the documents by falling doc_id, so that
+appended. It has a bucket for each ``BUCKET`` digests of the first batches, which stays with it. What came first stays; the query deals the documents by falling doc_id, so that
 the largest one stays.
 
 Texts are equal when identical after lower-casing A-Z; the digest is SHA-256 of that text in UTF-8.
@@ -30,12 +30,22 @@ def normalised(text: str):
     return F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
+#: Digests (about 80 bytes each) of a bucket when the index is made, and buckets at least.
+BUCKET, LEAST = 1_000_000, 16
+
+
 class DigestIndex:
-    """(digest, keep_id), unique by digest; bucketed and sorted by digest under ``path``."""
+    """(digest, keep_id), unique by digest; bucketed and sorted by digest under ``path``, for about ``expected`` digests if it is new."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, expected: int = 0):
+        self.spark = spark
         self.path = path or scratch(spark, "digest-index")
+        # The number of buckets belongs to the files, so it lies beside them.
+        told = f"{self.path}-buckets"
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{told}/_SUCCESS")
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            spark.range(1).select(F.lit(max(LEAST, -(-expected // BUCKET))).alias("buckets")).coalesce(1).write.mode("overwrite").json(told)
+        buckets = self.buckets = spark.read.schema("buckets int").json(told).first()[0]
         self.name = f"digest_index_{uuid.uuid4().hex[:12]}"
         # An entry in this session's catalog for the files at path, which may be there from an earlier session.
         spark.sql(f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
@@ -78,14 +88,17 @@ def exact_groups(found: DataFrame, index: DigestIndex, batches: int = 2) -> Data
 
 def exact_query(docs: DataFrame) -> DataFrame:
     """op7: doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    rows = exact_groups(digests(docs), DigestIndex(docs.sparkSession))
+    found = digests(docs)
+    rows = exact_groups(found, DigestIndex(docs.sparkSession, expected=found.count()))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; of repeated rows one stays."""
     found = digests(docs, doc_id=doc_id, text=text)
-    groups = materialize(exact_groups(found, DigestIndex(docs.sparkSession)), "exact-kept")
+    index = DigestIndex(docs.sparkSession, expected=found.count())
+    groups = materialize(exact_groups(found, index), "exact-kept")
+    index.close()
     gone = groups.filter("not kept").select("doc_id", "raw").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("raw"))
     rest = keep_rows(rows, gone, ["doc_id", "raw"])

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms, DataFrame operations only.
 
-Every document has a 36-bit hash of its id. Words are summed by source and by the hash's upper 12
+Every document has a 36-bit hash of its id and text. Words are summed by source and by the hash's upper 12
 bits; the running sum finds, for each source, the bucket in which its budget is used up. Only that
 bucket is summed again by the next 12 bits, and once more by the last ones, so the threshold ends
 between two documents, and each document is taken or not by comparing its hash with its source's threshold:
@@ -10,8 +10,8 @@ goes in, and the rest is the budget. Smaller budgets take subsets of what larger
 The table of sources (a row each) is ordered in one task to deal the weights; documents are only aggregated by
 (source, bucket) with partial sums, so a source with a third of all rows is summed where it is read.
 
-Nulls: a null text has size 0; a null source is a source, ordered last; a null doc_id hashes as empty text. Ties and repeated
-rows: rows of one doc_id in one source share their hash and are taken together. An empty text has size 0 and takes part without
+Nulls: a null text has size 0 and hashes as an empty one; a null source is a source, ordered last; a null doc_id hashes as empty text. Ties and repeated
+rows: rows of one doc_id with different texts are taken apart, rows equal in both share their hash and are taken together. An empty text has size 0 and takes part without
 effect. Empty table: no rows. Further columns are not read.
 """
 
@@ -35,8 +35,10 @@ def word_count(text):
     return F.coalesce(F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(text, f"{WHITE}+")) - edges), F.lit(0)).cast("long")
 
 
-def hashed(doc_id):
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, DIGITS), 16, 10).cast("long")
+def hashed(doc_id, text):
+    """Of the id and the text: an id that a third of the rows share doesn't make them one lump."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, DIGITS), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -85,7 +87,7 @@ def small_join(rows: DataFrame, by_source: DataFrame, on, how: str) -> DataFrame
 
 def plan_mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3) -> tuple[DataFrame, DataFrame]:
     """A written table (doc_id, source, size, hash), and the sources' thresholds."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), hashed(F.col(doc_id)).alias("hash"))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), hashed(F.col(doc_id), F.col(text)).alias("hash"))
     narrow = materialize(narrow, "mix-sizes")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     return narrow, thresholds(narrow, source_targets(sizes, weights, most))
@@ -106,7 +108,7 @@ def mix_query(docs: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns."""
     _, bounds = plan_mix(docs, doc_id=doc_id, text=text, source=source, weights=weights, most=most)
-    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), hashed(F.col(doc_id)).alias("hash"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), hashed(F.col(doc_id), F.col(text)).alias("hash"))
     at = bounds.select(F.col("source").alias("s"), "copies", "threshold")
     rows = small_join(rows, at, F.col("source").eqNullSafe(F.col("s")), "inner")
     n = taken(F.col("hash")).cast("int")
@@ -116,7 +118,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 #: DuckDB SQL for op8: the same rule by sorting, without histograms.
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS hash FROM documents),
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 9))::BIGINT AS hash FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 r AS (SELECT *, source_size::DOUBLE * 3 AS most FROM s),
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(most) OVER w, 0.0)) / (sum(weight) OVER ()::DOUBLE - coalesce(sum(weight) OVER w, 0)::DOUBLE) AS level

@@ -8,9 +8,9 @@
    and the ANCHOR ones before them, as 16-bit hashes.
 4. Suffixes are range-sorted by their words - all columns are sort keys, so equal ones may be dealt over many tasks - and each is
    compared with its neighbours and the nearest one of another document; the rows at a task's ends are compared again with those of the next task.
-   A match is extended to both sides; it counts from ``words`` words on.
-5. A suffix that found no match but has more neighbours with the same beginning than were compared is resolved exactly, with the others of
-   that beginning. Sorted neighbours tell how many words any other document shares to the right, a second sort by the words before how many
+   A match is extended to both sides; it counts from ``words`` words on. A suffix keeps the farthest reach to each side of all its matches: they
+   all hold its position, so together they are one span.
+5. Suffixes that have more neighbours with the same beginning than were compared are resolved exactly, whether they found a match or not. Sorted neighbours tell how many words any other document shares to the right, a second sort by the words before how many
    to the left; only the ``words``-word runs across the position that both bounds allow are looked up by hash.
 6. Each document's matches are joined to maximal passages: longer ones have a retained suffix every few words.
 
@@ -157,7 +157,6 @@ def compare(rows: pa.Table, words: int, first: bool, last: bool) -> pa.RecordBat
     left, right, reach = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     other = np.full(n, -1)
     hit = np.zeros(n, bool)
-    best = np.full(n, words - 1)
 
     def look(i: np.ndarray, j: np.ndarray) -> None:
         ok = (h[i] == h[j]) & (doc[i] != doc[j])
@@ -167,10 +166,11 @@ def compare(rows: pa.Table, words: int, first: bool, last: bool) -> pa.RecordBat
         r, b = common(after, n_after, i, j), common(before, n_before, i, j)
         for x, y in ((i, j), (j, i)):
             np.maximum.at(reach, x, r)
-            # In a look each row stands once on a side where the lag is fixed; for runs of one document the last one counts.
-            better = (r >= ANCHOR) & (r + b > best[x])
-            x, y = x[better], y[better]
-            best[x], left[x], right[x], other[x], hit[x] = (r + b)[better], b[better], r[better], doc[y], True
+            enough = (r >= ANCHOR) & (r + b >= words)
+            x, y = x[enough], y[enough]
+            np.maximum.at(left, x, b[enough])
+            np.maximum.at(right, x, r[enough])
+            other[x], hit[x] = doc[y], True
 
     at = np.arange(n)
     for lag in range(1, NEIGHBOURS + 1):
@@ -184,7 +184,7 @@ def compare(rows: pa.Table, words: int, first: bool, last: bool) -> pa.RecordBat
     if n > NEIGHBOURS:
         crowded[:-NEIGHBOURS] |= h[:-NEIGHBOURS] == h[NEIGHBOURS:]
         crowded[NEIGHBOURS:] |= h[NEIGHBOURS:] == h[:-NEIGHBOURS]
-    unresolved = crowded & ~hit
+    unresolved = crowded.copy()
     # Rows of a beginning that may go on past the ends belong to a crowd that isn't seen as a whole.
     crowded |= (h == h[0]) | (h == h[-1])
     edge = np.zeros(n, bool)

@@ -71,9 +71,9 @@ def write_warc(pages: DataFrame, folder: str, *, least: int = 1000, roll: int =
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     whole = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     whole = whole.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    narrow = whole.filter(F.octet_length("html") >= least).filter(F.col("page_id").isNotNull()).select("page_id", "digest")
+    narrow = whole.filter(F.octet_length("html") >= least).select("page_id", "digest")
     narrow = materialize(narrow, "warc-digests")
-    groups = narrow.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1")
+    groups = narrow.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1 AND keep IS NOT NULL")
     # Not a join of all pages: only those whose digest occurs again have a decision.
     decisions = narrow.join(groups, "digest").select("page_id", "digest", F.col("keep").alias("refers_to")).distinct()
     marks = decisions.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.lit(True).alias("decision"), "refers_to")

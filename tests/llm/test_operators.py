@@ -325,10 +325,10 @@ def test_exact(docs, corpus, nothing):
 
 def test_index_survives_the_session_entry(spark):
     path = scratch(spark, "index-test")
-    first = exact.DigestIndex(spark, path, buckets=4)
+    first = exact.DigestIndex(spark, path, expected=17_500_000)
     first.add(spark.createDataFrame([("a", 5), ("b", 2), ("a", 7)], "digest string, doc_id long"))
     first.close()
-    again = exact.DigestIndex(spark, path, buckets=4)
+    again = exact.DigestIndex(spark, path)
     again.add(spark.createDataFrame([("a", 9), ("c", 1)], "digest string, doc_id long"))
     assert sorted(tuple(r) for r in again.table().collect()) == [("a", 7), ("b", 2), ("c", 1)]
 
@@ -417,7 +417,7 @@ def test_warc(spark):
     want = []
     for k, (i, _, html) in enumerate(rows):
         data = (html or "").encode()
-        refers = {1: 7, 2: 7}.get(i) or (9 if k == 9 else None)
+        refers = {1: 7, 2: 7, None: 7}.get(i) or (9 if k == 9 else None)
         want.append((str(i), len(data), hashlib.sha1(data).hexdigest(), "revisit" if refers else "response", refers))
     assert sorted(got, key=str) == sorted(want, key=str)
     assert warc.warc_query(df.limit(0)).count() == 0
