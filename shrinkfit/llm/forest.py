@@ -15,7 +15,7 @@
 4. The rows of regions that were cut (by ``LEAF``, or at the ends of a task's run) are joined exactly with each other: two sets of the threshold
    share one of their rarest shingles, at a place that leaves enough others behind it in both. The pairs between different classes are confirmed.
    A shingle of many rows is dealt over blocks; it costs pairs only for rows that have it among their rarest, by which they could reach the threshold,
-   and whose sketches leave it open: a crowd of near copies that don't link costs comparisons of 64 bytes inside tasks, but no pairs.
+   and whose sketches leave it open: a crowd of near copies that don't link costs comparisons of 256 bytes inside tasks, but next to no pairs.
 5. Classes are the connected components of the confirmed links.
 
 A link at the threshold 0.85 is a candidate in one tree with probability 0.85 ** 2, in ten with 1 - 3e-6. The signature's estimate, the same in all
@@ -48,8 +48,8 @@ HASHES = TREES * DEPTH
 BLOCK, COUNTED = 4096, 32_000_000
 #: Standard errors of the signature's estimate by which a pair may miss the threshold and still be confirmed.
 DOUBT = 6
-#: Bits of a set's parity sketch.
-BITS = 512
+#: Bits of a set's parity sketch, and sketches by different hashes of a set that stands in a crowd.
+BITS, CROWD = 512, 4
 
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _MASKS = np.random.default_rng(6).integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -120,16 +120,19 @@ def signatures(ends: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def parities(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
-    """[rows, BITS / 8] bytes: the parity sketches of sets of distinct hashes."""
-    place = row * BITS + (mix(h) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    odd = np.bincount(place, minlength=rows * BITS)[: rows * BITS] & 1
-    return np.packbits(odd.astype(np.uint8).reshape(rows, BITS), axis=1)
+def parities(row: np.ndarray, h: np.ndarray, rows: int, times: int = 1) -> np.ndarray:
+    """[rows, times * BITS / 8] bytes: the parity sketches of sets of distinct hashes."""
+    out = []
+    for t in range(times):
+        place = row * BITS + (mix(h + np.uint64(t)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+        odd = np.bincount(place, minlength=rows * BITS)[: rows * BITS] & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(rows, BITS), axis=1))
+    return np.concatenate(out, axis=1)
 
 
 def in_reach(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """May sets of these sketches (rows of 64-bit words) and sizes (both together) reach the share? They differ in so many shingles at least."""
-    differ = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    """May sets of these sketches (rows of 64-bit words) and sizes (both together) reach the share? They differ in as many shingles as any of their sketches at least."""
+    differ = np.bitwise_count(left ^ right).reshape(len(left), left.shape[1] * 64 // BITS, BITS // 64).sum(axis=2, dtype=np.int64).max(axis=1)
     return differ * (share[0] + share[1]) <= sizes * (share[1] - share[0])
 
 
@@ -345,13 +348,13 @@ def rarest(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
                 upto = (n - place) * (part_of + whole) // part_of - n
                 take = np.flatnonzero(upto * whole >= n * part_of)
                 of = start + row[take]
-                sketch = pa.array([x.tobytes() for x in parities(row, h, len(found))], pa.binary()).take(pa.array(row[take]))
+                sketch = pa.array([x.tobytes() for x in parities(row, h, len(found), CROWD)], pa.binary()).take(pa.array(row[take]))
                 yield pa.RecordBatch.from_arrays([pa.array(h[order][take].view(np.int64)), pa.array(rid[of]), pa.array(group[of]), pa.array(n[take]), pa.array(upto[take]), sketch], ["shingle", "rid", "class", "n", "upto", "sketch"])
 
     return materialize(marked.select("rid", "class", "text").mapInArrow(tidy(run), "shingle long, rid long, class long, n long, upto long, sketch binary"), "near-rarest")
 
 
-def meeting(group: np.ndarray, rid: np.ndarray, kind: np.ndarray, n: np.ndarray, upto: np.ndarray, home: np.ndarray, parity: np.ndarray, share: tuple[int, int], most: int = 500_000):
+def meeting(group: np.ndarray, rid: np.ndarray, kind: np.ndarray, n: np.ndarray, upto: np.ndarray, home: np.ndarray, parity: np.ndarray, share: tuple[int, int], most: int = 200_000):
     """(a, b) of rows of equal ``group`` and different ``kind`` that leave room for each other, also by their sketches; sorted by group and n,
     ``home``: may be the larger."""
     tail = group.astype(np.int64) << np.int64(40)
