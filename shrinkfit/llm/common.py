@@ -25,12 +25,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return posixpath.join(checkpoint_dir(spark), "llm", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+#: Bytes of an Arrow batch on its way to or from a Python task: with long texts, 10,000 rows (the default) are tens of megabytes on both sides.
+ARROW_BYTES = 8 << 20
+
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, for a cluster on which it isn't installed; once per application."""
+    """Send the package to the executors, for a cluster on which it isn't installed, once per application; and bound the session's Arrow batches by bytes."""
     app = spark.sparkContext.applicationId
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if app in _SHIPPED:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -1,9 +1,9 @@
 """Byte-level BPE ids of whole texts, the same as the tokenizers library gives, in less time.
 
 The library spends most of its time on splitting a text into words, again and again for the
-same words. Here Arrow splits a batch at its spaces, every distinct piece is cut into words
-once, and the new words' merges are made together (``bulkbpe``); numpy then puts the ids of all
-documents together. Pieces are remembered in a cache that is bounded in bytes and keeps those that come again. A text in which a space has another white space beside it isn't split at
+same words. Here Arrow splits a batch at its spaces; numpy cuts the distinct pieces into words, by the kinds of their characters,
+makes the merges of all words together (``bulkbpe``) and puts the ids of all documents together. Nothing is kept from one
+batch to the next, so memory follows the batch alone. Pieces with an apostrophe or white space inside are cut by the word pattern. A text in which a space has another white space beside it isn't split at
 its spaces but cut as a whole. A text that holds the string of one of the file's added tokens
 goes through the library. Any other kind of tokenizer goes through ``encode_batch``.
 """
@@ -18,7 +18,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .bulkbpe import PairTable, merge_words
-from .cache import Pieces
 from .common import fresh, offsets_of
 
 #: The word pattern of byte-level BPE, and the byte ranges that it shows as they are.
@@ -45,8 +44,24 @@ def encoder(path: str) -> "Encoder":
     return _ENCODERS[path]
 
 
+LETTER, NUMBER, OTHER, SPACE = range(4)
+
+
+def character_kinds() -> np.ndarray:
+    """The word pattern's kind of each code point."""
+    import regex
+
+    kinds = np.full(0x110000, OTHER, dtype=np.uint8)
+    for first, last in ((0, 0xD800), (0xE000, 0x110000)):  # not the surrogates
+        every = "".join(map(chr, range(first, last)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for found in regex.finditer(pattern, every):
+                kinds[first + found.start() : first + found.end()] = kind
+    return kinds
+
+
 class Encoder:
-    def __init__(self, path: str, cached: int = 48 << 20):
+    def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -71,7 +86,7 @@ class Encoder:
             vocab, merges = model["vocab"], [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
             self.first = np.array([vocab[chr(self.table[b])] for b in range(256)], dtype=np.int32)
             self.pairs = PairTable(*(np.array([vocab[f(x)] for x in merges], dtype=np.int64) for f in (lambda x: x[0], lambda x: x[1], "".join)))
-        self.cache = Pieces(cached)
+            self.kinds = character_kinds()
 
     def vocab_size(self) -> int:
         return self.tokenizer.get_vocab_size()
@@ -160,16 +175,35 @@ class Encoder:
 
     def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, and for each chunk where its own begin and how many they are."""
-        names = chunks.to_pylist()
-        found, missing = self.cache.find(names)
-        if missing:
-            # The same text may be a text's first piece and a piece of one cut as a whole.
-            findall = self.words.findall
-            cut = {x: (x,) if x.isalpha() or x[1:].isalpha() and x[0] == " " else findall(x) for x in {names[i] for i in missing}}
-            ids = self._words(list({w for x in cut.values() for w in x}))
-            for i in missing:
-                x = cut[names[i]]
-                found[i] = ids[x[0]] if len(x) == 1 else b"".join([ids[w] for w in x])
-                self.cache.put(names[i], found[i])
-        lens = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(lens) - lens, lens
+        offs = offsets_of(chunks)
+        data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
+        offs = offs - offs[0]
+        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        size = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+        place = np.cumsum(size) - size
+        piece = np.searchsorted(offs, place, side="right") - 1
+        first = np.concatenate([[True], piece[1:] != piece[:-1]]) if len(code) else np.zeros(0, bool)
+        kind = self.kinds[code]
+        # A space that begins a piece belongs to what follows it.
+        lead = np.flatnonzero(first & (code == ord(" ")))
+        lead = lead[(lead + 1 < len(code)) & ~np.append(first, True)[lead + 1]]
+        kind[lead] = kind[lead + 1]
+        slow = np.zeros(len(chunks), dtype=bool)
+        slow[piece[(kind == SPACE) | (code == ord("'"))]] = True
+        starts = np.flatnonzero(first | np.concatenate([[True], kind[1:] != kind[:-1]])) if len(code) else np.zeros(0, np.int64)
+        word_piece, word_size = piece[starts], np.diff(np.append(place[starts], len(data)))
+        slow[word_piece[word_size > LONG]] = True
+        fast = ~slow[word_piece]
+        keep = np.repeat(fast, word_size)
+        ids, n = merge_words(self.first[data[keep]], word_size[fast], self.pairs)
+        lens = np.bincount(word_piece[fast], weights=n, minlength=len(chunks)).astype(np.int64)
+        at = np.cumsum(lens) - lens
+        which = np.flatnonzero(slow)
+        if len(which):
+            cut = [self.words.findall(x) for x in chunks.take(pa.array(which)).to_pylist()]
+            known = self._words(list({w for x in cut for w in x}))
+            own = [b"".join([known[w] for w in x]) for x in cut]
+            lens[which] = [len(x) // 4 for x in own]
+            at[which] = len(ids) + np.cumsum(lens[which]) - lens[which]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(own), "<u4")])
+        return ids, at, lens
