@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import genre_tokens
 from ..session import materialize
 from ..sources.tables import NO_GENRE
+from .copartition import AlignedTable, Layout, align, group_parts, join_parts
 from .joins import can_broadcast, lookup_join
 
 
@@ -69,6 +70,12 @@ class FittedEffect:
     table: DataFrame   # key, n, b0..b{L-1}
     rows: int
     sums: DataFrame | None = None   # key, n, s: the values follow from these two numbers for every λ
+    aligned: AlignedTable | None = None   # the table bucketed by its key, once a layout needs it
+
+    def aligned_to(self, layout: Layout) -> AlignedTable:
+        if self.aligned is None or self.aligned.buckets != layout.buckets:
+            self.aligned = align(self.table, self.spec.key, layout.buckets, f"aligned-{self.spec.name}")
+        return self.aligned
 
 
 @dataclass
@@ -192,6 +199,26 @@ def _cells_past(cur: DataFrame, effects: list[FittedEffect], lams: list[float],
     return materialize(cur.groupBy(*keys).agg(F.sum("_n").alias("_n"), *sums), f"{name}-cells")
 
 
+def effects_by_layout(layout: Layout, chain: tuple[EffectSpec, ...], lam: float, keys: list[str],
+                      rating_col: str, name: str) -> tuple[float, list[FittedEffect], DataFrame]:
+    """``mu``, the first two effects and the cells past both, from rows laid out by the second effect's key.
+
+    The second key's sums and the join past them read bucket by bucket; the first key's join is ``lookup_join``'s.
+    """
+    one, two = chain[:2]
+    mu = global_mean(layout.df, rating_col)
+    needed = list(dict.fromkeys([one.key, two.key, *keys]))
+    parts = [p.select(*needed, F.lit(1).cast("long").alias("_n"), (F.col(rating_col) - F.lit(mu)).alias("_s0")) for p in layout.parts]
+    first = fit_effect(parts[0].unionByName(parts[1]), one, [lam], True, name)
+    past = [_subtract(p, first, [lam], True) for p in parts]
+    sums = group_parts(past, two.key, F.sum("_n").alias("n"), F.sum("_s0").alias("s"))
+    table = align(sums.select(two.key, "n", _shrink("s", "n", lam).alias("b0")), two.key, layout.buckets, f"{name}-{two.name}")
+    second = FittedEffect(two, table.bucketed.df, table.rows, aligned=table)
+    past = [p.withColumn("_s0", F.col("_s0") - F.col("_n") * F.col("_b0")).drop("_b0")
+            for p in join_parts(past, layout, table, {"b0": "_b0"})]
+    return mu, [first, second], to_cells(past[0].unionByName(past[1]), keys, 1, name)
+
+
 def to_cells(cur: DataFrame, keys: list[str], width: int, name: str = "effect") -> DataFrame:
     """Pre-aggregate rows (or cells) by ``keys``: exact for any later group sum."""
     cells = cur.groupBy(*keys).agg(F.sum("_n").alias("_n"),
@@ -222,11 +249,12 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
                 chain: tuple[EffectSpec, ...] = DEFAULT_CHAIN, genres: bool = True,
                 vocabulary: list[str] | None = None, exclude_genres: tuple[str, ...] = (),
                 genres_col: str = "genres", rating_col: str = "rating",
-                name: str = "model", row_steps: int = 2, statistics: GridStatistics | None = None) -> BiasModel:
+                name: str = "model", row_steps: int = 2, statistics: GridStatistics | None = None, layout: Layout | None = None) -> BiasModel:
     """Fit ``mu``, the effect chain and the genre effects for every λ.
 
     The first ``row_steps`` effects run over rows; the rest over cells. Several λ take the first two
-    from ``statistics`` (made here if they aren't given), if cells follow.
+    from ``statistics`` (made here if they aren't given), if cells follow. One λ with a ``layout`` of the training
+    rows by the second effect's key takes those two from it, without a shuffle on that key (``effects_by_layout``).
     """
     from .features import genre_vocabulary
 
@@ -235,20 +263,26 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
     cell_keys = list(dict.fromkeys([s.key for s in chain[row_steps:]] + ([genres_col] if genres else [])))
     if statistics is None and L > 1 and row_steps == 2 and len(chain) >= 2 and cell_keys:
         statistics = grid_statistics(train, chain, rating_col, name)
-    mu = statistics.mu if statistics else global_mean(train, rating_col)
+    by_layout = layout is not None and L == 1 and row_steps == 2 and len(chain) >= 2 and bool(cell_keys) and chain[1].key == layout.key
+    if by_layout:
+        mu, effects, cells = effects_by_layout(layout, chain, lams[0], cell_keys, rating_col, name)
+    else:
+        mu = statistics.mu if statistics else global_mean(train, rating_col)
     model = BiasModel(mu, lams, genres_col=genres_col, rating_col=rating_col)
     needed = [rating_col] + [s.key for s in chain] + ([genres_col] if genres else [])
     cur = train.select(*dict.fromkeys(needed)).withColumns(
         {"_n": F.lit(1).cast("long"), "_s0": F.col(rating_col) - F.lit(mu)})
     shared = True
     held: list[DataFrame] = []
-    if statistics:
+    if by_layout:
+        model.effects, cur, shared = effects, cells, False
+    elif statistics:
         model.effects = effects_of(statistics, chain, lams, name)
         cur, shared = _cells_past(cur, model.effects, lams, cell_keys, name), False
     for i, spec in enumerate(chain):
         if i < len(model.effects):
             continue
-        if i == row_steps and cell_keys and not statistics:
+        if i == row_steps and cell_keys and not statistics and not by_layout:
             cur = to_cells(cur, cell_keys, 1 if shared else L, name)
             for df in held:     # the written cells replace the row-level residual
                 df.unpersist()
@@ -324,7 +358,7 @@ def _adder(m):
 
 
 def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
-            cumulative: bool = False, genre_terms: str = "join") -> DataFrame:
+            cumulative: bool = False, genre_terms: str = "join", layout: Layout | None = None) -> DataFrame:
     """Add ``pred`` (one λ) or ``pred0…`` (several) to ``df``.
 
     A row whose key has no fitted effect gets a NULL prediction (strict,
@@ -333,12 +367,19 @@ def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
     of every prefix of the chain (``pred_g`` adds genres), all from one pass.
     ``genre_terms="join"`` joins a per-genre-string table built from the
     input's distinct lists; ``"map"``, for streams alone, looks tokens up per
-    row in the genre-effect map.
+    row in the genre-effect map. A ``layout`` of the same rows by an effect's key takes that
+    effect by a bucketed join (``df`` may then be ``layout.df``); the sum doesn't depend on the joins' order.
     """
     L = model.width
     mu = model.mu if intercept is None else float(intercept)
     out = df
+    laid = next((e for e in model.effects if layout is not None and e.spec.key == layout.key), None)
+    if laid is not None:
+        parts = join_parts(layout.parts, layout, laid.aligned_to(layout), {f"b{j}": f"_{laid.spec.name}{j}" for j in range(L)})
+        out = parts[0].unionByName(parts[1])
     for e in model.effects:
+        if e is laid:
+            continue
         if e.sums is not None:   # two numbers travel, not one for each λ
             side = e.sums.select(e.spec.key, F.col("n").alias("_lk_n"), F.col("s").alias("_lk_s"))
             out = lookup_join(out, side, [e.spec.key], "left", small_rows=e.rows, weight_col="_lk_n")

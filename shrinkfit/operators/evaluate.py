@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .copartition import Layout
 from .effects import DEFAULT_CHAIN, BiasModel, EffectSpec, fit_effects, grid_statistics, predict, residuals
 from .joins import lookup_join
 
@@ -35,14 +36,14 @@ MODEL_LABELS = (
 
 
 def model_sequence(model: BiasModel, test: DataFrame, labels: tuple[str, ...] = MODEL_LABELS,
-                   steps: tuple[int, ...] | None = None) -> DataFrame:
-    """RMSE of the nested models (M3-M9) from ONE pass over ``test``.
+                   steps: tuple[int, ...] | None = None, layout: Layout | None = None) -> DataFrame:
+    """RMSE of the nested models (M3-M9) from ONE pass over ``test`` (or its ``layout``).
 
     ``steps`` lists how many chain effects each model uses (default: the
     reference's 0, 1, 2, 3, 5, then 5 + genres).
     """
     steps = steps or (0, 1, 2, 3, 5)
-    scored = predict(model, test, cumulative=True)
+    scored = predict(model, test, cumulative=True, layout=layout)
     aggs = []
     for i, k in enumerate(steps):
         aggs.append(F.struct(F.lit(i + 1).alias("seq"), F.lit(labels[i]).alias("method"),

@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import lambda_values, rating_date_parts, release_year
-from ..operators.effects import DEFAULT_CHAIN, BiasModel, EffectSpec, fit_effects, global_mean
+from ..operators.copartition import Layout, lay_out
+from ..operators.effects import DEFAULT_CHAIN, BiasModel, EffectSpec, fit_effects, global_mean, predict
 from ..operators.evaluate import best_lambda, lambda_grid
 from ..operators.features import genre_vocabulary
+from ..operators.joins import broadcast_max_bytes
 from ..operators.split import flagged_split, guarded_split
 from ..session import configure, delete_written, materialize
 from ..sources.tables import INPUT_TABLES, enrich, movies_view, ratings_view
@@ -34,6 +36,9 @@ from ..store import Checkpoint, CheckpointStore
 FEATURE_COLS = ["rk", "userId", "movieId", "rating", "ts", "title", "genres", "release_year",
                 "rating_year", "rating_month", "rating_day_of_week", "rating_week_of_year"]
 
+#: In-memory width of a row (key, n, b) of the user effect table.
+USER_EFFECT_BYTES = 40
+
 # Candidates tried one at a time on top of Model 4 (the reference's order).
 DATE_CANDIDATES = (
     EffectSpec("b_rat_y", "rating_year"),
@@ -71,6 +76,8 @@ class Experiment:
     source: DataFrame | None = None   # a movielens-shaped frame instead of ``sf_dir``
     source_files: tuple[str, ...] = ()  # the files that ``source`` reads
     store: str | None = None          # root of a ``CheckpointStore``
+    copartition: bool | None = None   # lay splits out by user; None: if the users pass the broadcast bound
+    _layouts: dict = field(default_factory=dict, init=False, repr=False)
     checkpoints: dict[str, Checkpoint] = field(default_factory=dict, init=False, repr=False)
 
     def __post_init__(self):
@@ -135,10 +142,46 @@ class Experiment:
         return fit_effects(train, lambdas, DEFAULT_CHAIN, genres=True, vocabulary=self.vocabulary,
                            exclude_genres=self.exclude_genres, name=name)
 
+    @cached_property
+    def by_user(self) -> bool:
+        """Whether splits are laid out by user: a user effect table past the broadcast bound would shuffle the ratings in each join."""
+        if self.copartition is not None:
+            return self.copartition
+        most = broadcast_max_bytes(self.features) // USER_EFFECT_BYTES
+        if self.features.count() <= most:
+            return False
+        users = self.features.agg(F.approx_count_distinct(DEFAULT_CHAIN[1].key, 0.05).alias("n")).first()["n"]
+        return users > most
+
+    def layout(self, part: str) -> Layout | None:
+        """``edx``, ``edx_train``, ``edx_test`` or ``holdout`` laid out by user, written once; None below the bound."""
+        if not self.by_user:
+            return None
+        if part not in self._layouts:
+            self._layouts[part] = lay_out(getattr(self, part), DEFAULT_CHAIN[1].key, name=f"layout-{part}")
+        return self._layouts[part]
+
+    def fit_part(self, part: str, lam: float, name: str) -> BiasModel:
+        """A model for one λ on a split, by its layout if there is one."""
+        return fit_effects(getattr(self, part), lam, DEFAULT_CHAIN, genres=True, vocabulary=self.vocabulary,
+                           exclude_genres=self.exclude_genres, name=name, layout=self.layout(part))
+
+    def score(self, model: BiasModel, part: str, **how) -> DataFrame:
+        """Predictions for a split, by its layout if there is one."""
+        return predict(model, getattr(self, part), layout=self.layout(part), **how)
+
+    @cached_property
+    def laid_out(self) -> "Experiment":
+        """The same splits, laid out by user whatever their size."""
+        other = replace(self, copartition=True)
+        for name in ("features", "holdout_split", "edx_split", "vocabulary"):
+            other.__dict__[name] = getattr(self, name)
+        return other
+
     @cached_property
     def model0(self) -> BiasModel:
         """Unregularised Model 6 on edx_train: its prefixes are Models 2-5."""
-        return self.fit(self.edx_train, 0.0, "model0")
+        return self.fit_part("edx_train", 0.0, "model0")
 
     def excluding(self, genres: tuple[str, ...]) -> "Experiment":
         """The same splits, models without these genres."""
@@ -169,11 +212,11 @@ class Experiment:
 
     @cached_property
     def model7(self) -> BiasModel:
-        return self.fit(self.edx_train, self.best[0], "model7")
+        return self.fit_part("edx_train", self.best[0], "model7")
 
     @cached_property
     def final_model(self) -> BiasModel:
-        return self.fit(self.edx, self.best[0], "final")
+        return self.fit_part("edx", self.best[0], "final")
 
 
 _CACHE: dict[tuple, Experiment] = {}

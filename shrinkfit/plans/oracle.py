@@ -356,6 +356,8 @@ def oracle_queries() -> dict[str, str]:
     fx.append(rmse_cte("fx_rmse", "fx_p"))
     q["model7_fixed_lambda"] = with_(fx, f"SELECT {r6('lam')} AS {LAM_OUT}, {r6('rmse')} AS rmse, n, n_unscored FROM fx_rmse")
 
+    q["copartitioned_predictions"] = with_(fx, f"SELECT rk, userId, movieId, {r6('rating')} AS rating, {r6('pred')} AS pred FROM fx_p")
+
     parts = [f"SELECT '{name}' AS effect, CAST({key} AS VARCHAR) AS key, {r6('b')} AS b, n FROM fx_e{k}"
              for k, (name, key) in enumerate(CHAIN, start=1)]
     parts.append(f"SELECT 'b_g' AS effect, genre AS key, {r6('b')} AS b, CAST(n AS BIGINT) AS n FROM fx_ge")

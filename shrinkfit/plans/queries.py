@@ -210,7 +210,7 @@ def q_genre_effects(spark, sf_dir):
 
 def q_model_sequence(spark, sf_dir):
     e = experiment(spark, sf_dir)
-    return rounded(model_sequence(e.model0, e.edx_test))
+    return rounded(model_sequence(e.model0, e.edx_test, layout=e.layout("edx_test")))
 
 
 def q_ablation_rating_date(spark, sf_dir):
@@ -237,27 +237,34 @@ def q_best_lambda(spark, sf_dir):
 
 def q_model7_predictions(spark, sf_dir):
     e = experiment(spark, sf_dir)
-    return rounded(predict(e.model7, e.edx_test).select("rk", "userId", "movieId", "rating", "pred"))
+    return rounded(e.score(e.model7, "edx_test").select("rk", "userId", "movieId", "rating", "pred"))
+
+
+def q_copartitioned_predictions(spark, sf_dir):
+    """Fit and scoring at the fixed λ with both splits laid out by user."""
+    e = experiment(spark, sf_dir).laid_out
+    model = e.fit_part("edx_train", FIXED_LAMBDA, "model-laid-out")
+    return rounded(e.score(model, "edx_test").select("rk", "userId", "movieId", "rating", "pred"))
 
 
 def q_leaderboard(spark, sf_dir):
     e = experiment(spark, sf_dir)
-    seq = model_sequence(e.model0, e.edx_test)
-    m7 = rmse(predict(e.model7, e.edx_test)).select(
+    seq = model_sequence(e.model0, e.edx_test, layout=e.layout("edx_test"))
+    m7 = rmse(e.score(e.model7, "edx_test")).select(
         F.lit(7).alias("seq"), F.lit("Model 7: regularised Model 6").alias("method"), "rmse")
     return rounded(with_drop_pct(seq.unionByName(m7)))
 
 
 def q_final_holdout_rmse(spark, sf_dir):
     e = experiment(spark, sf_dir)
-    out = rmse(predict(e.final_model, e.holdout))
+    out = rmse(e.score(e.final_model, "holdout"))
     return rounded(out.select(F.lit(e.best[0]).alias("lambda"), "rmse", "n", "n_unscored"))
 
 
 def q_final_holdout_rmse_ref_intercept(spark, sf_dir):
     """Effects fitted on edx, intercept from edx_train: the reference's final number."""
     e = experiment(spark, sf_dir)
-    out = rmse(predict(e.final_model, e.holdout, intercept=e.mu_train))
+    out = rmse(e.score(e.final_model, "holdout", intercept=e.mu_train))
     return rounded(out.select(F.lit(e.best[0]).alias("lambda"), "rmse", "n", "n_unscored"))
 
 
@@ -379,6 +386,7 @@ QUERIES: dict[str, Query] = {
     "lambda_grid": q_lambda_grid,
     "best_lambda": q_best_lambda,
     "model7_predictions": q_model7_predictions,
+    "copartitioned_predictions": q_copartitioned_predictions,
     "leaderboard": q_leaderboard,
     "final_holdout_rmse": q_final_holdout_rmse,
     "final_holdout_rmse_ref_intercept": q_final_holdout_rmse_ref_intercept,

@@ -49,6 +49,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
+def register_written(spark: SparkSession, path: str) -> None:
+    """Have ``delete_written`` delete this folder too."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
 def written(spark: SparkSession) -> list[str]:
     return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
 
@@ -74,7 +79,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     spark = df.sparkSession
     base = checkpoint_dir(spark)
     path = os.path.join(base, "shrinkfit", f"{name}-{uuid.uuid4().hex[:12]}")
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    register_written(spark, path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
