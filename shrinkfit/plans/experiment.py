@@ -17,6 +17,7 @@ parameters) so a session that runs many queries pays for each step once.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,7 @@ from ..operators.features import genre_vocabulary
 from ..operators.joins import broadcast_max_bytes
 from ..operators.split import flagged_split, guarded_split
 from ..session import configure, delete_written, materialize
-from ..sources.tables import INPUT_TABLES, enrich, movies_view, ratings_view
+from ..sources.tables import INPUT_TABLES, FileInput, enrich, load_files, movies_view, ratings_view
 from ..store import Checkpoint, CheckpointStore
 
 FEATURE_COLS = ["rk", "userId", "movieId", "rating", "ts", "title", "genres", "release_year",
@@ -57,8 +58,9 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features_of(movielens_df: DataFrame) -> DataFrame:
     """Feature table of any ``movielens``-shaped frame (e.g. read from ``::`` files)."""
-    return movielens_df.withColumn("release_year", release_year("title")) \
-        .withColumns(rating_date_parts("ts")).select(*FEATURE_COLS)
+    if "release_year" not in movielens_df.columns:     # else taken once per item, before the join
+        movielens_df = movielens_df.withColumn("release_year", release_year("title"))
+    return movielens_df.withColumns(rating_date_parts("ts")).select(*FEATURE_COLS)
 
 
 @dataclass
@@ -73,10 +75,13 @@ class Experiment:
     grid_chunk: int = 21          # 41 λ → two passes of ≤ 21 wide columns …
     grid_parallel: int = 2        # … fitted concurrently
     _excluding: dict = field(default_factory=dict, init=False, repr=False)
-    source: DataFrame | None = None   # a movielens-shaped frame instead of ``sf_dir``
+    source: DataFrame | Callable[[], FileInput] | None = None   # a movielens-shaped frame instead of ``sf_dir``, or what loads one
+    rejected: DataFrame | None = field(default=None, init=False, repr=False)      # lines that loading rejected (source, line, reason)
+    line_counts: dict[str, tuple[int, int]] = field(default_factory=dict, init=False, repr=False)
     source_files: tuple[str, ...] = ()  # the files that ``source`` reads
     store: str | None = None          # root of a ``CheckpointStore``
     copartition: bool | None = None   # lay splits out by user; None: if the users pass the broadcast bound
+    pairs: DataFrame | None = field(default=None, init=False, repr=False)   # correlated pairs, once written
     _layouts: dict = field(default_factory=dict, init=False, repr=False)
     checkpoints: dict[str, Checkpoint] = field(default_factory=dict, init=False, repr=False)
 
@@ -95,6 +100,10 @@ class Experiment:
         return self.checkpoints[step].df
 
     def _features(self) -> DataFrame:
+        if callable(self.source):
+            loaded = self.source()
+            self.rejected, self.line_counts = loaded.rejected, loaded.counts
+            return features_of(loaded.df)
         return features_of(self.source) if self.source is not None else feature_table(self.spark, self.sf_dir)
 
     @cached_property
@@ -223,9 +232,9 @@ _CACHE: dict[tuple, Experiment] = {}
 
 
 def experiment_from_files(spark: SparkSession, ratings_path: str, movies_path: str, **params) -> Experiment:
-    """The workflow over the reference's ``::`` inputs."""
-    from ..sources.tables import movielens_from_files
-    return Experiment(spark, ratings_path, source=movielens_from_files(spark, ratings_path, movies_path),
+    """The workflow over the reference's ``::`` inputs, which are read when features are first needed; ``rejected`` and
+    ``line_counts`` then hold the bad lines, unless a stored step made reading needless."""
+    return Experiment(spark, ratings_path, source=lambda: load_files(spark, ratings_path, movies_path),
                       source_files=(ratings_path, movies_path), **params)
 
 

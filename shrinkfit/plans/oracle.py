@@ -106,7 +106,7 @@ def lam_cte(m: str, values: list[float] | None = None, from_sql: str | None = No
     return f"{m}_lam AS (SELECT unnest([{lits}]::DOUBLE[]) AS lam)"
 
 
-def model_ctes(m: str, train: str, vocab_src: str = "edx", exclude: tuple[str, ...] = ()) -> list[str]:
+def model_ctes(m: str, train: str, vocab_src: str = "edx", exclude: tuple[str, ...] | str = ()) -> list[str]:
     """Sequential shrunk means for each λ in ``{m}_lam``, then genre effects."""
     cols = "t.rk, t.movieId, t.userId, t.release_year, t.rating_year, t.rating_week_of_year, t.genres, t.rating"
     ctes = [
@@ -124,7 +124,7 @@ def model_ctes(m: str, train: str, vocab_src: str = "edx", exclude: tuple[str, .
     ctes += [
         f"{m}_vocab AS (SELECT DISTINCT tok AS genre FROM (SELECT unnest({TOKENS.format(g='genres')}) AS tok "
         f"FROM {vocab_src}) WHERE tok <> '' AND tok <> '{NO_GENRE}'"
-        + (f" AND tok NOT IN ({', '.join(repr(g) for g in exclude)})" if exclude else "") + ")",
+        + (f" AND tok NOT IN ({exclude if isinstance(exclude, str) else ', '.join(repr(g) for g in exclude)})" if exclude else "") + ")",
         f"{m}_tok AS (SELECT lam, rid, r, unnest({TOKENS.format(g='genres')}) AS genre FROM {m}_t{last})",
         f"{m}_mem AS (SELECT lam, rid, genre, any_value(r) AS r, count(*) AS c FROM {m}_tok "
         f"GROUP BY lam, rid, genre)",
@@ -253,6 +253,29 @@ GENRE_CORR = (
 )
 
 
+# One round: each end's rank (mean, pairs, name); the lower end of a pair is beaten and stays for now.
+def _exclusion_round(edges: str, step: str) -> str:
+    ranked = (f"SELECT label, CAST(sum(m) // count(*) AS BIGINT) AS mean, count(*) AS k FROM "
+              f"(SELECT a AS label, m FROM ({edges}) UNION ALL SELECT b, m FROM ({edges})) GROUP BY label")
+    pairs = (f"SELECT e.a, e.b, e.m, (x.mean < y.mean OR (x.mean = y.mean AND (x.k < y.k OR (x.k = y.k AND e.a < e.b)))) AS a_lower "
+             f"FROM ({edges}) e JOIN ({ranked}) x ON x.label = e.a JOIN ({ranked}) y ON y.label = e.b")
+    beaten = f"SELECT CASE WHEN a_lower THEN a ELSE b END AS label FROM ({pairs})"
+    return (f"SELECT {step} AS step, p.a, p.b, p.m, p.a NOT IN ({beaten}) AS la, p.b NOT IN ({beaten}) AS lb, "
+            f"x.mean AS ma, y.mean AS mb FROM ({pairs}) p JOIN ({ranked}) x ON x.label = p.a JOIN ({ranked}) y ON y.label = p.b")
+
+
+def exclusion_ctes() -> list[str]:
+    """``xl``: label, round, mean (millionths) of the genres that leave."""
+    later = "SELECT a, b, m FROM xr WHERE NOT la AND NOT lb"
+    return [
+        "xp AS (SELECT ga.genre AS a, gb.genre AS b, CAST(round(abs(c.r) * 1000000) AS BIGINT) AS m FROM gcm c "
+        f"JOIN gpos ga ON ga.pos = c.ia JOIN gpos gb ON gb.pos = c.ib WHERE c.ia < c.ib AND abs(c.r) > {PAIR_THRESHOLD})",
+        f"xr(step, a, b, m, la, lb, ma, mb) AS ({_exclusion_round('SELECT a, b, m FROM xp', '1')} UNION ALL "
+        f"{_exclusion_round(later, '(SELECT max(step) FROM xr) + 1')})",
+        "xl AS (SELECT DISTINCT a AS label, step, ma AS mean FROM xr WHERE la UNION SELECT DISTINCT b, step, mb FROM xr WHERE lb)",
+    ]
+
+
 def oracle_queries() -> dict[str, str]:
     base = [RATINGS, MOVIES, ML]
     pre = prefix_ctes()
@@ -272,6 +295,10 @@ def oracle_queries() -> dict[str, str]:
         _pivot("rk, userId, movieId, rating"))
     q["delimited_roundtrip"] = with_([RATINGS], f"SELECT userId, movieId, {r6('rating')} AS rating, ts AS timestamp FROM ratings")
     q["movies_roundtrip"] = with_([MOVIES], "SELECT movieId, title, genres FROM movies")
+    q["quarantined_lines"] = with_([RATINGS], "SELECT 'ratings' AS source, concat_ws('::', '?', CAST(movieId AS VARCHAR), CAST(rating AS VARCHAR), "
+                                   f"CAST(ts AS VARCHAR)) AS line, 'userId' AS reason FROM ratings WHERE rating > {MALFORMED_ABOVE}")
+    q["sql_features"] = with_(base + [FEAT], "SELECT rk, release_year, rating_year, rating_month, rating_day_of_week, rating_week_of_year, CAST(len("
+                              f"list_filter({TOKENS.format(g='genres')}, lambda x: x <> '' AND x <> '{NO_GENRE}')) AS INTEGER) AS n_labels FROM feat")
     q["malformed_lines"] = with_([RATINGS], f"SELECT count(*) AS n_rows, count_if(rating > {MALFORMED_ABOVE}) AS n_malformed FROM ratings")
     q["csv_roundtrip"] = with_(base + [_vocab("ml"), _genre_cells("ml", f"s.rk, s.movieId, {r6('s.rating')} AS rating")],
                                _pivot("rk, movieId, rating"))
@@ -356,6 +383,7 @@ def oracle_queries() -> dict[str, str]:
     fx.append(rmse_cte("fx_rmse", "fx_p"))
     q["model7_fixed_lambda"] = with_(fx, f"SELECT {r6('lam')} AS {LAM_OUT}, {r6('rmse')} AS rmse, n, n_unscored FROM fx_rmse")
 
+    q["sql_predictions"] = with_(fx, f"SELECT rk, userId, movieId, {r6('rating')} AS rating, {r6('pred')} AS pred FROM fx_p")
     q["copartitioned_predictions"] = with_(fx, f"SELECT rk, userId, movieId, {r6('rating')} AS rating, {r6('pred')} AS pred FROM fx_p")
 
     parts = [f"SELECT '{name}' AS effect, CAST({key} AS VARCHAR) AS key, {r6('b')} AS b, n FROM fx_e{k}"
@@ -391,4 +419,11 @@ def oracle_queries() -> dict[str, str]:
     q["corr_genres"] = with_(gc, f"SELECT col_a, col_b, {r6('r')} AS r FROM gcm")
     q["correlated_pairs"] = with_(gc, f"SELECT col_a, col_b, {r6('r')} AS r FROM gcm "
                                       f"WHERE ia < ib AND abs(r) > {PAIR_THRESHOLD}")
+    xc = gc + exclusion_ctes()
+    q["excluded_genres"] = with_(xc, f"SELECT label AS genre, CAST(step AS INTEGER) AS round, {r6('mean / 1000000')} AS mean_r FROM xl") \
+        .replace("WITH ", "WITH RECURSIVE ", 1)
+    ax = xc + [lam_cte("ax", [FIXED_LAMBDA])] + model_ctes("ax", "edx_train", exclude="SELECT label FROM xl") \
+        + predict_ctes("ax", "edx_test", "ax_p") + [rmse_cte("ax_rmse", "ax_p")]
+    q["model7_auto_excluded"] = with_(ax, f"SELECT {r6('lam')} AS {LAM_OUT}, {r6('rmse')} AS rmse, n, n_unscored FROM ax_rmse") \
+        .replace("WITH ", "WITH RECURSIVE ", 1)
     return q

@@ -17,17 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import release_year
-from ..operators.correlate import correlated_pairs, correlation_matrix
+from ..functions.sql import register_functions, register_model, scoring_sql
+from ..operators.correlate import correlation_matrix
 from ..operators.effects import predict
 from ..operators.evaluate import (ablation, best_lambda, fit_candidates, model_sequence, rmse, with_drop_pct)
 from ..operators.features import (explode_genres, genre_indicators, genre_vocabulary,
                                   dense_row_id, genre_vocabulary_df, head, regroup_first_sum,
                                   select_prefix, with_row_id)
 from ..operators.joins import natural_anti_join, semi_join_keys
+from ..operators.sparse import exclude_correlated, sparse_correlated_pairs
 from ..operators.split import seen_key_guard, split_share, stratified_split
 from ..session import checkpoint_dir, configure, materialize
 from ..sources.readers import MOVIES_SCHEMA, count_malformed, read_csv, read_delimited, write_csv, write_delimited
-from ..sources.tables import movielens, movies_view, ratings_view
+from ..sources.tables import load_files, movielens, movies_view, ratings_view
 from .experiment import DATE_CANDIDATES, Experiment, experiment
 
 DIGITS = 6
@@ -124,6 +126,33 @@ def q_malformed_lines(spark, sf_dir):
     return count_malformed(read_delimited(spark, path, schema, keep_corrupt=True))
 
 
+def q_quarantined_lines(spark, sf_dir):
+    """Both ``::`` inputs with bad ratings among them, as the workflow loads them: the rejected lines and why."""
+    ratings, movies = _file(spark, "ratings-mixed"), _file(spark, "movies-mixed")
+    user = F.when(F.col("rating") > MALFORMED_ABOVE, F.lit("?")).otherwise(F.col("userId").cast("string"))
+    write_delimited(ratings_view(spark, sf_dir).select(user.alias("userId"), "movieId", "rating", "ts"), ratings)
+    write_delimited(movies_view(spark, sf_dir), movies)
+    return load_files(spark, ratings, movies).rejected
+
+
+def q_sql_features(spark, sf_dir):
+    """Release year, date parts and label counts by the registered SQL functions alone."""
+    register_functions(configure(spark))
+    movielens(spark, sf_dir).createOrReplaceTempView("shrinkfit_ratings")
+    return spark.sql("SELECT rk, release_year(title) AS release_year, rating_year(ts) AS rating_year, rating_month(ts) AS rating_month, "
+                     "rating_day_of_week(ts) AS rating_day_of_week, rating_week_of_year(ts) AS rating_week_of_year, "
+                     "label_count(genres) AS n_labels FROM shrinkfit_ratings")
+
+
+def q_sql_predictions(spark, sf_dir):
+    """Scoring at the fixed λ as one SQL statement over registered views."""
+    e = experiment(spark, sf_dir)
+    model = e.fit_part("edx_train", FIXED_LAMBDA, "model-sql")
+    register_model(spark, model, "shrinkfit_model")
+    e.edx_test.createOrReplaceTempView("shrinkfit_test")
+    return rounded(spark.sql(scoring_sql(model, "shrinkfit_test", "shrinkfit_model")).select("rk", "userId", "movieId", "rating", "pred"))
+
+
 def q_csv_roundtrip(spark, sf_dir):
     """The wide indicator table as header CSV, read back with an inferred schema (S3)."""
     ml = _movielens(spark, sf_dir).select("rk", "movieId", "rating", "genres")
@@ -294,9 +323,34 @@ def q_corr_genres(spark, sf_dir):
     return rounded(correlation_matrix(ind, cols, weight="_n"))
 
 
+def _genre_pairs(e) -> DataFrame:
+    """(a, b, r) of genres and the rating, from sparse counts over edx_train; written once for an experiment."""
+    if e.pairs is None:
+        e.pairs = materialize(sparse_correlated_pairs(e.edx_train.select("rating", "genres"), PAIR_THRESHOLD), "genre-pairs")
+    return e.pairs
+
+
 def q_correlated_pairs(spark, sf_dir):
-    ind, cols = _genre_frame(experiment(spark, sf_dir))
-    return rounded(correlated_pairs(ind, cols, PAIR_THRESHOLD, weight="_n"))
+    def column(c):
+        return F.when(F.col(c) == "rating", F.col(c)).otherwise(F.concat(F.lit("genres_"), F.regexp_replace(c, "[^A-Za-z0-9]", "_")))
+    return rounded(_genre_pairs(experiment(spark, sf_dir)).select(column("a").alias("col_a"), column("b").alias("col_b"), "r"))
+
+
+def _excluded_by_correlation(e) -> DataFrame:
+    return exclude_correlated(_genre_pairs(e).where("a <> 'rating'"))
+
+
+def q_excluded_genres(spark, sf_dir):
+    """Genres to leave out so that no correlated pair of genres is left."""
+    return rounded(_excluded_by_correlation(experiment(spark, sf_dir)).withColumnRenamed("label", "genre"))
+
+
+def q_model7_auto_excluded(spark, sf_dir):
+    """The fixed-λ model without the genres that the correlations exclude (a part of the vocabulary, which is on the driver)."""
+    e = experiment(spark, sf_dir)
+    e = e.excluding(tuple(sorted(r["label"] for r in _excluded_by_correlation(e).collect())))
+    model = e.fit_part("edx_train", FIXED_LAMBDA, "model-auto-excluded")
+    return rounded(rmse(e.score(model, "edx_test")).select(F.lit(FIXED_LAMBDA).alias("lambda"), "rmse", "n", "n_unscored"))
 
 
 # ---- genre exclusion (M9, M15), effects at a given lambda (M10), candidates, small operators -----
@@ -401,6 +455,11 @@ QUERIES: dict[str, Query] = {
     "prefix_columns": q_prefix_columns,
     "movies_roundtrip": q_movies_roundtrip,
     "malformed_lines": q_malformed_lines,
+    "quarantined_lines": q_quarantined_lines,
+    "sql_features": q_sql_features,
+    "sql_predictions": q_sql_predictions,
+    "excluded_genres": q_excluded_genres,
+    "model7_auto_excluded": q_model7_auto_excluded,
     "csv_roundtrip": q_csv_roundtrip,
     "regularised_effects": q_regularised_effects,
     "candidate_effects": q_candidate_effects,

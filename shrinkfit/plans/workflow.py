@@ -44,6 +44,8 @@ def run_workflow(e: Experiment) -> dict[str, DataFrame]:
 def write_results(e: Experiment, out: str) -> None:
     for name, df in run_workflow(e).items():
         df.coalesce(1).write.mode("overwrite").parquet(f"{out}/{name}")
+    if e.rejected is not None:
+        e.rejected.write.mode("overwrite").parquet(f"{out}/rejected_lines")
     save_model(e.final_model, f"{out}/final_model")
 
 

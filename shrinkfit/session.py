@@ -84,12 +84,9 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    out = spark.read.parquet(path)
-    if not partition_by:
-        return out
-    # Partition values come back as inferred types (a boolean as string): restore.
-    from pyspark.sql import functions as F
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    # The schema is known: nothing is inferred, a table without rows (no partition folder) reads back too.
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.select(*df.columns) if partition_by else out
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,

@@ -8,10 +8,15 @@ count instead of aborting the job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 # Fixed schemas of the two reference inputs (ratings.dat, movies.dat).
 RATINGS_SCHEMA = T.StructType([
     T.StructField("userId", T.IntegerType()),
@@ -60,6 +65,43 @@ def count_malformed(df: DataFrame) -> DataFrame:
                   F.count_if(bad).alias("n_malformed"))
 
 
+@dataclass
+class Quarantine:
+    """Lines of one input, typed (``good``) or rejected (``line``, ``reason``), and how many."""
+
+    good: DataFrame
+    rejected: DataFrame
+    n_good: int
+    n_rejected: int
+
+
+def quarantine(spark: SparkSession, path: str, schema: T.StructType, sep: str = "::", name: str = "lines") -> Quarantine:
+    """Read delimited lines once; write good rows and rejected lines apart under the checkpoint folder, counted as they pass.
+
+    A line is rejected, with the first reason that holds, if it has another number of fields than the schema
+    (``fields``) or a number that is missing, no number or NaN (that column's name). An empty text is a value. Blank lines are skipped.
+    """
+    parts = F.split("value", f"\\Q{sep}\\E", -1)
+    typed, reason = [], F.when(F.size("parts") != len(schema.fields), F.lit("fields"))
+    for i, f in enumerate(schema.fields):
+        text = F.get("parts", F.lit(i))
+        if isinstance(f.dataType, T.StringType):
+            typed.append(text.alias(f.name))
+            continue
+        value = text.try_cast(f.dataType)
+        missing = value.isNull() | F.isnan(value) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else value.isNull()
+        reason = reason.when(missing, F.lit(f.name))
+        typed.append(value.alias(f.name))
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("parts", parts).withColumn("reason", reason)
+    bad = F.col("reason").isNotNull()
+    seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    rows = lines.select(F.when(bad, F.col("value")).alias("line"), "reason", F.when(~bad, F.struct(*typed)).alias("row"), bad.alias("is_rejected"))
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("is_rejected").alias("bad"))
+    written = materialize(rows, f"quarantine-{name}", partition_by=["is_rejected"])
+    n, n_bad = seen.get["n"], seen.get["bad"]
+    return Quarantine(written.where("NOT is_rejected").select("row.*"), written.where("is_rejected").select("line", "reason"), n - n_bad, n_bad)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Header CSV (S3). Pass ``schema`` in production; inference is a full extra pass."""
     reader = spark.read.option("header", "true")

@@ -8,6 +8,8 @@ are read, so the Parquet scans are pruned.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,19 +95,36 @@ def enrich(ratings: DataFrame, movies: DataFrame, key: str = "movieId") -> DataF
     return lookup_join(ratings, movies, [key], "left", small_rows=items["keys"], weight_col="_w").drop("_w")
 
 
-def movielens_from_files(spark: SparkSession, ratings_path: str, movies_path: str,
-                         sep: str = "::") -> DataFrame:
-    """The reference's own inputs: ``ratings.dat`` ⋈ ``movies.dat``.
+@dataclass
+class FileInput:
+    """The reference's inputs as one frame, and what was rejected on the way."""
+
+    df: DataFrame
+    rejected: DataFrame   # source, line, reason
+    counts: dict[str, tuple[int, int]]   # source -> (good, rejected)
+
 
-    Same columns as ``movielens``: ``rk`` is ``userId-movieId-timestamp`` (one
-    rating per user, item and second), ``ts`` the epoch seconds.
+def load_files(spark: SparkSession, ratings_path: str, movies_path: str, sep: str = "::") -> FileInput:
+    """``ratings.dat`` ⋈ ``movies.dat`` (S1, S2, J1), bad lines quarantined, so that no NULL id reaches a fit.
+
+    Same columns as ``movielens`` and ``release_year``, taken once per item: ``rk`` is
+    ``userId-movieId-timestamp`` (one rating per user, item and second), ``ts`` the epoch seconds.
     """
-    from .readers import MOVIES_SCHEMA, RATINGS_SCHEMA, read_delimited
+    from ..functions.columns import release_year
+    from .readers import MOVIES_SCHEMA, RATINGS_SCHEMA, quarantine
 
     configure(spark)
-    ratings = spread(read_delimited(spark, ratings_path, RATINGS_SCHEMA, sep))
-    ratings = ratings.select(
+    read = {"ratings": quarantine(spark, ratings_path, RATINGS_SCHEMA, sep, "ratings"),
+            "movies": quarantine(spark, movies_path, MOVIES_SCHEMA, sep, "movies")}
+    ratings = spread(read["ratings"].good).select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in ("userId", "movieId", "timestamp")]).alias("rk"),
         "userId", "movieId", "rating", F.col("timestamp").alias("ts"))
-    movies = read_delimited(spark, movies_path, MOVIES_SCHEMA, sep)
-    return enrich(ratings, movies)
+    movies = read["movies"].good.withColumn("release_year", release_year("title"))
+    rejected = [q.rejected.select(F.lit(name).alias("source"), "line", "reason") for name, q in read.items()]
+    return FileInput(enrich(ratings, movies), rejected[0].unionByName(rejected[1]),
+                     {name: (q.n_good, q.n_rejected) for name, q in read.items()})
+
+
+def movielens_from_files(spark: SparkSession, ratings_path: str, movies_path: str, sep: str = "::") -> DataFrame:
+    """The frame of ``load_files`` alone."""
+    return load_files(spark, ratings_path, movies_path, sep).df
