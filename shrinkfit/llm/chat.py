@@ -151,9 +151,11 @@ def sha(text: str) -> str:
 
 
 def chat_query(conversations: DataFrame) -> DataFrame:
-    """op3: all conversations, and number -7, whose texts look like the template's own marks."""
+    """op3: all conversations, and number -7, whose texts look like the template's own marks.
+
+    It is formatted apart: a conversation -7 of the table is another one, with a row of its own.
+    """
     spark = conversations.sparkSession
     odd = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    rows = conversations.select("conv_id", "turn", "role", "text").unionByName(own)
-    return digests(format_conversations(rows))
+    return digests(format_conversations(conversations)).unionByName(digests(format_conversations(own)))

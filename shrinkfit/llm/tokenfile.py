@@ -129,7 +129,9 @@ def write_tokens(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text:
             order = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pylist([{"file": posixpath.join(data_dir, name), "part": order, "first": first, "n_docs": docs_n, "n_tokens": tokens_n}], schema=pa.schema([("file", pa.string()), ("part", pa.int64()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ordered = narrow.repartitionByRange(files or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Ranges by the text's hash too: rows that share an id (null, say) may be many, and then fill several files.
+    key = ["doc_id", F.xxhash64("text")]
+    ordered = narrow.repartitionByRange(files or shuffle_partitions(spark), *key).sortWithinPartitions(*key)
     ordered.mapInArrow(tidy(write), "file string, part long, first long, n_docs long, n_tokens long").write.parquet(manifest)
     return spark.read.parquet(manifest)
 

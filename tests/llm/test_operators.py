@@ -146,6 +146,8 @@ def test_chat_round_trip(spark):
         r = got[conv]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.rewrites) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)), len(loss), sha(loss), False)
     assert chat.chat_query(df.limit(0)).count() == 1  # number -7
+    own = spark.createDataFrame([(-7, 0, "user", "the table's")], "conv_id long, turn long, role string, text string")
+    assert sorted((r.conv_id, r.n_turns) for r in chat.chat_query(own).collect()) == [(-7, 1), (-7, 2)]
 
 
 def test_rewriting_template_is_found():
@@ -298,6 +300,15 @@ def test_token_files(docs, corpus, nothing):
     assert tokenfile.token_files_query(nothing).count() == 0
 
 
+def test_token_files_deal_rows_of_one_id(spark):
+    df = spark.createDataFrame([(None, f"text {i} of a null id") for i in range(300)] + [(i, f"x {i}") for i in range(100)], "doc_id long, text string")
+    manifest = tokenfile.write_tokens(df, scratch(spark, "tokens"), files=8)
+    assert max(r.n_docs for r in manifest.collect()) < 200
+    rows = tokenfile.read_tokens(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 300 + list(range(100))
+    assert [r.start for r in rows[1:]] == [a.start + a.n_tokens for a in rows[:-1]]
+
+
 def test_section_round_trip():
     ids = np.random.default_rng(1).integers(0, 70_000, 5003).astype(np.uint32)
     data = tokenfile.encode_section(np.array([4, 9]), np.array([5000, 3]), ids)
