@@ -8,7 +8,7 @@ key instead (T18); the smallest ``ceil(p * n_s)`` hashes form the test side.
 At scale a window over a stratum would put a quarter of the table into one
 task. Instead the split is a cut value per stratum:
 
-1. the value histogram (read for the strata anyway) gives each stratum's size, so
+1. the search for the strata's breaks also counts each stratum's rows, so
    the hash at which its share ends is known up to a few standard errors;
 2. one narrow pass (key and value only) counts the rows below that bracket and
    writes those inside it, about the root of the table's rows;
@@ -25,13 +25,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Observation
 from pyspark.sql import types as T
 
 from ..session import materialize
 from .joins import lookup_join
+from .quantiles import order_statistics
 
 DEFAULT_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -40,49 +41,30 @@ def quantile_breaks(df: DataFrame, col: str = "rating",
                     probs: tuple[float, ...] = DEFAULT_PROBS) -> list[float]:
     """Type-7 quantiles (linear interpolation) of ``col`` (A13), exact for any number of values.
 
-    The value histogram is range-sorted and written; its partitions' row
-    counts (one number each) say where an order statistic lies, and a running
-    count inside that partition finds it. NULLs raise, as R's ``quantile`` does.
+    The order statistics come from two passes and a search among few rows (``order_statistics``).
+    NULLs raise, as R's ``quantile`` does.
     """
-    return _breaks(*value_histogram(df, col), probs)
-
-
-def value_histogram(df: DataFrame, col: str = "rating") -> tuple[DataFrame, dict[int, tuple[int, int]]]:
-    """Written: v, n, part in ranges of v; and each part's first and last rank. NULLs raise."""
-    counts = df.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hist = materialize(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "value-histogram")
-    found = hist.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("nulls")).collect()
-    if nulls := sum(r["nulls"] or 0 for r in found):
-        raise ValueError(f"{nulls} NULL values in {col!r}")
-    if not found:
-        raise ValueError(f"no values in {col!r} to cut into strata")
-    before, starts = 0, {}
-    for r in sorted(found, key=lambda r: r["part"]):
-        starts[r["part"]] = (before, before + r["n"])
-        before += r["n"]
-    return hist, starts
-
-
-def _breaks(hist: DataFrame, starts: dict[int, tuple[int, int]], probs: tuple[float, ...]) -> list[float]:
-    rows = max(hi for _, hi in starts.values())
-    at = [(rows - 1) * p for p in probs]
-    wanted = {k for x in at for k in (math.floor(x), math.ceil(x))}
-    picks = [(part, k, k - lo) for k in wanted for part, (lo, hi) in starts.items() if lo <= k < hi]
-    running = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.where(F.col("part").isin([part for part, _, _ in picks])).withColumn("upto", F.sum("n").over(running))
-    hit = F.lit(False)
-    for part, _, local in picks:
-        hit = hit | ((F.col("part") == part) & (F.col("upto") > local) & (F.col("upto") - F.col("n") <= local))
-    found = cum.where(hit).collect()   # at most two values for each probability
-    value = {k: next(r["v"] for r in found if r["part"] == part and r["upto"] - r["n"] <= local < r["upto"])
-             for part, k, local in picks}
-    out = []
+    return _breaks(df, col, probs)[0]
+
+
+def _breaks(df: DataFrame, col: str, probs: tuple[float, ...]) -> tuple[list[float], dict[int, int]]:
+    """The quantiles, and the number of rows of each stratum that they cut."""
+    at: list[float] = []
+
+    def ranks(n: int) -> set[int]:
+        at.extend((n - 1) * p for p in probs)
+        return {k for x in at for k in (math.floor(x), math.ceil(x))}
+
+    value, rows = order_statistics(df, col, ranks)
+    out, upto = [], {}
     for x in at:
-        lo, hi = math.floor(x), math.ceil(x)
-        a, b = value[lo], value[hi]
-        out.append(a if lo == hi or a == b else (hi - x) * a + (x - lo) * b)
-    return out
+        (a, a_rows), (b, b_rows) = value[math.floor(x)], value[math.ceil(x)]
+        brk = a if x == math.floor(x) or a == b else (math.ceil(x) - x) * a + (x - math.floor(x)) * b
+        out.append(brk)
+        upto[brk] = b_rows if brk >= b else a_rows
+    ends = [upto[b] for b in _interior(out)] + [rows]
+    sizes = {s + 1: end - start for s, (start, end) in enumerate(zip([0, *ends], ends))}
+    return out, {s: n for s, n in sizes.items() if n}
 
 
 def _interior(breaks: list[float]) -> list[float]:
@@ -178,9 +160,8 @@ def stratified_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "r
     if df.isEmpty():
         empty = df.withColumns({label: F.lit(False), "stratum": F.lit(1)})
         return empty if keep_stratum else empty.drop("stratum")
-    hist, starts = value_histogram(df, y)
-    stratum = stratum_expr(y, breaks := _breaks(hist, starts, DEFAULT_PROBS))
-    sizes = {r["stratum"]: r["n"] for r in hist.groupBy(stratum_expr("v", breaks).alias("stratum")).agg(F.sum("n").alias("n")).collect()}
+    breaks, sizes = _breaks(df, y, DEFAULT_PROBS)
+    stratum = stratum_expr(y, breaks)
     take = {s: (math.ceil(n * p) if n > 1 else (1 if p > 0 else 0)) for s, n in sizes.items()}
     cut = {s: k for s, k in take.items() if 0 < k < sizes[s]}
     o = seeded_hash(key, seed)

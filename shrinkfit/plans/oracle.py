@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 from ..functions.columns import lambda_values
-from .queries import (DATE_COLS, EXCLUDED, FIXED_LAMBDA, GUARD_P, HEAD_ROWS, ID_COLS, MALFORMED_ABOVE, PAIR_THRESHOLD)
+from .queries import (DATE_COLS, EXCLUDED, FIXED_LAMBDA, GUARD_P, HEAD_ROWS, ID_COLS, MALFORMED_ABOVE, PAIR_THRESHOLD, PRICE_PROBS)
 
 NO_GENRE = "(no genres listed)"
 CHAIN = (("b_i", "movieId"), ("b_u", "userId"), ("b_ry", "release_year"),
@@ -318,6 +318,12 @@ def oracle_queries() -> dict[str, str]:
     pct_r = r6("(count(*) - count_if(is_test)) / count(*) * 100")
     q["split_share"] = with_(pre, share.format(t=pct_t, r=pct_r, name="holdout", src="s1_g") + " UNION ALL "
                              + share.format(t=pct_t, r=pct_r, name="edx_test", src="s2_g"))
+    q["price_quantiles"] = " UNION ALL ".join(
+        f"SELECT {x}::DOUBLE AS prob, {r6(f'quantile_cont(l_extendedprice::DOUBLE, {x})')} AS price FROM lineitem" for x in PRICE_PROBS)
+    breaks = ", ".join(f"quantile_cont(l_extendedprice::DOUBLE, {x}) AS b{i}" for i, x in enumerate((0.25, 0.5, 0.75)))
+    q["price_strata"] = f"""WITH b AS (SELECT {breaks} FROM lineitem),
+s AS (SELECT l_extendedprice::DOUBLE AS p, (1 + (p > b0)::INTEGER + (p > b1)::INTEGER + (p > b2)::INTEGER)::INTEGER AS stratum FROM lineitem, b)
+SELECT stratum, count(*) AS n, {r6('min(p)')} AS low, {r6('max(p)')} AS high FROM s GROUP BY stratum"""
     q["edx_train_test"] = with_(pre, "SELECT rk, 'edx_train' AS part FROM edx_train UNION ALL "
                                      "SELECT rk, 'edx_test' AS part FROM edx_test UNION ALL "
                                      "SELECT rk, 'holdout' AS part FROM holdout")

@@ -26,7 +26,7 @@ from ..operators.features import (explode_genres, genre_indicators, genre_vocabu
                                   select_prefix, with_row_id)
 from ..operators.joins import natural_anti_join, semi_join_keys
 from ..operators.sparse import exclude_correlated, sparse_correlated_pairs
-from ..operators.split import seen_key_guard, split_share, stratified_split
+from ..operators.split import quantile_breaks, seen_key_guard, split_share, stratified_split, stratum_expr
 from ..session import checkpoint_dir, configure, materialize
 from ..sources.readers import MOVIES_SCHEMA, count_malformed, read_csv, read_delimited, write_csv, write_delimited
 from ..sources.tables import load_files, movielens, movies_view, ratings_view
@@ -37,6 +37,7 @@ FIXED_LAMBDA = 2.5        # Model 7 at a fixed, given λ
 GUARD_P = 0.9             # split share where the seen-key guard really fires
 PAIR_THRESHOLD = 0.1      # |r| cut for correlated genre pairs on the fixture
 MALFORMED_ABOVE = 4.5     # ratings written as malformed lines
+PRICE_PROBS = (0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
 HEAD_ROWS = 100           # the reference keeps the first 100 rows as a sample
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,6 +211,24 @@ def q_reloaded_split(spark, sf_dir):
     return split.select("rk", "is_test", "moved_to_train")
 
 
+def _prices(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_extendedprice").cast("double").alias("price"))
+
+
+def q_price_quantiles(spark, sf_dir):
+    """Exact quantiles of a continuous column, no sort of its values."""
+    breaks = quantile_breaks(_prices(spark, sf_dir), "price", PRICE_PROBS)
+    rows = spark.createDataFrame(list(zip(PRICE_PROBS, breaks)), "prob double, price double")
+    return rounded(rows)
+
+
+def q_price_strata(spark, sf_dir):
+    """Rows, least and greatest price of each stratum that the quartiles cut."""
+    prices = _prices(spark, sf_dir)
+    stratum = stratum_expr("price", quantile_breaks(prices, "price"))
+    return rounded(prices.groupBy(stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("price").alias("high")))
+
+
 def q_split_share(spark, sf_dir):
     e = experiment(spark, sf_dir)
     a = split_share(e.holdout_split).withColumn("split", F.lit("holdout"))
@@ -427,6 +446,8 @@ QUERIES: dict[str, Query] = {
     "seen_key_removed": q_seen_key_removed,
     "reloaded_split": q_reloaded_split,
     "split_share": q_split_share,
+    "price_quantiles": q_price_quantiles,
+    "price_strata": q_price_strata,
     "edx_train_test": q_edx_train_test,
     "movie_effect": _effect("b_i"),
     "user_effect": _effect("b_u"),

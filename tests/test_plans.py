@@ -17,7 +17,7 @@ FAST = ["ratings_enriched", "release_year", "rating_date_parts", "genre_indicato
         "correlated_pairs", "delimited_roundtrip", "head_sample", "movies_roundtrip", "malformed_lines",
         "csv_roundtrip", "regularised_effects", "candidate_effects", "genre_effects_excluded",
         "model_sequence_excluded", "copartitioned_predictions", "excluded_genres", "quarantined_lines", "sql_features",
-        "sql_predictions", "dense_row_id", "prefix_columns", "seen_key_semi"]
+        "sql_predictions", "dense_row_id", "prefix_columns", "seen_key_semi", "price_quantiles", "price_strata"]
 
 
 def _norm(v):

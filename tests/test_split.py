@@ -1,5 +1,6 @@
 """Exact stratified split and seen-key guard."""
 
+import bisect
 import math
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from shrinkfit.operators import (natural_anti_join, quantile_breaks, seen_key_guard, split_share,
                                  stratified_split, stratum_expr)
+from shrinkfit.operators import quantiles
+from shrinkfit.session import written
 
 
 def _ratings(spark, n=2000):
@@ -117,6 +120,42 @@ def test_breaks_of_many_values(spark):
     assert quantile_breaks(df) == pytest.approx([0.0, 37500 / 7, 75000 / 7, 112500 / 7, 150000 / 7])
 
 
+def test_order_statistics_equal_percentile(spark, monkeypatch):
+    """Continuous, heavy, signed and infinite values; a small limit makes the search go on, narrow brackets make it miss."""
+    wave = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7.25).when(F.col("id") == 1, float("-inf")).when(F.col("id") == 2, float("inf"))
+                                      .otherwise(F.sin(F.col("id").cast("double")) * F.pow(F.lit(10.0), F.col("id") % 9)).alias("rating")).repartition(7)
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    values = sorted(r["rating"] for r in wave.collect())
+    for slack in (quantiles.SLACK, 1e-9):
+        monkeypatch.setattr(quantiles, "SLACK", slack)
+        wanted = {k for p in probs for k in (math.floor(29_999 * p), math.ceil(29_999 * p))}
+        got, rows = quantiles.order_statistics(wave, "rating", lambda n: wanted, limit=40)
+        assert rows == 30_000
+        assert got == {k: (values[k], bisect.bisect_right(values, values[k])) for k in wanted}
+    finite = wave.where(F.abs("rating") < float("inf"))
+    exact = finite.select(F.percentile("rating", list(probs))).first()[0]
+    assert quantile_breaks(finite, probs=probs) == pytest.approx(list(exact), rel=1e-12)
+
+
+def test_order_statistics_of_nan_and_small_tables(spark):
+    df = spark.createDataFrame([(2.0,), (float("nan"),), (1.0,)], "rating double")
+    got, rows = quantiles.order_statistics(df, "rating", lambda n: range(n))
+    assert rows == 3 and got[0] == (1.0, 1) and got[1] == (2.0, 2) and math.isnan(got[2][0]) and got[2][1] == 3
+    assert quantile_breaks(df.where("rating = 2")) == [2.0] * 5
+    with pytest.raises(ValueError):
+        quantile_breaks(df.where("rating > 5 AND NOT isnan(rating)"))
+
+
+def test_breaks_sort_no_values(spark):
+    """Of 120,000 continuous values only those in the brackets are written, and no exchange is ranged by the value."""
+    df = spark.range(120_000).select(F.rand(5).alias("rating"))
+    before = set(written(spark))
+    quantile_breaks(df)
+    new = [p for p in written(spark) if p not in before]
+    assert new and all("quantile-brackets" in p for p in new)
+    assert sum(spark.read.parquet(p).count() for p in new) < 0.06 * 120_000
+
+
 def test_rows_of_one_key_are_cut_without_a_window(spark):
     """A third of the rows have a null key, and rows equal in every column are cut by their place: exact counts, one projection, no window."""
     rows = [(None if i % 3 == 0 else f"k{i}", float(i % 4), i % 7 if i % 2 else 0) for i in range(6000)]
