@@ -6,10 +6,11 @@ history, which is reported. Within a turn, its text's span is found by rendering
 probe character in the text's place. The loss mask covers the assistant's texts.
 
 Conversations are dealt by conv_id and sorted by turn; a task holds one conversation at a time. Rendering every prefix costs
-as many renderings as a conversation has turns.
+as many renderings as a conversation has turns, so one of more than ``prefixes`` turns is sent to several tasks: each holds all
+of its turns, as any rendering needs them, but renders ``prefixes`` of its prefixes only; the spans are put together by conversation.
 
 ``plain_template`` marks turns as ``### role: text</turn>`` and escapes, with backslashes, control strings inside roles and texts; ``parse`` reads them back.
-Nulls: null text and role are empty; rows with a null conv_id are one conversation; a null turn comes first. Very long
+Nulls: null text and role are empty; a row with a null conv_id is a conversation of its own; a null turn comes first. Very long
 texts stay whole. Ties: rows of one turn follow each other by role and text; repeated rows are turns of their own. Empty table: no rows. Further columns are not read.
 """
 
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from ..session import materialize
+from .common import BROADCAST_ROWS, keep_rows, shuffle_partitions
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -36,6 +38,8 @@ _TURN = re.compile(rf"{START} ((?:\\.|[^\\:])*): ((?:\\.|(?!{re.escape(END)})[^\
 
 SPAN = pa.struct([("turn", pa.int32()), ("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64())])
 SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(SPAN)), ("rewrites", pa.bool_())])
+#: Prefixes of a conversation that one task renders at most.
+PREFIXES = 512
 _DDL = "conv_id long, formatted string, spans array<struct<turn:int,role:string,start:long,end:long,text_start:long,text_end:long>>, rewrites boolean"
 
 
@@ -76,11 +80,11 @@ def unused_char(turns: list[Turn]) -> str:
     return next(c for c in map(chr, range(0xE000, 0x110000)) if c not in used)
 
 
-def locate(turns: list[Turn], template: Template) -> tuple[str, list[dict], bool]:
-    """The whole rendering, each turn's spans in it, and whether some prefix's rendering isn't kept by the next."""
+def locate(turns: list[Turn], template: Template, first: int = 0, last: int | None = None) -> tuple[str, list[dict], bool]:
+    """The rendering of the turns before ``last`` (all), the spans in it of those from ``first`` on, and whether some prefix's rendering isn't kept by the next."""
     probe = unused_char(turns)
-    before, spans, rewrites = template([]), [], False
-    for k, (role, text) in enumerate(turns):
+    before, spans, rewrites = template(turns[:first]), [], False
+    for k, (role, text) in list(enumerate(turns))[first:last]:
         now = template(turns[: k + 1])
         kept = common_prefix(before, now)
         rewrites |= kept < len(before)
@@ -95,38 +99,58 @@ def locate(turns: list[Turn], template: Template) -> tuple[str, list[dict], bool
     return before, spans, rewrites
 
 
-def format_conversations(rows: DataFrame, template: Template = plain_template) -> DataFrame:
+def format_conversations(rows: DataFrame, template: Template = plain_template, prefixes: int = PREFIXES) -> DataFrame:
     """conv_id, formatted, spans, rewrites from (conv_id, turn, role, text).
 
     Where ``rewrites`` is true, the spans of the last turn alone hold in ``formatted``.
     """
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role"), empty("text"))
+    turns = rows.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > prefixes)
+    long = materialize(turns, "chat-long")
+    n_long = long.count()
+    if not n_long:
+        return rendered(rows.withColumn("part", F.lit(0)), template, None).drop("part")
+    short = rendered(keep_rows(rows, long.select("conv_id"), ["conv_id"], n_long).withColumn("part", F.lit(0)), template, None).drop("part")
+    dealt = rows.join(F.broadcast(long) if n_long <= BROADCAST_ROWS else long, "conv_id")
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / prefixes).cast("int")))).drop("n")
+    parts = rendered(dealt, template, prefixes).groupBy("conv_id").agg(
+        F.max_by("formatted", "part").alias("formatted"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "spans"))), lambda x: x["spans"])).alias("spans"), F.bool_or("rewrites").alias("rewrites"))
+    return short.unionByName(parts)
+
+
+def rendered(rows: DataFrame, template: Template, prefixes: int | None) -> DataFrame:
+    """conv_id, formatted (of the last part alone), spans, rewrites, part for each conversation and part: ``prefixes`` turns from part * prefixes on, or all."""
 
     def run(batches):
-        key, turns, out = None, [], []
+        key, turns, out, held = None, [], [], 0
 
-        def done():
-            formatted, spans, rewrites = locate(turns, template)
-            out.append({"conv_id": key[0], "formatted": formatted, "spans": spans, "rewrites": rewrites})
+        def done() -> int:
+            first = (prefixes or 0) * key[1]
+            last = first + prefixes if prefixes else len(turns)
+            formatted, spans, rewrites = locate(turns, template, first, last)
+            out.append({"conv_id": key[0], "formatted": formatted if last >= len(turns) else None, "spans": spans, "rewrites": rewrites, "part": key[1]})
+            return len(formatted)
 
-        held = 0
         for batch in batches:
-            for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
-                if key is not None and key != (conv_id,):
-                    done()
-                    held, turns = held + len(out[-1]["formatted"]), []
+            for conv_id, part, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "role", "text"))):
+                if turns and (conv_id is None or key != (conv_id, part)):
+                    held, turns = held + done(), []
                     if held > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
                         held, out = 0, []
-                key = (conv_id,)
+                key = (conv_id, part)
                 turns.append((role, text))
         if turns:
             done()
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role"), empty("text"))
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, _DDL)
+    schema = SCHEMA.append(pa.field("part", pa.int32()))
+    # Rows without an id are spread by what they hold.
+    spread = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "conv_id", "part", spread)
+    return dealt.sortWithinPartitions("conv_id", "part", "turn", "role", "text").mapInArrow(run, f"{_DDL}, part int")
 
 
 def digests(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:

@@ -10,8 +10,9 @@ with the digit set are kept while more than k remain, else they are in and the r
 on; what is left at the last slice are equal scores, resolved by the smallest id. A block gives at most k rows
 for a query, and the best k of all blocks are the result, exact in whole numbers.
 
-The index is a written table of blocks; queries come in blocks too, and each pair of blocks is one
-row, so work is dealt in pieces of bounded size. Queries: a stated set, against all rows.
+The index is a written table of blocks; queries come in blocks too and travel to the index: each index block is sent once to
+each of ``shares`` tasks (one, where there are blocks enough to keep all slots busy), the query blocks are dealt over those and pass
+it one by one. So what is shuffled of the index grows with the index alone. Queries: a stated set, against all rows.
 
 Vectors that are null, or hold null, NaN or infinite components, take no part; nor do empty ones. Vectors of different
 lengths: the shorter one counts as filled up with zeros. Ties: smaller id. Repeated ids: each row is a candidate; a query leaves out
@@ -197,6 +198,8 @@ def search(index: DataFrame, dims: int, width: int, queries: DataFrame, k: int =
     blocks = [r.block for r in index.select("block").collect()]  # a number for each block
     # Query blocks, each repeated for each index block: a stated set against all rows, in blocks.
     queries = queries.withColumn("row", F.monotonically_increasing_id())
+    n_queries = queries.count()
+    shares = max(1, min(-(-4 * spark.sparkContext.defaultParallelism // len(blocks)), -(-n_queries // block_queries)))
 
     def gather(batches):
         for batch in batches:
@@ -204,9 +207,13 @@ def search(index: DataFrame, dims: int, width: int, queries: DataFrame, k: int =
                 part = batch.slice(a, block_queries)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([part.column("row").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([matrix(part.column("v"), dims).astype("<i8").tobytes()], pa.binary())], ["query_ids", "rows", "weights"])
 
-    grouped = queries.repartition(max(1, -(-queries.count() // (4 * block_queries)))).mapInArrow(gather, "query_ids binary, rows binary, weights binary")
-    spread = grouped.withColumn("block", F.explode(F.lit(blocks).cast("array<bigint>")))
-    pairs = spread.join(index, "block").repartition(F.col("block"), F.col("query_ids"))
+    grouped = queries.repartition(max(1, -(-n_queries // (4 * block_queries)))).mapInArrow(gather, "query_ids binary, rows binary, weights binary")
+    # Numbered nearly without gaps: about four blocks in a partition.
+    number = F.spark_partition_id() * 4 + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    spread = grouped.withColumn("share", F.pmod(number, F.lit(shares))).withColumn("block", F.explode(F.lit(blocks).cast("array<bigint>")))
+    copies = index.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    tasks = len(blocks) * shares
+    pairs = spread.repartition(tasks, "block", "share").join(copies.repartition(tasks, "block", "share").hint("merge"), ["block", "share"])
 
     def look(batches):
         for batch in batches:

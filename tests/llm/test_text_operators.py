@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shrinkfit.llm import forest, mix, phrases, pieces, ranked, suffix
+from shrinkfit.llm import chat, forest, mix, phrases, pieces, ranked, suffix, topk
 from shrinkfit.llm.bulkbpe import PairTable, merge_words
 from shrinkfit.llm.cache import Pieces
 from shrinkfit.llm.common import ship
@@ -326,3 +326,55 @@ def test_mix_of_one_id(spark):
         took[r.source_size] += r.taken
         target[r.source_size] = r.target
     assert all(abs(took[s] - target[s]) <= 10 for s in took) and len(took) == 3
+
+
+def test_long_conversations_are_dealt_and_null_ids_stay_apart(spark):
+    ship(spark)
+    texts = ["", "### user: x</turn>", "a\\b", "long " * 50, "ok"]
+    rows = [(c, t, ("user", "assistant")[t % 2], texts[(c + t) % 5] + str(t)) for c, n in ((1, 47), (2, 10), (3, 11), (4, 1)) for t in range(n)]
+    rows += [(None, t, "assistant", f"same {t % 3}") for t in range(30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    many = [r.asDict(recursive=True) for r in chat.format_conversations(df, prefixes=10).collect()]
+    whole = [r.asDict(recursive=True) for r in chat.format_conversations(df).collect()]
+    order = lambda r: (r["conv_id"] or 0, r["formatted"])
+    assert sorted(many, key=order) == sorted(whole, key=order)
+    assert sorted(r["conv_id"] or 0 for r in many) == [0] * 30 + [1, 2, 3, 4]
+    first = next(r for r in many if r["conv_id"] == 1)
+    assert chat.parse(first["formatted"]) == [(role, text) for c, _, role, text in rows if c == 1]
+    assert [s["turn"] for s in first["spans"]] == list(range(47))
+    # A template that rewrites history is found whatever part it shows in.
+    def moving(turns):
+        return "".join(t for _, t in turns) + f"[{len(turns) > 20}]"
+    assert {r.conv_id: r.rewrites for r in chat.format_conversations(df.filter("conv_id <= 2"), moving, prefixes=10).collect()} == {1: True, 2: True}
+    assert not any(r["rewrites"] for r in many)
+
+
+@pytest.mark.parametrize("block_rows", [40, 1000])
+def test_top_k_with_repeats_and_clashing_columns(spark, block_rows):
+    """Queries travel to several index blocks, or to several copies of one; repeated query ids, ties and columns named like the operator's own."""
+    ship(spark)
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 6)], int(i), 1.5, "b") for i in [*range(300), 10, 20, 20]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block long, score double, query_id string").repartition(3)
+    vectors = topk.quantised(df, "vec_id", "embedding", 4)
+    index, dims, width = topk.build_index(vectors, block_rows)
+    got = topk.search(index, dims, width, vectors.filter("vec_id % 10 = 0"), 4, block_queries=8).collect()
+    want = []
+    for q, v, *_ in rows:
+        if q % 10 == 0:
+            best = sorted((-sum(int(16 * a * b) for a, b in zip(v, w)), i) for i, w, *_ in rows if i != q)[:4]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_top_k_index_is_shuffled_once(spark):
+    """Twice the queries don't copy the index again: its copies depend on slots and blocks alone."""
+    ship(spark)
+    df = spark.range(2000).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * k) for k in range(1, 9)]).alias("embedding"))
+    vectors = topk.quantised(df, "vec_id", "embedding", 64)
+    index, dims, width = topk.build_index(vectors, 20)
+    for every in (10, 1):
+        plan = topk.search(index, dims, width, vectors.filter(F.col("vec_id") % every == 0), 3, block_queries=16)._jdf.queryExecution().executedPlan().toString()
+        joined = plan[plan.index("SortMergeJoin"):]
+        assert plan.index("MapInArrow") < plan.index("SortMergeJoin") and "hashpartitioning(block" not in plan[: plan.index("SortMergeJoin")]
+        assert joined.count("Exchange hashpartitioning(block") == 2
