@@ -5,7 +5,7 @@
    the next ANCHOR words is the least in some window of ``words - ANCHOR + 1`` positions. What a position's window holds
    alone decides, so two documents that share ``words`` words in a row retain a common suffix there.
 3. Suffixes whose first ANCHOR words occur once are dropped (one aggregate by hash). The others are given their next ``words`` words
-   and the ANCHOR ones before them, as 16-bit hashes.
+   and the ANCHOR ones before them, as 32-bit hashes.
 4. Suffixes are range-sorted by their words - all columns are sort keys, so equal ones may be dealt over many tasks - and each is
    compared with its neighbours and the nearest one of another document; the rows at a task's ends are compared again with those of the next task.
    A match is extended to both sides; it counts from ``words`` words on. A suffix keeps the farthest reach to each side of all its matches: they
@@ -16,7 +16,7 @@
 
 Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. Null, empty and shorter texts have no passage; a null doc_id takes no part. Very long texts
 are used whole. Repeats inside one doc_id don't count, so repeated rows don't either; the passages of an id's
-several texts are given together, by word number. Words are compared by hash: 64 bits of the first ANCHOR words, 16 of each further one. Ties need no rule: every occurrence is reported. Empty table: no rows. Further columns are not read.
+several texts are given together, by word number. Words are compared by hash: 64 bits of the first ANCHOR words, 32 of each further one. Ties need no rule: every occurrence is reported. Empty table: no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from .forest import mix, text_slices, word_hashes
 
 #: Words of a suffix that are hashed to select and group it, and neighbours compared on each side.
 ANCHOR, NEIGHBOURS = 25, 8
+#: A word's hash beside a suffix: big-endian, so that bytes sort as words do.
+WORD, BYTES = ">u4", 4
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BASE_2 = 0xC2B2AE3D27D4EB4F
@@ -81,7 +83,7 @@ def minimisers(h: np.ndarray, window: int) -> np.ndarray:
 
 def scanned(docs: DataFrame, words: int) -> DataFrame:
     """A row for each text of ``words`` words or more: doc_id, d, digest (of its words), n_words, h and pos (hash of the first words and number
-    of the first word of each retained suffix), short (its words as 16-bit hashes)."""
+    of the first word of each retained suffix), short (its words as 32-bit hashes)."""
     schema = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("h", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())), ("short", pa.binary())])
 
     def run(batches):
@@ -98,7 +100,7 @@ def scanned(docs: DataFrame, words: int) -> DataFrame:
                     digests.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest())
                     hs.append(h[places].view(np.int64))
                     at.append(places.astype(np.int32))
-                    short.append((w >> np.uint64(17)).astype(">u2").tobytes())
+                    short.append((w >> np.uint64(17)).astype(WORD).tobytes())
                 if not hs:
                     continue
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32))
@@ -116,9 +118,10 @@ def with_words(rows: DataFrame, places: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for doc_id, short, at in zip(batch.column("doc_id").to_pylist(), batch.column("short").to_pylist(), batch.column("places")):
                 h, pos = (at.values.field(c).cast(pa.int64()) for c in ("h", "pos"))
-                w, back = np.frombuffer(short, ">u2"), np.frombuffer(short, ">u2")[::-1].tobytes()
-                after = [short[2 * p : 2 * (p + words)] for p in pos.to_pylist()]
-                before = [back[2 * (len(w) - p) : 2 * (len(w) - max(0, p - ANCHOR))] for p in pos.to_pylist()]
+                w = np.frombuffer(short, WORD)
+                back = w[::-1].tobytes()
+                after = [short[BYTES * p : BYTES * (p + words)] for p in pos.to_pylist()]
+                before = [back[BYTES * (len(w) - p) : BYTES * (len(w) - max(0, p - ANCHOR))] for p in pos.to_pylist()]
                 yield pa.RecordBatch.from_arrays([h, pa.array(np.full(len(pos), doc_id)), pos, pa.array(after, pa.binary()), pa.array(before, pa.binary())], schema=schema)
 
     return rows.select("d", "doc_id", "short").join(places, "d").select("doc_id", "short", "places").mapInArrow(tidy(run), "h long, doc_id long, pos long, after binary, before binary")
@@ -126,9 +129,9 @@ def with_words(rows: DataFrame, places: DataFrame, words: int) -> DataFrame:
 
 def as_words(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """[rows, width] words, filled up, and each row's number of them."""
-    data = [x.ljust(2 * width, b"\0") for x in column.to_pylist()]
-    lens = np.array([len(x) // 2 for x in column.to_pylist()], dtype=np.int64)
-    return np.frombuffer(b"".join(data), ">u2").reshape(-1, width), lens
+    data = [x.ljust(BYTES * width, b"\0") for x in column.to_pylist()]
+    lens = np.array([len(x) // BYTES for x in column.to_pylist()], dtype=np.int64)
+    return np.frombuffer(b"".join(data), WORD).reshape(-1, width), lens
 
 
 def common(words: np.ndarray, lens: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -259,7 +262,7 @@ def resolved(crowd: DataFrame, words: int, parts: int) -> DataFrame:
             k = np.arange(ANCHOR + 1)
             most, least = np.minimum(share, n_before), words - np.minimum(end - pos, n_after)
             row, k = np.nonzero((k <= most[:, None]) & (k >= least[:, None]))
-            # With the whole hash of the beginning and its place in the run: 16-bit hashes alone would mix up runs of one repeated word.
+            # With the whole hash of the beginning and its place in the run: the words' hashes alone would mix up runs of one repeated word.
             own = h[row].view(np.uint64) * np.uint64(_INVERSE) + k.astype(np.uint64)
             keys = [mix(across(before, after, words, base)[row, k] + own).view(np.int64) for base in (_BASE, _BASE_2)]
             yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(pos[row] - k), *map(pa.array, keys)], schema=schema)

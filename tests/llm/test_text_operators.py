@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shrinkfit.llm import chat, forest, mix, phrases, pieces, ranked, suffix, topk
+from shrinkfit.llm import chat, forest, langid, mix, phrases, pieces, ranked, suffix, topk
 from shrinkfit.llm.bulkbpe import PairTable, merge_words
 from shrinkfit.llm.cache import Pieces
 from shrinkfit.llm.common import ship
@@ -378,3 +379,140 @@ def test_top_k_index_is_shuffled_once(spark):
         joined = plan[plan.index("SortMergeJoin"):]
         assert plan.index("MapInArrow") < plan.index("SortMergeJoin") and "hashpartitioning(block" not in plan[: plan.index("SortMergeJoin")]
         assert joined.count("Exchange hashpartitioning(block") == 2
+
+
+def grams(text):
+    """Counts of hashed byte 3-grams, one by one."""
+    data = [b if b >= 128 or chr(b).isalpha() else 32 for b in f" {text.lower()} ".encode()]
+    out, m = Counter(), (1 << 32) - 1
+    for a, b, c in zip(data, data[1:], data[2:]):
+        h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & m
+        out[((h ^ h >> 15) * 0x27D4EB2F & m) >> 20] += 1
+    return out
+
+
+def nearest_centroid(text, model):
+    """(language, cosine, rejected) in plain Python."""
+    if text is None or not re.search(r"[^\W\d_]", text) or not model.languages:
+        return "und", 0.0, True
+    x = {f: math.log(1 + n) * float(model.idf[f]) for f, n in grams(text).items()}
+    size = math.sqrt(sum(v * v for v in x.values()))
+    cosines = [sum(v * float(c[f]) for f, v in x.items()) / size for c in model.centroids]
+    best = max(range(len(cosines)), key=lambda i: (cosines[i], -i))
+    return model.languages[best], cosines[best], cosines[best] < model.floors[best]
+
+
+def spoken(rng, k, n):
+    """n words of language k, each language with its own syllables."""
+    own = random.Random(k)
+    syllables = ["".join(own.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(50)]
+    return " ".join("".join(rng.choices(syllables, k=2)) for _ in range(n))
+
+
+def test_language_equals_plain_nearest_centroid(spark):
+    ship(spark)
+    rng = random.Random(4)
+    train = [(i, spoken(rng, i % 3, 30) + (" Été" if i % 4 == 0 else ""), f"l{i % 3}") for i in range(240)] + [(900, None, "l0"), (901, "12", "l1"), (902, "word", None)]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    learned = [t for _, t, lang in train if lang and t and re.search(r"[^\W\d_]", t)]
+    freq = Counter(f for t in learned for f in grams(t))
+    assert np.allclose(model.idf, [math.log((1 + len(learned)) / (1 + freq[f])) + 1 for f in range(langid.FEATURES)], rtol=1e-5)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4) and sorted(set(model.languages)) == ["l0", "l1", "l2"]
+    new = [(i, spoken(rng, i % 5, 1 + i % 40)) for i in range(120)] + [(200, None), (201, ""), (202, "..3"), (203, "A"), (204, spoken(rng, 1, 8000)), (205, "ÉTÉ straße"), (205, "ÉTÉ straße")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in new], "doc_id long, text string, rejected string").repartition(3)
+    got = sorted((r.doc_id, r.language.lang, r.language.score, r.language.rejected) for r in langid.with_language(frame, model).collect())
+    assert len(got) == len(new)
+    for (doc_id, lang, score, rejected), (want_id, text) in zip(got, sorted(new, key=lambda r: r[0])):
+        name, cosine, no = nearest_centroid(text, model)
+        assert (doc_id, lang) == (want_id, name) and score == pytest.approx(cosine, abs=1e-4)
+        assert rejected == no or abs(cosine - float(model.floors[model.languages.index(name)])) < 1e-4
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """run() against each stage in plain Python: language, exact copies, near copies, mix (sorted, in DuckDB) and packing."""
+    duckdb = pytest.importorskip("duckdb")
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    ship(spark)
+    rng = random.Random(12)
+    rows, base = [], spoken(rng, 0, 70).split(" ")
+    for i in range(240):
+        rows.append((i, spoken(rng, i % 3, rng.randint(8, 90)), f"l{i % 3}"))
+    for i in range(20):  # one word of 70 changed: 61 of 71 shingles, or more at the ends, are shared with the first text
+        copy = list(base)
+        copy[3 * i] = f"abc{'xyz'[i % 3]}{'def'[i % 2]}"
+        rows.append((300 + i, " ".join(copy), "l0"))
+    rows += [(400 + i, rows[i][1].upper() if i % 2 else rows[i][1], rows[i][2]) for i in range(15)]
+    rows += [(500, "12 34 !!", "l1"), (501, None, "l1"), (502, "", None), (503, spoken(rng, 2, 3000), "l2")]
+    rows += [(510 + i, spoken(rng, 9, 60), None) for i in range(6)]
+    rows = [(i, t, lang, None if i % 7 == 0 else f"s{0 if i % 3 else i % 5}", len(t or "")) for i, t, lang in rows]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, ddl).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    model = langid.fit(spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2], ddl))
+    docs = [r for r in rows if not nearest_centroid(r[1], model)[2]]
+    assert not {500, 501, 502} & {r[0] for r in docs} and len(docs) > 240
+    last = {}
+    for r in docs:
+        last[r[1].translate(LOWER)] = max(r, last.get(r[1].translate(LOWER), r))
+    docs = sorted(last.values(), key=lambda r: r[0])
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (re.findall(r"[^\x20\x09-\x0D]+", r[1].translate(LOWER)) for r in docs)]
+    head = list(range(len(docs)))
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        both = len(sets[i] & sets[j])
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and head[i] != head[j]:
+            low, high = sorted((head[i], head[j]))
+            head = [low if h == high else h for h in head]
+    docs = [r for k, r in enumerate(docs) if head[k] == k]
+    assert sum(300 <= r[0] < 320 for r in docs) < 20
+    con = duckdb.connect()
+    kept = pa.table({c: [r[k] for r in docs] for k, c in enumerate(["doc_id", "text", "lang", "source", "n_chars"])})  # noqa: F841
+    con.execute("CREATE TABLE documents AS SELECT * FROM kept")
+    copies = {doc_id: n for doc_id, n in con.execute(f"SELECT doc_id, taken // size FROM ({mix.MIX_SQL})").fetchall()}
+    library = Tokenizer.from_file(tokenizer_path())
+    want = Counter()
+    for doc_id, text, *_ in docs:
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) - 2048 * ((len(ids) - 1) // 2048)
+        ends = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, z) in enumerate(zip(ends, ends[1:])):
+            want[doc_id, k, a, z - a, zlib.crc32(ids[a:z].tobytes())] += copies[doc_id]
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == +want
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    gaps = []  # plain best fit of falling lengths
+    for length in sorted((r.length for r in got), reverse=True):
+        fits = [g for g in gaps if g >= length]
+        gap = min(fits, default=2048)
+        if fits:
+            gaps.remove(gap)
+        gaps.append(gap - length)
+    assert len(places) <= len(gaps) + 1
+
+
+def test_passages_end_at_words_of_like_hashes(spark):
+    """Words whose hashes agree in 16 bits are different words: neither end of a passage takes one in, and 49 words are no passage."""
+    names = [f"q{i}" for i in range(3000)]
+    hashes = forest.word_hashes(pa.array([" ".join(names)], pa.large_string()))[1]
+    like = {}
+    for name, h in zip(names, hashes.tolist()):
+        like.setdefault(h >> 17 & 0xFFFF, []).append(name)
+    pairs = [x[:2] for x in like.values() if len(x) > 1][:6]
+    assert len(pairs) == 6
+    rng = np.random.default_rng(31)
+    word = lambda n: [f"z{x}" for x in rng.integers(0, 10**9, n)]
+    rows = []
+    for k, (a, b) in enumerate(pairs):
+        shared = word(60 if k < 3 else 49)
+        rows += [(10 * k, " ".join([*word(30), a, *shared, a, *word(30)])), (10 * k + 1, " ".join([*word(20), b, *shared, b, *word(30)]))]
+    got = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in got) == sorted([(10 * k, 31, 91) for k in range(3)] + [(10 * k + 1, 21, 81) for k in range(3)])
