@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -80,15 +80,30 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     base = checkpoint_dir(spark)
     path = os.path.join(base, "shrinkfit", f"{name}-{uuid.uuid4().hex[:12]}")
     register_written(spark, path)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    write_partitioned(df.write.mode("overwrite"), spark, path, partition_by)
     # The schema is known: nothing is inferred, a table without rows (no partition folder) reads back too.
     out = spark.read.schema(df.schema).parquet(path)
     return out.select(*df.columns) if partition_by else out
 
 
+_WRITERS_CONF = "spark.sql.maxConcurrentOutputFileWriters"
+#: Partition folders that a task writes at once, before it sorts its rows by them.
+WRITERS = 8
+
+
+def write_partitioned(writer: DataFrameWriter, spark: SparkSession, path: str, partition_by: list[str] | None) -> None:
+    """Write Parquet; for partition columns of few values a task holds a file open for each, so its rows needn't be sorted in memory."""
+    if not partition_by:
+        writer.parquet(path)
+        return
+    before = spark.conf.get(_WRITERS_CONF, None)
+    spark.conf.set(_WRITERS_CONF, str(max(WRITERS, int(before or 0))))
+    try:
+        writer.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.unset(_WRITERS_CONF) if before is None else spark.conf.set(_WRITERS_CONF, before)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "shrinkfit", event_log_dir: str | None = None) -> SparkSession:
     """Session for tests, bench and local runs (UI off, AQE on, UTC)."""

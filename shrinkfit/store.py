@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .session import write_partitioned
+
 #: Raised when a step's definition changes, so that older checkpoints aren't taken for the new one's.
 FORMAT = 1
 
@@ -109,7 +111,7 @@ class CheckpointStore:
         data = posixpath.join("data", f"{step}-{key}-{uuid.uuid4().hex[:8]}")
         seen = Observation(f"{step}-{key}")
         writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(posixpath.join(self.root, data))
+        write_partitioned(writer, self.spark, posixpath.join(self.root, data), partition_by)
         told = {"step": step, "data": data, "rows": seen.get["rows"], "schema": _nullable(df.schema).jsonValue()}
         own = self._create(self.marker(step, key), json.dumps(told))
         found = self.load(step, key)
