@@ -42,7 +42,7 @@ def can_broadcast(df: DataFrame, n_rows: int) -> bool:
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
                 small_rows: int | None = None, null_safe: bool = True,
-                weight_col: str | None = None) -> DataFrame:
+                weight_col: str | None = None, weights: DataFrame | None = None) -> DataFrame:
     """``big ⋈ small`` on ``keys`` (null-safe by default, T1).
 
     ``small`` is broadcast only if its counted size is under the bound. Past
@@ -51,7 +51,8 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     partition are *hot*: their rows take their values from a broadcast of just
     the hot lookup rows (at most total/threshold of them, counted) and go through
     the shuffle join under a salt that spreads them and matches nothing there.
-    ``big`` is read once, however many such joins follow each other.
+    ``big`` is read once, however many such joins follow each other. ``weights`` (keys, ``weight_col``) gives the
+    numbers if ``small`` doesn't hold them; it is read twice, so it should be written, and only says which keys are hot.
     """
     if small_rows is None:
         small_rows = small.count()
@@ -59,18 +60,26 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     if fits or weight_col is None or how != "left":
         return _join(big, small, keys, how, null_safe, F.broadcast if fits else None)
     parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    total = small.agg(F.sum(weight_col)).first()[0] or 0
+    counted = small if weights is None else weights
+    total = counted.agg(F.sum(weight_col)).first()[0] or 0
     threshold = max(1, total // max(1, 4 * parts))
-    hot = small.where(F.col(weight_col) > threshold)
+    hot = counted.where(F.col(weight_col) > threshold)
     hot_rows = hot.count()
     if hot_rows == 0 or not can_broadcast(hot, hot_rows):
         return _join(big, small, keys, how, null_safe, None)
+    if weights is None:
+        cold = small.where(F.col(weight_col) <= threshold)
+    else:
+        marked = _join(small, hot.select(*keys, F.lit(True).alias("_hot_key")), keys, "left", True, F.broadcast)
+        hot, cold = (marked.where(F.col("_hot_key") if is_hot else F.col("_hot_key").isNull()).drop("_hot_key") for is_hot in (True, False))
+        if not can_broadcast(hot, hot_rows):
+            return _join(big, small, keys, how, null_safe, None)
     values = [c for c in small.columns if c not in keys]
     side = hot.select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
     tagged = _join(big, side, keys, "left", null_safe, F.broadcast)
     row = [F.col(f.name) for f in big.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     salt = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*row), F.lit(4 * parts))).otherwise(F.lit(0)).cast("long")
-    cold = small.where(F.col(weight_col) <= threshold).withColumn("_salt", F.lit(0).cast("long"))
+    cold = cold.withColumn("_salt", F.lit(0).cast("long"))
     out = _join(tagged.withColumn("_salt", salt), cold, [*keys, "_salt"], "left", null_safe, None)
     return out.select(*big.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
 

@@ -31,7 +31,7 @@ from ..operators.features import genre_vocabulary
 from ..operators.joins import broadcast_max_bytes
 from ..operators.split import flagged_split, guarded_split
 from ..session import configure, delete_written, materialize
-from ..sources.tables import INPUT_TABLES, FileInput, enrich, load_files, movies_view, ratings_view
+from ..sources.tables import INPUT_TABLES, FileInput, enrich, item_weights, load_files, movies_view, ratings_view
 from ..store import Checkpoint, CheckpointStore
 
 FEATURE_COLS = ["rk", "userId", "movieId", "rating", "ts", "title", "genres", "release_year",
@@ -52,7 +52,7 @@ DATE_CANDIDATES = (
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings ⋈ items; release year computed once per item, date parts per row."""
     movies = movies_view(spark, sf_dir).withColumn("release_year", release_year("title"))
-    df = enrich(ratings_view(spark, sf_dir), movies)
+    df = enrich(ratings_view(spark, sf_dir), movies, weights=item_weights(spark, sf_dir))
     return df.withColumns(rating_date_parts("ts")).select(*FEATURE_COLS)
 
 

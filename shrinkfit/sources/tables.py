@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, materialize
 
 #: The tables that ratings and items come from.
 INPUT_TABLES = ("lineitem", "orders", "part")
@@ -45,8 +45,11 @@ def ratings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     quantity 1..50 to ten half-star levels; ``ts`` is epoch seconds (UTC).
     """
     configure(spark)
+    # Rating and time before the join: they shuffle in fewer bytes than what they come from.
     li = spread(_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"))
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        (F.ceil(F.col("l_quantity") / 5) / 2).alias("rating"),
+        F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("ts")))
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = li.join(orders, li["l_orderkey"] == orders["o_orderkey"], "inner")
     return joined.select(
@@ -54,11 +57,15 @@ def ratings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                            ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("rk"),
         F.col("o_custkey").alias("userId"),
         F.col("l_partkey").alias("movieId"),
-        (F.ceil(F.col("l_quantity") / 5) / 2).alias("rating"),
-        F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("ts"),
+        "rating", "ts",
     )
 
 
+def item_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(movieId, _w): line items of each item, from one column; which items are hot follows from it without the ratings' join."""
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("movieId")).agg(F.count(F.lit(1)).alias("_w"))
+
+
 def movies_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(movieId, title, genres) from ``part``."""
     configure(spark)
@@ -74,14 +81,15 @@ def movies_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def movielens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings left-joined to the item dimension (J1): the reference's ``movielens``."""
-    return enrich(ratings_view(spark, sf_dir), movies_view(spark, sf_dir))
+    return enrich(ratings_view(spark, sf_dir), movies_view(spark, sf_dir), weights=item_weights(spark, sf_dir))
 
 
-def enrich(ratings: DataFrame, movies: DataFrame, key: str = "movieId") -> DataFrame:
+def enrich(ratings: DataFrame, movies: DataFrame, key: str = "movieId", weights: DataFrame | None = None) -> DataFrame:
     """Dimension left join (J1), null-safe; a repeated item key raises.
 
-    One aggregate checks the item side and counts it; the ratings' items are counted too
-    (partial sums), so past the broadcast bound hot items are joined apart (``lookup_join``).
+    One aggregate checks the item side and counts it. Past the broadcast bound the ratings' items are counted too
+    (partial sums, written) and hot items are joined apart (``lookup_join``); ``weights`` (key, _w) are
+    such counts from something cheaper than the ratings, which are then read by the join alone.
     """
     from ..operators.joins import can_broadcast, lookup_join
 
@@ -90,9 +98,9 @@ def enrich(ratings: DataFrame, movies: DataFrame, key: str = "movieId") -> DataF
         raise ValueError(f"item key {key!r} is not unique")
     if can_broadcast(movies, items["keys"]):
         return lookup_join(ratings, movies, [key], "left", small_rows=items["keys"])
-    weights = ratings.groupBy(key).agg(F.count(F.lit(1)).alias("_w")).withColumnRenamed(key, "_wk")
-    movies = movies.join(weights, movies[key].eqNullSafe(weights["_wk"]), "left").drop("_wk").withColumn("_w", F.coalesce("_w", F.lit(0)))
-    return lookup_join(ratings, movies, [key], "left", small_rows=items["keys"], weight_col="_w").drop("_w")
+    if weights is None:
+        weights = ratings.groupBy(key).agg(F.count(F.lit(1)).alias("_w"))
+    return lookup_join(ratings, movies, [key], "left", small_rows=items["keys"], weight_col="_w", weights=materialize(weights, "item-weights"))
 
 
 @dataclass

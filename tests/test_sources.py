@@ -100,3 +100,48 @@ def test_delete_written_takes_only_what_this_application_wrote(spark):
     assert path not in written(spark) and kept.count() == 5
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_items_past_the_bound_read_the_ratings_once(spark, tmp_path):
+    """Given the items' weights, nothing but the join itself reads the ratings; hot items and null ones are matched."""
+    from pyspark.sql import functions as F
+
+    from shrinkfit.sources.tables import enrich
+    rows = [(f"r{i}", None if i % 50 == 1 else 3 if i % 2 else i % 40) for i in range(800)]
+    ratings = spark.createDataFrame(rows, "rk string, movieId long")
+    movies = spark.createDataFrame([(i, f"t{i}") for i in range(39)] + [(None, "none")], "movieId long, title string")
+    weights = ratings.groupBy("movieId").agg(F.count(F.lit(1)).alias("_w"))
+
+    want = {k: "none" if m is None else f"t{m}" if m < 39 else None for k, m in rows}
+    spark.conf.set("shrinkfit.broadcastMaxBytes", "400")
+    try:
+        out = enrich(ratings, movies, weights=weights)
+        assert out.columns == ["rk", "movieId", "title"]
+        assert {r.rk: r.title for r in out.collect()} == want and out.count() == len(rows)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("LogicalRDD" in line and "rk#" in line for line in plan.splitlines()) == 1
+        assert "Aggregate" not in plan      # the weights were counted once, and written
+        assert {r.rk: r.title for r in enrich(ratings, movies).collect()} == want
+    finally:
+        spark.conf.unset("shrinkfit.broadcastMaxBytes")
+
+
+def test_partitioned_writes_do_not_sort_the_rows(spark):
+    from pyspark.sql import functions as F
+
+    from shrinkfit import session
+    seen = []
+    own = session.DataFrameWriter.parquet
+
+    def spy(self, path, *rest, **kw):
+        seen.append(self._spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+        return own(self, path, *rest, **kw)
+
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    session.DataFrameWriter.parquet = spy
+    try:
+        out = session.materialize(spark.range(1000).withColumn("side", F.col("id") % 3 == 0), "sides", partition_by=["side"])
+    finally:
+        session.DataFrameWriter.parquet = own
+    assert int(seen[0]) >= 2 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert out.where("side").count() == 334 and out.count() == 1000 and out.columns == ["id", "side"]
