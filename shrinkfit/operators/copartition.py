@@ -91,10 +91,13 @@ def hot_keys(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return materialize(sizes.where((F.col("_n") > most) | F.col(key).isNull()).select(key), "hot-keys")
 
 
-def lay_out(df: DataFrame, key: str, buckets: int | None = None, name: str = "layout") -> Layout:
-    """Write ``df`` bucketed by ``key``, hot keys apart. ``df`` is read twice (sizes, rows)."""
+def lay_out(df: DataFrame, key: str, buckets: int | None = None, name: str = "layout", sizes_of: DataFrame | None = None) -> Layout:
+    """Write ``df`` bucketed by ``key``, hot keys apart. ``df`` is read twice (sizes, rows), and again where a key is hot;
+    ``sizes_of`` is a cheaper frame of as many rows per key, to take the sizes from."""
     buckets = buckets or default_buckets(df.sparkSession)
-    hot = hot_keys(df, key, buckets)
+    hot = hot_keys(df if sizes_of is None else sizes_of, key, buckets)
+    if hot.isEmpty():
+        return Layout(key, buckets, write_bucketed(df, key, buckets, f"{name}-cold"), materialize(df.where(F.lit(False)), f"{name}-rest"), hot)
     marked = lookup_join(df, hot.withColumn("_lk_hot", F.lit(True)), [key], "left")
     is_hot = F.coalesce(F.col("_lk_hot"), F.lit(False))
     cold = write_bucketed(marked.where(~is_hot).drop("_lk_hot"), key, buckets, f"{name}-cold")

@@ -14,21 +14,19 @@ when the counted table is under the byte bound; user/item tables beyond it
 go through AQE's shuffle join with skew splitting. After every such shuffle
 join the carried table is persisted so later effects do not replay it.
 
-Cells: after the first ``row_steps`` effects (the high-cardinality user and
-item keys) every remaining key is low-cardinality, so the residual is
-pre-aggregated once into a cell table ``(remaining keys, genres) → (n, Σr)``
-and the rest of the chain and the genre effects are fitted on it exactly
-(a group sum over rows equals the sum of its cells' sums). Rows and cells
-share one layout — weight ``_n`` and residual sums ``_s{j}``; a row is a cell
-with ``_n = 1`` — so both paths run the same code.
+Margins: after the first ``row_steps`` effects (the high-cardinality user and
+item keys) one pass sums the residual per value of each remaining key, and one
+counts the rows of each pair of values of two of them. The rest of the chain
+and the genre effects follow from these small tables exactly (``Margins``):
+no combination of all keys is grouped, so nothing as long as the rows is shuffled.
+Rows and margins share one layout, weight ``_n`` and residual sums ``_s{j}``.
 
 Several λ are fitted in the same pass as *wide* columns ``b0 … b{L-1}``:
 no row multiplication, one aggregate per effect, codegen-friendly
-arithmetic. Their first two effects come from λ-free statistics: a first-effect value
-is Σ/(n+λ) of its key's two numbers, so what it takes from a second key's residual is Σ over the
-counts m among its rows of (Σ of those keys' sums)/(m+λ). That table, (second key, m), has a row per key and *different* count,
-it is made once for all λ, and no row ever carries a value per λ but on its way into the cells.
-It is smaller than the rows where keys repeat counts; where a key's rows all have different counts it has as many rows, two numbers each.
+arithmetic. What they need of the rows is made once for all passes (``grid_statistics``): a first-effect
+value is Σ/(n+λ) of its key's two numbers, so each row takes those two along and is written into buckets of
+the second key, hot keys apart. A pass then sums and joins the second effect bucket by bucket without a
+shuffle of rows, and a value per λ is on a row only on its way into the margins.
 The genre effects are aggregated per distinct genre *string*
 (tiny), exploded there, and never per rating.
 """
@@ -44,7 +42,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import genre_tokens
 from ..session import materialize
 from ..sources.tables import NO_GENRE
-from .copartition import AlignedTable, Layout, align, group_parts, join_parts
+from .copartition import AlignedTable, Layout, align, group_parts, join_parts, lay_out
 from .joins import can_broadcast, lookup_join
 
 
@@ -139,8 +137,8 @@ def fit_effect(cur: DataFrame, spec: EffectSpec, lambdas: list[float], shared: b
                name: str = "effect", durable: bool = True) -> FittedEffect:
     """One grouped shrunk mean of the carried residual (A2/A3).
 
-    ``durable=False`` is for effects fitted on an already written cell table:
-    their lineage is one aggregate over it, so a persisted copy suffices.
+    ``durable=False`` is for effects fitted on already written margins:
+    their lineage is a few small aggregates, so a persisted copy suffices.
     """
     L = len(lambdas)
     if shared:   # residual is still λ-independent: one sum serves every λ
@@ -156,52 +154,108 @@ def fit_effect(cur: DataFrame, spec: EffectSpec, lambdas: list[float], shared: b
 
 @dataclass
 class GridStatistics:
-    """What the first two effects of a chain need, whatever the λ."""
+    """What the fits of a chain need, whatever the λ."""
 
     mu: float
     first: DataFrame    # first key, n, s: rows and Σ (rating − mu)
     first_rows: int
-    pairs: DataFrame    # second key, m, n, s0, s1: its rows whose first key has m rows; Σ (rating − mu), Σ s of those keys
+    layout: Layout      # the rows by second key: later keys, _s0 = rating − mu, _m and _s1 = n and s of the first key
+    counts: DataFrame   # rows of each pair of later keys' values
 
 
-def grid_statistics(train: DataFrame, chain: tuple[EffectSpec, ...] = DEFAULT_CHAIN, rating_col: str = "rating", name: str = "grid") -> GridStatistics:
-    """One pass for the mean, one for the first key's sums, one for the pairs; both tables are written."""
+def grid_statistics(train: DataFrame, chain: tuple[EffectSpec, ...] = DEFAULT_CHAIN, rating_col: str = "rating", name: str = "grid",
+                    keys: list[str] | None = None) -> GridStatistics:
+    """The mean, the first key's sums, the rows laid out by the second key and the counts of the later ``keys``; all but the mean are written."""
     mu = global_mean(train, rating_col)
     one, two = chain[0].key, chain[1].key
-    rows = train.select(one, two, (F.col(rating_col) - F.lit(mu)).alias("s0"))
-    first = materialize(rows.groupBy(one).agg(F.count(F.lit(1)).alias("n"), F.sum("s0").alias("s")), f"{name}-{chain[0].name}-sums")
+    keys = [s.key for s in chain[2:]] if keys is None else keys
+    rows = train.select(*dict.fromkeys([one, two, *keys]), (F.col(rating_col) - F.lit(mu)).alias("_s0"))
+    first = materialize(rows.groupBy(one).agg(F.count(F.lit(1)).alias("n"), F.sum("_s0").alias("s")), f"{name}-{chain[0].name}-sums")
     n = first.count()
-    side = first.select(one, F.col("n").alias("m"), F.col("s").alias("s1"))
-    joined = lookup_join(rows, side, [one], "left", small_rows=n, weight_col="m")
-    pairs = joined.groupBy(two, "m").agg(F.count(F.lit(1)).alias("n"), F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
-    return GridStatistics(mu, first, n, materialize(pairs, f"{name}-{chain[1].name}-pairs"))
+    side = first.select(one, F.col("n").alias("_m"), F.col("s").alias("_s1"))
+    joined = lookup_join(rows, side, [one], "left", small_rows=n, weight_col="_m")
+    laid = lay_out(joined.select(*dict.fromkeys([two, *keys]), "_s0", "_m", "_s1"), two, name=f"{name}-rows", sizes_of=train)
+    return GridStatistics(mu, first, n, laid, pair_counts(train, keys, name))
 
 
-def effects_of(stats: GridStatistics, chain: tuple[EffectSpec, ...], lams: list[float], name: str) -> list[FittedEffect]:
-    """The first two effects at every λ."""
+def effects_of(stats: GridStatistics, chain: tuple[EffectSpec, ...], lams: list[float], keys: list[str], name: str) -> tuple[list[FittedEffect], DataFrame]:
+    """The first two effects at every λ, and the rows past both. The second key's sums and join read bucket by bucket."""
     values = [_shrink("s", "n", lam).alias(f"b{j}") for j, lam in enumerate(lams)]
     one = FittedEffect(chain[0], stats.first.select(chain[0].key, "n", *values), stats.first_rows, stats.first)
-    left = [F.sum(F.col("s0") - F.col("s1") / (F.col("m") + F.lit(lam))).alias(f"s{j}") for j, lam in enumerate(lams)]
-    sums = stats.pairs.groupBy(chain[1].key).agg(F.sum("n").alias("n"), *left)
-    table = sums.select(chain[1].key, "n", *[_shrink(f"s{j}", "n", lam).alias(f"b{j}") for j, lam in enumerate(lams)])
-    table, rows = _keep(table, f"{name}-{chain[1].name}", True)
-    return [one, FittedEffect(chain[1], table, rows)]
+    two, layout = chain[1], stats.layout
+    left = [F.col("_s0") - F.col("_s1") / (F.col("_m") + F.lit(lam)) for lam in lams]
+    sums = group_parts(layout.parts, two.key, F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{j}") for j, c in enumerate(left)])
+    table = align(sums.select(two.key, "n", *[_shrink(f"s{j}", "n", lam).alias(f"b{j}") for j, lam in enumerate(lams)]),
+                  two.key, layout.buckets, f"{name}-{two.name}")
+    past = join_parts(layout.parts, layout, table, {f"b{j}": f"_b{j}" for j in range(len(lams))})
+    past = [p.select(*keys, F.lit(1).cast("long").alias("_n"), *[(c - F.col(f"_b{j}")).alias(f"_s{j}") for j, c in enumerate(left)]) for p in past]
+    return [one, FittedEffect(two, table.bucketed.df, table.rows, aligned=table)], past[0].unionByName(past[1])
 
 
-def _cells_past(cur: DataFrame, effects: list[FittedEffect], lams: list[float], keys: list[str], name: str) -> DataFrame:
-    """The cells of the residual past both effects, straight from the rows."""
-    one, two = effects
-    side = one.sums.select(one.spec.key, F.col("n").alias("_m"), F.col("s").alias("_s"))
-    cur = lookup_join(cur, side, [one.spec.key], "left", small_rows=one.rows, weight_col="_m")
-    side = two.table.select(two.spec.key, F.col("n").alias("_w"), *[F.col(f"b{j}").alias(f"_b{j}") for j in range(len(lams))])
-    cur = lookup_join(cur, side, [two.spec.key], "left", small_rows=two.rows, weight_col="_w")
-    sums = [F.sum(F.col("_s0") - F.col("_s") / (F.col("_m") + F.lit(lam)) - F.col(f"_b{j}")).alias(f"_s{j}") for j, lam in enumerate(lams)]
-    return materialize(cur.groupBy(*keys).agg(F.sum("_n").alias("_n"), *sums), f"{name}-cells")
+def _flagged(df: DataFrame, sets: list[tuple[str, ...]], keys: list[str], aggs: list) -> DataFrame:
+    """One aggregate over the grouping ``sets`` of ``keys``; ``_g_<key>`` is 0 where the key belongs to the row's set."""
+    return df.groupingSets([list(s) for s in sets], *keys).agg(*aggs, *[F.grouping(k).alias(f"_g_{k}") for k in keys])
+
+
+def _set_of(df: DataFrame, chosen: tuple[str, ...], keys: list[str], values: list[str]) -> DataFrame:
+    """The rows of one grouping set."""
+    sel = F.lit(True)
+    for k in keys:
+        sel = sel & (F.col(f"_g_{k}") == F.lit(0 if k in chosen else 1))
+    return df.where(sel).select(*chosen, *values)
+
+
+def pair_counts(df: DataFrame, keys: list[str], name: str = "effect") -> DataFrame | None:
+    """Rows of each pair of values of two of the ``keys``, from one pass; None for fewer than two keys."""
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1:]]
+    if not pairs:
+        return None
+    return materialize(_flagged(df.select(*keys), pairs, keys, [F.count(F.lit(1)).alias("_n")]), f"{name}-pair-counts")
+
+
+@dataclass
+class Margins:
+    """A residual's sums per value of each key, and how many rows each pair of values of two keys has.
+
+    An effect of one key takes from another key's sums its values times those counts, so neither rows nor
+    the keys' combinations are needed to go on: Σ (r − b[e]) over k = Σ r − Σ_e n(k, e) · b[e], exactly.
+    """
+
+    keys: list[str]
+    sums: DataFrame                # keys, _n, _s0 …, one grouping set per key
+    counts: DataFrame | None       # keys, _n, one grouping set per pair of keys
+    width: int
+
+    def past(self, key: str, effects: list[FittedEffect]) -> DataFrame:
+        """``key``'s sums once these effects are taken: key, _n, _s0 …"""
+        cols = [f"_s{j}" for j in range(self.width)]
+        own = _set_of(self.sums, (key,), self.keys, ["_n", *cols])
+        if not effects:
+            return own
+        out = own
+        for e in effects:
+            other = e.spec.key
+            if other == key:
+                met = own.select(key, "_n")
+            else:
+                met = _set_of(self.counts, tuple(k for k in self.keys if k in (key, other)), self.keys, ["_n"])
+            side = e.table.select(other, *[F.col(f"b{j}").alias(f"_b{j}") for j in range(self.width)])
+            taken = lookup_join(met, side, [other], "left", small_rows=e.rows)
+            out = out.unionByName(taken.select(key, F.lit(0).cast("long").alias("_n"),
+                                               *[(-F.col("_n") * F.col(f"_b{j}")).alias(f"_s{j}") for j in range(self.width)]))
+        return out.groupBy(key).agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in cols])
+
+
+def margins(cur: DataFrame, keys: list[str], width: int, counts: DataFrame | None, name: str = "effect") -> Margins:
+    """One pass over the residual, partial sums of one row per key value in each task."""
+    sums = _flagged(cur.select(*keys, "_n", *[f"_s{j}" for j in range(width)]), [(k,) for k in keys], keys,
+                    [F.sum("_n").alias("_n"), *[F.sum(f"_s{j}").alias(f"_s{j}") for j in range(width)]])
+    return Margins(keys, materialize(sums, f"{name}-margins"), counts, width)
 
 
 def effects_by_layout(layout: Layout, chain: tuple[EffectSpec, ...], lam: float, keys: list[str],
                       rating_col: str, name: str) -> tuple[float, list[FittedEffect], DataFrame]:
-    """``mu``, the first two effects and the cells past both, from rows laid out by the second effect's key.
+    """``mu``, the first two effects and the rows past both, from rows laid out by the second effect's key.
 
     The second key's sums and the join past them read bucket by bucket; the first key's join is ``lookup_join``'s.
     """
@@ -216,14 +270,7 @@ def effects_by_layout(layout: Layout, chain: tuple[EffectSpec, ...], lam: float,
     second = FittedEffect(two, table.bucketed.df, table.rows, aligned=table)
     past = [p.withColumn("_s0", F.col("_s0") - F.col("_n") * F.col("_b0")).drop("_b0")
             for p in join_parts(past, layout, table, {"b0": "_b0"})]
-    return mu, [first, second], to_cells(past[0].unionByName(past[1]), keys, 1, name)
-
-
-def to_cells(cur: DataFrame, keys: list[str], width: int, name: str = "effect") -> DataFrame:
-    """Pre-aggregate rows (or cells) by ``keys``: exact for any later group sum."""
-    cells = cur.groupBy(*keys).agg(F.sum("_n").alias("_n"),
-                                   *[F.sum(f"_s{j}").alias(f"_s{j}") for j in range(width)])
-    return materialize(cells, f"{name}-cells")
+    return mu, [first, second], past[0].unionByName(past[1])
 
 
 def fit_genres(cur: DataFrame, vocabulary: list[str], lambdas: list[float], genres_col: str,
@@ -252,20 +299,20 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
                 name: str = "model", row_steps: int = 2, statistics: GridStatistics | None = None, layout: Layout | None = None) -> BiasModel:
     """Fit ``mu``, the effect chain and the genre effects for every λ.
 
-    The first ``row_steps`` effects run over rows; the rest over cells. Several λ take the first two
-    from ``statistics`` (made here if they aren't given), if cells follow. One λ with a ``layout`` of the training
+    The first ``row_steps`` effects run over rows; the rest over margins (``Margins``). Several λ take the first two
+    from ``statistics`` (made here if they aren't given), if margins follow. One λ with a ``layout`` of the training
     rows by the second effect's key takes those two from it, without a shuffle on that key (``effects_by_layout``).
     """
     from .features import genre_vocabulary
 
     lams = [float(lambdas)] if isinstance(lambdas, (int, float)) else [float(x) for x in lambdas]
     L = len(lams)
-    cell_keys = list(dict.fromkeys([s.key for s in chain[row_steps:]] + ([genres_col] if genres else [])))
-    if statistics is None and L > 1 and row_steps == 2 and len(chain) >= 2 and cell_keys:
-        statistics = grid_statistics(train, chain, rating_col, name)
-    by_layout = layout is not None and L == 1 and row_steps == 2 and len(chain) >= 2 and bool(cell_keys) and chain[1].key == layout.key
+    later = later_keys(chain, genres, row_steps, genres_col)
+    if statistics is None and L > 1 and row_steps == 2 and len(chain) >= 2 and later:
+        statistics = grid_statistics(train, chain, rating_col, name, later)
+    by_layout = layout is not None and L == 1 and row_steps == 2 and len(chain) >= 2 and bool(later) and chain[1].key == layout.key
     if by_layout:
-        mu, effects, cells = effects_by_layout(layout, chain, lams[0], cell_keys, rating_col, name)
+        mu, effects, past = effects_by_layout(layout, chain, lams[0], later, rating_col, name)
     else:
         mu = statistics.mu if statistics else global_mean(train, rating_col)
     model = BiasModel(mu, lams, genres_col=genres_col, rating_col=rating_col)
@@ -275,19 +322,14 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
     shared = True
     held: list[DataFrame] = []
     if by_layout:
-        model.effects, cur, shared = effects, cells, False
+        model.effects, cur, shared = effects, past, False
     elif statistics:
-        model.effects = effects_of(statistics, chain, lams, name)
-        cur, shared = _cells_past(cur, model.effects, lams, cell_keys, name), False
-    for i, spec in enumerate(chain):
+        model.effects, cur = effects_of(statistics, chain, lams, later, name)
+        shared = False
+    for i, spec in enumerate(chain[:row_steps]):
         if i < len(model.effects):
             continue
-        if i == row_steps and cell_keys and not statistics and not by_layout:
-            cur = to_cells(cur, cell_keys, 1 if shared else L, name)
-            for df in held:     # the written cells replace the row-level residual
-                df.unpersist()
-            held = []
-        eff = fit_effect(cur, spec, lams, shared, name, durable=i < row_steps)
+        eff = fit_effect(cur, spec, lams, shared, name)
         # ``cur`` is now cached (the aggregate filled it): its parents can go.
         for df in held[:-1]:
             df.unpersist()
@@ -295,24 +337,34 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
         model.effects.append(eff)
         cur = _subtract(cur, eff, lams, shared)
         shared = False
-        # Row level: persist only what the next effect reads twice (its sums and the
+        # Persist only what the next effect reads twice (its sums and the
         # join past it), and only after a shuffle join or for a λ grid. What the
-        # cell aggregate alone reads is not held. Cells are small and re-read.
+        # margins alone read is not held.
         if i + 1 < min(row_steps, len(chain)) and (L > 1 or not can_broadcast(eff.table, eff.rows)):
             cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
             held.append(cur)
-    if shared:  # empty chain: widen the single residual to every λ
+    if shared:  # no effect over rows: widen the single residual to every λ
         cur = cur.withColumns({f"_s{j}": F.col("_s0") for j in range(1, L)})
+    summed = None
+    if later and (len(chain) > row_steps or statistics or by_layout):
+        summed = margins(cur, later, L, statistics.counts if statistics else pair_counts(train, later, name), name)
+        for spec in chain[row_steps:]:
+            model.effects.append(fit_effect(summed.past(spec.key, model.effects[row_steps:]), spec, lams, False, name, durable=False))
     if genres:
         vocab = vocabulary if vocabulary is not None else genre_vocabulary(train, genres_col)
         vocab = [g for g in vocab if g not in set(exclude_genres) and g not in (NO_GENRE, "")]
-        model.genres, model.genre_rows = fit_genres(cur, vocab, lams, genres_col, name,
-                                                    durable=len(chain) <= row_steps)
+        cur = summed.past(genres_col, model.effects[row_steps:]) if summed else cur
+        model.genres, model.genre_rows = fit_genres(cur, vocab, lams, genres_col, name, durable=summed is None)
     for df in held:
         df.unpersist()
     return model
 
 
+def later_keys(chain: tuple[EffectSpec, ...], genres: bool, row_steps: int = 2, genres_col: str = "genres") -> list[str]:
+    """The keys of what is fitted past the first ``row_steps`` effects."""
+    return list(dict.fromkeys([s.key for s in chain[row_steps:]] + ([genres_col] if genres else [])))
+
+
 def _subtract(cur: DataFrame, eff: FittedEffect, lambdas: list[float], shared: bool) -> DataFrame:
     """Carry the residual past one effect: ``_s{j} -= _n · b{j}[key]``."""
     L = len(lambdas)
@@ -377,14 +429,17 @@ def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
     if laid is not None:
         parts = join_parts(layout.parts, layout, laid.aligned_to(layout), {f"b{j}": f"_{laid.spec.name}{j}" for j in range(L)})
         out = parts[0].unionByName(parts[1])
+    late, spare = {}, []
     for e in model.effects:
         if e is laid:
             continue
-        if e.sums is not None:   # two numbers travel, not one for each λ
-            side = e.sums.select(e.spec.key, F.col("n").alias("_lk_n"), F.col("s").alias("_lk_s"))
-            out = lookup_join(out, side, [e.spec.key], "left", small_rows=e.rows, weight_col="_lk_n")
-            out = out.withColumns({f"_{e.spec.name}{j}": F.when(F.col("_lk_n").isNotNull(), _shrink("_lk_s", "_lk_n", lam))
-                                   for j, lam in enumerate(model.lambdas)}).drop("_lk_n", "_lk_s")
+        if e.sums is not None:   # two numbers travel through the later joins, not one for each λ
+            names = {"n": f"_{e.spec.name}_n", "s": f"_{e.spec.name}_s"}
+            side = e.sums.select(e.spec.key, *[F.col(c).alias(to) for c, to in names.items()])
+            out = lookup_join(out, side, [e.spec.key], "left", small_rows=e.rows, weight_col=names["n"])
+            late |= {f"_{e.spec.name}{j}": F.when(F.col(names["n"]).isNotNull(), _shrink(names["s"], names["n"], lam))
+                     for j, lam in enumerate(model.lambdas)}
+            spare += names.values()
             continue
         side = e.table.select(e.spec.key, F.col("n").alias("_lk_n"),
                               *[F.col(f"b{j}").alias(f"_{e.spec.name}{j}") for j in range(L)])
@@ -395,7 +450,8 @@ def predict(model: BiasModel, df: DataFrame, intercept: float | None = None,
         terms = _genre_terms(model, df)
         out = lookup_join(out, terms, [model.genres_col], "left", weight_col="_w").drop("_w")
         out = out.withColumns({f"_G{j}": F.coalesce(F.col(f"_G{j}"), F.lit(0.0)) for j in range(L)})
-    tmp = [f"_{e.spec.name}{j}" for e in model.effects for j in range(L)]
+    out = out.withColumns(late) if late else out
+    tmp = spare + [f"_{e.spec.name}{j}" for e in model.effects for j in range(L)]
     tmp += [f"_G{j}" for j in range(L)] if model.genres is not None else []
     cols = {}
     if cumulative:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .copartition import Layout
-from .effects import DEFAULT_CHAIN, BiasModel, EffectSpec, fit_effects, grid_statistics, predict, residuals
+from .effects import DEFAULT_CHAIN, BiasModel, EffectSpec, fit_effects, grid_statistics, later_keys, predict, residuals
 from .joins import lookup_join
 
 
@@ -132,10 +132,10 @@ def lambda_grid(train: DataFrame, test: DataFrame, lambdas: list[float], chunk:
     from pyspark import inheritable_thread_target
 
     chain = fit_kw.get("chain", DEFAULT_CHAIN)
-    cells = len(chain) > 2 or len(chain) == 2 and fit_kw.get("genres", True)
+    later = later_keys(chain, fit_kw.get("genres", True), genres_col=fit_kw.get("genres_col", "genres"))
     stats = None
-    if len(lambdas) > 1 and cells and fit_kw.get("row_steps", 2) == 2:
-        stats = grid_statistics(train, chain, fit_kw.get("rating_col", "rating"), name)
+    if len(lambdas) > 1 and len(chain) >= 2 and later and fit_kw.get("row_steps", 2) == 2:
+        stats = grid_statistics(train, chain, fit_kw.get("rating_col", "rating"), name, later)
 
     def one(start: int) -> DataFrame:
         lams = lambdas[start:start + chunk]

@@ -166,3 +166,61 @@ def test_ablation_equals_separate_candidate_fits(spark):
         want = base.join(side, c.key, "left").select(
             F.sqrt(F.avg(F.pow(F.col("pred") + F.col("_c") - F.col("rating"), 2)))).first()[0]
         assert got[c.key] == pytest.approx(want, abs=1e-12)
+
+
+def _written_by(run):
+    """Result of ``run`` and the rows of each table that it wrote."""
+    from shrinkfit.operators import effects
+
+    written = {}
+    own = effects.materialize
+
+    def spy(df, name, *rest, **kw):
+        out = own(df, name, *rest, **kw)
+        written[name] = out.count()
+        return out
+
+    effects.materialize = spy
+    try:
+        return run(), written
+    finally:
+        effects.materialize = own
+
+
+def test_tail_is_fitted_without_the_combinations_of_its_keys(spark):
+    """Nothing written for the later effects is as long as the rows: sums per value and counts per pair of values alone."""
+    import random
+    rnd = random.Random(11)
+    rows = [(rnd.randrange(5), rnd.randrange(7), rnd.choice([1.0, 2.5, 4.0]), 1950 + rnd.randrange(10), 1995 + rnd.randrange(6),
+             rnd.randrange(20), rnd.choice(["a|b", "b", "c|a", None])) for _ in range(4000)]
+    tr = spark.createDataFrame(rows, "userId long, movieId long, rating double, release_year int, rating_year int, rating_week_of_year int, genres string")
+    for lams in (1.0, [0.0, 1.0, 3.0]):
+        model, written = _written_by(lambda: fit_effects(tr, lams, name="tail"))
+        combinations = tr.select("release_year", "rating_year", "rating_week_of_year", "genres").distinct().count()
+        assert max(written.values()) < 600 < combinations
+        rowwise = fit_effects(tr, 1.0, name="tail-rows", row_steps=len(DEFAULT_CHAIN))
+        j = 0 if lams == 1.0 else 1
+        for e in rowwise.effects:
+            got = {r[0]: (r[1], r[2]) for r in model.effect(e.spec.name, j).collect()}
+            want = {r[0]: (r[1], r[2]) for r in rowwise.effect(e.spec.name).collect()}
+            assert got.keys() == want.keys()
+            assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-12) and got[k][1] == want[k][1] for k in want)
+        assert {r.genre: r.b_g for r in model.genre_effects(j).collect()} == pytest.approx(
+            {r.genre: r.b_g for r in rowwise.genre_effects().collect()}, abs=1e-12)
+
+
+def test_grid_scoring_shuffles_two_numbers_of_the_first_effect(spark):
+    """Past the broadcast bound no row carries a value of the first effect per λ into the second one's join."""
+    tr = _train(spark, 1500)
+    lams = [0.5 * j for j in range(12)]
+    model = fit_effects(tr, lams, DEFAULT_CHAIN[:2], genres=True, vocabulary=["a"], name="two")
+    spark.conf.set("shrinkfit.broadcastMaxBytes", "10")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = predict(model, tr)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("shrinkfit.broadcastMaxBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [i for i, line in enumerate(plan.splitlines()) if "Join LeftOuter" in line]
+    values = [i for i, line in enumerate(plan.splitlines()) if "_b_i11" in line]
+    assert values == [] or max(values) < min(joins)
