@@ -44,8 +44,8 @@ from .graph import components
 
 TREES, DEPTH, BASE, LEAF = 10, 6, 2, 48
 HASHES = TREES * DEPTH
-#: Rows of one shingle that are compared in one block, and shingles that are counted at most for the order by rarity.
-BLOCK, COUNTED = 4096, 32_000_000
+#: Rows of one shingle that are compared in one block, and frequent shingles that are known to every task at most.
+BLOCK, FREQUENT = 4096, 1_000_000
 #: Standard errors of the signature's estimate by which a pair may miss the threshold and still be confirmed.
 DOUBT = 6
 #: Bits of a set's parity sketch, and sketches by different hashes of a set that stands in a crowd.
@@ -311,7 +311,6 @@ def rarest(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     shingles, as many as a partner may not all miss. ``marked``: rid, class, n_shingles, text."""
     spark = marked.sparkSession
     total = marked.agg(F.sum("n_shingles")).first()[0] or 0
-    every = max(1, -(-total // COUNTED))
 
     def count(batches):
         for batch in batches:
@@ -320,10 +319,9 @@ def rarest(marked: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
                 h, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
-    # Any order that all sets share is right; a sample's counts only make it a good one.
-    some = marked.filter(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("text")
-    most = max(8, total // every // 1_000_000)
-    often = some.mapInArrow(tidy(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > most).toArrow()
+    # Counts over every row. Those above ``most`` are FREQUENT at most; the others tie, and go by their hash. Any order that all sets share is right.
+    most = max(8, total // FREQUENT)
+    often = marked.select("text").mapInArrow(tidy(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > most).toArrow()
     key = often.column("shingle").to_numpy().view(np.uint64)
     by_key = np.argsort(key)
     known = spark.sparkContext.broadcast((key[by_key], often.column("n").to_numpy()[by_key]))

@@ -516,3 +516,18 @@ def test_passages_end_at_words_of_like_hashes(spark):
         rows += [(10 * k, " ".join([*word(30), a, *shared, a, *word(30)])), (10 * k + 1, " ".join([*word(20), b, *shared, b, *word(30)]))]
     got = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.doc_id, r.start, r.end) for r in got) == sorted([(10 * k, 31, 91) for k in range(3)] + [(10 * k + 1, 21, 81) for k in range(3)])
+
+
+def test_shingles_are_counted_over_every_row(spark, monkeypatch):
+    """However many shingles there are, those of many rows are never among a set's rarest."""
+    import pyarrow as pa
+
+    from shrinkfit.llm import forest
+    monkeypatch.setattr(forest, "COUNTED", 1, raising=False)    # a bound by which rows were once left out of the counts
+    shared = "one phrase that all rows hold at their end"
+    rows = [(i, i, 24, " ".join(f"w{i}x{k}" for k in range(17)) + " . " + shared) for i in range(40)]
+    marked = spark.createDataFrame(rows, "rid long, class long, n_shingles long, text string")
+    common = set(forest.sets(pa.array([shared]), 3)[0].view("int64").tolist())
+    got = forest.rarest(marked, 3, (85, 100)).collect()
+    assert len(common) == 7 and {r.rid for r in got} == set(range(40))
+    assert not common & {r.shingle for r in got}
