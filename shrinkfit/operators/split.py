@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Observation
 from pyspark.sql import types as T
 
-from ..session import materialize
-from .joins import lookup_join
+from ..session import WIDE_CODEC, materialize
+from .joins import can_broadcast, lookup_join
 from .quantiles import order_statistics
 
 DEFAULT_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -232,17 +232,17 @@ def seen_key_guard(df: DataFrame, label: str = "is_test",
     that fail go to train (U1), marked in ``moved``. One aggregate over
     ``GROUPING SETS ((key1), (key2), …)`` computes, per key value, whether it
     has a train row and how many rows it has (partial aggregation
-    pre-combines a hot key map-side); it is written once, counted per key in
-    one job, and joined back per key: a broadcast if that key's table is
-    under the size bound, else a shuffle join whose hot keys are split off
-    to a broadcast (``lookup_join``).
+    pre-combines a hot key map-side); it is written once and counted per key in
+    one job. Of each key only the values without a train row are joined back, which are few
+    where the test side is the smaller one: none, or a broadcast under the size bound. Past
+    it all values are joined, by a shuffle join whose hot keys are split off to a broadcast (``lookup_join``).
     """
     flags = [F.grouping(k).alias(f"_g_{k}") for k in keys]
     seen_all = df.groupingSets([[k] for k in keys], *keys).agg(
         (F.count_if(~F.col(label)) > 0).alias("_seen"), F.count(F.lit(1)).alias("_seen_w"), *flags)
     seen_all = materialize(seen_all, "seen-keys")
-    sizes = {tuple(r[f"_g_{k}"] for k in keys): r["count"]
-             for r in seen_all.groupBy(*[f"_g_{k}" for k in keys]).count().collect()}
+    sizes = {tuple(r[f"_g_{k}"] for k in keys): (r["n"], r["unseen"])
+             for r in seen_all.groupBy(*[f"_g_{k}" for k in keys]).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_seen")).alias("unseen")).collect()}
     out = df
     ok = F.lit(True)
     for k in keys:
@@ -250,8 +250,16 @@ def seen_key_guard(df: DataFrame, label: str = "is_test",
         sel = F.lit(True)
         for x, m in zip(keys, mask):
             sel = sel & (F.col(f"_g_{x}") == m)
+        n, n_unseen = sizes.get(mask, (0, 0))
+        if not n_unseen:
+            continue
+        unseen = seen_all.where(sel & ~F.col("_seen")).select(k, F.col("_seen").alias(f"_seen_{k}"))
+        if can_broadcast(unseen, n_unseen):
+            out = lookup_join(out, unseen, [k], "left", small_rows=n_unseen)
+            ok = ok & F.coalesce(F.col(f"_seen_{k}"), F.lit(True))
+            continue
         seen = seen_all.where(sel).select(k, F.col("_seen").alias(f"_seen_{k}"), "_seen_w")
-        out = lookup_join(out, seen, [k], "left", small_rows=sizes.get(mask, 0),
+        out = lookup_join(out, seen, [k], "left", small_rows=n,
                           weight_col="_seen_w").drop("_seen_w")
         ok = ok & F.coalesce(F.col(f"_seen_{k}"), F.lit(False))
     cols = {label: F.col(label) & ok}
@@ -272,7 +280,7 @@ def guarded_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "rk",
 
     Written partitioned by ``label`` so reading either side prunes to its files.
     """
-    return materialize(flagged_split(df, p, seed, key, y, label, keys), name, partition_by=[label])
+    return materialize(flagged_split(df, p, seed, key, y, label, keys), name, partition_by=[label], codec=WIDE_CODEC)
 
 
 def flagged_split(df: DataFrame, p: float, seed: int | str = 1, key: str = "rk", y: str = "rating", label: str = "is_test",

@@ -30,7 +30,7 @@ from ..operators.evaluate import best_lambda, lambda_grid
 from ..operators.features import genre_vocabulary
 from ..operators.joins import broadcast_max_bytes
 from ..operators.split import flagged_split, guarded_split
-from ..session import configure, delete_written, materialize
+from ..session import WIDE_CODEC, configure, delete_written, materialize
 from ..sources.tables import INPUT_TABLES, FileInput, enrich, item_weights, load_files, movies_view, ratings_view
 from ..store import Checkpoint, CheckpointStore
 
@@ -110,7 +110,7 @@ class Experiment:
     def features(self) -> DataFrame:
         if self.store:
             return self._stored("features", self._features, {"columns": FEATURE_COLS})
-        return materialize(self._features(), "features")
+        return materialize(self._features(), "features", codec=WIDE_CODEC)
 
     def _split(self, step: str, upstream: str, df: DataFrame, p: float) -> DataFrame:
         if self.store:

@@ -45,6 +45,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+#: Compression of written tables as long as the ratings and as wide: less to write than the session's, read often.
+WIDE_CODEC = "zstd"
+
 #: Folders that ``materialize`` wrote, by application.
 _WRITTEN: dict[str, list[str]] = {}
 
@@ -68,19 +71,20 @@ def delete_written(spark: SparkSession, paths: list[str] | None = None) -> None:
         own.remove(path)
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     Cuts lineage (executor loss no longer replays the chain that built it),
     and the re-read relation has exact file sizes, column pruning and
     filter pushdown. ``partition_by`` turns a later filter on those columns
-    into partition pruning (whole directories skipped).
+    into partition pruning (whole directories skipped). ``codec`` replaces the session's Parquet compression.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark)
     path = os.path.join(base, "shrinkfit", f"{name}-{uuid.uuid4().hex[:12]}")
     register_written(spark, path)
-    write_partitioned(df.write.mode("overwrite"), spark, path, partition_by)
+    writer = df.write.mode("overwrite")
+    write_partitioned(writer.option("compression", codec) if codec else writer, spark, path, partition_by)
     # The schema is known: nothing is inferred, a table without rows (no partition folder) reads back too.
     out = spark.read.schema(df.schema).parquet(path)
     return out.select(*df.columns) if partition_by else out

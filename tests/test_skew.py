@@ -77,3 +77,26 @@ def test_guard_without_broadcast_equals_default(spark):
     finally:
         spark.conf.unset("shrinkfit.broadcastMaxBytes")
     assert got == want and any(r[2] for r in got)
+
+
+def test_guard_joins_only_values_without_a_train_row(spark):
+    """Keys past the bound, few of them without a train row: no shuffle of the rows."""
+    from shrinkfit.operators import seen_key_guard
+    rows = [(f"k{i}", i % 150, i % 7, i % 5 == 0) for i in range(1500)]
+    rows += [("only test", 900, 1, True), ("both sides", 901, 1, True), ("train", 901, 2, False), ("null user", None, 3, True), ("new item", 5, 70, True)]
+    df = spark.createDataFrame(rows, "rk string, userId long, movieId long, is_test boolean")
+    spark.conf.set("shrinkfit.broadcastMaxBytes", "2000")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = seen_key_guard(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["rk"]: (r["is_test"], r["moved_to_train"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("shrinkfit.broadcastMaxBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    seen_users = {u for _, u, _, test in rows if not test}
+    seen_items = {m for _, _, m, test in rows if not test}
+    want = {k: (test and u in seen_users and m in seen_items, test and not (u in seen_users and m in seen_items)) for k, u, m, test in rows}
+    assert got == want
+    assert [k for k, v in got.items() if v[1] and not k.startswith("k")] == ["only test", "null user", "new item"]
