@@ -99,14 +99,14 @@ _STEP, _ERRORS = 4, 6
 def cut_values(rows: DataFrame, need: dict[int, int], limit: int) -> dict[int, tuple[str, int, int]]:
     """Per stratum, the ``need``-th smallest hex string of ``rows`` (stratum, o): (string, how many of the rows equal to it count, all of these).
 
-    Each step keeps the one bucket of the next digits in which the count is met; a few rows, or equal ones, end it.
+    Each step counts the buckets of the next digits (a count alone is hashed, not sorted) and keeps the one in which it is met; a few rows, or equal ones, end it.
     """
     found: dict[int, tuple[str, int, int]] = {}
     digits = 0
     while need:
         digits += _STEP
-        bucket = F.substring("o", 1, digits).alias("b")
-        hist = rows.groupBy("stratum", bucket).agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("low"), F.max("o").alias("high"))
+        bucket = F.substring("o", 1, digits)
+        hist = rows.groupBy("stratum", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
         met = {}
         # At most 16 ** 4 rows for each stratum: those before have the same digits up to here.
         for r in sorted(hist.collect(), key=lambda r: (r["stratum"], r["b"])):
@@ -116,12 +116,10 @@ def cut_values(rows: DataFrame, need: dict[int, int], limit: int) -> dict[int, t
                     met[s] = r
                 else:
                     need[s] -= r["n"]
-        small = {s: r for s, r in met.items() if r["low"] != r["high"] and r["n"] <= limit}
-        found |= {s: (r["low"], need[s], r["n"]) for s, r in met.items() if r["low"] == r["high"]}
+        small = {s for s, r in met.items() if r["n"] <= limit}
         if small:
-            inside = _any([(F.col("stratum") == s) & (F.substring("o", 1, digits) == r["b"]) for s, r in small.items()])
             few: dict[int, list[str]] = {s: [] for s in small}
-            for r in rows.where(inside).collect():
+            for r in rows.where(_any([(F.col("stratum") == s) & (bucket == met[s]["b"]) for s in small])).collect():
                 few[r["stratum"]].append(r["o"])
             for s, values in few.items():
                 values.sort()
@@ -129,8 +127,10 @@ def cut_values(rows: DataFrame, need: dict[int, int], limit: int) -> dict[int, t
                 found[s] = (at, need[s] - sum(v < at for v in values), values.count(at))
         need = {s: n for s, n in need.items() if s in met and s not in found}
         if need:
-            inside = _any([(F.col("stratum") == s) & (F.substring("o", 1, digits) == met[s]["b"]) for s in need])
-            rows = materialize(rows.where(inside), "split-refined")
+            rows = materialize(rows.where(_any([(F.col("stratum") == s) & (bucket == met[s]["b"]) for s in need])), "split-refined")
+            for r in rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("low"), F.max("o").alias("high")).collect():
+                if r["low"] == r["high"]:
+                    found[r["stratum"]] = (r["low"], need.pop(r["stratum"]), r["n"])
     return found
 
 

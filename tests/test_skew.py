@@ -100,3 +100,25 @@ def test_guard_joins_only_values_without_a_train_row(spark):
     want = {k: (test and u in seen_users and m in seen_items, test and not (u in seen_users and m in seen_items)) for k, u, m, test in rows}
     assert got == want
     assert [k for k, v in got.items() if v[1] and not k.startswith("k")] == ["only test", "null user", "new item"]
+
+
+def test_cut_counts_are_hashed_not_sorted(spark):
+    """A cut whose bracket misses is found over all hashes by counts alone, with the strings of one bucket looked at."""
+    from pyspark.sql import functions as F
+
+    from shrinkfit.operators import split
+    rows = spark.range(20000).select((F.col("id") % 3).cast("int").alias("stratum"), F.when(F.col("id") % 5 == 0, F.lit("a" * 32)).otherwise(F.md5(F.col("id").cast("string"))).alias("o"))
+    held = {s: sorted(r["o"] for r in rows.where(F.col("stratum") == s).collect()) for s in range(3)}
+    frame, plans = type(rows), []
+    collect = frame.collect
+    frame.collect = lambda self: (plans.append(self._jdf.queryExecution().executedPlan().toString()), collect(self))[1]
+    try:
+        for limit in (50, 50_000):
+            need = {0: 1, 1: 4800, 2: len(held[2])}
+            need[1] = held[1].index("a" * 32) + 7
+            got = split.cut_values(rows, dict(need), limit)
+            want = {s: (at := held[s][k - 1], k - sum(v < at for v in held[s]), held[s].count(at)) for s, k in need.items()}
+            assert got == want
+    finally:
+        frame.collect = collect
+    assert plans and "SortAggregate" not in plans[0]
