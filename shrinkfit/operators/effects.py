@@ -38,6 +38,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import genre_tokens
 from ..session import materialize
@@ -161,6 +162,7 @@ class GridStatistics:
     first_rows: int
     layout: Layout      # the rows by second key: later keys, _s0 = rating − mu, _m and _s1 = n and s of the first key
     counts: DataFrame   # rows of each pair of later keys' values
+    codes: dict[str, DataFrame] = field(default_factory=dict)   # later keys of text that the rows hold as numbers: the number, the text
 
 
 def grid_statistics(train: DataFrame, chain: tuple[EffectSpec, ...] = DEFAULT_CHAIN, rating_col: str = "rating", name: str = "grid",
@@ -169,13 +171,27 @@ def grid_statistics(train: DataFrame, chain: tuple[EffectSpec, ...] = DEFAULT_CH
     mu = global_mean(train, rating_col)
     one, two = chain[0].key, chain[1].key
     keys = [s.key for s in chain[2:]] if keys is None else keys
+    plain, codes = train, {}
+    for k in keys:
+        if isinstance(train.schema[k].dataType, T.StringType) and k not in (one, two):
+            train, numbered = _numbered(train, k, name)
+            codes |= numbered
     rows = train.select(*dict.fromkeys([one, two, *keys]), (F.col(rating_col) - F.lit(mu)).alias("_s0"))
     first = materialize(rows.groupBy(one).agg(F.count(F.lit(1)).alias("n"), F.sum("_s0").alias("s")), f"{name}-{chain[0].name}-sums")
     n = first.count()
     side = first.select(one, F.col("n").alias("_m"), F.col("s").alias("_s1"))
     joined = lookup_join(rows, side, [one], "left", small_rows=n, weight_col="_m")
-    laid = lay_out(joined.select(*dict.fromkeys([two, *keys]), "_s0", "_m", "_s1"), two, name=f"{name}-rows", sizes_of=train)
-    return GridStatistics(mu, first, n, laid, pair_counts(train, keys, name))
+    laid = lay_out(joined.select(*dict.fromkeys([two, *keys]), "_s0", "_m", "_s1"), two, name=f"{name}-rows", sizes_of=plain)
+    return GridStatistics(mu, first, n, laid, pair_counts(plain, keys, name), codes)
+
+
+def _numbered(df: DataFrame, key: str, name: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``df`` with a number for each text of ``key`` (NULL is one) and the table of both, if that may be broadcast: rows shuffle in fewer bytes."""
+    table = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("_w")).select(key, F.monotonically_increasing_id().alias("_code")), f"{name}-{key}-codes")
+    n = table.count()
+    if not can_broadcast(table, n):
+        return df, {}
+    return lookup_join(df, table, [key], "left", small_rows=n).drop(key).withColumnRenamed("_code", key), {key: table}
 
 
 def effects_of(stats: GridStatistics, chain: tuple[EffectSpec, ...], lams: list[float], keys: list[str], name: str) -> tuple[list[FittedEffect], DataFrame]:
@@ -246,10 +262,14 @@ class Margins:
         return out.groupBy(key).agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in cols])
 
 
-def margins(cur: DataFrame, keys: list[str], width: int, counts: DataFrame | None, name: str = "effect") -> Margins:
-    """One pass over the residual, partial sums of one row per key value in each task."""
+def margins(cur: DataFrame, keys: list[str], width: int, counts: DataFrame | None, name: str = "effect",
+            codes: dict[str, DataFrame] | None = None) -> Margins:
+    """One pass over the residual, partial sums of one row per key value in each task. Keys that ``cur`` holds as numbers (``codes``) become texts again."""
     sums = _flagged(cur.select(*keys, "_n", *[f"_s{j}" for j in range(width)]), [(k,) for k in keys], keys,
                     [F.sum("_n").alias("_n"), *[F.sum(f"_s{j}").alias(f"_s{j}") for j in range(width)]])
+    for k, table in (codes or {}).items():
+        # A row of another key's set has no number, so no text either.
+        sums = lookup_join(sums.withColumnRenamed(k, "_code"), table, ["_code"], "left", null_safe=False).drop("_code")
     return Margins(keys, materialize(sums, f"{name}-margins"), counts, width)
 
 
@@ -300,7 +320,7 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
     """Fit ``mu``, the effect chain and the genre effects for every λ.
 
     The first ``row_steps`` effects run over rows; the rest over margins (``Margins``). Several λ take the first two
-    from ``statistics`` (made here if they aren't given), if margins follow. One λ with a ``layout`` of the training
+    from ``statistics`` (made here if they aren't given), if margins follow; one λ does so if they are given. One λ with a ``layout`` of the training
     rows by the second effect's key takes those two from it, without a shuffle on that key (``effects_by_layout``).
     """
     from .features import genre_vocabulary
@@ -347,7 +367,8 @@ def fit_effects(train: DataFrame, lambdas: list[float] | float = 0.0,
         cur = cur.withColumns({f"_s{j}": F.col("_s0") for j in range(1, L)})
     summed = None
     if later and (len(chain) > row_steps or statistics or by_layout):
-        summed = margins(cur, later, L, statistics.counts if statistics else pair_counts(train, later, name), name)
+        summed = margins(cur, later, L, statistics.counts if statistics else pair_counts(train, later, name), name,
+                         statistics.codes if statistics else None)
         for spec in chain[row_steps:]:
             model.effects.append(fit_effect(summed.past(spec.key, model.effects[row_steps:]), spec, lams, False, name, durable=False))
     if genres:

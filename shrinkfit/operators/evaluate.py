@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .copartition import Layout
-from .effects import DEFAULT_CHAIN, BiasModel, EffectSpec, fit_effects, grid_statistics, later_keys, predict, residuals
+from .effects import DEFAULT_CHAIN, BiasModel, EffectSpec, GridStatistics, fit_effects, grid_statistics, later_keys, predict, residuals
 from .joins import lookup_join
 
 
@@ -117,12 +117,12 @@ def ablation(model: BiasModel, train: DataFrame, test: DataFrame, candidates: li
 
 
 def lambda_grid(train: DataFrame, test: DataFrame, lambdas: list[float], chunk: int = 41,
-                name: str = "grid", parallel: int = 1, **fit_kw) -> DataFrame:
+                name: str = "grid", parallel: int = 1, statistics: GridStatistics | None = None, **fit_kw) -> DataFrame:
     """(lambda, rmse, n_unscored) for every λ.
 
     λ values are wide columns of the same fit, ``chunk`` of them per pass
     (bounded row width); the reference refits 41 times. What the first two effects need is
-    read from the rows once, for all passes (``grid_statistics``). With ``parallel`` > 1
+    read from the rows once, for all passes (``grid_statistics``, or ``statistics`` of these rows if given). With ``parallel`` > 1
     the chunks are fitted from that many driver threads at once: Spark runs
     their jobs concurrently, so the small dependent jobs of one chain overlap
     with another's instead of leaving task slots idle.
@@ -133,8 +133,8 @@ def lambda_grid(train: DataFrame, test: DataFrame, lambdas: list[float], chunk:
 
     chain = fit_kw.get("chain", DEFAULT_CHAIN)
     later = later_keys(chain, fit_kw.get("genres", True), genres_col=fit_kw.get("genres_col", "genres"))
-    stats = None
-    if len(lambdas) > 1 and len(chain) >= 2 and later and fit_kw.get("row_steps", 2) == 2:
+    stats = statistics
+    if stats is None and len(lambdas) > 1 and len(chain) >= 2 and later and fit_kw.get("row_steps", 2) == 2:
         stats = grid_statistics(train, chain, fit_kw.get("rating_col", "rating"), name, later)
 
     def one(start: int) -> DataFrame:

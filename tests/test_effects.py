@@ -224,3 +224,20 @@ def test_grid_scoring_shuffles_two_numbers_of_the_first_effect(spark):
     joins = [i for i, line in enumerate(plan.splitlines()) if "Join LeftOuter" in line]
     values = [i for i, line in enumerate(plan.splitlines()) if "_b_i11" in line]
     assert values == [] or max(values) < min(joins)
+
+
+def test_statistics_hold_numbers_for_texts_and_serve_every_lambda(spark):
+    """Rows laid out for the fits carry a number for each genre string (NULL too); one λ at a time equals the fit over rows."""
+    from shrinkfit.operators.effects import grid_statistics, later_keys
+    tr = _train(spark, 1200).withColumn("genres", F.when(F.col("movieId") % 6 != 0, F.col("genres")))
+    stats = grid_statistics(tr, DEFAULT_CHAIN, name="codes", keys=later_keys(DEFAULT_CHAIN, True))
+    assert stats.layout.df.schema["genres"].dataType.typeName() == "long"
+    for lam in (0.0, 2.5):
+        got, want = fit_effects(tr, lam, vocabulary=["a", "b"], name="codes-one", statistics=stats), fit_effects(tr, lam, vocabulary=["a", "b"], name="codes-rows")
+        for e in want.effects:
+            a, b = ({r[0]: (r[1], r[2]) for r in m.effect(e.spec.name).collect()} for m in (got, want))
+            assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in b)
+        a, b = ({r["genre"]: (r["b_g"], r["n"]) for r in m.genre_effects().collect()} for m in (got, want))
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in b)
+        a, b = ({r["rk"]: r["pred"] for r in predict(m, tr).collect()} for m in (got, want))
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in b)
