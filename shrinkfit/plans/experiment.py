@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import lambda_values, rating_date_parts, release_year
 from ..operators.copartition import Layout, lay_out
-from ..operators.effects import DEFAULT_CHAIN, BiasModel, EffectSpec, fit_effects, global_mean, predict
+from ..operators.effects import (DEFAULT_CHAIN, BiasModel, EffectSpec, GridStatistics, fit_effects, global_mean,
+                                 grid_statistics, later_keys, predict)
 from ..operators.evaluate import best_lambda, lambda_grid
 from ..operators.features import genre_vocabulary
 from ..operators.joins import broadcast_max_bytes
@@ -80,9 +81,10 @@ class Experiment:
     line_counts: dict[str, tuple[int, int]] = field(default_factory=dict, init=False, repr=False)
     source_files: tuple[str, ...] = ()  # the files that ``source`` reads
     store: str | None = None          # root of a ``CheckpointStore``
-    copartition: bool | None = None   # lay splits out by user; None: if the users pass the broadcast bound
+    copartition: bool = False         # lay splits out by user, with all their columns
     pairs: DataFrame | None = field(default=None, init=False, repr=False)   # correlated pairs, once written
     _layouts: dict = field(default_factory=dict, init=False, repr=False)
+    _statistics: dict[str, GridStatistics] = field(default_factory=dict, init=False, repr=False)   # shared by models that exclude genres
     checkpoints: dict[str, Checkpoint] = field(default_factory=dict, init=False, repr=False)
 
     def __post_init__(self):
@@ -153,9 +155,7 @@ class Experiment:
 
     @cached_property
     def by_user(self) -> bool:
-        """Whether splits are laid out by user: a user effect table past the broadcast bound would shuffle the ratings in each join."""
-        if self.copartition is not None:
-            return self.copartition
+        """Whether every fit starts from ``statistics``: a user effect table past the broadcast bound would shuffle the ratings in each join."""
         most = broadcast_max_bytes(self.features) // USER_EFFECT_BYTES
         if self.features.count() <= most:
             return False
@@ -163,15 +163,24 @@ class Experiment:
         return users > most
 
     def layout(self, part: str) -> Layout | None:
-        """``edx``, ``edx_train``, ``edx_test`` or ``holdout`` laid out by user, written once; None below the bound."""
-        if not self.by_user:
+        """``edx``, ``edx_train``, ``edx_test`` or ``holdout`` laid out by user, written once; None without ``copartition``."""
+        if not self.copartition:
             return None
         if part not in self._layouts:
             self._layouts[part] = lay_out(getattr(self, part), DEFAULT_CHAIN[1].key, name=f"layout-{part}")
         return self._layouts[part]
 
+    def statistics(self, part: str) -> GridStatistics:
+        """What a split's fits need whatever λ (and genres): its ratings are joined to items and dealt by user once."""
+        if part not in self._statistics:
+            self._statistics[part] = grid_statistics(getattr(self, part), DEFAULT_CHAIN, name=f"grid-{part}", keys=later_keys(DEFAULT_CHAIN, True))
+        return self._statistics[part]
+
     def fit_part(self, part: str, lam: float, name: str) -> BiasModel:
-        """A model for one λ on a split, by its layout if there is one."""
+        """A model for one λ on a split, by its layout if there is one; else from its statistics if the λ grid made them or users pass the bound."""
+        if not self.copartition and (part in self._statistics or self.by_user):
+            return fit_effects(getattr(self, part), lam, DEFAULT_CHAIN, genres=True, vocabulary=self.vocabulary,
+                               exclude_genres=self.exclude_genres, name=name, statistics=self.statistics(part))
         return fit_effects(getattr(self, part), lam, DEFAULT_CHAIN, genres=True, vocabulary=self.vocabulary,
                            exclude_genres=self.exclude_genres, name=name, layout=self.layout(part))
 
@@ -196,6 +205,7 @@ class Experiment:
         """The same splits, models without these genres."""
         if genres not in self._excluding:
             other = replace(self, exclude_genres=tuple(genres))
+            other._statistics = self._statistics
             for name in ("features", "holdout_split", "edx_split", "vocabulary"):
                 other.__dict__[name] = getattr(self, name)
             self._excluding[genres] = other
@@ -207,8 +217,9 @@ class Experiment:
 
     @cached_property
     def grid(self) -> DataFrame:
+        stats = self.statistics("edx_train") if len(self.lambdas) > 1 else None
         g = lambda_grid(self.edx_train, self.edx_test, self.lambdas, chunk=self.grid_chunk,
-                        parallel=self.grid_parallel, vocabulary=self.vocabulary,
+                        parallel=self.grid_parallel, statistics=stats, vocabulary=self.vocabulary,
                         exclude_genres=self.exclude_genres)
         return materialize(g, "lambda-grid")
 

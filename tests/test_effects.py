@@ -241,3 +241,35 @@ def test_statistics_hold_numbers_for_texts_and_serve_every_lambda(spark):
         assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in b)
         a, b = ({r["rk"]: r["pred"] for r in predict(m, tr).collect()} for m in (got, want))
         assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in b)
+
+
+def test_experiment_past_the_bound_lays_training_rows_out_once(spark):
+    """Model 6, the λ grid and Model 7 start from one written table of the training rows; the splits aren't laid out besides."""
+    from shrinkfit.operators import copartition, effects
+    from shrinkfit.plans import experiment
+    rows = [(f"r{i}", i * 7 % 60, i * 11 % 45, (i * 13 % 9) / 2 + 0.5, 900000000 + i * 86400 * 3, f"t ({1960 + i * 11 % 45 % 9})", ["a|b", "b", "c|a", None][i * 11 % 45 % 4])
+            for i in range(1500)]
+    frame = spark.createDataFrame(rows, "rk string, userId long, movieId long, rating double, ts long, title string, genres string")
+    laid, own = [], copartition.lay_out
+
+    def counted(df, key, *rest, **kw):
+        laid.append(kw.get("name"))
+        return own(df, key, *rest, **kw)
+
+    def run():
+        e = experiment.Experiment(spark, "", source=frame, lambdas=[0.0, 2.5])
+        boards = [r["rmse"] for r in e.grid.orderBy("lambda").collect()]
+        return boards, {r["rk"]: r["pred"] for r in e.score(e.model7, "edx_test").collect()}, {r[0]: r[1] for r in e.model0.effect("b_u").collect()}, e.by_user
+
+    plain = run()
+    spark.conf.set("shrinkfit.broadcastMaxBytes", "400")
+    effects.lay_out = experiment.lay_out = counted
+    try:
+        past = run()
+    finally:
+        effects.lay_out = experiment.lay_out = own
+        spark.conf.unset("shrinkfit.broadcastMaxBytes")
+    assert not plain[3] and past[3]
+    assert laid == ["grid-edx_train-rows"]
+    assert past[0] == pytest.approx(plain[0], abs=1e-12)
+    assert past[1] == pytest.approx(plain[1], abs=1e-12) and past[2] == pytest.approx(plain[2], abs=1e-12)
