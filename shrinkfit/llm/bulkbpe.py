@@ -49,8 +49,24 @@ class PairTable:
         return out
 
 
-def merge_words(symbols: np.ndarray, lens: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+#: Symbols that are merged at one time (one word at least): a merge takes some 50 bytes for each.
+RUN = 1 << 18
+
+
+def merge_words(symbols: np.ndarray, lens: np.ndarray, table: PairTable, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """(ids, number of ids of each word): ``symbols`` are the words' first symbols, one word after the other, none of them empty."""
+    ends = np.cumsum(lens)
+    ids, sizes, first = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+    while first < len(lens):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + run, side="right")))
+        for out, x in zip((ids, sizes), _merge_run(symbols[before : int(ends[last - 1])], lens[first:last], table)):
+            out.append(x)
+        first = last
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+def _merge_run(symbols: np.ndarray, lens: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     word = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
     sym = symbols.astype(np.int32)
     rank = np.full(len(sym), _NONE, np.int32)  # of the pair that begins here

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir
 
@@ -26,15 +27,19 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 #: Bytes of an Arrow batch on its way to or from a Python task: with long texts, 10,000 rows (the default) are tens of megabytes on both sides.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
+
+#: Rows that Spark reads from Parquet at one time: of long texts, 4,096 (the default) are tens of megabytes of heap in each task.
+READ_ROWS = 1024
 
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, for a cluster on which it isn't installed, once per application; and bound the session's Arrow batches by bytes."""
+    """Send the package to the executors, for a cluster on which it isn't installed, once per application; and bound the session's Arrow batches by bytes and what it reads at one time."""
     app = spark.sparkContext.applicationId
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     if app in _SHIPPED:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -54,6 +59,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def driver_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """The driver's own rows (some) as a table, by Arrow: ``createDataFrame`` of tuples starts Python workers of another kind beside those of the operators."""
+    schema = StructType.fromDDL(ddl)
+    return spark.createDataFrame(pa.table([pa.array(x) for x in zip(*rows, strict=True)], names=schema.names), schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,6 +16,7 @@ Empty table: no rows. Further columns are not read, and are passed through by ``
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -189,8 +190,7 @@ def with_language(docs: DataFrame, model: Model, *, text: str = "text", to: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
-    @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
-    def predict(texts: pa.Array) -> pa.Array:
+    def answer(texts: pa.Array) -> pa.Array:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], dtype=object)
         langs, scores, rejected = [], [], []
@@ -208,6 +208,10 @@ def with_language(docs: DataFrame, model: Model, *, text: str = "text", to: str
             return pa.array([], kind)
         return pa.StructArray.from_arrays([pa.array(np.concatenate(langs), pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(rejected))], ["lang", "score", "rejected"])
 
+    @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(lambda batches: map(answer, batches))(parts)
+
     return docs.withColumn(to, predict(F.col(text).cast("string")))
 
 

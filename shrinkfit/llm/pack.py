@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .cache import tidy
-from .common import shuffle_partitions, slices
+from .common import driver_rows, shuffle_partitions, slices
 from .tokens import encoder, tokenizer_path
 
+#: Bytes of text that are encoded at one time.
+SLICE = 2 << 20
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,7 +46,7 @@ def cut_pieces(docs: DataFrame, capacity: int, *, doc_id: str = "doc_id", text:
     def cut(batches):
         enc = encoder(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 offsets, ids = enc.encode(part.column("text"), end)
                 data, sizes = ids.astype("<u4").tobytes(), np.diff(offsets)
                 pieces = -(-sizes // capacity)
@@ -91,7 +94,7 @@ def ranked(pieces: DataFrame, parts: int) -> tuple[DataFrame, dict[int, int]]:
         shift.append((r.part, r.length, sizes[r.length]))
         sizes[r.length] += r.n
     spark = pieces.sparkSession
-    base = spark.createDataFrame(shift or [(0, 0, 0)], "part long, length long, before long")
+    base = driver_rows(spark, shift or [(0, 0, 0)], "part long, length long, before long")
     out = local.join(F.broadcast(base), ["part", "length"]).withColumn("rank", F.col("local") + F.col("before")).drop("part", "local", "before")
     return out, dict(sizes)
 
@@ -152,7 +155,7 @@ def pack(docs: DataFrame, capacity: int = 2048, *, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     pieces, sizes = ranked(cut_pieces(docs, capacity, doc_id=doc_id, text=text, path=path, end=end), shuffle_partitions(spark))
     placed, _ = match_rounds(sizes, capacity)
-    runs = spark.createDataFrame(placed or [(0, 0, 0, 0, 0)], "length long, first long, n long, sequence long, offset long")
+    runs = driver_rows(spark, placed or [(0, 0, 0, 0, 0)], "length long, first long, n long, sequence long, offset long")
     at = F.col("rank") >= F.col("first")
     joined = pieces.join(F.broadcast(runs), (pieces.length == runs.length) & at & (F.col("rank") < F.col("first") + F.col("n")))
     return joined.select("doc_id", "piece", "start", pieces.length, "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .bulkbpe import PairTable, merge_words
+from .cache import give_back
 from .common import fresh, offsets_of
 
 #: The word pattern of byte-level BPE, and the byte ranges that it shows as they are.
@@ -41,19 +42,27 @@ def encoder(path: str) -> "Encoder":
     """One encoder for each Python worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        give_back()  # reading the file took more than what is kept of it
     return _ENCODERS[path]
 
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
 
+def index_type(most: int) -> type:
+    """The narrower integer that holds places up to this one: a batch's places take most of its memory."""
+    return np.int32 if most < 2**31 else np.int64
+
+
 def character_kinds() -> np.ndarray:
     """The word pattern's kind of each code point."""
     import regex
 
     kinds = np.full(0x110000, OTHER, dtype=np.uint8)
-    for first, last in ((0, 0xD800), (0xE000, 0x110000)):  # not the surrogates
-        every = "".join(map(chr, range(first, last)))
+    for first in range(0, 0x110000, 0x800):
+        if 0xD800 <= first < 0xE000:
+            continue  # surrogates
+        every = "".join(map(chr, range(first, first + 0x800)))
         for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
             for found in regex.finditer(pattern, every):
                 kinds[first + found.start() : first + found.end()] = kind
@@ -155,8 +164,9 @@ class Encoder:
         flat, at, lens = self._chunks(pa.concat_arrays(chunks))
         out_lens = lens[seq]
         ends = np.concatenate([[0], np.cumsum(out_lens)])
-        places = np.repeat(at[seq] - ends[:-1], out_lens)
-        places += np.arange(ends[-1])
+        kind = index_type(max(ends[-1], len(flat)))
+        places = np.repeat((at[seq] - ends[:-1]).astype(kind), out_lens)
+        places += np.arange(ends[-1], dtype=kind)
         return np.diff(ends[starts]), flat[places]
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
@@ -178,10 +188,11 @@ class Encoder:
         offs = offsets_of(chunks)
         data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
         offs = offs - offs[0]
+        index = index_type(len(data))
+        # The place of each character's first byte, and its piece: a piece goes on to where the next one that isn't empty begins.
+        place = np.flatnonzero((data & 0xC0) != 0x80).astype(index)
         code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
-        size = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
-        place = np.cumsum(size) - size
-        piece = np.searchsorted(offs, place, side="right") - 1
+        piece = np.repeat(np.arange(len(chunks), dtype=index), np.diff(np.searchsorted(place, offs.astype(index))))
         first = np.concatenate([[True], piece[1:] != piece[:-1]]) if len(code) else np.zeros(0, bool)
         kind = self.kinds[code]
         # A space that begins a piece belongs to what follows it.

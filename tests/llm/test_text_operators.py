@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -14,10 +15,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shrinkfit.llm import chat, forest, langid, mix, phrases, pieces, ranked, suffix, topk
+from shrinkfit.llm import chat, forest, langid, mix, phrases, pieces, ranked, suffix, tokens, topk
 from shrinkfit.llm.bulkbpe import PairTable, merge_words
 from shrinkfit.llm.cache import Pieces
-from shrinkfit.llm.common import ship
+from shrinkfit.llm.common import driver_rows, ship
 from shrinkfit.llm.tokens import tokenizer_path
 from shrinkfit.session import delete_written, written
 
@@ -428,6 +429,40 @@ def test_language_equals_plain_nearest_centroid(spark):
         assert rejected == no or abs(cosine - float(model.floors[model.languages.index(name)])) < 1e-4
 
 
+def test_encoder_memory_is_bounded(spark):
+    """Tables of the encoder are made from few characters at a time, and words are merged in runs, whatever their number; the ids don't depend on it."""
+    def most(run):
+        tracemalloc.start()
+        try:
+            out = run()
+            return out, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    kinds, took = most(tokens.character_kinds)
+    assert took < 16 << 20
+    assert [kinds[ord(c)] for c in "aé中1٣ \u2003-😀"] == [tokens.LETTER] * 3 + [tokens.NUMBER] * 2 + [tokens.SPACE] * 2 + [tokens.OTHER] * 2
+    enc = tokens.encoder(tokenizer_path())
+    rng = np.random.default_rng(5)
+    lens = rng.integers(1, 12, 200_000)
+    symbols = enc.first[rng.integers(97, 123, lens.sum())]
+    (ids, sizes), took = most(lambda: merge_words(symbols, lens, enc.pairs))
+    assert took < 40 << 20  # one run over all of them takes some 70 MB
+    some = slice(0, 3000)
+    for run in (1, 7, 1000, 10**9):
+        few, n = merge_words(symbols[: lens[some].sum()], lens[some], enc.pairs, run)
+        assert n.tolist() == sizes[some].tolist() and few.tolist() == ids[: n.sum()].tolist()
+    assert [len(x) for x in merge_words(symbols[:0], lens[:0], enc.pairs)] == [0, 0]
+
+
+def test_driver_rows_start_no_worker(spark):
+    """The driver's own rows are a local table; by ``createDataFrame`` of tuples they passed Python workers of another kind."""
+    rows = [(1, 2, 3), (4, 5, 6)]
+    df = driver_rows(spark, rows, "a long, b long, c long")
+    assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in df.orderBy("a").collect()] == rows and df.dtypes == [(c, "bigint") for c in "abc"]
+
+
 def test_pipeline_equals_plain_python(spark, tmp_path):
     """run() against each stage in plain Python: language, exact copies, near copies, mix (sorted, in DuckDB) and packing."""
     duckdb = pytest.importorskip("duckdb")
